@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardwright.llm import contamination_sql, decontam, licenses, mixing, simhash
+from shardwright.llm import contamination_sql, decontam, langid, licenses, mixing, quality, simhash
 from shardwright.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -26,8 +30,12 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op4_license_scan, op6_source_mixing, op7_simhash_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op4_license_scan, op6_source_mixing, op7_simhash_dedup, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
