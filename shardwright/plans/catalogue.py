@@ -1,19 +1,373 @@
-"""The queries over the driver's tables, with their SQL."""
+"""The queries over the driver's tables, with their SQL.
+
+The byte-level operators run on known-answer packages made from every document;
+the relational ones on stand-in relations, the same in both engines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from shardwright.functions import names as N
+from shardwright.operators import classify, diagnostics, integrity, link, merge, repair, salvage
+from shardwright.plans import stand_ins as S
+from shardwright.sources.containers import RECIPES, complementary_copies, known_packages
+from shardwright.streaming.incremental import latest_stamps
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["verdict_counts"](spark, sf_dir)
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdict_counts(spark, sf_dir)
+
+
+RECIPE = f"list_extract([{', '.join(repr(r) for r in RECIPES)}], CAST(doc_id % {len(RECIPES)} AS BIGINT) + 1)"
+
+
+# --- verdicts of known-answer packages
+
+
+@query(f"SELECT {RECIPE} AS verdict, count(*) AS n FROM documents GROUP BY 1")
+def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.diagnose(known_packages(S.table(spark, sf_dir, "documents"))).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, {RECIPE} AS verdict, {RECIPE} <> 'normal' AS corrupted FROM documents")
+def known_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.diagnose(known_packages(S.table(spark, sf_dir, "documents"))).select("doc_id", "verdict", "corrupted")
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, {RECIPE} AS v FROM documents)
+SELECT doc_id, CASE WHEN v = 'scattered_overwrite' THEN 29 WHEN v = 'other_corrupt' THEN 2 ELSE 15 END AS entries_total,
+  CASE WHEN v IN ('normal', 'tail_truncated', 'tail_foreign_data', 'version_mix') THEN 15 WHEN v = 'interior_damage' THEN 14 WHEN v IN ('head_zero_fill', 'head_foreign_data') THEN 3 WHEN v = 'foreign_zip_overwrite' THEN 2 WHEN v = 'other_corrupt' THEN 2 ELSE 0 END AS entries_ok,
+  CASE WHEN v IN ('version_mix', 'tail_truncated', 'tail_foreign_data') THEN 'lfh' ELSE 'cd' END AS source
+FROM r WHERE v NOT IN ('empty_file', 'full_zero_fill', 'not_a_zip')""")
+def salvage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = classify.diagnose(known_packages(S.table(spark, sf_dir, "documents"))).where("salvage is not null")
+    return done.select("doc_id", F.col("salvage.entries_total").cast("int").alias("entries_total"), F.col("salvage.entries_ok").cast("int").alias("entries_ok"), "salvage.source")
+
+
+@query(f"""
+WITH r AS (SELECT {RECIPE} AS v FROM documents), a AS (
+  SELECT v, CASE WHEN v = 'normal' THEN 'normal' WHEN v IN ('not_a_zip', 'empty_file', 'full_zero_fill', 'scattered_overwrite') THEN 'unrepairable' ELSE 'attempt' END AS action,
+    CASE WHEN v = 'tail_foreign_data' THEN 'trim' WHEN v IN ('tail_truncated', 'interior_damage', 'version_mix') THEN 'rebuild' WHEN v IN ('head_zero_fill', 'head_foreign_data', 'foreign_zip_overwrite', 'other_corrupt') THEN 'extract' ELSE 'none' END AS mode FROM r)
+SELECT count(*) AS n_files, count(*) FILTER (action = 'attempt') AS n_attempt, count(*) FILTER (action = 'unrepairable') AS n_unrepairable, count(*) FILTER (action = 'normal') AS n_normal, CAST(0 AS BIGINT) AS n_error,
+  count(*) FILTER (mode = 'trim') AS n_trim, count(*) FILTER (mode = 'rebuild') AS n_rebuild, count(*) FILTER (mode = 'extract') AS n_extract, count(*) FILTER (v IN ('empty_file', 'full_zero_fill')) AS n_no_content FROM a""")
+def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.counts(repair.plan(classify.diagnose(known_packages(S.table(spark, sf_dir, "documents"))), "doc_id"))
+
+
+@query(f"""
+SELECT doc_id, {RECIPE} AS verdict, CASE WHEN {RECIPE} = 'tail_foreign_data' THEN 'trim' ELSE 'rebuild' END AS mode, 'normal' AS after
+FROM documents WHERE {RECIPE} IN ('tail_foreign_data', 'tail_truncated', 'interior_damage', 'version_mix')""")
+def repair_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = known_packages(S.table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("file_id"), "content")
+    return repair.repair(files).select(F.col("file_id").alias("doc_id"), "verdict", "mode", "after")
+
+
+@query("SELECT doc_id AS group_id, 'full' AS guarantee, CAST(15 AS BIGINT) AS n_entries, CAST(0 AS BIGINT) AS n_missing FROM documents")
+def merge_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.restore(complementary_copies(S.table(spark, sf_dir, "documents"))).select("group_id", "guarantee", "n_entries", "n_missing")
+
+
+@query("SELECT m AS method, CASE m WHEN 'splice' THEN 15 * (SELECT count(*) FROM documents) ELSE 0 END AS n FROM (VALUES ('splice'), ('crossover'), ('donor'), ('missing')) t(m)")
+def provenance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.provenance_counts(merge.splice(complementary_copies(S.table(spark, sf_dir, "documents"))))
+
+
+# --- names and scalars
+
+
+@query(f"""
+WITH p AS ({S.PATHS}), n AS (SELECT *, string_split(path, '/')[-1] AS name FROM p),
+s AS (SELECT *, lower(regexp_extract(name, '^.+?([.][^./]+)$', 1)) AS suffix, regexp_matches(lower(name), '[.](zip|tar|tar[.]gz|tgz|tar[.]bz2|tbz2|tar[.]xz|txz|enex)$') AS archive FROM n),
+b AS (SELECT CASE WHEN starts_with(name, '~$') THEN 'skipped_temp'
+  WHEN starts_with(name, '.') THEN CASE WHEN suffix IN ('.pptx', '.pptm', '.ppt') OR archive THEN 'skipped_hidden' END
+  WHEN suffix = '.ppt' THEN 'skipped_legacy' WHEN archive THEN CASE WHEN cloud THEN 'skipped_cloud' ELSE 'archives' END
+  WHEN suffix NOT IN ('.pptx', '.pptm') THEN NULL WHEN cloud THEN 'skipped_cloud' WHEN size > 3000 THEN 'skipped_oversize' ELSE 'targets' END AS bucket FROM s)
+SELECT bucket, count(*) AS n FROM b WHERE bucket IS NOT NULL GROUP BY bucket""")
+def discover_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = S.paths(spark, sf_dir)
+    placed = N.bucket(N.basename(F.col("path")), F.col("size"), F.col("cloud"), ignore_hidden=True, max_bytes=3000)
+    return paths.select(placed.alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH e AS ({S.ENTRIES})
+SELECT method, CASE WHEN regexp_matches(name, '^ppt/slides/slide[0-9]+[.]xml$') THEN 'slide_xml' WHEN starts_with(name, 'ppt/notesSlides/') THEN 'notes' WHEN starts_with(name, 'ppt/media/') THEN 'media'
+  WHEN regexp_matches(name, '^ppt/(slideLayouts|slideMasters|theme)/') THEN 'layout_master' WHEN starts_with(name, 'docProps/') THEN 'docProps' ELSE 'other' END AS category,
+  count(*) AS total, count(*) FILTER (ok) AS n_ok FROM e GROUP BY ALL""")
+def categorize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.entries(spark, sf_dir).groupBy("method", N.categorize(F.col("name")).alias("category")).agg(F.count("*").alias("total"), F.count_if("ok").alias("n_ok"))
+
+
+@query(f"WITH e AS ({S.ENTRIES}) SELECT CAST(regexp_extract(name, '^ppt/slides/slide([0-9]+)[.]xml$', 1) AS INTEGER) AS slide, count(*) AS n FROM e WHERE starts_with(name, 'ppt/slides/') AND ok GROUP BY 1")
+def slide_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.entries(spark, sf_dir).where("ok").select(N.slide_number(F.col("name")).alias("slide")).where("slide is not null").groupBy("slide").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH e AS ({S.ENTRIES}) SELECT file_id, count(DISTINCT name) FILTER (ok AND name IN ('docProps/app.xml', 'ppt/theme/theme1.xml')) = 2 AS has_core FROM e GROUP BY file_id")
+def core_parts_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    core = F.col("ok") & F.col("name").isin("docProps/app.xml", "ppt/theme/theme1.xml")
+    return S.entries(spark, sf_dir).groupBy("file_id").agg((F.count_distinct(F.when(core, F.col("name"))) == 2).alias("has_core"))
+
+
+@query(f"WITH e AS ({S.ENTRIES}) SELECT coalesce(error, 'unknown') AS error, count(*) AS n FROM e WHERE NOT ok GROUP BY 1")
+def errors_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.entries(spark, sf_dir).where("not ok").groupBy(F.coalesce("error", F.lit("unknown")).alias("error")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, substr(sha256(source || '/' || doc_id), 1, 12) AS file_key FROM documents")
+def file_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "documents").select("doc_id", N.file_key(F.concat_ws("/", "source", F.col("doc_id").cast("string"))).alias("file_key"))
+
+
+@query("WITH v AS (SELECT l_orderkey * 4096 AS v FROM lineitem) SELECT CAST(CASE WHEN v % 1048576 = 0 THEN 1048576 WHEN v % 262144 = 0 THEN 262144 WHEN v % 65536 = 0 THEN 65536 WHEN v % 4096 = 0 THEN 4096 END AS BIGINT) AS alignment, count(*) AS n FROM v GROUP BY 1")
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.table(spark, sf_dir, "lineitem").groupBy(N.alignment(F.col("l_orderkey") * 4096).alias("alignment")).agg(F.count("*").alias("n"))
+
+
+@query(r"""
+WITH t AS (SELECT page_id, regexp_extract_all(replace(replace(html, '<p>', '<a:t>'), '</p>', '</a:t>'), '(?s)<a:t(?:\s[^>]*)?>(.*?)</a:t>', 1) AS runs FROM pages),
+u AS (SELECT page_id, list_filter(list_transform(runs, lambda r: replace(replace(replace(replace(replace(r, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&')), lambda r: r <> '') AS runs FROM t)
+SELECT page_id, len(runs) AS n_runs, sha256(array_to_string(runs, chr(10))) AS digest FROM u""")
+def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    xml = F.replace(F.replace("html", F.lit("<p>"), F.lit("<a:t>")), F.lit("</p>"), F.lit("</a:t>"))
+    runs = S.table(spark, sf_dir, "pages").select("page_id", N.text_runs(xml).alias("runs"))
+    return runs.select("page_id", F.size("runs").cast("long").alias("n_runs"), F.sha2(F.array_join("runs", "\n").cast("binary"), 256).alias("digest"))
+
+
+# --- censuses
+
+
+@query(f"WITH e AS ({S.ENTRIES}) SELECT file_id, count(*) AS n, count(*) >= 5 AS is_mix FROM e l WHERE method = 'lfh' AND ok AND NOT EXISTS (SELECT 1 FROM e c WHERE c.method = 'cd' AND c.file_id = l.file_id AND c.header_offset = l.header_offset) GROUP BY file_id")
+def version_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return salvage.unlisted_headers(S.entries(spark, sf_dir)).groupBy("file_id").agg(F.count("*").alias("n"), (F.count("*") >= classify.MIX_ENTRIES).alias("is_mix"))
+
+
+@query(f"WITH e AS ({S.ENTRIES}) SELECT file_id, name, header_offset FROM e l WHERE method = 'lfh' AND ok AND EXISTS (SELECT 1 FROM e c WHERE c.method = 'cd' AND c.file_id = l.file_id AND c.name = l.name AND c.header_offset = l.header_offset)")
+def cd_matched_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return salvage.matched_headers(S.entries(spark, sf_dir)).select("file_id", "name", "header_offset")
+
+
+@query(f"WITH e AS ({S.ENTRIES}) SELECT file_id, name, header_offset FROM e l WHERE method = 'lfh' AND ok AND NOT EXISTS (SELECT 1 FROM e c WHERE c.method = 'cd' AND c.file_id = l.file_id AND c.name = l.name)")
+def foreign_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return salvage.foreign_fragments(S.entries(spark, sf_dir)).select("file_id", "name", "header_offset")
+
+
+@query(f"WITH e AS ({S.ENTRIES}) SELECT file_id, method, name, header_offset FROM e WHERE method = 'cd' UNION ALL SELECT file_id, method, name, header_offset FROM e l WHERE method = 'lfh' AND NOT EXISTS (SELECT 1 FROM e c WHERE c.method = 'cd' AND c.file_id = l.file_id AND c.header_offset = l.header_offset)")
+def all_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return salvage.all_entries(S.entries(spark, sf_dir)).select("file_id", "method", "name", "header_offset")
+
+
+@query(f"WITH e AS ({S.ENTRIES}), r AS (SELECT *, row_number() OVER (PARTITION BY file_id, name ORDER BY method <> 'cd', header_offset DESC) AS r, count(*) OVER (PARTITION BY file_id, name) AS n_same FROM e WHERE ok) SELECT file_id, name, method, header_offset, n_same FROM r WHERE r = 1")
+def salvage_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return salvage.deduplicated(S.entries(spark, sf_dir).where("ok")).select("file_id", "name", "method", "header_offset", "n_same")
+
+
+@query(f"""
+WITH e AS ({S.ENTRIES}), v AS (SELECT DISTINCT file_id, list_extract(['normal', 'tail_truncated', 'head_zero_fill', 'foreign_zip_overwrite', 'other_corrupt', 'empty_file'], CAST(file_id % 6 AS BIGINT) + 1) AS verdict FROM e),
+t AS (SELECT e.*, verdict FROM e JOIN v USING (file_id) WHERE ok AND ((method = 'cd' AND verdict IN ('head_zero_fill', 'foreign_zip_overwrite', 'other_corrupt')) OR (method = 'lfh' AND verdict IN ('tail_truncated', 'other_corrupt'))
+  OR (method = 'lfh' AND verdict = 'foreign_zip_overwrite' AND EXISTS (SELECT 1 FROM e c WHERE c.method = 'cd' AND c.file_id = e.file_id AND c.name = e.name AND c.header_offset = e.header_offset)))),
+r AS (SELECT *, row_number() OVER (PARTITION BY file_id, name ORDER BY method <> 'cd', header_offset DESC) AS r FROM t)
+SELECT file_id, name, method, header_offset FROM r WHERE r = 1""")
+def salvage_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = S.entries(spark, sf_dir)
+    names = F.array(*(F.lit(v) for v in ("normal", "tail_truncated", "head_zero_fill", "foreign_zip_overwrite", "other_corrupt", "empty_file")))
+    verdicts = entries.select("file_id").distinct().withColumn("verdict", F.get(names, (F.col("file_id") % 6).cast("int")))
+    return salvage.select_salvageable(entries, verdicts).select("file_id", "name", "method", "header_offset")
+
+
+# --- intervals, copies and donors
+
+
+@query("""
+WITH e AS (SELECT l_orderkey AS file_id, 'e' || l_linenumber AS name, CAST(l_quantity * 100 AS BIGINT) AS o FROM lineitem), c AS (SELECT o_orderkey AS file_id, CAST(floor(o_totalprice / 20) AS BIGINT) AS cd_start FROM orders),
+s AS (SELECT e.file_id, name, o, coalesce(lead(o) OVER (PARTITION BY e.file_id ORDER BY o, name), cd_start) AS t, cd_start FROM e JOIN c ON e.file_id = c.file_id)
+SELECT file_id, name, o AS from_byte, t AS to_byte, bool_and(o >= 0 AND o < cd_start AND t > o AND t <= cd_start) OVER (PARTITION BY file_id) AS layout_ok FROM s""")
+def entry_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = S.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.concat(F.lit("e"), "l_linenumber").alias("name"), (F.col("l_quantity") * 100).cast("long").alias("header_offset"))
+    ends = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), F.floor(F.col("o_totalprice") / 20).cast("long").alias("cd_start"))
+    return salvage.entry_intervals(entries, ends)
+
+
+@query("""
+WITH i AS (SELECT l_orderkey AS file_id, CAST(l_quantity * 100 AS BIGINT) AS a, CAST(l_quantity * 100 AS BIGINT) + 400 AS b FROM lineitem), s AS (SELECT o_orderkey AS file_id, CAST(floor(o_totalprice / 20) AS BIGINT) AS size FROM orders),
+u AS (SELECT * FROM i UNION ALL SELECT file_id, size, size FROM s), g AS (SELECT *, coalesce(max(b) OVER (PARTITION BY file_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m FROM u)
+SELECT file_id, m AS gap_from, a AS gap_to FROM g WHERE a > m""")
+def find_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = (F.col("l_quantity") * 100).cast("long")
+    intervals = S.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), start.alias("from_byte"), (start + 400).alias("to_byte"))
+    return salvage.gaps(intervals, S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), F.floor(F.col("o_totalprice") / 20).cast("long").alias("size")))
+
+
+_CANDIDATES = "SELECT l_partkey AS group_id, 'e' || l_linenumber AS name, l_suppkey AS copy_rank, l_orderkey AS entry_seq, l_discount < 0.05 AS ok FROM lineitem"
+
+
+@query(f"WITH c AS ({_CANDIDATES}), r AS (SELECT *, row_number() OVER (PARTITION BY group_id, name ORDER BY copy_rank, entry_seq) AS r FROM c WHERE ok) SELECT group_id, name, copy_rank, entry_seq FROM r WHERE r = 1")
+def first_valid_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return salvage.first_valid_copy(S.candidates(spark, sf_dir)).select("group_id", "name", "copy_rank", "entry_seq")
+
+
+@query(f"""
+WITH c AS ({_CANDIDATES}), k AS (SELECT *, row_number() OVER (PARTITION BY group_id, name ORDER BY copy_rank, entry_seq) AS r FROM c WHERE ok AND copy_rank % 2 = 0), d AS (SELECT *, row_number() OVER (PARTITION BY group_id, name ORDER BY copy_rank, entry_seq) AS r FROM c WHERE ok AND copy_rank % 2 = 1)
+SELECT group_id, name, copy_rank, 'copy' AS source FROM k WHERE r = 1 UNION ALL SELECT group_id, name, copy_rank, 'donor' FROM d WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM k WHERE k.group_id = d.group_id AND k.name = d.name)""")
+def degraded_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = S.candidates(spark, sf_dir)
+    return salvage.degraded_union(c.where("copy_rank % 2 = 0"), c.where("copy_rank % 2 = 1")).select("group_id", "name", "copy_rank", "source")
+
+
+_MISSING = "SELECT DISTINCT l_orderkey AS target, 'p' || l_linenumber AS name, l_partkey AS crc, CAST(l_quantity AS BIGINT) AS file_size FROM lineitem WHERE l_returnflag = 'R'"
+_DONORS = "SELECT DISTINCT l_orderkey AS donor, l_suppkey AS donor_rank, 'p' || l_linenumber AS name, l_partkey AS crc, CAST(l_quantity AS BIGINT) AS file_size, l_tax < 0.05 AS valid FROM lineitem WHERE l_returnflag <> 'R'"
+
+
+@query(f"""
+WITH m AS ({_MISSING}), d AS ({_DONORS}), o AS (SELECT target, m.name, donor, donor_rank, d.name AS donor_name, valid, row_number() OVER (PARTITION BY target, m.name, donor ORDER BY m.name <> d.name, d.name) AS o FROM m JOIN d USING (crc, file_size)),
+b AS (SELECT *, row_number() OVER (PARTITION BY target, name ORDER BY donor_rank, donor) AS b FROM o WHERE o = 1 AND valid) SELECT target, name, donor, donor_name FROM b WHERE b = 1""")
+def donors_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return salvage.donors_by_content(*S.missing_and_donors(spark, sf_dir))
+
+
+# --- links
+
+
+@query(f"""
+WITH f AS ({S.FILES}), t AS (SELECT * FROM f WHERE NOT normal), d AS (SELECT * FROM f WHERE normal),
+m AS (SELECT t.file_id AS target, d.file_id AS donor, CASE WHEN t.name = d.name AND t.size = d.size THEN 1 WHEN t.size = d.size THEN 2 ELSE 3 END AS tier FROM t JOIN d ON t.name = d.name UNION SELECT t.file_id, d.file_id, CASE WHEN t.name = d.name THEN 1 ELSE 2 END FROM t JOIN d ON t.size = d.size),
+r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY tier, donor) AS rank FROM m) SELECT target, donor, list_extract(['high', 'medium', 'low'], tier) AS confidence, rank FROM r WHERE rank <= 10""")
+def twin_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link.twin_candidates(S.files(spark, sf_dir))
+
+
+@query(f"WITH p AS ({S.PARTS}), k AS (SELECT d.doc_id AS file_id, n_chars, md5(string_agg(name || crc, ',' ORDER BY name, crc)) AS k FROM documents d LEFT JOIN (SELECT DISTINCT * FROM p) p ON p.file_id = d.doc_id GROUP BY ALL) SELECT file_id, CASE WHEN k IS NULL THEN file_id ELSE min(file_id) OVER (PARTITION BY n_chars, k) END AS class_id FROM k")
+def origin_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link.origin_classes(S.parts(spark, sf_dir), S.sizes(spark, sf_dir))
+
+
+@query(f"WITH {S.SCORES} SELECT * FROM scored WHERE tier <> 'rejected'")
+def origin_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link.origin_scores(S.parts(spark, sf_dir), S.sizes(spark, sf_dir))
+
+
+@query(f"WITH {S.SCORES}, r AS (SELECT target, donor, lineage_score, row_number() OVER (PARTITION BY target ORDER BY lineage_score DESC, donor) AS rank FROM scored WHERE tier = 'lineage') SELECT * FROM r WHERE rank <= 5")
+def lineage_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link.lineage_top(origin_scores(spark, sf_dir))
+
+
+@query(f"""
+WITH {S.SCORES}, r AS (SELECT target, donor, tier, row_number() OVER (PARTITION BY target ORDER BY CASE tier WHEN 'auto' THEN 1 WHEN 'candidate' THEN 2 ELSE 3 END, donor) AS place FROM scored WHERE tier <> 'rejected')
+SELECT t.file_id AS target, donor, tier, place FROM ({S.FILES}) t LEFT JOIN r ON t.file_id = r.target WHERE NOT t.normal""")
+def donor_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link.donor_plan(S.files(spark, sf_dir).where("not normal").select(F.col("file_id").alias("target")), origin_scores(spark, sf_dir))
+
+
+@query(f"WITH f AS ({S.FILES}), c AS (SELECT file_id, size, count(*) OVER (PARTITION BY size) AS n_files FROM f WHERE NOT normal) SELECT size, file_id, n_files FROM c WHERE n_files >= 2")
+def merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link.merge_groups(S.files(spark, sf_dir))
+
+
+@query("WITH c AS (SELECT doc_id AS file_id, min(doc_id) OVER w AS copy_of, count(*) OVER w AS n_copies FROM documents WINDOW w AS (PARTITION BY sha256(text))) SELECT * FROM c WHERE n_copies >= 2")
+def identical_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link.identical_copies(S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text"), "text")
+
+
+# --- integrity
+
+
+@query(f"SELECT file_id, part, attribute, rid FROM ({S.REFS}) r WHERE NOT EXISTS (SELECT 1 FROM ({S.RELS}) l WHERE l.file_id = r.file_id AND l.rid = r.rid AND l.rels_part = 'ppt/slides/_rels/' || string_split(r.part, '/')[-1] || '.rels')")
+def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.dangling_references(S.refs(spark, sf_dir), S.rels(spark, sf_dir))
+
+
+@query(f"SELECT file_id, part, 'slide' AS kind FROM (SELECT DISTINCT file_id, part FROM ({S.REFS})) r WHERE NOT EXISTS (SELECT 1 FROM ({S.RELS}) l WHERE NOT external AND l.file_id = r.file_id AND l.resolved = r.part)")
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.orphans(S.refs(spark, sf_dir).select("file_id", F.col("part").alias("name")).distinct(), S.rels(spark, sf_dir))
+
+
+@query(f"SELECT file_id, part, 'slideLayout' AS required FROM (SELECT DISTINCT file_id, part FROM ({S.REFS})) r WHERE NOT EXISTS (SELECT 1 FROM ({S.RELS}) l WHERE l.type_tail = 'slideLayout' AND l.file_id = r.file_id AND l.rels_part = 'ppt/slides/_rels/' || string_split(r.part, '/')[-1] || '.rels')")
+def missing_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.missing_relationships(S.refs(spark, sf_dir).select("file_id", F.col("part").alias("name")).distinct(), S.rels(spark, sf_dir))
+
+
+@query(f"SELECT keep, count(*) AS n FROM (SELECT external OR EXISTS (SELECT 1 FROM ({S.REFS}) r WHERE r.file_id = l.file_id AND r.part = l.resolved) AS keep FROM ({S.RELS}) l) GROUP BY keep")
+def pruned_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = integrity.pruned_relationships(S.rels(spark, sf_dir), S.refs(spark, sf_dir).select("file_id", F.col("part").alias("name")))
+    return kept.groupBy("keep").agg(F.count("*").alias("n"))
+
+
+# --- runs, profiles and reports
+
+
+@query("""
+WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+b AS (SELECT *, CAST(sum(CASE WHEN i = 1 OR p IS DISTINCT FROM event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run_no FROM a)
+SELECT user_id, run_no, event_type, count(*) AS n_rows, CAST(sum(1) AS BIGINT) AS length, round(sum(value * 1) / sum(1), 6) AS mean FROM b GROUP BY user_id, run_no, event_type""")
+def rle_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = S.table(spark, sf_dir, "events").withColumn("one", F.lit(1).cast("long"))
+    return diagnostics.runs(events, "user_id", ["ts", "event_id"], "event_type", "one", "value").withColumn("mean", F.round("mean", 6))
+
+
+@query("""
+WITH h AS (SELECT doc_id, hex(encode(text)) AS x FROM documents), k AS (SELECT doc_id, unnest(range(0, (len(x) + 131071) // 131072)) AS block_no, x FROM h),
+b AS (SELECT doc_id, block_no, unnest(regexp_extract_all(substr(x, 1 + 131072 * block_no, 131072), '..')) AS s FROM k), c AS (SELECT doc_id, block_no, s, count(*) AS n FROM b GROUP BY ALL),
+t AS (SELECT doc_id, block_no, CAST(sum(n) AS BIGINT) AS length, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy, coalesce(sum(n) FILTER (s = '00'), 0) AS zeros, coalesce(sum(n) FILTER (s IN ('09', '0A', '0D') OR (s >= '20' AND s <= '7E')), 0) AS printable FROM c GROUP BY ALL)
+SELECT doc_id, block_no, length, CASE WHEN zeros = length THEN 'zeros' WHEN printable >= 0.95 * length THEN 'text_like' WHEN entropy >= 7 THEN 'high_entropy' ELSE 'other' END AS class, round(entropy, 6) AS entropy FROM t""")
+def block_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.block_profile(S.table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("entropy", F.round("entropy", 6))
+
+
+@query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, CAST(sum(n) AS BIGINT) AS total, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) + 0.0 AS entropy FROM c GROUP BY user_id")
+def type_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = S.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return diagnostics.entropy_of_counts(counted, ["user_id"]).withColumn("entropy", F.round("entropy", 6) + 0.0)
+
+
+@query("WITH c AS (SELECT event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY event_type) SELECT event_type, n, row_number() OVER (ORDER BY n DESC, f) AS place FROM c")
+def top_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.roll_up(S.table(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+@query("SELECT c_custkey, c_mktsegment || CASE WHEN n = 1 THEN '' ELSE '-' || n END AS label FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS n FROM customer)")
+def root_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = S.table(spark, sf_dir, "customer").withColumn("n", F.row_number().over(W.partitionBy("c_mktsegment", "c_nationkey").orderBy("c_custkey")))
+    return numbered.select("c_custkey", F.concat("c_mktsegment", F.when(F.col("n") == 1, "").otherwise(F.concat(F.lit("-"), F.col("n").cast("string")))).alias("label"))
+
+
+@query(f"WITH f AS ({S.FILES}) SELECT 1 AS section, file_id, 'damaged' AS state FROM f WHERE NOT normal UNION ALL SELECT 2, file_id, 'normal' FROM f WHERE normal UNION ALL SELECT 3, doc_id, 'unknown' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def results_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = S.files(spark, sf_dir)
+    known = files.select(F.when(F.col("normal"), 2).otherwise(1).alias("section"), "file_id", F.when(F.col("normal"), "normal").otherwise("damaged").alias("state"))
+    rest = S.table(spark, sf_dir, "documents").join(S.table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    return known.unionByName(rest.select(F.lit(3).alias("section"), F.col("doc_id").alias("file_id"), F.lit("unknown").alias("state")))
+
+
+@query("""
+WITH o AS (SELECT user_id, event_id, event_type, count(*) OVER (PARTITION BY user_id) AS n_seen, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS q FROM events)
+SELECT user_id, event_id, event_type, n_seen, q IS NULL OR p IS DISTINCT FROM event_type AS changed FROM o WHERE r = 1""")
+def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_stamps(S.table(spark, sf_dir, "events"), "user_id", "event_id", ["event_type"])
