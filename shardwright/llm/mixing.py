@@ -23,6 +23,8 @@ from shardwright.llm.common import cut
 ENTROPY, MAX_EPOCHS, BUDGET_RATIO, BLOCK_DOCS, SEED, LEVELS = 0.999, 4.0, 1.0, 256, 7, 32
 #: Levels of bisection that one job decides: it evaluates all midpoints that they may need.
 AT_ONCE = 4
+#: Up to so many sources (a few MB) the plan is broadcast; beyond, it joins by shuffle, where Spark splits hot sources.
+BROADCAST_SOURCES = 50_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -102,7 +104,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     name = F.coalesce(F.col("_id").cast("string"), F.lit(""))
     number = F.conv(F.substring(_rank_key(seed, "block", name), 1, 8), 16, 10).cast("long")
-    placed = narrow.join(plan, "source").withColumn("block", number % F.col("blocks"))
+    # A hot source would meet in one task; a plan of few sources goes to the rows instead.
+    few = totals.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    placed = narrow.join(F.broadcast(plan) if few else plan, "source").withColumn("block", number % F.col("blocks"))
 
     # The blocks of the last, partial epoch: whole ones while they fit, then one that is cut.
     part = placed.where("rest > 0").groupBy("source", "block").agg(F.sum("n_tokens").alias("held"), F.first("full").alias("full"), F.first("rest").alias("rest"))
