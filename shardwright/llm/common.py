@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardwright.session import cut, ensure_checkpoint_dir, stored
+
+__all__ = ["WORD_TABLE", "crc_bucket", "cut", "ensure_checkpoint_dir", "stored", "table", "words_of"]
+
 #: Bytes that are no word characters become blanks, A-Z become a-z; all bytes
 #: of other characters stay.
 WORD_TABLE = bytes(
@@ -19,21 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the session names; a local one only if it names none (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shardwright-"))
-    return named or sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder; later reads start there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def crc_bucket(column: str, modulus: int) -> Column:
     """crc32 of a value's text, modulo ``modulus``; null counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
