@@ -8,9 +8,10 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def rows_of(frame):
-    columns = sorted(frame.columns)
-    return sorted(map(repr, frame[columns].astype(object).where(frame[columns].notna(), None).values.tolist()))
+def rows_of(names, rows):
+    """Rows as sorted texts, columns by name."""
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return sorted(repr([row[i] for i in order]) for row in rows)
 
 
 def duck(sql, views=None):
@@ -21,10 +22,11 @@ def duck(sql, views=None):
         for name, frame in (views or {}).items():
             c.register(f"_{name}", frame)
             c.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM _{name}")
-        return c.execute(sql).df()
+        c.execute(sql)
+        return [d[0] for d in c.description], c.fetchall()
 
 
 def same(spark_df, sql, views=None):
-    ours, theirs = spark_df.toPandas(), duck(sql, views)
-    assert sorted(ours.columns) == sorted(theirs.columns)
-    assert rows_of(ours) == rows_of(theirs)
+    names, rows = duck(sql, views)
+    assert sorted(spark_df.columns) == sorted(names)
+    assert rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()]) == rows_of(names, rows)
