@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardwright.session import cut, ensure_checkpoint_dir, stored
 
-__all__ = ["WORD_TABLE", "crc_bucket", "cut", "ensure_checkpoint_dir", "stored", "table", "words_of"]
+__all__ = ["WORD_TABLE", "crc_bucket", "cut", "ensure_checkpoint_dir", "shielded", "stored", "table", "words_of"]
 
 #: Bytes that are no word characters become blanks, A-Z become a-z; all bytes
 #: of other characters stay.
@@ -29,3 +31,11 @@ def crc_bucket(column: str, modulus: int) -> Column:
 def words_of(text: bytes | None) -> list[bytes]:
     """Lower-cased words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of UTF-8 text."""
     return text.translate(WORD_TABLE).split() if text else []
+
+
+def shielded(docs: DataFrame, own: set[str], added: set[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with neutral names for all columns but ``own`` that clash with ``added``, and what gives the old columns back."""
+    names = docs.columns
+    taken = {n.lower() for n in added}
+    inner = [n if n in own or n.lower() not in taken else f"__kept_{i}" for i, n in enumerate(names)]
+    return docs.toDF(*inner), lambda df: df.select(*inner).toDF(*names)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardwright.llm.common import words_of
+from shardwright.llm.common import shielded, words_of
 
 WINDOW = 13
 
@@ -144,13 +144,14 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, max_blo
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_block_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with _n_words, _hit_ranges (word ranges inside benchmark windows) and _hit_items.
 
-    The benchmark is broadcast in blocks of ``max_block_bytes`` of text; each
+    Columns of these names in ``docs`` give way. The benchmark is broadcast in blocks of ``max_block_bytes`` of text; each
     block is one more pass over rows that carry what earlier blocks found, so no
     benchmark is too large and nothing is shuffled. Null and empty texts have no
     words. Items without words match nothing; a null item id marks words but
     isn't listed. An empty benchmark finds nothing.
     """
     kind = benchmark.schema[item_col].dataType
+    docs = docs.drop("_n_words", "_hit_ranges", "_hit_items")
     start = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_hit_ranges": F.lit(None).cast(RANGES), "_hit_items": F.lit(None).cast(T.ArrayType(kind))})
     out = start
     for block in benchmark_blocks(benchmark, item_col, item_text, max_block_bytes):
@@ -178,6 +179,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their own columns."""
-    found = find_contamination(docs, benchmark, text_col, item_col)
+    inner, restored = shielded(docs, {text_col}, {"_n_words", "_hit_ranges", "_hit_items"})
+    found = find_contamination(inner, benchmark, text_col, item_col)
     n_hit = F.aggregate("_hit_ranges", F.lit(0).cast("long"), lambda n, r: n + r["to_word"] - r["from_word"])
-    return found.where(~((n_hit > 0) & (20 * n_hit >= F.col("_n_words")))).select(*docs.columns)
+    return restored(found.where(~((n_hit > 0) & (20 * n_hit >= F.col("_n_words")))))

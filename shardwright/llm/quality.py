@@ -173,14 +173,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("_y"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    text = F.col(text_col).cast("string")
-    used = docs.where(F.octet_length(text) <= TRAIN_TEXT_BYTES).join(F.broadcast(sample), docs[id_col] == sample["_id"]).select("_id", text.alias("t"), "_y")
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("t")).where(F.octet_length("t") <= TRAIN_TEXT_BYTES)
+    used = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "t", "_y")  # at most ``rows`` ids
     got = used.orderBy(F.xxhash64("_id"), "t").limit(2 * rows).toPandas()
     return fit([t.encode() for t in got.t], got["_y"].to_numpy(np.int64))
 
 
 def classify(docs: DataFrame, network: Network, text_col: str = "text") -> DataFrame:
-    """``docs`` with _score, the probability of label 1; null counts as the empty text."""
+    """``docs`` with _score, the probability of label 1; null counts as the empty text. A column of that name gives way."""
+    docs = docs.drop("_score")
     shared = docs.sparkSession.sparkContext.broadcast(network)
     text_at = docs.columns.index(text_col)
     schema = docs.withColumn("_score", F.lit(0.0)).schema

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import cut
+from shardwright.llm.common import cut, shielded
 from shardwright.llm.components import components
 
 SHINGLE_WORDS, SEED = 3, 42
@@ -216,5 +216,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     nothing names them.
     """
     kept = simhash_components(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
+    inner, restored = shielded(docs, {id_col}, {"_n", "_kept"})
     one = W.partitionBy(id_col).orderBy(id_col)
-    return docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    return restored(inner.join(kept, inner[id_col] == kept["_kept"], "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1"))
