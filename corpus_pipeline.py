@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardwright.llm import decontam, langid, mixing, quality, simhash
-from shardwright.llm.common import ensure_checkpoint_dir, table
+from shardwright.llm.common import ensure_checkpoint_dir, shielded, table
 
 #: A document goes if fewer of its letters are in words of its language.
 MIN_LANGUAGE_SHARE = 0.3
@@ -27,15 +27,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model learns from the rows of this stage's input that have a language.
     """
-    found = langid.identify(docs, langid.train(docs))
+    inner, restored = shielded(docs, {"text", "lang"}, {"_lang", "_score", "_spans"})
+    found = langid.identify(inner, langid.train(docs))
     kept = found.where((F.col("_lang") != "und") & (F.col("_score") >= MIN_LANGUAGE_SHARE))
-    return kept.withColumn("lang", F.col("_lang")).select(*docs.columns)
+    return restored(kept.withColumn("lang", F.col("_lang")))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the classifier, fitted on the labelled ones, takes for label 1."""
     network = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, network).where(F.col("_score") >= MIN_QUALITY).select(*docs.columns)
+    inner, restored = shielded(docs, {"text"}, {"_score"})
+    return restored(quality.classify(inner, network).where(F.col("_score") >= MIN_QUALITY))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources mixed to target weights: a row for each use of a document, with its place and text."""
     order = mixing.mix(docs).select("doc_id", "n_tokens", "weight", "epoch", "block", "block_rank", "position")
-    return docs.join(order, "doc_id")
+    have = {c.lower() for c in docs.columns} - {"doc_id"}
+    return docs.join(order.toDF(*(f"mix_{c}" if c in have else c for c in order.columns)), "doc_id")
 
 
 STAGES = [
