@@ -77,6 +77,25 @@ def shape_references(parts: DataFrame) -> DataFrame:
     return used.join(shapes, ["file_id", "part", "spid"], "left_anti")
 
 
+def missing_themes(names: DataFrame, rels: DataFrame) -> DataFrame:
+    """(file_id, part, theme): masters whose theme is not there."""
+    wanted = rels.where("not external and type_tail = 'theme'").where(F.col("rels_part").startswith("ppt/slideMasters/_rels/"))
+    there = names.select("file_id", F.col("name").alias("resolved")).distinct()
+    master = F.regexp_replace(F.regexp_replace("rels_part", r"/_rels/", "/"), r"\.rels$", "")
+    return wanted.join(there, ["file_id", "resolved"], "left_anti").select("file_id", master.alias("part"), F.col("resolved").alias("theme"))
+
+
+def media_mismatches(parts: DataFrame) -> DataFrame:
+    """(file_id, part, kind, spid): media that a timing tree plays from a shape without such a media element."""
+    xml = parts.where(F.col("name").rlike(r"^ppt/.*\.xml$")).select("file_id", F.col("name").alias("part"), F.col("payload").cast("string").alias("xml"))
+    plays = xml.select("file_id", "part", "xml", F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<p:(?:video|audio)[\s>].*?</p:(?:video|audio)>"), F.lit(0))).alias("m"))
+    kind, spid = F.regexp_extract("m", r"^<p:(video|audio)", 1), F.regexp_extract("m", r"""spTgt\s[^>]*spid=["']([^"']+)["']""", 1)
+    shapes = xml.select("file_id", "part", F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<p:(?:pic|sp)>.*?</p:(?:pic|sp)>"), F.lit(0))).alias("s"))
+    shapes = shapes.select("file_id", "part", F.regexp_extract("s", r"""<p:cNvPr\s[^>]*?\bid=["']([^"']+)["']""", 1).alias("spid"), F.col("s").rlike(r"<a:videoFile|p14:media").alias("video"), F.col("s").rlike(r"<a:(?:audioFile|wavAudioFile|audioCd)|p14:media").alias("audio"))
+    met = plays.select("file_id", "part", kind.alias("kind"), spid.alias("spid")).join(shapes, ["file_id", "part", "spid"])
+    return met.where("(kind = 'video' and not video) or (kind = 'audio' and not audio)").select("file_id", "part", "kind", "spid")
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """(file_id, n, parts): how many findings a file has, and in how many parts."""
     return rows.groupBy("file_id").agg(F.count("*").alias("n"), F.count_distinct("part").alias("parts"))

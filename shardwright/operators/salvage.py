@@ -110,3 +110,24 @@ def donors_by_name(missing: DataFrame, donors: DataFrame) -> DataFrame:
     met = missing.join(donors.where("valid").select("donor", "donor_rank", "name"), "name")
     best = W.partitionBy("target", "name").orderBy("donor_rank", "donor")
     return met.withColumn("_b", F.row_number().over(best)).where("_b = 1").select("target", "name", "donor")
+
+
+def rekeyed(donor_entries: DataFrame, recovered: DataFrame, reference: DataFrame) -> DataFrame:
+    """(donor, name, new_name, origin) for every entry of a donor whose structure is borrowed.
+
+    By checksum and size an entry is the target's own (recovered), one that the
+    reference lists under some name (listed), or the donor's alone (donor).
+    ``donor_entries``: donor, name, crc, file_size; ``recovered`` and ``reference``: target's name, crc, file_size.
+    """
+    own = recovered.groupBy("crc", "file_size").agg(F.min("name").alias("own_name"))
+    listed = reference.groupBy("crc", "file_size").agg(F.min("name").alias("ref_name"))
+    met = donor_entries.join(own, ["crc", "file_size"], "left").join(listed, ["crc", "file_size"], "left")
+    origin = F.when(F.col("own_name").isNotNull(), "recovered").when(F.col("ref_name").isNotNull(), "listed").otherwise("donor")
+    return met.select("donor", "name", F.coalesce("own_name", "ref_name", "name").alias("new_name"), origin.alias("origin"))
+
+
+def unique_names(rows: DataFrame, group: str, name: str, order: str) -> DataFrame:
+    """``rows`` with unique_name: repeats of a name in a group get a number before the suffix."""
+    numbered = rows.withColumn("_n", F.row_number().over(W.partitionBy(group, name).orderBy(order)))
+    stem, end = F.regexp_replace(name, r"(?<=.)\.[^./]+$", ""), F.regexp_extract(name, r"^.+?(\.[^./]+)$", 1)
+    return numbered.withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(stem, F.format_string(" (%d)", "_n"), end))).drop("_n")

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shardwright.functions import names as N
-from shardwright.operators import classify, diagnostics, integrity, link, merge, repair, salvage
+from shardwright.operators import classify, diagnostics, integrity, link, merge, repair, report, rescue, salvage
 from shardwright.plans import stand_ins as S
 from shardwright.sources.containers import RECIPES, complementary_copies, known_packages
 from shardwright.streaming.incremental import latest_stamps
@@ -371,3 +371,38 @@ WITH o AS (SELECT user_id, event_id, event_type, count(*) OVER (PARTITION BY use
 SELECT user_id, event_id, event_type, n_seen, q IS NULL OR p IS DISTINCT FROM event_type AS changed FROM o WHERE r = 1""")
 def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_stamps(S.table(spark, sf_dir, "events"), "user_id", "event_id", ["event_type"])
+
+
+@query(f"""
+WITH p AS ({S.PATHS}), r(root, root_no) AS (VALUES ('src1', 3), ('src2', 1), ('src3', 2))
+SELECT path, coalesce(min(root_no), 0) AS root_no FROM p LEFT JOIN r ON path = root OR starts_with(path, root || '/') GROUP BY path""")
+def owning_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = spark.createDataFrame([("src1", 3), ("src2", 1), ("src3", 2)], "root string, root_no int")
+    return report.owning_roots(S.paths(spark, sf_dir), roots)
+
+
+@query(f"""
+WITH d AS ({_DONORS}), m AS ({_MISSING}), o AS (SELECT crc, file_size, min(name) AS own_name FROM m WHERE target % 2 = 0 GROUP BY ALL), r AS (SELECT crc, file_size, min(name) AS ref_name FROM m WHERE target % 2 = 1 GROUP BY ALL)
+SELECT donor, name, coalesce(own_name, ref_name, name) AS new_name, CASE WHEN own_name IS NOT NULL THEN 'recovered' WHEN ref_name IS NOT NULL THEN 'listed' ELSE 'donor' END AS origin FROM d LEFT JOIN o USING (crc, file_size) LEFT JOIN r USING (crc, file_size)""")
+def rekeyed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    missing, donors = S.missing_and_donors(spark, sf_dir)
+    return salvage.rekeyed(donors, missing.where("target % 2 = 0"), missing.where("target % 2 = 1"))
+
+
+@query("SELECT p_partkey, p_brand || CASE WHEN n = 1 THEN '' ELSE ' (' || n || ')' END || '.png' AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY p_size, p_brand ORDER BY p_partkey) AS n FROM part)")
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = S.table(spark, sf_dir, "part").withColumn("name", F.concat("p_brand", F.lit(".png")))
+    return salvage.unique_names(parts, "p_size", "name", "p_partkey").select("p_partkey", "unique_name")
+
+
+@query(f"WITH {S.SCORES} SELECT target, donor, CASE tier WHEN 'lineage' THEN 'donor' ELSE 'copy' END AS role FROM scored WHERE tier <> 'rejected'")
+def usable_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.usable_sources(origin_scores(spark, sf_dir), allow_candidate=True, allow_lineage=True).select("target", "donor", "role")
+
+
+@query(f"""
+WITH r AS (SELECT {RECIPE} AS v FROM documents), n AS (SELECT v, CASE WHEN v IN ('normal', 'tail_truncated', 'tail_foreign_data', 'version_mix') THEN 15 WHEN v = 'interior_damage' THEN 14 WHEN v IN ('head_zero_fill', 'head_foreign_data') THEN 3 WHEN v = 'foreign_zip_overwrite' THEN 4 WHEN v = 'other_corrupt' THEN 2 ELSE 0 END AS entries, CASE WHEN v IN ('normal', 'tail_truncated', 'tail_foreign_data', 'version_mix') THEN 3 WHEN v = 'interior_damage' THEN 2 ELSE 0 END AS texts FROM r)
+SELECT 'entries' AS stage, CAST(sum(entries) AS BIGINT) AS n FROM n UNION ALL SELECT 'text', CAST(sum(texts) AS BIGINT) FROM n""")
+def rescue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = known_packages(S.table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("file_id"), "content")
+    return rescue.stage_counts(rescue.rescue(files, classify.diagnose(files)))
