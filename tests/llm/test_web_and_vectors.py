@@ -74,6 +74,7 @@ def test_main_text_of_a_page():
     assert text_of(PAGE) == "Title & more\nOne two three € x\nOpen\nDiv boldtext\na\nb\ntail"
     assert text_of(None) == text_of("") == text_of("<p") == ""
     assert text_of("a < b <p>c &am") == "a < b\nc &am" and text_of("<p>x</p><script>never closed") == "x"
+    assert text_of("<div>x</div><div role='main'><div class='post-header'><h2>T</h2>by</div>y</div>") == "T\ny"
     assert text_of("<div class='menu'>m<div>n</div></div>rest<div>deep" * 3).count("m") == 0
     assert text_of("<p>" + "word " * 200_000 + "</p>") == ("word " * 200_000).strip()
 
