@@ -3,9 +3,9 @@
 A tree gives every vector a string of 64 bits, the signs of projections, and
 keeps the strings in a sorted array. A query descends to where its own string
 would stand; whatever shares its first d bits is one stretch of the
-array around that place. Search starts at the deepest level at which some tree
-still has a match and ascends all trees together, bit by bit, taking in the
-vectors that join the stretches and ranking them by their exact inner product. It ends
+array around that place. Search starts at the deepest level, of 40, at which some
+tree has a match and ascends all trees together, taking in the vectors that
+join the stretches; the best of them get their exact inner product. It ends
 once a neighbour as near as the k-th one found so far has been missed by all
 trees with a probability of at most ``miss``: (1 - p(s)^d)^trees, where p(s) is
 the chance that one bit agrees. So clustered queries end deep in the tree after
@@ -27,16 +27,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-TREES, MISS, SEED = 24, 0.03, 11
+TREES, MISS, SEED, LEVELS = 24, 0.03, 11, 40
 #: Vectors of one shard: the number of shards grows to SHARDS first, then shards grow to SHARD_MAX, then their number again.
-SHARD_MIN, SHARDS, SHARD_MAX, QUERY_BLOCK = 4096, 64, 262_144, 64
+SHARD_MIN, SHARDS, SHARD_MAX, QUERY_BLOCK = 8192, 64, 262_144, 64
 
 
 class Forest:
     """Trees of one dimension over the vectors of a shard."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, trees: int = TREES, seed: int = SEED):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.short = ids, vectors, vectors.astype(np.float32)
         n, dim = vectors.shape
         rng = np.random.default_rng(seed)
         self.planes = rng.normal(size=(trees, dim + 1, 64)).astype(np.float32)
@@ -55,61 +55,57 @@ class Forest:
         signs = unit @ self.planes[tree] > 0
         return np.packbits(signs, axis=1, bitorder="big").view(">u8").reshape(-1).astype(np.uint64)
 
-    def _stretch(self, tree: int, string: np.uint64, depth: int) -> tuple[int, int]:
-        """The part of the sorted array that shares the string's first ``depth`` bits."""
-        if depth == 0:
-            return 0, len(self.ids)
-        low = string & ~np.uint64((1 << (64 - depth)) - 1)
-        high = low | np.uint64((1 << (64 - depth)) - 1)
-        array = self.strings[tree]
-        return int(np.searchsorted(array, low, "left")), int(np.searchsorted(array, high, "right"))
-
-    def search(self, query_id: int, query: np.ndarray, k: int, miss: float = MISS) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the nearest found, nearest first, ties to the smaller id; the query's own id takes no part."""
-        length = float(np.sqrt((query.astype(np.float64) ** 2).sum()))
-        unit = np.append(query / length, 0).astype(np.float32)[None]
-        trees = len(self.order)
-        strings = [self._strings(unit, t)[0] for t in range(trees)]
-        depth = max(self._match(t, strings[t]) for t in range(trees))
-        spans = [(0, 0)] * trees
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, miss: float = MISS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) of the nearest found for each query of a block, nearest first, ties to the smaller id; a query's own id takes no part."""
+        lengths = np.sqrt((queries**2).sum(axis=1))
+        unit = np.column_stack([queries / lengths[:, None], np.zeros(len(queries))]).astype(np.float32)
+        masks = ~np.array([(1 << (64 - d)) - 1 for d in range(LEVELS + 1)], np.uint64)
+        low, high = [], []  # per tree: where each query's stretch begins and ends at each depth
+        for t, array in enumerate(self.strings):
+            prefix = self._strings(unit, t)[:, None] & masks
+            low.append(np.searchsorted(array, prefix, "left"))
+            high.append(np.searchsorted(array, prefix | ~masks, "right"))
+        low, high = np.stack(low, axis=2), np.stack(high, axis=2)  # query x depth x tree
+        block = queries.astype(np.float32) @ self.short.T
+        return [self._ascend(query_ids[i], queries[i], float(lengths[i]), low[i].tolist(), high[i].tolist(), block[i], k, miss) for i in range(len(queries))]
+
+    def _ascend(self, query_id: int, query: np.ndarray, length: float, low: list[list[int]], high: list[list[int]], near: np.ndarray, k: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
+        """Takes in what joins the stretches of all trees, from the deepest match up, until too little can be missing.
+
+        ``near`` has single-precision products for ranking; only those of vectors taken in are looked at.
+        """
+        trees, largest = len(self.order), length * self.longest
         seen = np.zeros(len(self.ids), bool)
-        seen[self.ids == query_id] = True
-        scores = np.full(len(self.ids), -np.inf)
-        n_found, kth = 0, -np.inf
-        q = query.astype(np.float32)
+        own = self.ids == query_id
+        depth = next(d for d in range(LEVELS, -1, -1) if low[d] != high[d])
+        before, kth, found = -1, -np.inf, near[:0]
         while True:
-            new = []
-            for t in range(trees):
-                lo, hi = self._stretch(t, strings[t], depth)
-                old_lo, old_hi = spans[t]
-                new += [self.order[t][lo:hi]] if old_lo == old_hi else [self.order[t][lo:old_lo], self.order[t][old_hi:hi]]
-                spans[t] = (lo, hi)
-            fresh = np.concatenate(new)
-            fresh = np.unique(fresh[~seen[fresh]])
-            if len(fresh):
-                seen[fresh] = True
-                scores[fresh] = self.vectors[fresh] @ q
-                n_found += len(fresh)
-                if n_found >= k:
-                    kth = np.partition(scores, len(scores) - k)[-k]
+            if before < 0:
+                parts = [order[lo:hi] for order, lo, hi in zip(self.order, low[depth], high[depth])]
+            else:  # only what joins
+                parts = [part for order, lo, hi, a, b in zip(self.order, low[depth], high[depth], low[before], high[before]) for part in ((order[lo:a], order[b:hi]) if a < b else (order[lo:hi],))]
+            seen[np.concatenate(parts)] = True
+            seen[own] = False
+            found = near[seen]
+            if len(found) >= k:
+                kth = float(np.partition(found, len(found) - k)[-k])
             if depth == 0:
                 break
-            cosine = np.clip(kth / (length * self.longest), -1, 1) if n_found >= k else -1.0
-            agree = 1 - np.arccos(cosine) / np.pi
-            if n_found >= k and (1 - agree**depth) ** trees <= miss:
-                break
-            depth -= 1
-        margin = 1e-5 * length * self.longest
-        near = np.flatnonzero(scores >= (kth - margin if n_found >= k else -1e300))
-        exact = inner(self.vectors[near], query)
-        order = np.lexsort((self.ids[near], -exact))[:k]
-        return self.ids[near][order], exact[order]
-
-    def _match(self, tree: int, string: np.uint64) -> int:
-        """The longest prefix that the string shares with a string of the tree."""
-        array = self.strings[tree]
-        at = int(np.searchsorted(array, string))
-        return max((64 - int(array[i] ^ string).bit_length() for i in (at - 1, at) if 0 <= i < len(array)), default=0)
+            goal = 0
+            if len(found) >= k:
+                agree = 1 - np.arccos(min(1.0, max(-1.0, kth / largest))) / np.pi
+                # The depth at which (1 - agree^depth)^trees is as small as ``miss``.
+                goal = LEVELS if agree >= 1 else int(np.log(1 - miss ** (1 / trees)) / np.log(max(agree, 1e-9)))
+                if depth <= goal:
+                    break
+            # Half the way to what the k-th one asks for so far; it asks for less the nearer it gets.
+            before, depth = depth, max(goal, min(depth - 1, (depth + goal + 1) // 2 if goal else depth - 1))
+        at = np.flatnonzero(seen)
+        if len(at) > k:
+            at = at[found >= kth - 1e-5 * largest]
+        exact = inner(self.vectors[at], query)
+        best = np.lexsort((self.ids[at], -exact))[:k]
+        return self.ids[at][best], exact[best]
 
 
 def inner(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -155,7 +151,9 @@ def _kernel(k: int, trees: int, miss: float):
                 if forest is None:
                     continue
                 for at in range(lo, hi, QUERY_BLOCK):
-                    found = [(own[i], *forest.search(own[i], flat[starts[i] : starts[i + 1]], k, miss)) for i in range(at, min(hi, at + QUERY_BLOCK))]
+                    to = min(hi, at + QUERY_BLOCK)
+                    block = flat[starts[at] : starts[to]].reshape(to - at, dims[lo])
+                    found = [(i, *f) for i, f in zip(own[at:to], forest.search(own[at:to], block, k, miss))]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)),
                         pa.array(np.concatenate([f[1] for f in found]).astype(np.int64)), pa.array(np.concatenate([f[2] for f in found])),

@@ -34,7 +34,7 @@ MAX_LANGUAGES = 256
 SWITCH_PENALTY = 6.0
 #: A script belongs to a language if so many of its training letters are in it.
 SCRIPT_SHARE = 0.01
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 # First code points of script ranges, from Unicode's blocks.
 SCRIPT_RANGES = [
@@ -67,17 +67,26 @@ def words_of(text: str | None) -> list[str]:
 
 def script_of(word: str) -> str:
     """The script of most of a word's letters; the first one on a tie."""
-    if word.isascii():
+    if max(word) < "\u0370":
         return "Latin"
     return Counter(SCRIPT_RANGES[bisect_right(_STARTS, ord(c)) - 1][1] for c in word).most_common(1)[0][0]
 
 
-def grams(word: str) -> list[int]:
-    """Table cells of a word: its character 1- to 4-grams with edge marks, and itself."""
-    w = f"^{word}$".encode()
-    cells = [crc32(w[i : i + n]) % CELLS for n in (2, 3, 4) for i in range(len(w) - n + 1)]
-    cells.append(crc32(w + b"#") % CELLS)
-    return cells
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, cell) of every character n-gram of 2 to 4 bytes with edge marks, and of the words themselves."""
+    marked = [f"^{w}$".encode() for w in words]
+    lengths = np.array([len(w) for w in marked], np.int64)
+    data = np.frombuffer(b"".join(marked) + bytes(4), np.uint8).astype(np.uint32)
+    n = int(lengths.sum())
+    word = np.repeat(np.arange(len(words)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)  # bytes from here to the word's end
+    of, cells, h = [np.arange(len(words))], [np.array([crc32(w) for w in marked], np.uint32)], data[:n]
+    for size in (2, 3, 4):
+        h = (h * np.uint32(0x01000193)) ^ data[size - 1 : n + size - 1]
+        full = left >= size
+        of.append(word[full])
+        cells.append(((h[full] + np.uint32(size)) * np.uint32(0x9E3779B1)) >> np.uint32(7))
+    return np.concatenate(of), (np.concatenate(cells) % CELLS).astype(np.int64)
 
 
 @dataclass
@@ -86,15 +95,18 @@ class Model:
     scores: np.ndarray  # languages x cells, log probabilities
     scripts: dict[str, np.ndarray]  # script -> which languages use it
     default: int  # the most frequent language
+    labeller: Labeller | None = None
 
-    def word_scores(self, word: str) -> np.ndarray:
-        """A score for each language: 0 for the best, no less than -12; all 0 if no language uses the script."""
-        fits = self.scripts.get(script_of(word))
-        if fits is None or not fits.any():
-            return np.zeros(len(self.languages), np.float32)
-        s = self.scores[:, grams(word)].mean(axis=1) * 3.0
-        s = np.where(fits, s - s[fits].max(), -12.0)
-        return np.maximum(s, -12.0).astype(np.float32)
+    def scores_of(self, words: list[str]) -> np.ndarray:
+        """Words by languages: 0 for the best, no less than -12; all 0 if no language uses the word's script."""
+        of, cells = grams(words)
+        n = np.bincount(of, minlength=len(words))
+        s = np.stack([np.bincount(of, own[cells], minlength=len(words)) * 3.0 / n for own in self.scores], axis=1)
+        none = np.zeros(len(self.languages), bool)
+        fits = np.array([self.scripts.get(script_of(w), none) for w in words])
+        s -= np.where(fits, s, -np.inf).max(axis=1, keepdims=True, initial=-1e9)
+        s = np.maximum(np.where(fits, s, -12.0), -12.0)
+        return np.where(fits.any(axis=1)[:, None], s, 0.0).astype(np.float32)
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -109,13 +121,12 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
         def fold() -> None:
             for lang, counter in by_lang.items():
-                cells, weights = [], []
+                words = list(counter)
+                of, cells = grams(words)
+                weights = np.fromiter(counter.values(), np.int64, len(words))
+                cells_of[lang] = cells_of.get(lang, 0) + np.bincount(cells, weights[of], minlength=CELLS).astype(np.int64)
                 for word, n in counter.items():
-                    own = grams(word)
-                    cells += own
-                    weights += [n] * len(own)
                     script_n[lang, script_of(word)] += n * len(word)
-                cells_of[lang] = cells_of.get(lang, 0) + np.bincount(np.array(cells, np.int64), weights, minlength=CELLS).astype(np.int64)
             by_lang.clear()
 
         for batch in batches:
@@ -159,75 +170,88 @@ def model_from_counts(got: pd.DataFrame) -> Model:
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
     """The best language of each word; ``scores`` has the words of all documents, one document after the other.
 
-    All documents advance together, one word a step; the longest stand first,
-    so that those still running are a front part.
+    All documents advance together, one word a step, over a copy in which the
+    words of a step stand side by side; the longest documents come first, so those
+    still running are a front part.
     """
     n, k = scores.shape
-    path = np.zeros(n, np.int16)
+    if not n:
+        return np.zeros(0, np.int16)
     order = np.argsort(-lengths, kind="stable")
-    begin = (np.cumsum(lengths) - lengths)[order]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
     ordered = lengths[order]
-    stay = np.ones((n, k), bool)  # the best way into this word's language is from the same language
-    came = np.zeros(n, np.int16)  # else it is from this one
-    if not n:
-        return path
-    running = np.searchsorted(-ordered, -np.arange(ordered[0]), side="left")  # documents with more than t words
-    value = np.zeros((len(order), k), np.float32)
-    for t in range(int(ordered[0])):
-        live = running[t]
-        rows = begin[:live] + t
-        v = value[:live]
-        if t:
-            best = v.argmax(axis=1)
-            hop = v[np.arange(live), best][:, None] - penalty
-            came[rows] = best
-            stay[rows] = v >= hop
-            v = np.maximum(v, hop)
-        value[:live] = v + scores[rows]
-    state = np.zeros(len(order), np.int64)
-    for t in range(int(ordered[0]) - 1, -1, -1):
-        live = running[t]
-        rows = begin[:live] + t
-        ends = ordered[:live] == t + 1
-        state[:live][ends] = value[:live][ends].argmax(axis=1)
-        now = state[:live]
-        path[rows] = now
+    steps = int(ordered[0])
+    running = np.searchsorted(-ordered, -np.arange(steps), side="left")  # documents with more than t words
+    offset = np.concatenate([[0], np.cumsum(running)])
+    begin = np.cumsum(lengths) - lengths
+    place = offset[np.arange(n) - np.repeat(begin, lengths)] + np.repeat(rank, lengths)
+    value = np.empty((n, k), np.float32)  # of the best way that ends in this word and language
+    value[place] = scores
+    came = np.zeros(n, np.int16)  # the language that a switch before this word comes from
+    bounds, live = offset.tolist(), running.tolist()
+    for t in range(1, steps):
+        lo, mid = bounds[t - 1], bounds[t]
+        v = value[lo : lo + live[t]]
+        came[mid : bounds[t + 1]] = v.argmax(axis=1)
+        value[mid : bounds[t + 1]] += np.maximum(v, v.max(axis=1, keepdims=True) - penalty)
+    labels = np.empty(n, np.int16)
+    best = value.argmax(axis=1).astype(np.int16)
+    state = np.empty(0, np.int16)
+    for t in range(steps - 1, -1, -1):
+        lo, hi = bounds[t], bounds[t + 1]
+        if len(state) < live[t]:
+            state = np.concatenate([state, best[lo + len(state) : hi]])
+        labels[lo:hi] = state
         if t:
-            state[:live] = np.where(stay[rows, now], now, came[rows])
-    return path
+            v = value[bounds[t - 1] : bounds[t - 1] + live[t]]
+            origin = came[lo:hi]
+            at = np.arange(live[t])
+            state = np.where(v[at, state] >= v[at, origin] - penalty, state, origin)
+    return labels[place]
 
 
 class Labeller:
     """Labels texts with a model; scores of words are kept, up to CACHE_WORDS."""
 
     def __init__(self, model: Model):
-        self.model, self.ids, self.table = model, {}, np.zeros((1024, len(model.languages)), np.float32)
+        self.model, self.ids = model, {}
+        self.table = np.zeros((1024, len(model.languages)), np.float32)
         self.sizes = np.zeros(1024, np.int32)
 
-    def _id(self, word: str) -> int:
-        k = len(self.ids)
-        if k == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        self.table[k] = self.model.word_scores(word)
-        self.sizes[k] = len(word)
-        self.ids[word] = k
-        return k
+    def _learn(self, words: list[str]) -> None:
+        """Adds the scores of words that are not known yet."""
+        start, n = len(self.ids), len(self.ids) + len(words)
+        if n > len(self.table):
+            size = max(n, 2 * len(self.table))
+            self.table = np.concatenate([self.table, np.zeros((size - len(self.table), self.table.shape[1]), np.float32)])
+            self.sizes = np.concatenate([self.sizes, np.zeros(size - len(self.sizes), np.int32)])
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            self.table[start + at : start + at + len(part)] = self.model.scores_of(part)
+        self.sizes[start:n] = [len(w) for w in words]
+        self.ids.update(zip(words, range(start, n)))
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """(language, score, spans) of each text; a span is (first word, end word, language)."""
+        if not self.model.languages:
+            return [("und", 0.0, [])] * len(texts)
         if len(self.ids) > CACHE_WORDS:
             self.__init__(self.model)
-        per_text, get = [], self.ids.get
-        for text in texts:
-            words = words_of(text)
-            per_text.append([i if (i := get(w)) is not None else self._id(w) for w in words])
-        lengths = np.array([len(x) for x in per_text], np.int64)
-        flat = np.fromiter((i for x in per_text for i in x), np.int64, int(lengths.sum()))
+        split = [words_of(text) for text in texts]
+        fresh: set[str] = set()
+        for words in split:
+            fresh.update(words)
+        self._learn([w for w in fresh if w not in self.ids])
+        ids, found = self.ids, []
+        for words in split:
+            found += [ids[w] for w in words]
+        lengths = np.array([len(words) for words in split], np.int64)
+        flat = np.array(found, np.int64)
         path = viterbi(self.table[flat], lengths)
         sizes, names, out, at = self.sizes[flat], self.model.languages, [], 0
         for n in lengths:
-            if not n or not names:
+            if not n:
                 out.append(("und", 0.0, []))
                 continue
             own, size = path[at : at + n], sizes[at : at + n]
@@ -251,19 +275,22 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     A null text, or one without a letter, is ``und`` with score 0. Text in scripts
     that no learned language uses gets the most frequent language with an even
     score. Ties go to the first language in order. An untrained model answers ``und``.
+    Columns of these names in ``docs`` give way.
     """
+    docs = docs.drop("_lang", "_score", "_spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text_at = docs.columns.index(text_col)
     schema = docs.withColumns({"_lang": F.lit("").cast("string"), "_score": F.lit(0.0), "_spans": F.lit(None).cast(SPANS)}).schema
     span_type = pa.list_(pa.struct([("from_word", pa.int32()), ("to_word", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shared.value)
+        model = shared.value
+        labeller = model.labeller = model.labeller or Labeller(model)  # a worker keeps it for its next tasks
         for batch in batches:
             at = 0
-            while at < batch.num_rows:  # about 2 MB of text at a time
+            while at < batch.num_rows:  # about 8 MB of text at a time
                 size, to = 0, at
-                while to < batch.num_rows and size < 2 << 20:
+                while to < batch.num_rows and size < 8 << 20:
                     size += len(batch.column(text_at)[to].as_py() or "")
                     to += 1
                 part = batch.slice(at, to - at)
