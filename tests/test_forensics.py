@@ -179,7 +179,7 @@ def test_hot_name_costs_a_fixed_number_of_rows(spark):
 
 
 def test_profile_and_fingerprints(spark):
-    data = bytes(65536) + b"text " * 13108 + containers.filler("r", 65536)
+    data = bytes(65536) + (b"text " * 13108)[:65536] + containers.filler("r", 65536)
     profile = diagnostics.chunk_profile(files_of(spark, [data, b""]))
     assert [r["layout"] for r in diagnostics.layouts(profile).collect()] == ["zeros>text_like>high_entropy"]
     judged = classify.diagnose(files_of(spark, [b"plain", containers.damaged("normal", "t", "s")]))
