@@ -66,27 +66,30 @@ class Forest:
             low.append(np.searchsorted(array, prefix, "left"))
             high.append(np.searchsorted(array, prefix | ~masks, "right"))
         low, high = np.stack(low, axis=2), np.stack(high, axis=2)  # query x depth x tree
-        block = queries.astype(np.float32) @ self.short.T
-        return [self._ascend(query_ids[i], queries[i], float(lengths[i]), low[i].tolist(), high[i].tolist(), block[i], k, miss) for i in range(len(queries))]
+        return [self._ascend(query_ids[i], queries[i], float(lengths[i]), low[i].tolist(), high[i].tolist(), k, miss) for i in range(len(queries))]
 
-    def _ascend(self, query_id: int, query: np.ndarray, length: float, low: list[list[int]], high: list[list[int]], near: np.ndarray, k: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
+    def _ascend(self, query_id: int, query: np.ndarray, length: float, low: list[list[int]], high: list[list[int]], k: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
         """Takes in what joins the stretches of all trees, from the deepest match up, until too little can be missing.
 
-        ``near`` has single-precision products for ranking; only those of vectors taken in are looked at.
+        Vectors get a single-precision product for ranking as they are taken in,
+        and those near the k-th one their exact product at the end.
         """
-        trees, largest = len(self.order), length * self.longest
-        seen = np.zeros(len(self.ids), bool)
-        own = self.ids == query_id
+        trees, largest, short = len(self.order), length * self.longest, query.astype(np.float32)
+        seen = self.ids == query_id  # its own row never joins
+        at, found = np.empty(0, np.int64), np.empty(0, np.float32)
         depth = next(d for d in range(LEVELS, -1, -1) if low[d] != high[d])
-        before, kth, found = -1, -np.inf, near[:0]
+        before, kth = -1, -np.inf
         while True:
             if before < 0:
                 parts = [order[lo:hi] for order, lo, hi in zip(self.order, low[depth], high[depth])]
             else:  # only what joins
                 parts = [part for order, lo, hi, a, b in zip(self.order, low[depth], high[depth], low[before], high[before]) for part in ((order[lo:a], order[b:hi]) if a < b else (order[lo:hi],))]
-            seen[np.concatenate(parts)] = True
-            seen[own] = False
-            found = near[seen]
+            joined = np.zeros(len(seen), bool)
+            joined[np.concatenate(parts)] = True
+            joined &= ~seen
+            seen |= joined
+            new = np.flatnonzero(joined)
+            at, found = np.concatenate([at, new]), np.concatenate([found, self.short[new] @ short])
             if len(found) >= k:
                 kth = float(np.partition(found, len(found) - k)[-k])
             if depth == 0:
@@ -100,7 +103,6 @@ class Forest:
                     break
             # Half the way to what the k-th one asks for so far; it asks for less the nearer it gets.
             before, depth = depth, max(goal, min(depth - 1, (depth + goal + 1) // 2 if goal else depth - 1))
-        at = np.flatnonzero(seen)
         if len(at) > k:
             at = at[found >= kth - 1e-5 * largest]
         exact = inner(self.vectors[at], query)
