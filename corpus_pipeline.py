@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardwright.llm import decontam, langid, mixing, quality, simhash
+from shardwright.llm import decontam, langid, mixing, near_copies, quality, simhash
 from shardwright.llm.common import ensure_checkpoint_dir, shielded, table
 
 #: A document goes if fewer of its letters are in words of its language.
@@ -41,8 +41,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of every group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """Keeps the smallest id of every group of near-copies: five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return simhash.keep_one(docs, found=near_copies.near_copies)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

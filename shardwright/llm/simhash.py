@@ -14,7 +14,7 @@ to a second level that also fixes 16 of the other 32 bits, which leaves at most
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,14 +30,21 @@ from shardwright.llm.components import components
 SHINGLE_WORDS, SEED = 3, 42
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE_WORDS) -> int:
-    """64 majority bits of the XXH64 of the word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of the word shingles, repeats included; fewer words than that are one shingle."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     parts = [words[i:] for i in range(min(shingle, len(words)))] if len(words) >= shingle else [[b" ".join(words)]]
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.fromiter((digest(join(s), SEED) for s in zip(*parts)), dtype="<u8", count=len(parts[-1]))
+    return np.fromiter((digest(join(s), SEED) for s in zip(*parts)), dtype="<u8", count=len(parts[-1]))
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE_WORDS) -> int:
+    """64 majority bits of the XXH64 of the word shingles, repeats included; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 8192):
         ones += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -209,13 +216,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: Callable[[DataFrame, str, str], DataFrame] = simhash_components) -> DataFrame:
     """The rows of ``docs`` that name their component: one of each near-duplicate group, the smallest id.
 
-    Of rows that share this id one stays, whichever. Rows with a null id go, as
+    ``found`` gives (id_col, component_id) of all rows. Of rows that share this id one stays, whichever. Rows with a null id go, as
     nothing names them.
     """
-    kept = simhash_components(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
+    kept = found(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
     inner, restored = shielded(docs, {id_col}, {"_n", "_kept"})
     one = W.partitionBy(id_col).orderBy(id_col)
     return restored(inner.join(kept, inner[id_col] == kept["_kept"], "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1"))
