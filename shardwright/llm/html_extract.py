@@ -3,11 +3,12 @@
 A page falls into blocks of text in page order. Structure sorts them: inside
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments
 they are boilerplate; inside an article or main element they are text; the rest
-is open. Open blocks are decided by differencing: pages stand in order of
+is open. Open blocks are decided by differencing: pages of one host with the same open lines
+are one page, at its first URL; these stand in order of
 host and URL path, every page is paired with its neighbours of the same host,
 the pages' lines are aligned by their longest common subsequence, and open lines
-that a pair shares are template and go. A neighbour that shares nearly all of
-a page's lines is a copy and says nothing. Only line hashes travel for this, over a
+that a pair shares are template and go, from all its copies. A neighbour that shares nearly all of
+a page's open text is a copy and says nothing. Only line hashes travel for this, over a
 range partitioning that no host can overfill; ends of partitions meet in a
 table of two rows for each partition.
 """
@@ -192,14 +193,14 @@ def _aligned(a: list[int], b: list[int], rows: list[int], cols: list[int]) -> li
 
 
 def shared_open(lines: list[int], kinds: bytes, sizes: list[int], other: list[int]) -> list[int]:
-    """Open lines that ``other`` shares, unless it is a copy."""
+    """Numbers (among the open ones) of open lines that ``other`` shares, unless it is a copy by its open lines."""
     if OPEN not in kinds or not other:
         return []
-    common = common_lines(lines, other)
-    seen = sum(sizes[i] for i in common)
-    if seen >= COPY_SHARE * sum(sizes):
+    number = {i: n for n, i in enumerate(i for i, k in enumerate(kinds) if k == OPEN)}
+    common = [i for i in common_lines(lines, other) if i in number]
+    if sum(sizes[i] for i in common) >= COPY_SHARE * sum(sizes[i] for i in number):
         return []
-    return [i for i in common if kinds[i] == OPEN]
+    return [number[i] for i in common]
 
 
 def address(url: str | None) -> tuple[str, str]:
@@ -208,18 +209,22 @@ def address(url: str | None) -> tuple[str, str]:
     return (m[1].lower(), m[2]) if m else ("", url or "")
 
 
-_LINES = "id long, key long, host string, path string, lines array<long>, kinds binary, sizes array<int>"
+_LINES = "id long, key long, page long, host string, path string, lines array<long>, kinds binary, sizes array<int>"
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64())), ("kinds", pa.binary()), ("sizes", pa.list_(pa.int32()))])
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("page", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64())), ("kinds", pa.binary()), ("sizes", pa.list_(pa.int32()))])
     digest = xxhash.xxh64_intdigest
     for batch in batches:
         rows = []
         for i, key, url, page in zip(*(c.to_pylist() for c in batch.columns)):
             found = blocks(page)
             host, path = address(url)
-            rows.append({"id": i, "key": key, "host": host, "path": path, "lines": [digest(t) - (1 << 63) for t, _ in found], "kinds": bytes(k for _, k in found), "sizes": [len(t) for t, _ in found]})
+            lines = [digest(t) for t, _ in found]
+            # Copies: the same open lines, or the same lines if none is open.
+            same = [x for x, (_, k) in zip(lines, found) if k == OPEN] or [0, *lines]
+            one = digest(f"{host}\n{same}") - (1 << 63)
+            rows.append({"id": i, "key": key, "page": one, "host": host, "path": path, "lines": [x - (1 << 63) for x in lines], "kinds": bytes(k for _, k in found), "sizes": [len(t) for t, _ in found]})
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -267,21 +272,26 @@ def _pair_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def template_lines(pages: DataFrame) -> DataFrame:
-    """(key, gone): positions of open blocks that a neighbour shares; ``pages`` has id, key, url, html. Pages that lose none have no row."""
+    """(key, gone): numbers of open blocks, among the page's open ones, that a neighbour shares; ``pages`` has id, key, url, html. Pages that lose none have no row."""
     lines = pages.select("id", "key", "url", "html").mapInArrow(_lines, _LINES)
-    ordered = cut(lines).repartitionByRange("host", "path", "id", "key").sortWithinPartitions("host", "path", "id", "key")
+    lines = cut(lines)
+    first = F.min_by(F.struct("host", "path", "id", "lines", "kinds", "sizes"), F.struct("path", "id", "key"))
+    once = lines.groupBy("page").agg(first.alias("first")).select(F.col("page").alias("key"), "first.*")
+    ordered = once.repartitionByRange("host", "path", "id", "key").sortWithinPartitions("host", "path", "id", "key")
     paired = cut(ordered.mapInArrow(_pair, _PAIRED))
     # Two rows for each partition, so this window is small.
     ends = paired.where("gone is null").withColumn("x", F.struct("key", "host", "lines", "kinds", "sizes"))
     beside = ends.withColumn("y", F.lead("x").over(W.orderBy("part", "last"))).where("last and y.host = x.host").select("x", "y")
     more = beside.mapInArrow(_pair_ends, "key long, gone array<int>")
     both = paired.where("gone is not null").select("key", "gone").union(more)
-    return both.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    found = both.groupBy(F.col("key").alias("page")).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    return lines.select("key", "page").distinct().join(found, "page").select("key", "gone")
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [[t if k != DROPPED else None for t, k in blocks(p)] for p in batch.column(3).to_pylist()]
+        # A page has open blocks or blocks of main text, never both.
+        found = [[t for t, k in blocks(p) if k != DROPPED] for p in batch.column(3).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.string()))], names=["id", "key", "url", "blocks"])
 
 
@@ -295,6 +305,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, url_col, html_col).alias("key"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     gone = template_lines(base)
     texts = base.mapInArrow(_texts, "id long, key long, url string, blocks array<string>").join(gone, "key", "left")
-    kept = F.filter("blocks", lambda t, i: t.isNotNull() & ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
+    kept = F.filter("blocks", lambda t, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
     out = texts.withColumn("text", F.array_join(kept, "\n"))
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -95,6 +95,24 @@ def test_neighbours_take_template_lines_away(spark, monkeypatch):
     assert got[104] == [("", 0)] and html_extract.main_text(pages.where("false")).count() == 0
 
 
+def test_menus_do_not_make_a_neighbour_a_copy(spark):
+    body = lambda n: f"Body {n} " + " ".join(f"word{n}x{k}" for k in range(25))
+    page = lambda n: f"<nav>{'menu item ' * 300}</nav><div>Slogan of the site</div><p>{body(n)}</p><footer>{'foot ' * 50}</footer>"
+    rows = [(i, f"http://a.com/{i}", page(i)) for i in range(4)]
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: body(i) for i in range(4)}
+
+
+def test_runs_of_copies_lose_template_lines_alike(spark):
+    """Five copies under other URLs and with other menus, between two pages of their host."""
+    page = lambda n, menu: f"<nav>{menu}</nav><div>Shared top</div><p>Story {n} is told here at some length, to its end.</p>"
+    rows = [(0, "http://a.com/0", page(0, "m")), *((i, f"http://a.com/{i}", page(1, f"m{i}")) for i in range(1, 6)), (6, "http://a.com/6", page(2, "m")), (7, "http://b.com/1", page(1, "m"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(pages).collect()}
+    own = lambda n: f"Story {n} is told here at some length, to its end."
+    assert got == {0: own(0), **{i: own(1) for i in range(1, 6)}, 6: own(2), 7: f"Shared top\n{own(1)}"}
+
+
 def test_articles_keep_lines_that_others_share(spark):
     rows = [(i, f"http://a.com/{i}", f"<nav>m</nav><article><p>Same line</p><p>{i}</p></article>") for i in range(6)]
     got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
