@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardwright.llm import decontam, langid, mixing, near_copies, quality, simhash
-from shardwright.llm.common import ensure_checkpoint_dir, shielded, table
+from shardwright.llm.common import ensure_checkpoint_dir, shielded, stored, table
 
 #: A document goes if fewer of its letters are in words of its language.
 MIN_LANGUAGE_SHARE = 0.3
@@ -52,9 +52,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources mixed to target weights: a row for each use of a document, with its place and text."""
-    order = mixing.mix(docs).select("doc_id", "n_tokens", "weight", "epoch", "block", "block_rank", "position")
-    have = {c.lower() for c in docs.columns} - {"doc_id"}
-    return docs.join(order.toDF(*(f"mix_{c}" if c in have else c for c in order.columns)), "doc_id")
+    # Ids may be null or repeat, so rows get a key of their own, written once.
+    inner, _ = shielded(docs, {"doc_id", "text", "source"}, {"_row", "_mix_n_tokens", "_mix_weight", "_mix_epoch", "_mix_block", "_mix_block_rank", "_mix_position"})
+    rows = stored(inner.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    added = ["n_tokens", "weight", "epoch", "block", "block_rank", "position"]
+    have = {c.lower() for c in docs.columns}
+    order = mixing.mix(rows, key_col="_row").select("_row", *(F.col(c).alias(f"_mix_{c}") for c in added))
+    names = [f"mix_{c}" if c in have else c for c in added]
+    return rows.join(order, "_row").select(*inner.columns, *(f"_mix_{c}" for c in added)).toDF(*docs.columns, *names)
 
 
 STAGES = [

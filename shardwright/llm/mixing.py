@@ -78,18 +78,20 @@ def _rank_key(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws("|", *(p if isinstance(p, Column) else F.lit(str(p)) for p in parts)).cast("binary"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, budget_ratio: float = BUDGET_RATIO, block_docs: int = BLOCK_DOCS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, budget_ratio: float = BUDGET_RATIO, block_docs: int = BLOCK_DOCS, seed: int = SEED, key_col: str | None = None) -> DataFrame:
     """The mixed order, a row for each use of a document.
 
     Columns: id_col, source, n_tokens, alpha, weight, epoch (from 1), block,
-    block_rank (of the block in its source's epoch), position (in its block).
+    block_rank (of the block in its source's epoch), position (in its block),
+    and ``key_col``, if named: a key of each row, for joins where ids are null or repeat.
     The budget is ``budget_ratio`` times all tokens. A null source counts as the
     empty one, a null text as empty; a null id stays null. Texts without tokens
     come with every whole epoch. Repeated rows count each. If no exponent
     meets the repetition limit (a budget over ``max_epochs`` times the
     tokens), alpha is 1. No rows in: no rows out.
     """
-    narrow = cut(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), n_tokens(F.col(text_col)).alias("n_tokens")))
+    carried = [] if key_col is None else ["_row"]
+    narrow = cut(docs.select(*(F.col(key_col).alias(c) for c in carried), F.col(id_col).alias("_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), n_tokens(F.col(text_col)).alias("n_tokens")))
     sums = narrow.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     everything = narrow.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     totals = cut(sums.withColumn("share", F.col("tokens") / F.lit(float(max(1, everything)))))
@@ -115,17 +117,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = part.withColumn("before", before).where("before < rest").select("source", "block", (F.col("rest") - F.col("before")).alias("left"), (F.col("before") + F.col("held") > F.col("rest")).alias("cut"))
 
     inside = _rank_key(seed, "doc", F.col("epoch").cast("string"), name)
-    every = placed.withColumn("epoch", F.explode(F.expr("CASE WHEN full > 0 THEN sequence(1L, full) END"))).select("_id", "source", "n_tokens", "weight", "block", "epoch", F.lit(None).cast("long").alias("left"))
-    last = placed.where("rest > 0").join(taken, ["source", "block"]).select("_id", "source", "n_tokens", "weight", "block", (F.col("full") + 1).alias("epoch"), F.when(F.col("cut"), F.col("left")).alias("left"))
+    every = placed.withColumn("epoch", F.explode(F.expr("CASE WHEN full > 0 THEN sequence(1L, full) END"))).select(*carried, "_id", "source", "n_tokens", "weight", "block", "epoch", F.lit(None).cast("long").alias("left"))
+    last = placed.where("rest > 0").join(taken, ["source", "block"]).select(*carried, "_id", "source", "n_tokens", "weight", "block", (F.col("full") + 1).alias("epoch"), F.when(F.col("cut"), F.col("left")).alias("left"))
     both = every.union(last).withColumn("_key", inside)
-    within = W.partitionBy("source", "epoch", "block").orderBy("_key", "_id", "n_tokens")
+    within = W.partitionBy("source", "epoch", "block").orderBy("_key", "_id", "n_tokens", *carried)
     ranked = both.withColumn("position", F.row_number().over(within).cast("long")).withColumn("_sum", F.sum("n_tokens").over(within.rowsBetween(W.unboundedPreceding, 0)))
     kept = ranked.where("left is null or _sum <= left")
 
     blocks = kept.groupBy("source", "epoch", "block").agg(F.lit(1).alias("one")).select("source", "epoch", "block")
     order = W.partitionBy("source", "epoch").orderBy(_rank_key(seed, "order", F.col("epoch").cast("string"), F.col("source"), F.col("block").cast("string")), "block")
     ranks = blocks.withColumn("block_rank", F.row_number().over(order).cast("long"))
-    return kept.join(ranks, ["source", "epoch", "block"]).select(F.col("_id").alias(id_col), "source", "n_tokens", F.lit(alpha).alias("alpha"), "weight", F.col("epoch").cast("long").alias("epoch"), "block", "block_rank", "position")
+    return kept.join(ranks, ["source", "epoch", "block"]).select(F.col("_id").alias(id_col), "source", "n_tokens", F.lit(alpha).alias("alpha"), "weight", F.col("epoch").cast("long").alias("epoch"), "block", "block_rank", "position", *(F.col(c).alias(key_col) for c in carried))
 
 
 def mixing_sql(documents: str = "documents", entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, budget_ratio: float = BUDGET_RATIO, block_docs: int = BLOCK_DOCS, seed: int = SEED) -> str:

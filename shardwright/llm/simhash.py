@@ -21,10 +21,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import cut, shielded
+from shardwright.llm.common import cut, shielded, stored
 from shardwright.llm.components import components
 
 SHINGLE_WORDS, SEED = 3, 42
@@ -217,12 +216,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: Callable[[DataFrame, str, str], DataFrame] = simhash_components) -> DataFrame:
-    """The rows of ``docs`` that name their component: one of each near-duplicate group, the smallest id.
+    """One row of each near-duplicate group: the smallest id (null last), then the smallest text hash.
 
-    ``found`` gives (id_col, component_id) of all rows. Of rows that share this id one stays, whichever. Rows with a null id go, as
-    nothing names them.
+    ``found`` gives (id_col, component_id) of all rows. Rows get a key of their
+    own, written once, so repeated and null ids stand for their own texts.
     """
-    kept = found(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    inner, restored = shielded(docs, {id_col}, {"_n", "_kept"})
-    one = W.partitionBy(id_col).orderBy(id_col)
-    return restored(inner.join(kept, inner[id_col] == kept["_kept"], "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1"))
+    inner, restored = shielded(docs, {id_col, text_col}, {"_row"})
+    rows = stored(inner.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    own = rows.select("_row", F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    best = found(rows, "_row", text_col).join(own, "_row").groupBy("component_id").agg(F.min(F.struct("none", "id", "hash", "_row")).alias("best"))
+    return restored(rows.join(best.select("best._row"), "_row", "left_semi"))
