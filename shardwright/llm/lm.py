@@ -4,12 +4,19 @@ Words and word pairs of all training rows are counted by 64-bit hashes: tasks
 count over their Arrow batches, Spark adds up. The filter holds quantised counts:
 an entry of level q (2^(q-1) to 2^q - 1 occurrences) is stored as the q pairs
 (entry, 1) ... (entry, q), so a count is read by probing levels until one is
-missing. Its size is 8 bits for each stored pair but never over ``MAX_BITS``;
-if the pairs don't fit, the least frequent word pairs stay out, then the least
-frequent words, by one rule at any size. It is built in slices by tasks and
-broadcast. A word pair is stored from its second occurrence on.
-
-The model interpolates pair and word probabilities. The base score is exact:
+missing; a level stands for the mean count of its entries. Every first word of
+pairs also has its total, the sum of its pairs' counts as they will be read,
+stored as a level and one of its eighths. All words and pairs are stored. Probes
+grow with the logarithm of the vocabulary, so that pairs read by mistake stay
+under one for each first word, and their expected number is part of its total.
+
+The probability of a word is (pair count + PRIOR * word probability) / (total +
+PRIOR), so over the vocabulary and the unknown word it sums to 1 but for the
+eighths. The filter is built in slices by tasks. Up to ``MAX_BITS`` it is
+broadcast; a larger one stays in the shared folder, and the distinct keys of
+every stretch of text go to their slices by shuffle and come back as levels.
+
+The base score is exact:
 the most frequent words (at most ``HEAD`` by a threshold on their counts) are
 broadcast as sorted arrays, and every other word, seen in training or not, joins the
 full table of counts by shuffle.
@@ -23,16 +30,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardwright.llm.common import crc_bucket, stored
 
 END, START = xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b" start")
-MAX_BITS, BITS_PER_PAIR, PROBES, SLICES, MAX_LEVEL = 1 << 29, 8, 4, 64, 44
+#: The largest filter that is broadcast (128 MB), and about the largest slice of a filter (4 MB).
+MAX_BITS, SLICE_BITS = 1 << 30, 1 << 25
+SLICES, MAX_LEVEL, EIGHTHS = 64, 44, 64
 HEAD = 1 << 20
-PAIR_WEIGHT, ALPHA = 0.35, 0.1
+PRIOR, ALPHA = 20.0, 0.1
+#: Tokens of one stretch, where keys go to slices.
+STRETCH = 1 << 14
 CACHE_WORDS, BUFFER_TOKENS = 200_000, 1_000_000
 
 
@@ -44,7 +54,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mixed(first * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) ^ second
+    """The upper half tells the first word, the lower one both."""
+    one = mixed(first * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return (one & np.uint64(0xFFFFFFFF00000000)) | (mixed(one ^ second) >> np.uint64(32))
+
+
+def total_keys(pairs: np.ndarray) -> np.ndarray:
+    """The key of a first word's total, from any of its pairs."""
+    one = pairs >> np.uint64(32)
+    return (one << np.uint64(32)) | one
 
 
 class Hasher:
@@ -90,7 +108,7 @@ def _portions(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list
 
 
 def counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(kind, key, n): kind 1 words (with END, and START once for each row), kind 2 pairs."""
+    """(kind, key, n): kind 1 words with END, kind 2 pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, singles, pairs, held = Hasher(), [], [], 0
@@ -105,7 +123,7 @@ def counts(docs: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             for _, texts in _portions(batch.column(0)):
                 tokens, lengths = hasher.tokens(texts)
-                singles += [tokens, np.full(len(texts), START, np.uint64)]
+                singles.append(tokens)
                 pairs.append(pair_keys(before(tokens, lengths), tokens))
                 held += len(tokens)
                 if held > BUFFER_TOKENS:
@@ -120,71 +138,122 @@ def counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 @dataclass
 class LogFrequencyFilter:
+    """Slices of one size, side by side in ``bits``; a key's slice is its remainder."""
+
     bits: np.ndarray  # bytes
     slice_bits: int
+    slices: int
+    probes: int
 
     @staticmethod
-    def positions(keys: np.ndarray, level: int, probe: int, slice_bits: int) -> np.ndarray:
-        h = mixed(keys + np.uint64((level * 8 + probe + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        return h % np.uint64(slice_bits)
+    def probing(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the probes of (key, level) begin and how far apart they are, in a cycle of 2^64."""
+        h = mixed(keys + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        return h, (h << np.uint64(32)) | np.uint64(1)
+
+    @staticmethod
+    def position(at: np.ndarray, slice_bits: int) -> np.ndarray:
+        return ((at >> np.uint64(32)) * np.uint64(slice_bits)) >> np.uint64(32)
 
     @staticmethod
     def level_of(n: np.ndarray) -> np.ndarray:
         return np.minimum(MAX_LEVEL, 1 + np.floor(np.log2(np.maximum(n, 1)) + 1e-12).astype(np.int64))
 
+    def holds(self, keys: np.ndarray, level: int) -> np.ndarray:
+        """Numbers of the keys that are stored at a level."""
+        alive = np.arange(len(keys))
+        base = (keys % np.uint64(self.slices)) * np.uint64(self.slice_bits) if self.slices > 1 else np.zeros(len(keys), np.uint64)
+        at, step = self.probing(keys, level)
+        for _ in range(self.probes):
+            bit = base[alive] + self.position(at[alive], self.slice_bits)
+            alive = alive[(self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            if not len(alive):
+                break
+            at += step
+        return alive
+
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The stored level of each key, 0 if none; now and then one too many."""
-        base = (keys % np.uint64(SLICES)) * np.uint64(self.slice_bits)
         out, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
         for level in range(1, MAX_LEVEL + 1):
-            for probe in range(PROBES):
-                at = base[alive] + self.positions(keys[alive], level, probe, self.slice_bits)
-                alive = alive[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                if not len(alive):
-                    return out
+            alive = alive[self.holds(keys[alive], level)]
+            if not len(alive):
+                break
             out[alive] = level
         return out
 
-    @staticmethod
-    def read(levels: np.ndarray) -> np.ndarray:
-        """Counts that levels stand for: their middle; 0 for none."""
-        return np.where(levels > 0, np.where(levels == 1, 1.0, 1.5 * 2.0 ** (levels - 1)), 0.0)
+    def totals(self, keys: np.ndarray) -> np.ndarray:
+        """8 * level + eighth (from 0) of each total, 0 if there is none."""
+        level = self.levels(keys)
+        out = 8 * level
+        for eighth in range(1, 8):
+            for q in np.unique(level[level > 0]).tolist():
+                mine = np.flatnonzero(level == q)
+                out[mine[self.holds(keys[mine], EIGHTHS + 8 * q + eighth)]] = 8 * q + eighth
+        return out
+
 
+def probes_for(distinct: int) -> int:
+    """Probes that let a sixteenth of one of ``distinct`` absent keys through."""
+    return max(12, int(np.ceil(np.log2(max(2, distinct)))) + 4)
 
-def build_filter(kept: DataFrame, pairs: int, max_bits: int = MAX_BITS) -> LogFrequencyFilter:
-    """The filter of ``kept`` (key, level), which stores ``pairs`` pairs in all."""
-    slice_bits = max(64, min(max_bits, BITS_PER_PAIR * pairs) // SLICES // 8 * 8)
+
+def build_filter(kept: DataFrame, entries: int, distinct: int) -> tuple[DataFrame, int, int, int]:
+    """(table of slices, slice_bits, slices, probes) of the filter of ``kept`` (kind, key, level).
+
+    Kinds 1 and 2 are stored at levels 1 to ``level``; kind 3, totals, whose ``level``
+    is 8 * level + eighth, also at the eighth. ``entries`` are stored pairs, in all.
+    The table has a row for each slice: slice, bits, and the share of bits set.
+    """
+    probes = probes_for(distinct)
+    bits = int(entries * probes / np.log(2)) + 64
+    slices = SLICES  # a power of two, so that signed keys have the slice of unsigned ones
+    while bits > slices * SLICE_BITS:
+        slices *= 2
+    slice_bits = max(64, -(-bits // slices // 8) * 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[int, np.ndarray] = {}
+        held: dict[int, np.ndarray] = {}
+
+        def put(flags: np.ndarray, keys: np.ndarray, level: int) -> None:
+            at, step = LogFrequencyFilter.probing(keys, level)
+            for _ in range(probes):
+                flags[LogFrequencyFilter.position(at, slice_bits)] = True
+                at += step
+
         for batch in batches:
-            keys, levels = batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
-            for s in np.unique(keys % np.uint64(SLICES)).tolist():
-                bits = slices.setdefault(s, np.zeros(slice_bits // 8, np.uint8))
-                mine = keys % np.uint64(SLICES) == s
-                own, top = keys[mine], levels[mine]
+            of, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keys, levels = batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy()
+            for s in np.unique(of).tolist():
+                flags = held.setdefault(s, np.zeros(slice_bits, bool))
+                mine = of == s
+                own, total = keys[mine], kinds[mine] == 3
+                code = levels[mine]
+                top = np.where(total, code // 8, code)
                 for level in range(1, int(top.max()) + 1):
-                    for probe in range(PROBES):
-                        at = LogFrequencyFilter.positions(own[top >= level], level, probe, slice_bits)
-                        np.bitwise_or.at(bits, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
-        for s, bits in slices.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["slice", "bits"])
-
-    dealt = kept.select(F.pmod(F.col("key"), F.lit(SLICES)).cast("int").alias("slice"), "key", "level")
-    made = dealt.repartition(SLICES, "slice").mapInArrow(run, "slice int, bits binary")
-    bits = np.zeros(SLICES * slice_bits // 8, np.uint8)
-    for row in made.toLocalIterator():  # one slice at a time; all of them are max_bits
-        bits[row["slice"] * slice_bits // 8 :][: slice_bits // 8] = np.frombuffer(row["bits"], np.uint8)
-    return LogFrequencyFilter(bits, slice_bits)
+                    put(flags, own[top >= level], level)
+                for c in np.unique(code[total & (code % 8 > 0)]).tolist():
+                    put(flags, own[total & (code == c)], EIGHTHS + c)
+        for s, flags in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary()), pa.array([float(flags.mean())])], names=["slice", "bits", "full"])
 
+    dealt = kept.select(F.pmod("key", F.lit(slices)).cast("int").alias("slice"), F.col("kind").cast("int").alias("kind"), "key", F.col("level").cast("int").alias("level"))
+    made = dealt.repartition(slices, "slice").mapInArrow(run, "slice int, bits binary, full double")
+    return stored(made, "filter"), slice_bits, slices, probes
 
 @dataclass
 class Model:
+    """Figures that fit a broadcast; ``filter`` is None where the filter is beyond ``MAX_BITS``."""
+
     train_tokens: int
     distinct: int
     head_keys: np.ndarray
     head_n: np.ndarray
-    filter: LogFrequencyFilter
+    word_means: np.ndarray  # what a level stands for
+    pair_means: np.ndarray
+    mistaken: float  # pairs that the filter is expected to read by mistake for each first word, times their count
+    shape: tuple[int, int, int]  # slice_bits, slices, probes
+    filter: LogFrequencyFilter | None = None
 
     def base_log(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + ALPHA) / (self.train_tokens + ALPHA * (self.distinct + 1)))
@@ -196,36 +265,42 @@ class Model:
         at = np.minimum(np.searchsorted(self.head_keys, keys), len(self.head_keys) - 1)
         return np.where(self.head_keys[at] == keys, self.head_n[at], -1)
 
+    def logs(self, words: np.ndarray, pairs: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each token, from the levels of its word and pair and the total before it."""
+        single = (self.word_means[words] + ALPHA) / (self.train_tokens + ALPHA * (self.distinct + 1))
+        pairs = np.minimum(pairs, np.minimum(words, totals // 8))  # a pair is no more frequent than its words
+        code = totals - 8
+        total = np.where(totals > 0, np.where(code > 0, 2.0 ** ((code + 0.5) / 8), 1.0), 0.0)
+        return np.log10((self.pair_means[pairs] + PRIOR * single) / (total + self.mistaken + PRIOR))
+
     def token_logs(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """log10 of the interpolated probability of each token."""
-        previous = before(tokens, lengths)
-        words, where = np.unique(np.concatenate([tokens, previous]), return_inverse=True)
-        n = self.filter.read(self.filter.levels(words))
-        n_token, n_previous = n[where[: len(tokens)]], n[where[len(tokens) :]]
-        pairs, of = np.unique(pair_keys(previous, tokens), return_inverse=True)
-        n_pair = self.filter.read(self.filter.levels(pairs))[of]
-        single = (n_token + ALPHA) / (self.train_tokens + ALPHA * (self.distinct + 1))
-        weight = np.where(n_previous > 0, PAIR_WEIGHT, 0.0)
-        double = np.minimum(1.0, n_pair / np.maximum(n_previous, 1.0))
-        return np.log10(np.minimum(1.0, weight * double + (1 - weight) * single))
-
-
-def train(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS, head: int = HEAD) -> tuple[Model, DataFrame]:
-    """The model of all rows of ``docs``, and the full table (key, n) of word counts."""
-    kept = stored(counts(docs, text_col).where("kind = 1 or n > 1"), "counts")
-    words = kept.where(f"kind = 1 and key <> {np.array([START], np.uint64).view(np.int64)[0]}").select("key", "n")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-
-    level = F.least(F.lit(MAX_LEVEL), F.lit(1) + F.floor(F.log2("n") + 1e-12).cast("int"))
-    levelled = kept.withColumn("level", level)
-    sizes = {(r["kind"], r["level"]): r["c"] for r in levelled.groupBy("kind", "level").agg(F.count("*").alias("c")).collect()}
-    need = lambda low: sum(c * q for (kind, q), c in sizes.items() if q >= low[kind])
-    low = {1: 1, 2: 1}
-    while need(low) * 6 > max_bits:  # 6 bits a pair at least
-        kind = 2 if low[2] <= low[1] + 3 else 1
-        low[kind] += 1
-    chosen = levelled.where(f"(kind = 1 and level >= {low[1]}) or (kind = 2 and level >= {low[2]})").select("key", "level")
-    table = build_filter(chosen, max(1, need(low)), max_bits)
+        """``logs`` of texts' tokens, by probes of the broadcast filter."""
+        words, of_word = np.unique(tokens, return_inverse=True)
+        pairs, of_pair = np.unique(pair_keys(before(tokens, lengths), tokens), return_inverse=True)
+        totals, of_total = np.unique(total_keys(pairs), return_inverse=True)
+        f = self.filter
+        return self.logs(f.levels(words)[of_word], f.levels(pairs)[of_pair], f.totals(totals)[of_total[of_pair]])
+
+
+def train(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS, head: int = HEAD) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of all rows of ``docs``, the full table (key, n) of word counts, and the filter's table of slices."""
+    kept = stored(counts(docs, text_col).withColumn("level", F.least(F.lit(MAX_LEVEL), F.lit(1) + F.floor(F.log2("n") + 1e-12).cast("int"))), "counts")
+    words = kept.where("kind = 1").select("key", "n")
+    sizes = {(r["kind"], r["level"]): (r["c"], r["s"]) for r in kept.groupBy("kind", "level").agg(F.count("*").alias("c"), F.sum("n").alias("s")).collect()}  # 2 * MAX_LEVEL rows at most
+    total, distinct = (sum(v[k] for (kind, _), v in sizes.items() if kind == 1) for k in (1, 0))
+    means = np.zeros((3, MAX_LEVEL + 1))
+    for (kind, level), (c, s) in sizes.items():
+        means[kind, level] = s / c
+
+    mean = F.element_at(F.array(*(F.lit(float(m)) for m in means[2, 1:])), F.col("level"))
+    one = F.shiftrightunsigned("key", 32)
+    sums = kept.where("kind = 2").groupBy(F.shiftleft(one, 32).bitwiseOR(one).alias("key")).agg(F.log2(F.sum(mean)).alias("log"))
+    totals = stored(sums.select(F.lit(3).alias("kind"), "key", (F.lit(8) + F.floor(F.col("log") * 8 + 1e-9)).cast("int").alias("level")), "totals")
+    more = totals.agg(F.coalesce(F.sum(F.expr("level div 8 + 1")), F.lit(0))).first()[0]
+    entries = sum(c * q for (_, q), (c, _) in sizes.items()) + more
+    table, *shape = build_filter(kept.select("kind", "key", "level").union(totals), entries, distinct)
+    slice_bits, slices, probes = shape
+    wrong = table.agg(F.coalesce(F.avg(F.pow("full", F.lit(float(probes)))), F.lit(0.0))).first()[0]
 
     # The head: all words, or those above a count that leaves at most ``head`` of them.
     floor = 1
@@ -239,59 +314,138 @@ def train(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS, hea
     top = words.where(F.col("n") >= floor).toArrow()
     keys, n = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(keys)
-    return Model(int(total), int(distinct), keys[order], n[order], table), words
+    model = Model(int(total), int(distinct), keys[order], n[order], means[1], means[2], float(wrong * distinct * means[2, 1]), (slice_bits, slices, probes))
+    if slices * slice_bits <= max_bits:
+        bits = np.zeros(slices * slice_bits // 8, np.uint8)
+        for row in table.coalesce(4).toLocalIterator():  # a quarter at a time
+            bits[row["slice"] * slice_bits // 8 :][: slice_bits // 8] = np.frombuffer(row["bits"], np.uint8)
+        model.filter = LogFrequencyFilter(bits, slice_bits, slices, probes)
+    return model, words, table
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return crc_bucket(id_col, 10) == 0
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, words: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, n_known, base_score, score) of every row; null text is empty, so one end is its only token."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType
+    names = ["row", "id", "n_tokens", "n_known", "base", "score", "key", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, hasher = shared.value, Hasher()
-        row = TaskContext.get().partitionId() << 40
-        names = ["row", "id", "n_tokens", "n_known", "base", "score", "key", "n"]
         for batch in batches:
-            for at, texts in _portions(batch.column(1)):
+            first, id_type = batch.column(0).to_numpy(), batch.schema.field(1).type
+            for at, texts in _portions(batch.column(2)):
                 tokens, lengths = hasher.tokens(texts)
                 starts = np.cumsum(lengths) - lengths
                 distinct, where = np.unique(tokens, return_inverse=True)
                 n = m.exact(distinct)
                 log = np.where(n >= 0, m.base_log(np.maximum(n, 0)), 0.0)[where]
-                rows = row + np.arange(len(texts))
+                rows = first[at : at + len(texts)]
+                logs = pa.array(np.add.reduceat(m.token_logs(tokens, lengths), starts)) if m.filter else pa.nulls(len(texts), pa.float64())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(rows), batch.column(0).slice(at, len(texts)), pa.array(lengths), pa.array(np.add.reduceat((n > 0)[where].astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(log, starts)), pa.array(np.add.reduceat(m.token_logs(tokens, lengths), starts)), pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.int64()),
+                    pa.array(rows), batch.column(1).slice(at, len(texts)), pa.array(lengths), pa.array(np.add.reduceat((n > 0)[where].astype(np.int64), starts)),
+                    pa.array(np.add.reduceat(log, starts)), logs, pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.int64()),
                 ], names=names)
                 open_ = np.flatnonzero((n < 0)[where])
                 if len(open_):
                     doc = np.searchsorted(starts, open_, side="right") - 1
                     both, times = np.unique(doc * len(distinct) + where[open_], return_counts=True)
                     size = len(both)
-                    none = [pa.nulls(size, t) for t in (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                    none = [pa.nulls(size, t) for t in (id_type, pa.int64(), pa.int64(), pa.float64(), pa.float64())]
                     yield pa.RecordBatch.from_arrays([pa.array(rows[both // len(distinct)]), *none, pa.array(distinct[both % len(distinct)].view(np.int64)), pa.array(times.astype(np.int64))], names=names)
-                row += len(texts)
 
-    cols = [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")]
-    made = docs.select(*cols).mapInArrow(run, f"row long, id {kind.simpleString()}, n_tokens long, n_known long, base double, score double, key long, n long")
-    made = stored(made, "scores")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    if model.filter is None:  # rows meet again, so their numbers must not change
+        texts = stored(texts, "texts")
+    made = stored(texts.mapInArrow(run, f"row long, id {kind.simpleString()}, n_tokens long, n_known long, base double, score double, key long, n long"), "scores")
     rest = made.where("key is not null").select("row", "key", F.col("n").alias("times")).join(words, "key", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + F.lit(ALPHA)) / F.lit(model.train_tokens + ALPHA * (model.distinct + 1)))
     added = rest.groupBy("row").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
     both = made.where("key is null").drop("key", "n").join(added, "row", "left")
+    if model.filter is None:
+        both = both.drop("score").join(scores_by_slices(texts, table, model), "row")
     return both.select(F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
 
 
+def scores_by_slices(texts: DataFrame, table: DataFrame, model: Model) -> DataFrame:
+    """(row, score) of ``texts`` (row, id, t) where the filter is too large for a broadcast.
+
+    Texts fall into stretches of ``STRETCH`` tokens. The distinct keys of each go to
+    their slices, of which a task holds one at a time, and come back as levels. A
+    frequent word is one key of a stretch however often it stands there.
+    """
+    slice_bits, slices, probes = model.shape
+    means = table.sparkSession.sparkContext.broadcast(model)
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for at, part in _portions(batch.column(2)):
+                for row, text in zip(batch.column(0).to_numpy()[at : at + len(part)], part):
+                    tokens, lengths = hasher.tokens([text])
+                    pairs = pair_keys(before(tokens, lengths), tokens)
+                    for k in range(0, len(tokens), STRETCH):
+                        held = (tokens[k : k + STRETCH], pairs[k : k + STRETCH])
+                        keys, of = zip(*(np.unique(x, return_inverse=True) for x in (*held, total_keys(held[1]))))
+                        ends = np.cumsum([0] + [len(x) for x in keys])
+                        yield pa.RecordBatch.from_pylist([{
+                            "row": int(row), "stretch": k // STRETCH, "keys": np.concatenate(keys).view(np.int64).tolist(), "kinds": np.repeat([1, 2, 3], [len(x) for x in keys]).tolist(),
+                            "places": np.concatenate([o + e for o, e in zip(of, ends)]).tolist(),
+                        }], schema=_STRETCH)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = None
+        for batch in batches:
+            bits = batch.column(6)
+            cuts = np.flatnonzero(bits.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+                part = batch.slice(lo, hi - lo)
+                if hi > lo and bits[lo].is_valid:
+                    here = LogFrequencyFilter(np.frombuffer(bits[lo].as_py(), np.uint8), slice_bits, 1, probes)
+                    part = part.slice(1)
+                if not part.num_rows:
+                    continue
+                keys, kinds = part.column(5).to_numpy().view(np.uint64), part.column(4).to_numpy()
+                level = np.zeros(len(keys), np.int64)
+                level[kinds < 3] = here.levels(keys[kinds < 3])
+                level[kinds == 3] = here.totals(keys[kinds == 3])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.array(level.astype(np.int32))], names=["row", "stretch", "place", "level"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = means.value
+        for batch in batches:
+            out = []
+            for places, levels in zip(batch.column(1), batch.column(2)):
+                level = np.zeros(len(levels), np.int64)
+                pairs = levels.values
+                level[pairs.field("place").to_numpy()] = pairs.field("level").to_numpy()
+                words, both, totals = level[places.values.to_numpy()].reshape(3, -1)
+                out.append(float(m.logs(words, both, totals).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["row", "part"])
+
+    held = stored(texts.mapInArrow(stretches, "row long, stretch int, keys array<long>, kinds array<int>, places array<int>"), "stretches")
+    asked = held.select("row", "stretch", F.posexplode(F.arrays_zip("kinds", "keys")).alias("place", "x"))
+    asked = asked.select(F.pmod("x.keys", F.lit(slices)).cast("int").alias("slice"), "row", "stretch", "place", F.col("x.kinds").alias("kind"), F.col("x.keys").alias("key"), F.lit(None).cast("binary").alias("bits"))
+    nothing = [F.lit(None).cast("long").alias("row"), *(F.lit(None).cast("int").alias(c) for c in ("stretch", "place", "kind")), F.lit(None).cast("long").alias("key")]
+    dealt = table.select("slice", *nothing, "bits").union(asked).repartition(slices, "slice").sortWithinPartitions("slice", F.asc_nulls_first("row"))
+    found = dealt.mapInArrow(probe, "row long, stretch int, place int, level int").groupBy("row", "stretch").agg(F.collect_list(F.struct("place", "level")).alias("levels"))  # at most 3 * STRETCH
+    parts = held.select("row", "stretch", "places").join(found, ["row", "stretch"]).select("row", "places", "levels").mapInArrow(sums, "row long, part double")
+    return parts.groupBy("row").agg(F.sum("part").alias("score"))
+
+
+_STRETCH = pa.schema([("row", pa.int64()), ("stretch", pa.int32()), ("keys", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, head: int = HEAD) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score), learned from rows that are not held out.
 
     An empty training set knows no word: every token has the same base
-    probability. Repeated rows stay and count each.
+    probability. Repeated rows stay and count each. ``max_bits`` decides on the
+    way to the filter only: scores are the same by broadcast and by slices.
     """
-    model, words = train(docs.where(~held_out(id_col)), text_col, max_bits, head)
-    found = score(docs, model, words, id_col, text_col)
+    model, words, table = train(docs.where(~held_out(id_col)), text_col, max_bits, head)
+    found = score(docs, model, words, table, id_col, text_col)
     return found.select(id_col, held_out(id_col).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -278,12 +278,65 @@ def test_filter_holds_counts_and_rarely_errs(spark):
     rng = np.random.default_rng(0)
     keys, n = rng.integers(0, 1 << 63, 20_000).astype(np.uint64), rng.integers(1, 500, 20_000)
     levels = lm.LogFrequencyFilter.level_of(n)
-    rows = spark.createDataFrame(pd.DataFrame({"key": keys.view(np.int64), "level": levels}))
-    table = lm.build_filter(rows, int(levels.sum()))
-    got = table.levels(keys)
-    assert (got >= levels).all() and (got > levels).mean() < 0.05
-    assert (table.levels(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.05
-    assert (lm.LogFrequencyFilter.read(levels) <= 1.6 * n).all() and (lm.LogFrequencyFilter.read(levels) >= 0.6 * n).all()
+    codes = 8 + np.floor(8 * np.log2(n)).astype(int)
+    rows = spark.createDataFrame(pd.DataFrame({"kind": np.repeat([1, 3], 20_000), "key": np.concatenate([keys, keys ^ np.uint64(1 << 62)]).view(np.int64), "level": np.concatenate([levels, codes])}))
+    table, slice_bits, slices, probes = lm.build_filter(rows, int(levels.sum() + (codes // 8 + 1).sum()), 20_000)
+    bits = b"".join(r["bits"] for r in table.orderBy("slice").collect())
+    f = lm.LogFrequencyFilter(np.frombuffer(bits, np.uint8), slice_bits, slices, probes)
+    assert (f.levels(keys) >= levels).all() and (f.levels(keys) > levels).mean() < 0.001
+    assert (f.totals(keys ^ np.uint64(1 << 62)) == codes).mean() > 0.999
+    assert (f.levels(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.001
+
+
+def brute_scores(rows, mistaken):
+    """The model by exact counts: {id: score}; words as bytes, None ends a text, 0 begins it."""
+    tokens = {i: [0, *(t or "").encode().lower().split(), None] for i, t in rows}
+    known = [w for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 10]
+    words, pairs = Counter(x for w in known for x in w[1:]), Counter(p for w in known for p in zip(w, w[1:]))
+    level = lambda n: int(math.log2(n)) + 1 if n else 0
+    means = []
+    for table in (words, pairs):
+        by = {}
+        for n in table.values():
+            by.setdefault(level(n), []).append(n)
+        means.append({0: 0.0, **{q: sum(ns) / len(ns) for q, ns in by.items()}})
+    total = Counter()
+    for (h, _), n in pairs.items():
+        total[h] += means[1][level(n)]
+    read = {h: 1.0 if (e := math.floor(8 * math.log2(t) + 1e-9)) == 0 else 2 ** ((e + 0.5) / 8) for h, t in total.items()}
+    top = {h: int(math.floor(8 * math.log2(t) + 1e-9)) // 8 + 1 for h, t in total.items()}
+    n, v = sum(words.values()), len(words)
+
+    def log(h, w):
+        q = min(level(pairs[h, w]), level(words[w]), top.get(h, 0))
+        return math.log10((means[1][q] + lm.PRIOR * (means[0][level(words[w])] + 0.1) / (n + 0.1 * (v + 1))) / (read.get(h, 0.0) + mistaken + lm.PRIOR))
+
+    return {i: sum(map(log, w, w[1:])) for i, w in tokens.items()}
+
+
+def test_score_equals_exact_counts_by_broadcast_and_by_slices(spark, monkeypatch):
+    monkeypatch.setattr(lm, "STRETCH", 100)
+    rows = {r["doc_id"]: r["text"] for r in docs_of(spark).collect()} | {-1: None, -2: "", -3: "word " * 5000}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    mistaken = lm.train(docs.where(~lm.held_out()))[0].mistaken
+    want = brute_scores(rows.items(), mistaken)
+    for bits in (lm.MAX_BITS, 1):
+        got = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs, max_bits=bits).collect()}
+        assert got.keys() == want.keys()
+        near = [abs(got[i] - want[i]) < 1e-6 * max(1, abs(want[i])) for i in want]
+        assert sum(near) >= 0.95 * len(near), "a few texts hold a pair read by mistake"
+        assert all(abs(got[i] - want[i]) < 0.02 * abs(want[i]) for i in want)
+
+
+def test_probabilities_sum_to_one(spark):
+    model, words, _ = lm.train(docs_of(spark))
+    vocabulary = words.orderBy(F.desc("n"), "key").toPandas().key.to_numpy().view(np.uint64)
+    of_word = model.filter.levels(vocabulary)
+    for first in [*vocabulary[:60], *vocabulary[-20:], np.uint64(lm.START), np.uint64(12345)]:
+        pairs = lm.pair_keys(np.full(len(vocabulary), first), vocabulary)
+        total = np.full(len(vocabulary), model.filter.totals(lm.total_keys(pairs[:1]))[0])
+        unknown = model.logs(np.zeros(1, int), np.zeros(1, int), total[:1])
+        assert abs((10 ** np.concatenate([model.logs(of_word, model.filter.levels(pairs), total), unknown])).sum() - 1) < 0.05
 
 
 def test_repeated_passages_score_higher_than_the_base(spark):
