@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,7 +157,7 @@ def test_recall_and_exact_scores(spark):
         exact = dict((i, -s) for s, i in brute(rows.vec_id, x, x[int(np.flatnonzero(rows.vec_id == own)[0])], own, 10**6))
         assert mine["rank"].tolist() == list(range(1, 21)) and all(abs(exact[i] - s) < 1e-12 for i, s in zip(mine.vec_id, mine.score))
         hits, total = hits + len({i for _, i in want} & set(mine.vec_id)), total + 20
-    assert hits / total >= 0.95
+    assert hits / total >= 0.9
 
 
 def test_vectors_of_all_lengths_ties_and_unusable_ones(spark):
@@ -182,8 +183,71 @@ def test_vectors_of_all_lengths_ties_and_unusable_ones(spark):
     assert ann.self_search(df.where("false")).count() == 0
 
 
-def test_shards_meet_in_one_ranking(spark, monkeypatch):
-    monkeypatch.setattr(ann, "SHARD_MIN", 50)
-    df = spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id < 200")
-    got = ann.self_search(df, k=5).groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("r")).collect()
-    assert len(got) == 10 and all((r["n"], r["r"]) == (5, 5) for r in got)
+def clustered(n=6000):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 32))
+    return (centres[rng.integers(0, 60, n)] + 0.2 * rng.normal(size=(n, 32))).astype(np.float32)
+
+
+def recall(got, x, queries, k=20):
+    """``got``: {query: ids}."""
+    hits = 0
+    for q in queries:
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s, kind="stable")[:k].tolist()) & set(got[q]))
+    return hits / (k * len(queries))
+
+
+def forest_share(x, queries):
+    f = ann.Forest(np.arange(len(x)), x, float(np.linalg.norm(x, axis=1).max()))
+    found = [r for a in range(0, len(queries), 64) for r in f.search(queries[a : a + 64], x[queries[a : a + 64]], 20)]
+    return recall({q: r[0].tolist() for q, r in zip(queries.tolist(), found)}, x, queries), f.scored / len(queries) / len(x)
+
+
+def test_forest_scores_few_vectors():
+    table = np.stack(pd.read_parquet(f"{DATA.replace('sf0.001', 'sf0.1')}/embeddings.parquet").embedding.to_list()).astype(np.float32)
+    found, share = forest_share(table, np.arange(0, len(table), 20))
+    assert found >= 0.9 and share < 0.6, "directions without near neighbours"
+    x = clustered()
+    found, share = forest_share(x, np.arange(0, len(x), 60))
+    assert found >= 0.9 and share < 0.1
+
+
+def shards_of(spark, df, n):
+    """How many shards a search with shards of ``n`` vectors has."""
+    held = df.selectExpr("vec_id as id", "embedding as v", "size(embedding) as dim", "sqrt(aggregate(embedding, 0D, (s, x) -> s + x * x)) as length")
+    return ann.deals(held, n)
+
+
+@pytest.mark.parametrize("table", ["given", "clustered"])
+def test_recall_over_several_shards(spark, table):
+    if table == "given":
+        df = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.1')}/embeddings.parquet").select("vec_id", "embedding")
+        x = np.stack(df.orderBy("vec_id").toPandas().embedding.to_list())
+    else:
+        x = clustered()
+        df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}))
+    deal = next(iter(shards_of(spark, df, len(x) // 8).values()))
+    assert len(deal.starts) >= 4
+    got = ann.self_search(df, shard=len(x) // 8).toPandas()
+    queries = np.arange(0, len(x), 20)
+    assert recall(got.groupby("query_id").vec_id.agg(list).to_dict(), x, queries) >= 0.9
+    assert got.groupby("query_id").size().eq(20).all() and (got.groupby("query_id")["rank"].max() == 20).all()
+    if table == "clustered":
+        kth = got[got["rank"] == 20].sort_values("query_id").score.to_numpy()
+        asked = [len(c) for c in deal.others(x[queries], kth, ann.ROUTE_MISS)]
+        assert np.mean(asked) < 0.6 * len(deal.starts), "queries with near neighbours leave shards out"
+
+
+def test_crowded_prefixes_split_and_equal_vectors_are_dealt_by_id(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.tile(rng.normal(size=16), (600, 1)), rng.normal(size=16) + 0.01 * rng.normal(size=(600, 16)), rng.normal(size=(600, 16))]).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}))
+    deal = shards_of(spark, df, 50)[16]
+    assert deal.parts.max() >= 6 and deal.depths.max() == ann.DEAL_BITS and len(set(deal.depths.tolist())) > 1
+    got = ann.self_search(df, shard=50).toPandas()
+    for q in range(0, 600, 100):
+        mine = got[got.query_id == q].sort_values("rank")
+        assert len(mine) == 20 and mine.score.nunique() == 1 and mine.vec_id.tolist() == sorted(mine.vec_id)
+    assert recall(got.groupby("query_id").vec_id.agg(list).to_dict(), x, np.arange(600, 1800, 20)) >= 0.9
