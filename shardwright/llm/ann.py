@@ -163,6 +163,7 @@ class Deal:
     longest: float
     starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.uint64))
     depths: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    counts: np.ndarray = field(default_factory=lambda: np.ones(1, np.int64))
     parts: np.ndarray = field(default_factory=lambda: np.ones(1, np.int64))
     first: int = 0  # the number of its first shard
 
@@ -182,7 +183,11 @@ class Deal:
         return self.first + np.cumsum(self.parts) - self.parts
 
     def others(self, query: np.ndarray, kth: np.ndarray, route_miss: float) -> list[np.ndarray]:
-        """For each query the cells, besides its own, where a neighbour of score ``kth`` may well be."""
+        """For each query the cells, besides its own, where a neighbour of score ``kth`` may well be.
+
+        A cell's chance is its number of vectors times how much likelier its bits
+        are for such a neighbour than for any vector.
+        """
         length = np.sqrt((query.astype(np.float64) ** 2).sum(axis=1))
         unit = np.column_stack([query / length[:, None], np.zeros(len(query))])
         margin = unit @ self.planes()
@@ -192,7 +197,7 @@ class Deal:
         place = np.arange(DEAL_BITS - 1, -1, -1).astype(np.uint64)
         bit = (self.starts[:, None] >> place) & np.uint64(1)
         used = np.arange(DEAL_BITS) < self.depths[:, None]
-        logs = np.log(one) @ (bit * used).T + np.log(1 - one) @ ((1 - bit) * used).T  # query x cell
+        logs = np.log(one) @ (bit * used).T + np.log(1 - one) @ ((1 - bit) * used).T + np.log(2) * self.depths + np.log(self.counts)  # query x cell
         chance = np.exp(logs - logs.max(axis=1, keepdims=True))
         home = self.cell(self.strings(unit.astype(np.float32)))
         out = []
@@ -255,6 +260,7 @@ def _split(held: DataFrame, deal: Deal, size: int, n: int) -> None:
     cells.sort()
     deal.starts = np.array([c[0] for c in cells], np.uint64)
     deal.depths = np.array([c[1] for c in cells], np.int64)
+    deal.counts = np.array([c[2] for c in cells], np.int64)
     deal.parts = np.array([-(-c[2] // (2 * size)) for c in cells], np.int64)
 
 
