@@ -1,14 +1,14 @@
 """Main text of web pages, with nearest-URL page differencing.
 
-A page falls into blocks of text in page order. Structure sorts them: inside
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-they are boilerplate; inside an article or main element they are text; the rest
-is open. Open blocks are decided by differencing: pages of one host with the same open lines
-are one page, at its first URL; these stand in order of
+A page falls into blocks of text in page order, its lines. Differencing comes first: pages
+of one host with the same unmarked lines (all lines, where none is unmarked) are one page, at its first URL; these stand in order of
 host and URL path, every page is paired with its neighbours of the same host,
-the pages' lines are aligned by their longest common subsequence, and open lines
-that a pair shares are template and go, from all its copies. A neighbour that shares nearly all of
-a page's open text is a copy and says nothing. Only line hashes travel for this, over a
+the pages' lines are aligned by their longest common subsequence, and lines
+that a pair shares are template and go, from all its copies. Lines inside an article or main
+element are text and stay, as neighbouring articles may share sentences; a neighbour that shares nearly all of
+a page's unmarked text is a copy and says nothing of it. Structure decides what is left, boilerplate
+that only one page has: blocks in menus, headers, footers, sidebars, notices, adverts, forms and reader comments,
+and those outside the article, if there is one. Only line hashes travel for differencing, over a
 range partitioning that no host can overfill; ends of partitions meet in a
 table of two rows for each partition.
 """
@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -39,12 +40,13 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 # Words in class, id and role that mark boilerplate.
 DROPPED_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation menu menubar sidebar footer header masthead topbar comment comments commentlist disqus respond reply replies share sharing social related breadcrumb breadcrumbs pagination pager newsletter subscribe signup login search popup modal overlay toolbar complementary contentinfo".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 DROPPED, OPEN, MAIN = 0, 1, 2
 COPY_SHARE = 0.9
-LCS_LINES = 20_000
+#: Bits of alignment history held at once; longer pages are aligned in halves.
+LCS_BITS = 1 << 28
 
 
 def _role(tag: str, attrs: str) -> tuple[bool, bool, bool]:
@@ -72,8 +74,9 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         return []
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, is dropped, is main, is a header in the main text
+    standing: Counter = Counter()  # the stack's tags
     buffer: list[str] = []
-    dropped = main = heading = 0
+    dropped = main = heading = headers = 0
     state = OPEN
 
     def flush() -> None:
@@ -84,11 +87,13 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             buffer.clear()
 
     def pop(n: int) -> None:
-        nonlocal dropped, main, heading
-        for tag, d, m, _ in stack[n:]:
+        nonlocal dropped, main, heading, headers
+        for tag, d, m, soft in stack[n:]:
             dropped -= d
             main -= m
             heading -= tag in HEADINGS
+            headers -= soft
+            standing[tag] -= 1
         del stack[n:]
 
     at = 0
@@ -119,10 +124,8 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         if breaks:
             flush()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
+            if standing[tag] > 0:
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
         else:
             if breaks and stack and stack[-1][0] == "p":
                 pop(len(stack) - 1)
@@ -135,11 +138,12 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                 entry = (tag, drop and not soft, holds and not dropped, soft)
                 if breaks or entry[1]:
                     stack.append(entry)
+                    standing[tag] += 1
+                    headers += soft
                     dropped += entry[1]
                     main += entry[2]
                     heading += tag in HEADINGS
-        in_header = not heading and any(soft for *_, soft in stack)
-        now = DROPPED if dropped or in_header else MAIN if main else OPEN
+        now = DROPPED if dropped or (headers and not heading) else MAIN if main else OPEN
         if now != state:
             flush()
             state = now
@@ -153,7 +157,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b``; very long pages are aligned in windows."""
+    """Positions in ``a`` of a longest common subsequence with ``b``."""
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
@@ -162,25 +166,51 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
         hi += 1
     held_a, held_b = Counter(a[lo : len(a) - hi]), Counter(b[lo : len(b) - hi])
     rows = [i for i in range(lo, len(a) - hi) if a[i] in held_b]
-    cols = [j for j in range(lo, len(b) - hi) if b[j] in held_a]
-    found = [*range(lo), *range(len(a) - hi, len(a))]
-    for at in range(0, len(rows), LCS_LINES):
-        found += _aligned(a, b, rows[at : at + LCS_LINES], cols[at : at + LCS_LINES])
-    return sorted(found)
-
-
-def _aligned(a: list[int], b: list[int], rows: list[int], cols: list[int]) -> list[int]:
-    """Bit-parallel alignment: a row's vector has a zero where its prefix gains one more common line."""
-    where: dict[int, int] = {}
-    for k, j in enumerate(cols):
-        where[b[j]] = where.get(b[j], 0) | 1 << k
-    mask = (1 << len(cols)) - 1
-    v, history = mask, []
-    for i in rows:
-        hit = v & where.get(a[i], 0)
+    cols = [x for x in b[lo : len(b) - hi] if x in held_a]
+    middle = _aligned([a[i] for i in rows], cols) if rows else []
+    return sorted([*range(lo), *range(len(a) - hi, len(a)), *(rows[k] for k in middle)])
+
+
+def _vectors(x: list[int], y: list[int]) -> Iterator[int]:
+    """For each row of ``x`` a bit vector over ``y``: a zero where the rows so far have one more common line with y up to there."""
+    where: dict[int, list[int]] = {}
+    for k, line in enumerate(y):
+        where.setdefault(line, []).append(k)
+    often: dict[int, int] = {}
+    v = mask = (1 << len(y)) - 1
+    for line in x:
+        at = where.get(line, [])
+        m = often.get(line)
+        if m is None:
+            flags = bytearray(len(y) // 8 + 1)
+            for k in at:
+                flags[k >> 3] |= 1 << (k & 7)
+            m = int.from_bytes(flags, "little")
+            if len(at) > 64:
+                often[line] = m
+        hit = v & m
         v = ((v + hit) | (v - hit)) & mask
-        history.append(v)
-    out, row, col = [], len(rows), len(cols)
+        yield v
+
+
+def _aligned(x: list[int], y: list[int]) -> list[int]:
+    """Positions in ``x`` of a longest common subsequence: bit-parallel, and by halves of x beyond ``LCS_BITS``."""
+    if not x or not y:
+        return []
+    if len(x) * len(y) > LCS_BITS and len(x) > 1:
+        half = len(x) // 2
+
+        def gains(rows: list[int], cols: list[int]) -> np.ndarray:
+            """The subsequence's length with each prefix of ``cols``."""
+            for v in _vectors(rows, cols):
+                pass
+            bits = np.unpackbits(np.frombuffer(v.to_bytes(len(cols) // 8 + 1, "little"), np.uint8), count=len(cols), bitorder="little")
+            return np.concatenate([[0], np.cumsum(bits == 0)])
+
+        cut_ = int((gains(x[:half], y) + gains(x[half:][::-1], y[::-1])[::-1]).argmax())
+        return _aligned(x[:half], y[:cut_]) + [half + k for k in _aligned(x[half:], y[cut_:])]
+    history = list(_vectors(x, y))
+    out, row, col = [], len(x), len(y)
     while row and col:
         if history[row - 1] >> (col - 1) & 1:
             col -= 1
@@ -188,19 +218,19 @@ def _aligned(a: list[int], b: list[int], rows: list[int], cols: list[int]) -> li
             row -= 1
             if not row or history[row - 1] >> (col - 1) & 1:
                 col -= 1
-                out.append(rows[row])
-    return out
+                out.append(row)
+    return out[::-1]
 
 
-def shared_open(lines: list[int], kinds: bytes, sizes: list[int], other: list[int]) -> list[int]:
-    """Numbers (among the open ones) of open lines that ``other`` shares, unless it is a copy by its open lines."""
-    if OPEN not in kinds or not other:
-        return []
-    number = {i: n for n, i in enumerate(i for i, k in enumerate(kinds) if k == OPEN)}
-    common = [i for i in common_lines(lines, other) if i in number]
-    if sum(sizes[i] for i in common) >= COPY_SHARE * sum(sizes[i] for i in number):
+def shared_lines(lines: list[int], kinds: bytes, sizes: list[int], other: list[int]) -> list[int]:
+    """Positions of the lines that ``other`` shares, but for main text, and for open ones if it is a copy by its open lines."""
+    if not other or kinds.count(MAIN) == len(kinds):
         return []
-    return [number[i] for i in common]
+    common = [i for i in common_lines(lines, other) if kinds[i] != MAIN]
+    open_ = sum(n for n, k in zip(sizes, kinds) if k == OPEN)
+    if open_ and sum(sizes[i] for i in common if kinds[i] == OPEN) >= COPY_SHARE * open_:
+        return [i for i in common if kinds[i] != OPEN]
+    return common
 
 
 def address(url: str | None) -> tuple[str, str]:
@@ -247,7 +277,7 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append(row(r, None, False))
             elif previous["host"] == r["host"]:
                 for one, two in ((previous, r), (r, previous)):
-                    if gone := shared_open(one["lines"], one["kinds"], one["sizes"], two["lines"]):
+                    if gone := shared_lines(one["lines"], one["kinds"], one["sizes"], two["lines"]):
                         out.append(row(one, gone, None))
             previous = r
         if len(out) > 1000:
@@ -266,13 +296,13 @@ def _pair_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for r in batch.to_pylist():
             for one, two in ((r["x"], r["y"]), (r["y"], r["x"])):
-                if gone := shared_open(one["lines"], one["kinds"], one["sizes"], two["lines"]):
+                if gone := shared_lines(one["lines"], one["kinds"], one["sizes"], two["lines"]):
                     out.append({"key": one["key"], "gone": gone})
         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
 def template_lines(pages: DataFrame) -> DataFrame:
-    """(key, gone): numbers of open blocks, among the page's open ones, that a neighbour shares; ``pages`` has id, key, url, html. Pages that lose none have no row."""
+    """(key, gone): positions of the blocks that a neighbour shares; ``pages`` has id, key, url, html. Pages that lose none have no row."""
     lines = pages.select("id", "key", "url", "html").mapInArrow(_lines, _LINES)
     lines = cut(lines)
     first = F.min_by(F.struct("host", "path", "id", "lines", "kinds", "sizes"), F.struct("path", "id", "key"))
@@ -290,21 +320,24 @@ def template_lines(pages: DataFrame) -> DataFrame:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        # A page has open blocks or blocks of main text, never both.
-        found = [[t for t, k in blocks(p) if k != DROPPED] for p in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.string()))], names=["id", "key", "url", "blocks"])
+        found = [blocks(p) for p in batch.column(3).to_pylist()]
+        texts = pa.array([[{"text": t, "kind": k} for t, k in f] for f in found], pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int32())])))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts], names=["id", "key", "url", "blocks"])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id_col, url, text, n_chars) for every row: the main text, blocks joined by line ends.
+    """(id_col, url, text, n_chars, n_blocks, n_shared) for every row: the main text, blocks joined by line ends.
 
+    n_blocks: all blocks of the page; n_shared: those that differencing takes away.
     Null and empty html give an empty text; a null url is a page of no host.
-    Pages cut off inside a tag or an element keep what is there. Rows with equal
+    Pages cut off inside a tag or an element keep what is there; a tag with an
+    open quote ends at the next bracket. Rows with equal
     id, url and html share their result; repeated rows stay.
     """
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, url_col, html_col).alias("key"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     gone = template_lines(base)
-    texts = base.mapInArrow(_texts, "id long, key long, url string, blocks array<string>").join(gone, "key", "left")
-    kept = F.filter("blocks", lambda t, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
-    out = texts.withColumn("text", F.array_join(kept, "\n"))
-    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+    texts = base.mapInArrow(_texts, "id long, key long, url string, blocks array<struct<text:string,kind:int>>").join(gone, "key", "left")
+    shared = F.coalesce("gone", F.array().cast("array<int>"))
+    left = F.filter("blocks", lambda b, i: (b["kind"] != DROPPED) & ((b["kind"] == MAIN) | ~F.array_contains(shared, i)))
+    out = texts.withColumn("text", F.array_join(F.transform(left, lambda b: b["text"]), "\n"))
+    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), F.size("blocks").cast("long").alias("n_blocks"), F.size(shared).cast("long").alias("n_shared"))

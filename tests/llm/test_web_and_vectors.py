@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -75,6 +76,7 @@ def test_main_text_of_a_page():
     assert text_of(PAGE) == "Title & more\nOne two three € x\nOpen\nDiv boldtext\na\nb\ntail"
     assert text_of(None) == text_of("") == text_of("<p") == ""
     assert text_of("a < b <p>c &am") == "a < b\nc &am" and text_of("<p>x</p><script>never closed") == "x"
+    assert text_of('<p title="x>b</p><p>c</p>') == "b\nc" and text_of('<p title="a>b">c') == "c" and text_of("<a href='x>y") == "y"
     assert text_of("<div>x</div><div role='main'><div class='post-header'><h2>T</h2>by</div>y</div>") == "T\ny"
     assert text_of("<div class='menu'>m<div>n</div></div>rest<div>deep" * 3).count("m") == 0
     assert text_of("<p>" + "word " * 200_000 + "</p>") == ("word " * 200_000).strip()
@@ -120,13 +122,39 @@ def test_articles_keep_lines_that_others_share(spark):
     assert {r["page_id"]: r["text"] for r in got} == {i: f"Same line\n{i}" for i in range(6)}
 
 
+def test_differencing_without_any_structure(monkeypatch):
+    """Menus, notices and footers of a site go because its pages share them, with no tag or word that tells."""
+    for name in ("DROPPED_TAGS", "DROPPED_WORDS", "MAIN_TAGS"):
+        monkeypatch.setattr(html_extract, name, set())
+    body = lambda n: f"Story {n} of the day, told at length\nIt ends after {n * 7} words"
+    page = lambda n: f"<nav><ul><li>Home<li>News<li>Page {n} menu</ul></nav><article><p>{body(n).replace(chr(10), '<p>')}</article><aside>Also read</aside><footer>All rights reserved</footer>"
+    rows = [(i, f"http://a.com/{i:03d}", page(i)) for i in range(30)]
+    lines = [html_extract.blocks(html) for _, _, html in rows]
+    for one, two in zip(lines, lines[1:]):
+        texts, kinds, other = [t for t, _ in one], bytes(k for _, k in one), [hash(t) for t, _ in two]
+        gone = html_extract.shared_lines([hash(t) for t in texts], kinds, [len(t) for t in texts], other)
+        assert set(kinds) == {html_extract.OPEN} and [texts[i] for i in gone] == ["Home", "News", "Also read", "All rights reserved"]
+
+
+def test_stripped_articles_give_the_same_text(spark):
+    """The table's pages without their article tags: differencing and marks alone find the text."""
+    pages = pages_of(spark)
+    tagged = {r["page_id"]: r for r in html_extract.main_text(pages).collect()}
+    plain = {r["page_id"]: r["text"] for r in html_extract.main_text(pages.withColumn("html", F.regexp_replace("html", "</?article>", ""))).collect()}
+    same_ = sum(plain[i] == r["text"] for i, r in tagged.items())
+    assert same_ >= 0.95 * len(tagged)
+    assert sum(r["n_shared"] for r in tagged.values()) > 0, "lines of the given pages go by differencing"
+
+
 def test_all_pages_of_the_table(spark):
     got = {r["page_id"]: r["text"] for r in html_extract.main_text(pages_of(spark)).collect()}
     for r in pages_of(spark).collect():
         assert got[r["page_id"]] == text_of(r["html"]) and got[r["page_id"]]
 
 
-def test_alignment_is_a_longest_common_subsequence():
+@pytest.mark.parametrize("bits", [html_extract.LCS_BITS, 12, 0])
+def test_alignment_is_a_longest_common_subsequence(monkeypatch, bits):
+    monkeypatch.setattr(html_extract, "LCS_BITS", bits)
     rng = random.Random(2)
     for _ in range(300):
         a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 14))] for _ in range(2))
@@ -139,6 +167,14 @@ def test_alignment_is_a_longest_common_subsequence():
         assert len(found) == best[-1][-1] and all(a[i] in rest for i in found)
 
 
+def test_deep_nesting_and_long_pages_take_linear_time():
+    began = time.perf_counter()
+    assert text_of("<div>" * 200_000 + "x" + "</b></span></section>" * 50_000) == "x"
+    a, b = list(range(40_000)), list(range(20_000, 60_000))
+    assert html_extract.common_lines([-1, *a], [-2, *b]) == list(range(20_001, 40_001))
+    assert time.perf_counter() - began < 20
+
+
 # --- nearest neighbours
 
 
