@@ -1,95 +1,162 @@
 """Benchmark decontamination with Wu-Manber multi-pattern search over words.
 
 Patterns are the 13-word windows of the benchmark items (an item of fewer words
-is one pattern). The search slides a window of the shortest pattern's length m
-over a text's words. The block, its last two words, looks up a shift: how
-far the window may move before any pattern could end there. Shift zero leads to
-the suffix-hash bucket of that block, narrowed by the first two words, whose
-patterns are compared word by word. Patterns of full length and shorter ones
-have tables of their own, so that a short item doesn't shorten all shifts.
+is one pattern). Words are numbers, 64-bit hashes made by numpy from the text's
+bytes. The search slides a window of the pattern's length m over a text's
+words, in many lanes at once: the block, the window's last two words, looks up a
+shift in a table of a fixed size, how far the window may move before any pattern could end there. Shift
+zero leads to the suffix-hash bucket of that block, a stretch of the patterns
+sorted by it; those with the same first words as well are compared by all words'
+hashes and then directly, byte for byte. Patterns of each length below 13 have
+tables of their own, so that a short item doesn't shorten all shifts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardwright.llm.common import shielded, words_of
+from shardwright.llm.common import WORD_TABLE, shielded, stored
 
 WINDOW = 13
-
-
-@dataclass
-class WuManber:
-    """Search tables of patterns, each a tuple of words with the ids of its items."""
-
-    patterns: dict[tuple[bytes, ...], set]
-    m: int = 0
-    block: int = 1
-    shift: dict = field(default_factory=dict)
-    buckets: dict = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        self.m = min(map(len, self.patterns))
-        self.block = min(2, self.m)
-        for pattern in self.patterns:
-            for end in range(self.block, self.m + 1):
-                key = pattern[end - self.block : end]
-                self.shift[key] = min(self.shift.get(key, self.m), self.m - end)
-            last = pattern[self.m - self.block : self.m]
-            self.buckets.setdefault(last, {}).setdefault(pattern[: self.block], []).append(pattern)
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
-        """(start, pattern) of every occurrence."""
-        m, block, n = self.m, self.block, len(words)
-        shift, buckets, far = self.shift.get, self.buckets, self.m - self.block + 1
-        end = m
-        while end <= n:
-            key = (words[end - 2], words[end - 1]) if block == 2 else (words[end - 1],)
-            step = shift(key, far)
-            if step:
-                end += step
+#: Text of the benchmark that one broadcast index holds, about (an index takes some 6 times as much).
+INDEX_BYTES = 32 << 20
+#: Words of a lane, entries of a shift table at most, and bytes of text searched at once.
+LANE, MAX_SHIFTS, PORTION = 64, 1 << 24, 1 << 20
+
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, hashes, words of each text): lower-cased words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of UTF-8 texts, one after the other."""
+    data = np.frombuffer(b" ".join([*(t.translate(WORD_TABLE) for t in texts), b""]) + b" ", np.uint8)
+    inside = data != 0x20
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        edge = np.concatenate([[0], edge])
+    starts, ends = edge[::2], edge[1::2]
+    hashes = np.zeros(len(starts), np.uint64)
+    lengths = ends - starts
+    # A byte of every word at a time, over the words that go on.
+    live, k = np.arange(len(starts)), 0
+    while len(live):
+        hashes[live] = (hashes[live] ^ data[starts[live] + k]) * np.uint64(0x100000001B3) + np.uint64(k + 1)
+        k += 1
+        live = live[lengths[live] > k]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends_of = np.cumsum(sizes + 1)
+    counts = np.diff(np.searchsorted(starts, ends_of, "left"), prepend=0)
+    return data, starts, ends, mixed(hashes * _PRIME), counts
+
+
+class Patterns:
+    """Wu-Manber tables of windows of one length ``m`` over the words of an index."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, item: np.ndarray, m: int):
+        self.m, self.block = m, min(2, m)
+        whole = np.zeros(len(at), np.uint64)
+        for k in range(m):
+            whole = mixed(whole * _PRIME + words[at + k])
+        order = np.lexsort((whole, item[at]))  # windows that an item repeats count once
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (np.diff(whole[order]) != 0) | (np.diff(item[at][order]) != 0)
+        at = np.sort(at[order[fresh]])
+        last = self._block(words, at + m)
+        order = np.argsort(last, kind="stable")
+        self.at, self.last = at[order].astype(np.int32), last[order]
+        size = 1 << 8
+        while size < min(MAX_SHIFTS, 4 * max(1, len(at))):
+            size *= 2
+        self.mask = np.uint64(size - 1)
+        self.shift = np.full(size, m - self.block + 1, np.uint8)
+        for end in range(self.block, m + 1):  # the longest distance first, so the shortest one stays
+            self.shift[self._block(words, at + end) & self.mask] = m - end
+
+    def _block(self, words: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of the block that ends before each position."""
+        return words[end - 1] if self.block == 1 else mixed(words[end - 2] * _PRIME + words[end - 1])
+
+    def candidates(self, words: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Window ends, of those in the lanes [first, stop), whose block ends some pattern."""
+        out, at = [], first.copy()
+        while len(at):
+            step = self.shift[self._block(words, at) & self.mask]
+            out.append(at[step == 0])
+            at = at + np.maximum(step, 1)
+            live = at < stop
+            at, stop = at[live], stop[live]
+        return np.concatenate(out) if out else np.empty(0, np.int64)
+
+    def search(self, words: np.ndarray, begins: np.ndarray, ends: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, pattern) pairs whose hashes agree; ``begins`` and ``ends`` bound the texts in ``words``, ``own`` are the index's words."""
+        first, stop = begins + self.m, ends + 1  # where windows may end
+        lanes = np.maximum(0, -(-(stop - first) // LANE))
+        of = np.repeat(np.arange(len(first)), lanes)
+        number = np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        lane = first[of] + number * LANE
+        found = self.candidates(words, lane, np.minimum(lane + LANE, stop[of]))
+        blocks = self._block(words, found)
+        lo, hi = np.searchsorted(self.last, blocks, "left"), np.searchsorted(self.last, blocks, "right")
+        which = np.repeat(np.arange(len(found)), hi - lo)
+        pattern = self.at[np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[which]].astype(np.int64)
+        start = found[which] - self.m
+        for k in range(self.m):
+            same = words[start + k] == own[pattern + k]
+            start, pattern = start[same], pattern[same]
+        return start, pattern
+
+
+class Index:
+    """The windows of benchmark items, for search in texts."""
+
+    def __init__(self, items: list[tuple[object, bytes]], size: int = WINDOW):
+        self.items = [i for i, _ in items]
+        data, starts, ends, self.words, counts = word_hashes([t for _, t in items])
+        self.text, self.starts, self.ends = data.tobytes(), starts.astype(np.int64), ends.astype(np.int64)
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), counts)
+        first = np.cumsum(counts) - counts
+        self.patterns = []
+        for m in np.unique(np.minimum(counts, size)).tolist():
+            if m:
+                mine = np.minimum(counts, size) == m
+                windows = np.where(mine, counts - m + 1, 0)
+                at = np.repeat(first, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+                self.patterns.append(Patterns(self.words, at, self.item, m))
+
+    def hits(self, texts: list[bytes]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set]]:
+        """For each text: its words, the disjoint word ranges [from, to) inside any occurrence, and the numbers of the items that occur."""
+        data, starts, ends, words, counts = word_hashes(texts)
+        begins = np.cumsum(counts) - counts
+        ranges: list[list[tuple[int, int]]] = [[] for _ in texts]
+        items: list[set] = [set() for _ in texts]
+        raw = None
+        for p in self.patterns:
+            found, pattern = p.search(words, begins, begins + counts, self.words)
+            if not len(found):
                 continue
-            start = end - m
-            for pattern in buckets[key].get(tuple(words[start : start + block]), ()):
-                if tuple(words[start : start + len(pattern)]) == pattern:
-                    yield start, pattern
-            end += 1
-
-
-def windows(text: str | None, size: int = WINDOW) -> list[tuple[bytes, ...]]:
-    words = words_of(text.encode() if text else None)
-    return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
-
-
-def tables(items: list[tuple[object, str | None]], size: int = WINDOW) -> list[WuManber]:
-    patterns: dict[tuple[bytes, ...], set] = {}
-    for item, text in items:
-        for window in windows(text, size):
-            patterns.setdefault(window, set()).update(() if item is None else (item,))
-    full = {p: ids for p, ids in patterns.items() if len(p) == size}
-    short = {p: ids for p, ids in patterns.items() if len(p) < size}
-    return [WuManber(p) for p in (full, short) if p]
-
-
-def hits(words: list[bytes], searches: list[WuManber]) -> tuple[list[tuple[int, int]], set]:
-    """Disjoint word ranges [from, to) inside any occurrence, and the items that occur."""
-    ranges, items = [], set()
-    for search in searches:
-        for start, pattern in search.search(words):
-            ranges.append((start, start + len(pattern)))
-            items |= search.patterns[pattern]
-    return merged(ranges), items
+            raw = raw or data.tobytes()
+            of = np.searchsorted(begins + counts, found, "right")
+            for doc, start, at in zip(of.tolist(), found.tolist(), pattern.tolist()):
+                # Direct comparison of the words themselves.
+                if raw[starts[start] : ends[start + p.m - 1]].split() == self.text[self.starts[at] : self.ends[at + p.m - 1]].split():
+                    ranges[doc].append((start - int(begins[doc]), start - int(begins[doc]) + p.m))
+                    items[doc].add(int(self.item[at]))
+        return counts, [merged(r) for r in ranges], items
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for lo, hi in sorted(ranges):
+    for lo, hi in sorted(set(ranges)):
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:
@@ -100,29 +167,34 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 RANGES = "array<struct<from_word:int,to_word:int>>"
 
 
-def _scan(docs: DataFrame, items: list, text_at: int, schema: T.StructType) -> DataFrame:
-    """Adds the hit ranges and items of one block of the benchmark to those already in ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    loaded: list = []
+def _scan(docs: DataFrame, index: Index, text_at: int, schema: T.StructType) -> DataFrame:
+    """``docs`` with the words, hit ranges and items of each row, by one index; its last three columns give way."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
     last = len(schema) - 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not loaded:
-            loaded.append(tables(shared.value))
-        out_schema = None
+        index = shared.value  # a worker keeps it for its next tasks
         for batch in batches:
-            n_words, ranges, ids = [], [], []
-            for text, old_ranges, old_ids in zip(batch.column(text_at).cast(pa.binary()), batch.column(last + 1), batch.column(last + 2)):
-                words = words_of(text.as_py())
-                found, got = hits(words, loaded[0])
-                if old := old_ranges.as_py():
-                    found = merged([*found, *((r["from_word"], r["to_word"]) for r in old)])
-                n_words.append(len(words))
-                ranges.append([{"from_word": lo, "to_word": hi} for lo, hi in found])
-                ids.append(sorted(got | set(old_ids.as_py() or ())))
+            texts, n_words, ranges, ids = [], [], [], []
+
+            def flush() -> None:
+                counts, found, got = index.hits(texts)
+                n_words.extend(counts.tolist())
+                ranges.extend([{"from_word": lo, "to_word": hi} for lo, hi in r] for r in found)
+                ids.extend(sorted({index.items[k] for k in g} - {None}) for g in got)
+                texts.clear()
+
+            size = 0
+            for text in batch.column(text_at).cast(pa.binary()):
+                texts.append(text.as_py() or b"")
+                size += len(texts[-1])
+                if size > PORTION:
+                    flush()
+                    size = 0
+            if texts:
+                flush()
             arrays = [*batch.columns[:last], pa.array(n_words, pa.int64()), pa.array(ranges, batch.schema.field(last + 1).type), pa.array(ids, batch.schema.field(last + 2).type)]
-            out_schema = out_schema or batch.schema
-            yield pa.RecordBatch.from_arrays(arrays, names=out_schema.names)
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -131,32 +203,53 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, max_blo
     """The benchmark's rows in lists of at most ``max_block_bytes`` of text (or one row)."""
     block, size = [], 0
     for row in benchmark.select(item_col, text_col).toLocalIterator():
-        n = len((row[1] or "").encode())
-        if block and size + n > max_block_bytes:
+        text = (row[1] or "").encode()
+        if block and size + len(text) > max_block_bytes:
             yield block
             block, size = [], 0
-        block.append((row[0], row[1]))
-        size += n
+        block.append((row[0], text))
+        size += len(text)
     if block:
         yield block
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_block_bytes: int = 8 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_block_bytes: int = INDEX_BYTES) -> DataFrame:
     """``docs`` with _n_words, _hit_ranges (word ranges inside benchmark windows) and _hit_items.
 
-    Columns of these names in ``docs`` give way. The benchmark is broadcast in blocks of ``max_block_bytes`` of text; each
-    block is one more pass over rows that carry what earlier blocks found, so no
-    benchmark is too large and nothing is shuffled. Null and empty texts have no
+    Columns of these names in ``docs`` give way. A benchmark of up to ``max_block_bytes`` of text
+    is one broadcast index and one pass without a shuffle. A larger one is searched for block by
+    block: each pass holds one index, over texts written once with a number for each row, and leaves only rows
+    that are hit, which meet again by that number. Null and empty texts have no
     words. Items without words match nothing; a null item id marks words but
-    isn't listed. An empty benchmark finds nothing.
+    isn't listed. Repeated rows stay. An empty benchmark finds nothing.
     """
     kind = benchmark.schema[item_col].dataType
     docs = docs.drop("_n_words", "_hit_ranges", "_hit_items")
-    start = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_hit_ranges": F.lit(None).cast(RANGES), "_hit_items": F.lit(None).cast(T.ArrayType(kind))})
-    out = start
-    for block in benchmark_blocks(benchmark, item_col, item_text, max_block_bytes):
-        out = _scan(out, block, start.columns.index(text_col), T.StructType([T.StructField(f.name, f.dataType) for f in start.schema]))
-    return out if out is not start else _scan(start, [], start.columns.index(text_col), T.StructType([T.StructField(f.name, f.dataType) for f in start.schema]))
+    added = {"_n_words": F.lit(0).cast("long"), "_hit_ranges": F.lit(None).cast(RANGES), "_hit_items": F.lit(None).cast(T.ArrayType(kind))}
+
+    def scanned(df: DataFrame, items: list) -> DataFrame:
+        start = df.withColumns(added)
+        return _scan(start, Index(items), start.columns.index(text_col), T.StructType([T.StructField(f.name, f.dataType) for f in start.schema]))
+
+    blocks = benchmark_blocks(benchmark, item_col, item_text, max_block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return scanned(docs, first)
+    row = next(n for k in range(len(docs.columns) + 1) if (n := f"_row{k}").lower() not in {c.lower() for c in docs.columns})
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    narrow = rows.select(row, text_col)
+    out = stored(scanned(narrow, first).drop(text_col), "hits")
+    hits = out.where(F.size("_hit_ranges") > 0)
+    while second is not None:
+        hits = hits.union(stored(scanned(narrow, second).where(F.size("_hit_ranges") > 0).drop(text_col), "hits"))
+        second = next(blocks, None)
+    # Ranges of all blocks in order, joined where they meet or overlap.
+    ordered = F.array_sort(F.flatten(F.collect_list("_hit_ranges")))
+    join = F.aggregate(ordered, F.array().cast(RANGES), lambda done, r: F.when((F.size(done) > 0) & (F.element_at(done, -1)["to_word"] >= r["from_word"]),
+        F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.element_at(done, -1)["from_word"].alias("from_word"), F.greatest(F.element_at(done, -1)["to_word"], r["to_word"]).alias("to_word"))))).otherwise(F.concat(done, F.array(r))))
+    both = hits.groupBy(row).agg(join.alias("_hit_ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_hit_items")))).alias("_hit_items"))
+    whole = rows.join(out.select(row, "_n_words"), row).join(both, row, "left")
+    return whole.select(*docs.columns, "_n_words", F.coalesce("_hit_ranges", F.array().cast(RANGES)).alias("_hit_ranges"), F.coalesce("_hit_items", F.array().cast(T.ArrayType(kind))).alias("_hit_items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

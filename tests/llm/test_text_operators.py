@@ -129,13 +129,44 @@ def test_contamination_of_short_overlapping_and_null_items(spark, block):
     assert decontam.contamination(edge_docs(spark), bench.where("false")).where("contaminated or n_hit > 0").count() == 0
 
 
-def test_wu_manber_against_plain_search():
+def test_wu_manber_against_plain_search(monkeypatch):
+    monkeypatch.setattr(decontam, "LANE", 3)
     rng = random.Random(3)
     for _ in range(200):
-        pats = {tuple(rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(2, 5))): {k} for k in range(rng.randint(1, 6))}
-        words = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(0, 40))]
-        want = sorted((i, p) for p in pats for i in range(len(words) - len(p) + 1) if tuple(words[i : i + len(p)]) == p)
-        assert sorted(decontam.WuManber(pats).search(words)) == want
+        items = [(k, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 7))).encode()) for k in range(rng.randint(1, 6))]
+        texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 40))).encode() for _ in range(3)]
+        counts, ranges, found = decontam.Index(items, 4).hits(texts)
+        for text, n, r, got in zip(texts, counts, ranges, found):
+            words, hit, held = text.split(), set(), set()
+            for k, item in items:
+                ws = item.split()
+                for at in range(max(1, len(ws) - 3) if ws else 0):
+                    pattern = ws[at : at + 4]
+                    for i in range(len(words) - len(pattern) + 1):
+                        if words[i : i + len(pattern)] == pattern:
+                            hit.update(range(i, i + len(pattern)))
+                            held.add(k)
+            assert n == len(words) and {w for lo, hi in r for w in range(lo, hi)} == hit and got == held
+
+
+def test_equal_hashes_do_not_match(monkeypatch):
+    """Direct comparison confirms: with all words hashed alike, only the same words are hits."""
+    plain = decontam.word_hashes
+    monkeypatch.setattr(decontam, "word_hashes", lambda texts: (*(r := plain(texts))[:3], np.zeros_like(r[3]), r[4]))
+    _, ranges, _ = decontam.Index([(1, b"one two three")], 13).hits([b"x one two three y", b"a b c d e"])
+    assert ranges == [[(1, 4)], []]
+
+
+def test_a_large_benchmark_is_one_compact_index():
+    rng = random.Random(1)
+    vocabulary = [f"word{k}" for k in range(50_000)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=1000)).encode()) for k in range(1000)]
+    index = decontam.Index(items)
+    size = sum(a.nbytes for a in (index.words, index.starts, index.ends, index.item)) + len(index.text) + sum(p.at.nbytes + p.last.nbytes + p.shift.nbytes for p in index.patterns)
+    assert size < 12 * sum(len(t) for _, t in items)
+    inner = b" ".join(items[700][1].split()[40:60])
+    counts, ranges, found = index.hits([b"before " + inner + b" after"])
+    assert counts.tolist() == [22] and ranges == [[(1, 21)]] and found == [{700}]
 
 
 # --- licences and mixing
