@@ -6,7 +6,7 @@ training text uses the word's script. Viterbi over the word scores, with a
 penalty for each switch, labels spans; the document's language is the one with
 the most letters. Scores are naive Bayes over a word's character n-grams and
 the word itself, hashed into a table of fixed size for each language, so the
-model has a size that does not grow with the corpus. Counting runs over all
+model grows with the number of languages, all of which it keeps, and not with the corpus. Counting runs over all
 training rows in tasks; what meets in the shuffle is a row for each language
 and table cell.
 """
@@ -14,14 +14,15 @@ and table cell.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +30,13 @@ from pyspark.sql import functions as F
 from shardwright.llm.common import crc_bucket, cut
 
 CELLS = 1 << 15
-#: The model's bound: so many languages, the most frequent ones, each with CELLS counts.
-MAX_LANGUAGES = 256
+#: The broadcast model's bound (8192 languages of CELLS scores). More raise an error; none is left out.
+MAX_MODEL_BYTES = 1 << 30
 SWITCH_PENALTY = 6.0
 #: A script belongs to a language if so many of its training letters are in it.
 SCRIPT_SHARE = 0.01
-CACHE_WORDS = 500_000
+#: Scores that a worker keeps (words times languages), words of training counted before they are folded in, and scores aligned at once.
+CACHE_SCORES, CACHE_WORDS, PATH_SCORES = 2_000_000, 500_000, 6_000_000
 
 # First code points of script ranges, from Unicode's blocks.
 SCRIPT_RANGES = [
@@ -53,16 +55,34 @@ _STARTS = [a for a, _ in SCRIPT_RANGES]
 _SCRIPTS = sorted({s for _, s in SCRIPT_RANGES})
 
 ASCII_WORDS = bytes(c | 0x20 if 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A else 0x20 for c in range(128)) + bytes(128)
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _members(first: str) -> str:
+    """The code points of a general category, as ranges of a character class."""
+    runs: list[list[int]] = []
+    for c in range(0x110000):
+        if unicodedata.category(chr(c))[0] == first:
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in runs)
+
+
+@lru_cache(None)
+def letters() -> re.Pattern:
+    """A word: a letter and what follows of letters and marks (such as vowel signs)."""
+    own = _members("L")
+    return re.compile(f"[{own}][{own}{_members('M')}]*")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case runs of letters."""
+    """Lower-case words of letters and their marks; figures, also raised, ringed and Roman ones, are none."""
     if not text:
         return []
     if text.isascii():
         return text.encode().translate(ASCII_WORDS).decode().split()
-    return LETTERS.findall(text.lower())
+    return letters().findall(text.lower())
 
 
 def script_of(word: str) -> str:
@@ -145,26 +165,30 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "cell", "script", "n"])
 
     counted = rows.mapInArrow(count, "lang string, cell int, script string, n long").groupBy("lang", "cell", "script").agg(F.sum("n").alias("n"))
-    counted = cut(counted)
-    most = counted.where("cell = -1").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")
-    return model_from_counts(counted.join(F.broadcast(most), "lang", "left_semi").toPandas())
-
-
-def model_from_counts(got: pd.DataFrame) -> Model:
-    n_docs = got[got.cell == -1].set_index("lang").n
-    ranked = sorted(n_docs.index, key=lambda x: (-n_docs[x], x))[:MAX_LANGUAGES]
-    languages = sorted(ranked)
-    tables = np.zeros((len(languages), CELLS))
-    scripts = {s: np.zeros(len(languages), bool) for s in _SCRIPTS}
-    for k, lang in enumerate(languages):
-        own = got[(got.lang == lang)]
-        cells = own[own.cell >= 0]
-        tables[k, cells.cell.to_numpy()] = cells.n.to_numpy()
-        by_script = own[own.cell == -2].set_index("script").n
+    # A row for each language, CELLS pairs and a few scripts at most.
+    tables = counted.groupBy("lang").agg(F.collect_list(F.struct("cell", "script", "n")).alias("held"))
+    tables = cut(tables)
+    if (n := tables.count()) * CELLS * 4 > MAX_MODEL_BYTES:
+        raise ValueError(f"{n} languages make a model of more than {MAX_MODEL_BYTES} bytes")
+    return model_from_counts((r["lang"], r["held"]) for r in tables.orderBy("lang").toLocalIterator())
+
+
+def model_from_counts(tables: Iterable[tuple[str, list[tuple[int, str | None, int]]]]) -> Model:
+    """The model of languages in order, each with (cell, script, n): cell -1 counts documents, -2 letters of a script."""
+    languages, scores, scripts, docs = [], [], {}, []
+    for k, (lang, held) in enumerate(tables):
+        cells = np.array([(c, n) for c, _, n in held if c >= 0], np.int64).reshape(-1, 2)
+        own = np.zeros(CELLS)
+        own[cells[:, 0]] = cells[:, 1]
+        languages.append(lang)
+        scores.append(np.log((own + 0.5) / (own.sum() + 0.5 * CELLS)).astype(np.float32))
+        docs.append(sum(n for c, _, n in held if c == -1))
+        by_script = {s: n for c, s, n in held if c == -2}
         for script, n in by_script.items():
-            scripts[script][k] = n >= SCRIPT_SHARE * by_script.sum()
-    scores = np.log((tables + 0.5) / (tables.sum(axis=1, keepdims=True) + 0.5 * CELLS)).astype(np.float32)
-    return Model(languages, scores, scripts, languages.index(ranked[0]) if ranked else 0)
+            if n >= SCRIPT_SHARE * sum(by_script.values()):
+                scripts.setdefault(script, []).append(k)
+    users = {s: np.isin(np.arange(len(languages)), scripts.get(s, [])) for s in _SCRIPTS}
+    return Model(languages, np.array(scores, np.float32).reshape(-1, CELLS), users, int(np.argmax(docs)) if docs else 0)
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
@@ -226,8 +250,9 @@ class Labeller:
             size = max(n, 2 * len(self.table))
             self.table = np.concatenate([self.table, np.zeros((size - len(self.table), self.table.shape[1]), np.float32)])
             self.sizes = np.concatenate([self.sizes, np.zeros(size - len(self.sizes), np.int32)])
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
+        step = max(64, min(4096, PATH_SCORES // self.table.shape[1]))
+        for at in range(0, len(words), step):
+            part = words[at : at + step]
             self.table[start + at : start + at + len(part)] = self.model.scores_of(part)
         self.sizes[start:n] = [len(w) for w in words]
         self.ids.update(zip(words, range(start, n)))
@@ -236,7 +261,7 @@ class Labeller:
         """(language, score, spans) of each text; a span is (first word, end word, language)."""
         if not self.model.languages:
             return [("und", 0.0, [])] * len(texts)
-        if len(self.ids) > CACHE_WORDS:
+        if len(self.ids) * len(self.model.languages) > CACHE_SCORES:
             self.__init__(self.model)
         split = [words_of(text) for text in texts]
         fresh: set[str] = set()
@@ -288,9 +313,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         labeller = model.labeller = model.labeller or Labeller(model)  # a worker keeps it for its next tasks
         for batch in batches:
             at = 0
-            while at < batch.num_rows:  # about 8 MB of text at a time
+            portion = max(1 << 16, min(8 << 20, 6 * PATH_SCORES // max(1, len(model.languages))))
+            while at < batch.num_rows:  # so much text at a time
                 size, to = 0, at
-                while to < batch.num_rows and size < 8 << 20:
+                while to < batch.num_rows and size < portion:
                     size += len(batch.column(text_at)[to].as_py() or "")
                     to += 1
                 part = batch.slice(at, to - at)

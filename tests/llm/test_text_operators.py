@@ -227,9 +227,27 @@ def test_language_edge_rows(spark):
     assert {r["lang_pred"] for r in langid.language_id(edge_docs(spark).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_figures_are_no_letters_and_marks_belong_to_words(spark):
+    assert langid.words_of("² ½ ① Ⅷ 3 _") == [] and langid.words_of("हिन्दी été") == ["हिन्दी", "été"]
+    more = [(30, "² ½ 3", None, "a"), (31, "①", None, "a"), (32, "the and of", "en", "a"), (33, "der die das", "de", "a"), (34, "the and of", "en", "a")]
+    got = langid.language_id(edge_docs(spark, more)).where("doc_id in (30, 31)").collect()
+    assert [(r["lang_pred"], r["score"]) for r in got] == [("und", 0.0)] * 2
+
+
+def test_all_languages_are_learned(spark):
+    """300 languages, each of words of its own; also those of a single document."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    own = {f"l{k:03d}": [word() for _ in range(12)] for k in range(300)}
+    docs = [(k, " ".join(rng.choices(ws, k=40)), lang) for k, (lang, ws) in enumerate(own.items())]
+    model = langid.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(own)
+    found = langid.Labeller(model).label([" ".join(rng.choices(ws, k=30)) for ws in own.values()])
+    assert sum(f[0] == lang for f, lang in zip(found, own)) >= 295
+
+
 def test_scripts_narrow_candidates():
-    counts = pd.DataFrame([("ru", -1, None, 1), ("en", -1, None, 2), ("ru", -2, "Cyrillic", 100), ("en", -2, "Latin", 100), ("ru", 5, None, 3), ("en", 7, None, 3)], columns=["lang", "cell", "script", "n"])
-    model = langid.model_from_counts(counts)
+    model = langid.model_from_counts([("en", [(-1, None, 2), (-2, "Latin", 100), (7, None, 3)]), ("ru", [(-1, None, 1), (-2, "Cyrillic", 100), (5, None, 3)])])
     scores = model.scores_of(["привет", "hello", "שלום"])
     assert scores[0].argmax() == 1 and scores[0][0] == -12 and scores[1].argmax() == 0 and scores[1][1] == -12 and (scores[2] == 0).all()
 
