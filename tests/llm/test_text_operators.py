@@ -278,6 +278,48 @@ def test_quality_of_held_out_rows():
     assert auc >= 0.9 and ((p >= 0.5) == y).mean() >= 0.9
 
 
+def brute_logit(net, text):
+    """The network by plain loops over one text."""
+    data = text.ljust(quality.HALF * ((len(text) + quality.HALF) // quality.HALF), b" ")
+    n, places = len(data), quality.HALF // quality.STRIDE
+    padded = data + b" " * quality.WIDTH
+    z = np.array([np.concatenate([net.embed[b] for b in padded[k : k + quality.WIDTH]]) @ net.conv for k in range(0, n, quality.STRIDE)])
+    z[-1] = -np.inf
+    halves = [np.maximum(z[k : k + places].max(axis=0) + net.bias, 0) for k in range(0, len(z), places)]
+    chunks = [np.maximum(a, b) for a, b in zip(halves, halves[1:])] or halves
+    f = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0), np.min(chunks, axis=0)])
+    return float((f - net.mean) / net.scale @ net.out + net.rate[0])
+
+
+def test_query_scores_equal_a_plain_network(spark, monkeypatch):
+    monkeypatch.setattr(quality, "EPOCHS", 1)
+    kept = {}
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda texts, y, *a: kept.setdefault("net", fit(texts, y, 1)))
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    docs = docs_of(spark).select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "x")], "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in quality.quality(docs, labels).collect()}
+    for r in docs.collect():
+        if len(r["text"] or "") > 4000:
+            continue
+        want = 1 / (1 + math.exp(-brute_logit(kept["net"], (r["text"] or "").encode())))
+        assert got[r["doc_id"]]["score"] == pytest.approx(want, abs=1e-4) and got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.5)
+
+
+def test_long_labelled_texts_train(spark, monkeypatch):
+    """Texts of 200 KB, told apart only at their end; and the sample stops at its bytes."""
+    seen = {}
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda texts, y, *a: seen.setdefault("net", (texts, y) and fit(texts, y, 2)) if not seen.update(n=[len(t) for t in texts]) else None)
+    rows = [(k, "ab " * 66_000 + ("good words " if k % 2 else "#### @@@@ ") * 400) for k in range(30)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, quality int")
+    got = quality.quality(docs, labels).collect()
+    assert min(seen["n"]) > 198_000 and all(r["predicted"] == r["doc_id"] % 2 for r in got)
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 1_000_000)
+    quality.train(docs, labels)
+    assert len(seen["n"]) == 5
+
+
 def test_network_gradient():
     rng = np.random.default_rng(2)
     texts, labels = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (10, 700, 1500, 300)], np.array([0, 1, 1, 0], np.float32)
