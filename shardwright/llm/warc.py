@@ -1,11 +1,13 @@
 """WARC archives of web pages, and a globally ordered index of their captures.
 
-Every page becomes a record of gzipped archives that Spark's text writer lays
-down in the shared folder: a value is a record's header and block, the line
-separator is the two blank lines that end a record. Payloads that repeat are
-written once; the others are revisit records. Archives are read back whole files
-at a time and parsed by their content lengths; the payload of every response is
-digested again.
+Every page becomes a record of its own gzip member, so a record can be read by
+its offset alone. Tasks pack members into chunks of bytes, and Spark's writer lays chunks
+down in the shared folder, a few for each archive, so that archives have a size in bytes.
+The writer is that of text files, which passes bytes through and ends a value with a
+separator: a chunk goes without its last byte, which is the zero that ends the last member's length, and
+the separator is that zero. Payloads that repeat are written once; the others are
+revisit records. Archives are read back whole files at a time and parsed by their
+content lengths; the payload of every response is digested again.
 
 The captures of an archive are a run, sorted by URL key, time and page. An
 external merge makes one order of all runs: boundaries from a sample of keys
@@ -18,9 +20,9 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import io
 import re
 import uuid
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -32,8 +34,12 @@ from pyspark.sql import functions as F
 from shardwright.llm.common import cut, ensure_checkpoint_dir
 
 MIN_REVISIT_BYTES = 1000
-#: Records of one archive and captures of one range, about; ranges at most, keys sampled for each.
-ARCHIVE_RECORDS, RANGE_CAPTURES, MAX_RANGES, SAMPLE_PER_RANGE = 20_000, 20_000, 10_000, 32
+#: Bytes of a chunk (or one record), chunks of an archive, and bytes of a record in one member: fewer than 16 MB, so that a member's length ends with a zero.
+CHUNK_BYTES, ARCHIVE_CHUNKS, MEMBER_BYTES = 4 << 20, 4, 8 << 20
+#: Captures of one range, about; ranges at most, keys sampled for each.
+RANGE_CAPTURES, MAX_RANGES, SAMPLE_PER_RANGE = 20_000, 10_000, 32
+#: Repeated payloads whose table (some 16 MB) is broadcast; more join by shuffle, each in so many parts.
+BROADCAST_DIGESTS, DIGEST_PARTS = 200_000, 16
 FIRST_CAPTURE = 1_704_067_200  # pages carry no time: captures are a second apart from here on
 
 ENTRY = "url_key string, captured string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string, offset long"
@@ -91,12 +97,19 @@ def with_digests(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     base = base.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1(F.col("payload").cast("binary"))})
-    same = base.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("payload_digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1 and keep is not null").drop("n")
-    return base.join(same, "payload_digest", "left")
+    long = F.col("payload_bytes") >= MIN_REVISIT_BYTES
+    same = cut(base.where(long).groupBy("payload_digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1 and keep is not null").drop("n"))
+    if same.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        return base.join(F.broadcast(same), "payload_digest", "left")  # no payload is shuffled
+    # Short payloads stay where they are, and no payload that repeats often meets in one task.
+    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(DIGEST_PARTS)).cast("int")
+    parts = same.select("payload_digest", "keep", F.explode(F.sequence(F.lit(0), F.lit(DIGEST_PARTS - 1))).alias("part"))
+    joined = base.where(long).withColumn("part", part).join(parts, ["payload_digest", "part"], "left").drop("part")
+    return joined.unionByName(base.where(~long).withColumn("keep", F.lit(None).cast("long")))
 
 
 def records(captures: DataFrame) -> Column:
-    """A record's text without the two blank lines that end it."""
+    """A record's text without the two line ends that end it."""
     crlf = "\r\n"
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     date = F.date_format(F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.coalesce(F.pmod("page_id", F.lit(1_000_000_000)), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -116,37 +129,84 @@ def records(captures: DataFrame) -> Column:
     )
 
 
+def members(record: bytes) -> bytes:
+    """A record as a gzip member, or several if it is long; the last byte is zero."""
+    return b"".join(gzip.compress(record[at : at + MEMBER_BYTES], 6, mtime=0) for at in range(0, len(record), MEMBER_BYTES))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records' texts to chunks of members, each without its last byte."""
+    held, size = [], 0
+
+    def chunk() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["chunk"])
+
+    for batch in batches:
+        for text in batch.column(0).cast(pa.binary()):
+            held.append(members(text.as_py() + b"\r\n\r\n"))
+            size += len(held[-1])
+            if size >= CHUNK_BYTES:
+                yield chunk()
+                held, size = [], 0
+    if held:
+        yield chunk()
+
+
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Writes a record for every row of ``pages`` to gzipped archives in ``folder``."""
     captures = with_digests(pages, id_col, url_col, html_col)
-    captures.select(records(captures).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(folder)
+    packed = captures.select(records(captures).alias("value")).mapInArrow(_chunks, "chunk binary")
+    packed.select(F.col("chunk").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", ARCHIVE_CHUNKS).text(folder)
+
+
+def _member(content: memoryview, offset: int) -> tuple[bytes, int]:
+    """The data of the gzip member at an offset, and where it ends."""
+    stream, out, at = zlib.decompressobj(31), [], offset
+    while not stream.eof:
+        if at >= len(content):
+            raise ValueError(f"torn member at {offset}")
+        out.append(stream.decompress(content[at : at + (1 << 16)]))
+        at = min(len(content), at + (1 << 16))
+    return b"".join(out), at - len(stream.unused_data)
+
+
+def read_record(content: bytes, offset: int, name: str = "") -> tuple[tuple, bytes, int]:
+    """(capture as a tuple of ENTRY, payload, where the next record begins) of the record at an offset; a wrong digest or a torn record is an error."""
+    view = memoryview(content)
+    try:
+        data, end = _member(view, offset)
+        while (blank := data.find(b"\r\n\r\n")) < 0:
+            more, end = _member(view, end)
+            data += more
+        if not data.startswith(b"WARC/1.1\r\n"):
+            raise ValueError("no record")
+        header = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in data[:blank].decode().split("\r\n")[1:])}
+        length, parts, size = int(header["content-length"]), [data[blank + 4 :]], len(data) - blank - 4
+        while size < length + 4:
+            more, end = _member(view, end)
+            parts.append(more)
+            size += len(more)
+    except (zlib.error, ValueError) as e:
+        raise ValueError(f"{name}: no record or a torn record at {offset}: {e}") from e
+    block = b"".join(parts)
+    if size != length + 4 or block[length:] != b"\r\n\r\n":
+        raise ValueError(f"{name}: torn record at {offset}")
+    http, _, payload = block[:length].partition(b"\r\n\r\n")
+    kind, digest = header["warc-type"], header["warc-payload-digest"].removeprefix("sha1:")
+    declared = int(re.search(rb"content-length: (\d+)", http, re.I)[1])
+    if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != declared):
+        raise ValueError(f"{name}: wrong payload at {offset}")
+    page = lambda k: int(n) if (n := header.get(k, "").removeprefix("<urn:x-page:").rstrip(">")) else None
+    url = header["warc-target-uri"]
+    return (url_key(url), header["warc-date"], page("warc-record-id"), url, kind, page("warc-refers-to"), declared, digest, name, offset), payload, end
 
 
 def read_archive(content: bytes, name: str) -> Iterator[tuple]:
-    """The captures of one archive, in its order, as tuples of ENTRY; a wrong digest or a torn record is an error."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)))
-    offset = 0
-    while first := stream.readline():
-        if first != b"WARC/1.1\r\n":
-            raise ValueError(f"{name}: no record at {offset}")
-        header, size = {}, len(first)
-        while (line := stream.readline()) not in (b"\r\n", b""):
-            size += len(line)
-            key, _, value = line.decode().partition(":")
-            header[key.lower()] = value.strip()
-        length = int(header["content-length"])
-        block = stream.read(length + 4)
-        if len(block) != length + 4 or block[length:] != b"\r\n\r\n":
-            raise ValueError(f"{name}: torn record at {offset}")
-        http, _, payload = block[:length].partition(b"\r\n\r\n")
-        kind, digest = header["warc-type"], header["warc-payload-digest"].removeprefix("sha1:")
-        declared = int(re.search(rb"content-length: (\d+)", http, re.I)[1])
-        if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != declared):
-            raise ValueError(f"{name}: wrong payload at {offset}")
-        page = lambda k: int(n) if (n := header.get(k, "").removeprefix("<urn:x-page:").rstrip(">")) else None
-        url = header["warc-target-uri"]
-        yield url_key(url), header["warc-date"], page("warc-record-id"), url, kind, page("warc-refers-to"), declared, digest, name, offset
-        offset += size + 2 + length + 4
+    """The captures of one archive, in its order, as tuples of ENTRY."""
+    at = 0
+    while at < len(content):
+        entry, _, at = read_record(content, at, name)
+        yield entry
 
 
 def _sortable(entry: tuple) -> tuple:
@@ -218,7 +278,7 @@ def read_index(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     n = pages.count()
     ranges = max(1, min(MAX_RANGES, -(-n // RANGE_CAPTURES)))
     cuts = boundaries(pages, id_col, url_col, ranges)
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("path", "content")
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
     segments = archives.mapInArrow(_segments(cuts), f"part int, run string, entries array<struct<{ENTRY.replace(' ', ':').replace(',:', ',')}>>")
     return segments.repartition(ranges, "part").sortWithinPartitions("part", "run").mapInArrow(_merge, f"{ENTRY}, index_range int, index_rank long")
 

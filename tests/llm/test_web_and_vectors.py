@@ -42,14 +42,46 @@ def test_archives_of_odd_pages(spark, monkeypatch):
     assert warc.archive_round_trip(pages.where("false")).count() == 0
 
 
+def archives(folder):
+    return sorted(folder.glob("part-*"))
+
+
 def test_archives_are_plain_warc(spark, tmp_path):
     warc.write_archives(pages_of(spark).limit(5), str(tmp_path / "w"))
-    records = [e for f in (tmp_path / "w").glob("*.gz") for e in warc.read_archive(f.read_bytes(), f.name)]
+    records = [e for f in archives(tmp_path / "w") for e in warc.read_archive(f.read_bytes(), f.name)]
     assert len(records) == 5
-    data = gzip.decompress(max((tmp_path / "w").glob("*.gz"), key=lambda f: f.stat().st_size).read_bytes())
+    content = max(archives(tmp_path / "w"), key=lambda f: f.stat().st_size).read_bytes()
+    assert gzip.decompress(content).count(b"WARC/1.1\r\n") == len(list(warc.read_archive(content, "x")))
+    data = gzip.decompress(content[: warc.read_record(content, 0)[2]])
     assert data.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and data.endswith(b"\r\n\r\n")
-    with pytest.raises(ValueError, match="wrong payload|torn record|no record"):
+    with pytest.raises(ValueError, match="wrong payload"):
         list(warc.read_archive(gzip.compress(data.replace(b"<p>", b"<q>", 1)), "x"))
+    with pytest.raises(ValueError, match="torn record"):
+        list(warc.read_archive(gzip.compress(data)[:-9], "x"))
+
+
+def test_archives_are_bounded_by_bytes_and_read_by_offset(spark, tmp_path, monkeypatch):
+    """Workers take the module's own bounds, so pages are large: 12 of 3 MB that do not compress, and one beyond a member."""
+    rng = random.Random(4)
+    noise = lambda n: rng.randbytes(n).hex()
+    rows = [(k, f"http://a.com/{k}", noise(1_500_000)) for k in range(12)] + [(12, "http://a.com/12", noise(10 << 20)), (13, "http://a.com/13", "x" * 100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    found = archives(tmp_path / "w")
+    assert len(found) > 1 and max(f.stat().st_size for f in found) < warc.ARCHIVE_CHUNKS * warc.CHUNK_BYTES + (22 << 20)
+    n = 0
+    for f in found:
+        content = f.read_bytes()
+        for entry in list(warc.read_archive(content, f.name)):
+            again, payload, _ = warc.read_record(content, entry[-1], f.name)
+            assert again == entry and payload.decode() == rows[entry[2]][2]
+            n += 1
+    assert n == len(rows)
+
+
+def test_repeated_payloads_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    same(warc.archive_round_trip(pages_of(spark)), warc.WARC_SQL)
 
 
 def test_loser_tree_merges():
