@@ -1,14 +1,15 @@
 """Licence scans: an exact set-similarity join of text blocks with licence templates.
 
-Built-in functions only. A block is a line, its set the distinct words; it
-matches a template if it contains ``threshold`` of the template's words or
-more. Template words are ordered by how many blocks of the whole corpus hold
+Built-in functions only. A block is a window of words over line ends, twice as long as the
+longest template and half over the next one, so a notice lies whole in one of them however it is wrapped. It
+matches a template if it contains ``threshold`` of the template's distinct words or
+more. Template words are ordered by how many texts of the whole corpus hold
 them, rarest first. With t = ceil(threshold * size) words needed, a matching
-block must hold one of the first size - t + 1 template words (prefix filter),
-at least t words (length filter), and from the first shared word on enough
-words must be left on both sides (positional filter). What passes is verified
-by intersection. All of it stays in the document's row: no shuffle but for the
-word frequencies, which are a row for each template word.
+block must hold one of the first size - t + 1 template words: only blocks with such a word
+leave their text, as the template words they hold in that order, and an equi-join on the words themselves
+pairs them with templates (prefix filter). A pair needs t words in the block (length filter), and
+from the first shared word on enough words must be left on both sides (positional filter). What passes is
+verified by intersection. Texts are not shuffled; what was found meets its row by a number.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardwright.llm.common import stored
 
 # Phrases that name a licence, and their labels.
 PHRASES = {
@@ -39,6 +41,8 @@ TEMPLATES = {
 }
 
 THRESHOLD = 0.8
+#: Template words of prefixes whose table is broadcast (some MB).
+BROADCAST_ROWS = 20_000
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -55,55 +59,70 @@ def template_words(templates: dict[str, str]) -> dict[str, list[str]]:
     return {label: sorted(set(re.findall("[a-z0-9]+", text.lower()))) for label, text in templates.items()}
 
 
+def half_window(templates: dict[str, str]) -> int:
+    """Words of the longest template: windows of twice as many begin at its multiples."""
+    return max((len(re.findall("[a-z0-9]+", text.lower())) for text in templates.values()), default=1) or 1
+
+
 def _strings(values: list[str]) -> Column:
     return F.array(*(F.lit(v) for v in values)) if values else F.array().cast("array<string>")
 
 
-def word_frequencies(lines: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """How many blocks hold each word of the (fixed, small) vocabulary; ``lines`` has a column of lines."""
-    held = lines.select(F.explode("_lines").alias("line")).select(F.explode(F.array_intersect(_strings(vocabulary), words(F.col("line")))).alias("word"))
+def needed(size: int, threshold: float) -> int:
+    return max(1, math.ceil(threshold * size - 1e-9))
+
+
+def word_frequencies(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """How many texts hold each word of the templates; ``texts`` has _text."""
+    held = texts.select(F.explode(F.array_intersect(_strings(vocabulary), words(F.col("_text")))).alias("word"))
     found = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
     return {w: found.get(w, 0) for w in vocabulary}
 
 
-def _matches(held: Column, templates: dict[str, list[str]], order: list[str], threshold: float) -> Column:
-    """Structs (score, label) of the templates found in a block; ``held`` are its template words, rarest first."""
-    rank = {w: i for i, w in enumerate(order)}
-    out = []
+def found_templates(blocks: DataFrame, templates: dict[str, list[str]], order: list[str], threshold: float) -> DataFrame:
+    """(row, word, label, score) of every template that a block contains; ``blocks`` has row, word (the block's first) and held, its template words in order."""
+    spark, rank = blocks.sparkSession, {w: i for i, w in enumerate(order)}
+    rows = []
     for label, tokens in templates.items():
         tokens = sorted(tokens, key=rank.get)
-        need = math.ceil(threshold * len(tokens) - 1e-9)
-        prefix = tokens[: len(tokens) - need + 1]
-        first = F.array_position(held, F.element_at(F.array_intersect(_strings(prefix), held), 1))
-        mine = F.array_position(_strings(tokens), F.element_at(F.array_intersect(_strings(prefix), held), 1))
-        left = F.least(F.size(held) - first, len(tokens) - mine) + 1  # both from the first shared word on
-        shared = F.size(F.array_intersect(_strings(tokens), held))
-        passes = (F.size(held) >= need) & F.arrays_overlap(held, _strings(prefix)) & (left >= need)
-        out.append(F.when(passes & (shared >= need), F.struct((shared / F.lit(float(len(tokens)))).alias("score"), F.lit(label).alias("label"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+        need = needed(len(tokens), threshold)
+        rows += [(token, place, label, need, tokens) for place, token in enumerate(tokens[: len(tokens) - need + 1])]
+    table = spark.createDataFrame(rows, "token string, place int, label string, need int, tokens array<string>")
+    table = F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
+    asked = blocks.select("row", "word", "held", F.posexplode("held").alias("at", "token"))
+    pairs = asked.join(table, "token").where(F.size("held") >= F.col("need"))  # the prefix and length filters
+    pairs = pairs.where(F.element_at(F.array_intersect("tokens", "held"), 1) == F.col("token"))  # once for each pair, at its first shared word
+    left = F.least(F.size("held") - F.col("at"), F.size("tokens") - F.col("place"))
+    shared = F.size(F.array_intersect("tokens", "held"))
+    return pairs.where((left >= F.col("need")) & (shared >= F.col("need"))).select("row", "word", "label", (shared / F.size("tokens").cast("double")).alias("score"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
     score: 1 where a phrase stands, else the best containment of a template that
-    was found, else 0. blocks: (line from 0, label, score) of every template
-    found. Null text counts as empty: no words, empty label strings, null
-    positions. Repeated rows stay; other columns are not read.
+    was found, else 0. blocks: (first word from 0, label, score) of every template
+    found in a window. Null text counts as empty: no words, empty label strings, null
+    positions. Repeated rows stay; other columns are not read. Templates without words match nothing.
     """
-    wanted = template_words(templates)
+    wanted = {label: tokens for label, tokens in template_words(templates).items() if tokens}
     vocabulary = sorted({w for tokens in wanted.values() for w in tokens})
-    base = docs.select(F.col(id_col), lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_text"))
-    frequency = word_frequencies(base.select(F.split("_text", "\n").alias("_lines")), vocabulary)
+    half = half_window(templates)
+    base = docs.select(F.col(id_col).alias("_id"), lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_text"))
+    frequency = word_frequencies(base, vocabulary)
     order = sorted(vocabulary, key=lambda w: (frequency[w], w))
-
-    lined = base.select(
-        id_col,
-        F.concat(F.lit(" "), F.array_join(words(F.col("_text")), " "), F.lit(" ")).alias("_joined"),
-        F.transform(F.split("_text", "\n"), lambda line: F.array_intersect(_strings(order), words(line))).alias("_held"),
-    )
-    numbered = F.transform("_held", lambda held, i: F.when(F.size(held) >= 1, F.transform(_matches(held, wanted, order, threshold), lambda m: F.struct(i.alias("line"), m["label"].alias("label"), m["score"].alias("score")))))
-    found = lined.select(id_col, "_joined", F.flatten(F.filter(numbered, lambda x: x.isNotNull() & (F.size(x) > 0))).alias("blocks"))
+    rank = {w: i for i, w in enumerate(order)}
+    prefix = sorted({w for tokens in wanted.values() for w in sorted(tokens, key=rank.get)[: len(tokens) - needed(len(tokens), threshold) + 1]})
+
+    split = base.select("_id", words(F.col("_text")).alias("_words"))
+    # Windows that hold a word of some prefix: each word is in the one that begins at its multiple of ``half``, and in the one before.
+    last = F.greatest(F.lit(0), F.ceil(F.size("_words") / half).cast("int") - 2)
+    places = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(prefix), F.floor(i / half).cast("int"))), lambda x: x.isNotNull())
+    found = split.select("_id", "_words", F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")).alias("_joined"), last.alias("_last"), F.array_distinct(places).alias("_places"))
+    windows = F.array_distinct(F.flatten(F.transform("_places", lambda k: F.array(F.greatest(k - 1, F.lit(0)), k))))
+    windows = F.filter(windows, lambda k: k <= F.col("_last"))
+    held = F.transform(windows, lambda k: F.struct((k * half).alias("word"), F.array_intersect(_strings(order), F.slice("_words", k * half + 1, F.lit(2 * half))).alias("held")))
+    lined = found.select("_id", "_joined", held.alias("_held"))
 
     j = F.col("_joined")
     spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
@@ -117,30 +136,33 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         counts.append(F.when(at > 0, F.regexp_count(j, F.lit(f" {phrase}(?= )"))).otherwise(0))
         labels.append(F.when(at > 0, F.lit(label)))
     base_labels = F.array_sort(F.array_distinct(F.filter(F.array(*labels), lambda x: x.isNotNull())))
-    own = F.transform("blocks", lambda b: b["label"])
-    best = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["score"])), F.lit(0.0))
-    return found.select(
-        id_col,
+    narrow = lined.select(
+        F.monotonically_increasing_id().alias("row"),
+        "_id",
         F.when(j == "  ", 0).otherwise(spaces(j) - 1).cast("long").alias("n_words"),
         sum(counts[1:], counts[0]).cast("long").alias("n_base"),
         F.least(*firsts).cast("long").alias("first_word"),
         F.greatest(*lasts).cast("long").alias("last_word"),
         base_labels.alias("_base"),
-        own.alias("_own"),
-        best.alias("_best"),
-        "blocks",
-    ).select(
-        id_col, "n_words", "n_base", "first_word", "last_word",
+        "_held",
+    )
+    narrow = stored(narrow, "licences")
+    blocks = narrow.select("row", F.explode("_held").alias("b")).select("row", "b.word", "b.held")
+    own = found_templates(blocks, wanted, order, threshold)
+    own = own.groupBy("row").agg(F.collect_set("label").alias("_own"), F.max("score").alias("_best"), F.array_sort(F.collect_list(F.struct("word", "label", "score"))).alias("blocks"))  # of one text
+    none = F.array().cast("array<string>")
+    return narrow.join(own, "row", "left").select(
+        F.col("_id").alias(id_col), "n_words", "n_base", "first_word", "last_word",
         F.array_join("_base", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("_base", "_own")), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.col("_best")).alias("score"),
-        "blocks",
+        F.array_join(F.array_sort(F.array_union("_base", F.coalesce("_own", none))), ",").alias("labels"),
+        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("_best", F.lit(0.0))).alias("score"),
+        F.coalesce("blocks", F.array().cast("array<struct<word:int,label:string,score:double>>")).alias("blocks"),
     )
 
 
 def license_sql(phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The digest columns in DuckDB, by brute force over all lines and templates."""
-    wanted = template_words(templates)
+    """The digest columns in DuckDB, by brute force over all windows and templates."""
+    wanted, half = template_words(templates), half_window(templates)
     rows = ", ".join(f"('{label}', [{', '.join(f"'{w}'" for w in tokens)}], {math.ceil(threshold * len(tokens) - 1e-9)})" for label, tokens in wanted.items())
     named = ", ".join(f"('{p}', '{label}')" for p, label in phrases.items())
     split = lambda s: f"list_filter(string_split_regex({s}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
@@ -153,7 +175,7 @@ places AS (
   WHERE array_to_string(ws[i + 1 : i + n], ' ') = phrase),
 base AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY rid),
 templates(label, tokens, need) AS (VALUES {rows}),
-blocks AS (SELECT rid, list_distinct({split('line')}) AS ws FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM low)),
+blocks AS (SELECT rid, list_distinct(ws[k * {half} + 1 : k * {half} + {2 * half}]) AS ws FROM (SELECT rid, ws, unnest(range(0, CAST(greatest(0, ceil(len(ws) / CAST({half} AS DOUBLE)) - 2) AS BIGINT) + 1)) AS k FROM w)),
 found AS (SELECT rid, label, len(list_intersect(tokens, ws)) / CAST(len(tokens) AS DOUBLE) AS score FROM blocks, templates WHERE len(list_intersect(tokens, ws)) >= need),
 own AS (SELECT rid, max(score) AS score, list(DISTINCT label) AS labels FROM found GROUP BY rid)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

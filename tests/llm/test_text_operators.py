@@ -184,7 +184,28 @@ def test_license_scan_of_odd_texts_equals_sql(spark):
     same(licenses.license_scan(docs).drop("blocks"), licenses.license_sql(), {"documents": view})
     assert licenses.license_scan(empty(spark)).count() == 0
     hit = licenses.license_scan(docs).where("doc_id = 4").first()
-    assert hit["blocks"][0]["line"] == 1 and hit["blocks"][0]["label"] == "mit-notice" and hit["score"] == 1.0
+    assert hit["blocks"][0]["word"] == 0 and hit["blocks"][0]["label"] == "mit-notice" and hit["score"] == 1.0
+
+
+def test_notices_wrapped_over_lines_and_deep_in_a_text(spark):
+    mit, bsd = licenses.TEMPLATES["mit-notice"].split(), licenses.TEMPLATES["bsd-notice"].split()
+    far = " ".join(f"w{k}" for k in range(777))
+    texts = [" ".join(mit[:13]) + "\n * " + " ".join(mit[13:]), f"{far}\n" + "\n".join(mit) + f"\n{far}", f"{far} {' '.join(bsd[:9])}\n\n{' '.join(bsd[9:])}", " ".join(w for k, w in enumerate(mit) if k % 2), far]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_scan(docs).collect()}
+    assert got == {0: ("mit-notice", 1.0), 1: ("mit-notice", 1.0), 2: ("bsd-notice", 1.0), 3: ("", 0.0), 4: ("", 0.0)}
+    same(licenses.license_scan(docs).drop("blocks"), licenses.license_sql(), {"documents": docs.toPandas()})
+
+
+@pytest.mark.parametrize("rows", [0, 20_000])
+def test_many_templates_join_alike(spark, monkeypatch, rows):
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", rows)
+    rng = random.Random(2)
+    vocabulary = [f"v{k}" for k in range(300)]
+    templates = {f"t{k}": " ".join(rng.choices(vocabulary, k=rng.randint(1, 15))) for k in range(200)}
+    texts = [" ".join(rng.choices(vocabulary, k=30) + [w for w in templates[f"t{k}"].split() if rng.random() < 0.85] + rng.choices(vocabulary, k=20)) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    same(licenses.license_scan(docs, templates=templates).drop("blocks"), licenses.license_sql(templates=templates), {"documents": docs.toPandas()})
 
 
 @pytest.mark.parametrize("entropy,limit", [(0.5, 4.0), (0.999, 4.0), (1.0, 1.3), (1.0, 0.5)])
