@@ -8,8 +8,8 @@ too. The mix is realised as block permutations: documents fall into blocks of
 about ``block_docs`` by hash, every epoch permutes the blocks of a source and the
 documents of a block anew, and a source's budget of tokens is spent on whole
 epochs and then on the front of one more permutation. So no step needs a source
-in one place: sums run over blocks, and only a cut block's documents
-are looked at one by one.
+in one place: sums run over blocks, first within ranges of their order, then over the
+ranges, and only a cut block's documents are looked at one by one.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ ENTROPY, MAX_EPOCHS, BUDGET_RATIO, BLOCK_DOCS, SEED, LEVELS = 0.999, 4.0, 1.0, 2
 AT_ONCE = 4
 #: Up to so many sources (a few MB) the plan is broadcast; beyond, it joins by shuffle, where Spark splits hot sources.
 BROADCAST_SOURCES = 50_000
+#: Hexadecimal digits that cut the order of a source's blocks into ranges.
+RANGE_DIGITS = 3
 
 
 def n_tokens(text: Column) -> Column:
@@ -78,6 +80,19 @@ def _rank_key(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws("|", *(p if isinstance(p, Column) else F.lit(str(p)) for p in parts)).cast("binary"))
 
 
+def before(blocks: DataFrame, group: list[str], key: Column, value: str, name: str) -> DataFrame:
+    """``blocks`` with ``name``, the sum of ``value`` over the rows of the group that stand before in order of ``key`` (a digest) and block.
+
+    Sums run within ranges of the digest, then over a group's ranges, so no group meets in one task.
+    """
+    keyed = blocks.withColumn("_order", key).withColumn("_range", F.substring("_order", 1, RANGE_DIGITS))
+    so_far = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = keyed.groupBy(*group, "_range").agg(F.sum(value).alias("_held"))
+    first = ranges.select(*group, "_range", so_far(W.partitionBy(*group).orderBy("_range"), "_held").alias("_first"))
+    inside = keyed.withColumn("_inside", so_far(W.partitionBy(*group, "_range").orderBy("_order", "block"), value))
+    return inside.join(first, [*group, "_range"]).withColumn(name, F.col("_first") + F.col("_inside")).select(*blocks.columns, name)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, budget_ratio: float = BUDGET_RATIO, block_docs: int = BLOCK_DOCS, seed: int = SEED, key_col: str | None = None) -> DataFrame:
     """The mixed order, a row for each use of a document.
 
@@ -112,9 +127,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     # The blocks of the last, partial epoch: whole ones while they fit, then one that is cut.
     part = placed.where("rest > 0").groupBy("source", "block").agg(F.sum("n_tokens").alias("held"), F.first("full").alias("full"), F.first("rest").alias("rest"))
-    walk = W.partitionBy("source").orderBy(_rank_key(seed, "order", (F.col("full") + 1).cast("string"), F.col("source"), F.col("block").cast("string")), "block")
-    before = F.coalesce(F.sum("held").over(walk.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    taken = part.withColumn("before", before).where("before < rest").select("source", "block", (F.col("rest") - F.col("before")).alias("left"), (F.col("before") + F.col("held") > F.col("rest")).alias("cut"))
+    walk = _rank_key(seed, "order", (F.col("full") + 1).cast("string"), F.col("source"), F.col("block").cast("string"))
+    taken = before(part, ["source"], walk, "held", "before").where("before < rest").select("source", "block", (F.col("rest") - F.col("before")).alias("left"), (F.col("before") + F.col("held") > F.col("rest")).alias("cut"))
 
     inside = _rank_key(seed, "doc", F.col("epoch").cast("string"), name)
     every = placed.withColumn("epoch", F.explode(F.expr("CASE WHEN full > 0 THEN sequence(1L, full) END"))).select(*carried, "_id", "source", "n_tokens", "weight", "block", "epoch", F.lit(None).cast("long").alias("left"))
@@ -124,9 +138,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ranked = both.withColumn("position", F.row_number().over(within).cast("long")).withColumn("_sum", F.sum("n_tokens").over(within.rowsBetween(W.unboundedPreceding, 0)))
     kept = ranked.where("left is null or _sum <= left")
 
-    blocks = kept.groupBy("source", "epoch", "block").agg(F.lit(1).alias("one")).select("source", "epoch", "block")
-    order = W.partitionBy("source", "epoch").orderBy(_rank_key(seed, "order", F.col("epoch").cast("string"), F.col("source"), F.col("block").cast("string")), "block")
-    ranks = blocks.withColumn("block_rank", F.row_number().over(order).cast("long"))
+    blocks = kept.groupBy("source", "epoch", "block").agg(F.lit(1).alias("one"))
+    order = _rank_key(seed, "order", F.col("epoch").cast("string"), F.col("source"), F.col("block").cast("string"))
+    ranks = before(blocks, ["source", "epoch"], order, "one", "place").select("source", "epoch", "block", (F.col("place") + 1).cast("long").alias("block_rank"))
     return kept.join(ranks, ["source", "epoch", "block"]).select(F.col("_id").alias(id_col), "source", "n_tokens", F.lit(alpha).alias("alpha"), "weight", F.col("epoch").cast("long").alias("epoch"), "block", "block_rank", "position", *(F.col(c).alias(key_col) for c in carried))
 
 
