@@ -1,14 +1,18 @@
-"""Near-copies by exact Jaccard similarity of word shingles.
+"""Near-copies: SimHash links, held against the Jaccard similarity of word shingles and made complete.
 
-A prefix-filter join that loses no pair: the shingles of a text are put in one
+SimHash fingerprints of the shingles that differ in two bits at most are
+linked by the bit-sliced comparison of ``simhash``; links count where the sets'
+exact Jaccard similarity is high enough. Such fingerprints miss pairs near the threshold, so a prefix
+filter, which loses no pair, finds the rest: the shingles of a text are put in one
 global order, and two sets whose Jaccard similarity is t or more share a shingle
 among the first n - ceil(t n) + 1 of each (n: its size). Any order is right; rare
 ones first make it cheap, so shingles are counted in ``CELLS`` hashed cells. Equal
-sets collapse first. Candidates come in two rounds: neighbours in a shingle's list are verified
-and connected, then the pairs of a list that are not yet connected are, if parity
-marks of their sets leave it possible: bit i of ``MARKS`` says whether an odd
+sets collapse first. Neighbours in a shingle's list are verified and connected, twice, so
+groups of copies are one before pairs are looked for; then the pairs of a list that are not yet
+connected are compared bit-sliced, by parity
+marks of their sets: bit i of ``MARKS`` says whether an odd
 number of items falls to i, so sets differ in at least as many items as their
-marks in bits. Inside a list all pairs are looked at, but only these come out as rows.
+marks in bits. Lists stand in order of size, so a set is set only against those up to 1 / t of its size; only pairs within their radius come out as rows.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 
 from shardwright.llm.common import cut, stored
 from shardwright.llm.components import components
-from shardwright.llm.simhash import shingle_hashes
+from shardwright.llm.simhash import links as fingerprint_links
+from shardwright.llm.simhash import majority, shingle_hashes, sliced_pairs
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Cells of the counts that order shingles; they decide on cost only.
@@ -39,23 +44,24 @@ def needed(size: int, similarity: float) -> int:
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp, items, marks) for every row: its distinct shingle hashes in order, a hash of them all and their marks; no words, no items."""
+    """(id, fp, simhash, items, marks) for every row: its distinct shingle hashes in order, a hash of them all, their majority bits and marks; no words, no items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, offsets, parts, marks = [], [0], [np.empty(0, np.int64)], []
+            fps, similar, offsets, parts, marks = [], [], [0], [np.empty(0, np.int64)], []
             for text in batch.column(1).cast(pa.binary()):
                 items = np.unique(shingle_hashes(text.as_py(), shingle).view("<i8"))
                 fps.append(xxhash.xxh64_intdigest(items.tobytes()) - (1 << 63))
+                similar.append(majority(items.view("<u8")))
                 parts.append(items)
                 offsets.append(offsets[-1] + len(items))
                 odd = np.bincount((items.view(np.uint64) >> np.uint64(32)) % np.uint64(MARKS), minlength=MARKS) & 1
                 marks.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
             items = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), items, pa.array(marks, pa.list_(pa.int64()))], names=["id", "fp", "items", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(similar, pa.int64()), items, pa.array(marks, pa.list_(pa.int64()))], names=["id", "fp", "simhash", "items", "marks"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, fp long, items array<long>, marks array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, fp long, simhash long, items array<long>, marks array<long>")
 
 
 def cell_counts(sets: DataFrame) -> np.ndarray:
@@ -94,27 +100,41 @@ def _prefixes(order, similarity: float):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, size, fp) that stand sorted: those of keys with two rows or more, each with the one before it."""
-    last: tuple[int, int, int] | None = None
-    fresh = True  # nothing of the last row's key has come out
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, size, fp) that stand sorted by key: those whose key another row has."""
+    held, joined = None, False  # the last row so far, and whether the one before has its key
+    names = ["key", "size", "fp"]
     for batch in batches:
-        out: list[tuple[int, int, int, int | None]] = []
-        for key, size, fp in zip(*(c.to_pylist() for c in batch.columns)):
-            if last is not None and last[0] == key:
-                if fresh:
-                    out.append((*last, None))
-                out.append((key, size, fp, last[2]))
-                fresh = False
-            else:
-                fresh = True
-            last = (key, size, fp)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["key", "size", "fp", "before"])
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*([] if held is None else [held]), batch]).combine_chunks().to_batches()[0]
+        keys = rows.column(0).to_numpy()
+        same = keys[1:] == keys[:-1]
+        keep = np.concatenate([[joined], same])[:-1] | same
+        yield rows.slice(0, len(keep)).filter(pa.array(keep))
+        held, joined = rows.slice(len(keys) - 1), bool(same[-1]) if len(same) else joined
+    if joined:
+        yield pa.RecordBatch.from_arrays(held.columns, names=names)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, size, fp, root) that stand sorted: pairs (a, b) of neighbours of one key with different roots."""
+    last = None
+    for batch in batches:
+        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (0, 2, 3)], axis=1)
+        if last is not None:
+            rows = np.concatenate([last, rows])
+        last = rows[-1:].copy()
+        one, two = rows[:-1], rows[1:]
+        pick = (one[:, 0] == two[:, 0]) & (one[:, 2] != two[:, 2])
+        a, b = one[pick, 1], two[pick, 1]
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     own = sets.select("fp", "items").join(nodes, "fp", "left_semi").dropDuplicates(["fp"])
     both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
@@ -122,28 +142,85 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
 
+def simhash_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that SimHash links connect: equal fingerprints meet at their smallest set, and those at the fingerprint they are linked to."""
+    own = cut(sets.where(F.size("items") > 0).groupBy("simhash").agg(F.min("fp").alias("low")))
+    same = sets.join(own, "simhash").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
+    edges = fingerprint_links(own.select(F.col("simhash").alias("fp")))
+    linked = edges.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return same.union(linked)
+
+
+def _close(similarity: float):
+    """Kernel over rows (key, size, fp, root, marks) sorted by key and size: pairs (a, b) of a key that may be similar and have different roots."""
+    most = (1 - similarity) / (1 + similarity)  # of both sizes: what similar sets differ in at most
+
+    def pairs(groups: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        groups.sort(key=lambda g: len(g[0]), reverse=True)
+        size, fp, root, marks = (np.concatenate(c) for c in zip(*groups))
+        bits = np.unpackbits(marks.view(np.uint8), axis=1)
+        radius = np.floor(most * (1 + 1 / similarity) * size + 1e-6).astype(np.int64)  # the other set is the larger one
+        fits = lambda d, lanes: (size[:lanes] >= similarity * np.concatenate([size[d : lanes + d], np.full(max(0, lanes + d - len(size)), 1 << 60)])[:lanes] - 1e-9) & (root[:lanes] != np.concatenate([root[d : lanes + d], np.zeros(max(0, lanes + d - len(size)), np.int64)])[:lanes])
+        for i, j in sliced_pairs(bits, [len(g[0]) for g in groups], radius, fits, 16):
+            differ = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1)
+            near = differ <= most * (size[i] + size[j]) + 1e-6
+            a, b = np.minimum(fp[i], fp[j])[near], np.maximum(fp[i], fp[j])[near]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        key, count = None, 0
+        for batch in batches:
+            keys, size, fp, root = (batch.column(c).to_numpy() for c in range(4))
+            marks = batch.column(4).flatten().to_numpy().reshape(-1, MARKS // 64)
+            edges = np.flatnonzero(np.diff(keys)) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(keys)]):
+                if lo == hi:
+                    continue
+                if keys[lo] != key:
+                    if held:
+                        ready.append(tuple(np.concatenate(c) for c in zip(*held)))
+                        count += len(ready[-1][0])
+                    if count > 4096:
+                        yield from pairs(ready)
+                        ready, count = [], 0
+                    key, held = keys[lo], []
+                held.append((size[lo:hi].astype(np.int64), fp[lo:hi].copy(), root[lo:hi].copy(), marks[lo:hi].copy()))
+        if held:
+            ready.append(tuple(np.concatenate(c) for c in zip(*held)))
+        if ready:
+            yield from pairs(ready)
+
+    return run
+
+
 def links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect what the similar pairs of ``sets`` (fp, items, marks) connect."""
+    """Edges (a, b) that connect what the similar pairs of ``sets`` (fp, simhash, items, marks) connect."""
+    found = cut(_verified(simhash_pairs(sets), sets, similarity))
     order = sets.sparkSession.sparkContext.broadcast(cell_counts(sets))
     heads = sets.where(F.size("items") > 0).select("fp", "items").mapInArrow(_prefixes(order, similarity), "fp long, size int, prefix array<long>").dropDuplicates(["fp"])
-    rows = heads.select(F.explode("prefix").alias("key"), "size", "fp").repartition("key").sortWithinPartitions("key", "size", "fp")
-    lists = stored(rows.mapInArrow(_shared, "key long, size int, fp long, before long"), "lists")
-    beside = cut(lists.where("before is not null").select(F.least("fp", "before").alias("a"), F.greatest("fp", "before").alias("b")).distinct())
-    first = cut(_verified(beside, sets, similarity))
-
-    placed = lists.select("key", "size", "fp").join(components(first), F.col("fp") == F.col("node"), "left").select("key", "size", "fp", F.coalesce("root", "fp").alias("root"))
-    placed = stored(placed, "placed")
-    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    apart = placed.join(several, "key", "left_semi")
+    rows = heads.select(F.explode("prefix").alias("key"), "size", "fp").repartition("key").sortWithinPartitions("key")
+    placed = stored(rows.mapInArrow(_repeated, "key long, size int, fp long"), "placed")
+    for first in (True, False):  # neighbours by size, then, of what is left, by root
+        roots = components(found)
+        rooted = placed.join(roots, F.col("fp") == F.col("node"), "left").select("key", "size", "fp", F.coalesce("root", "fp").alias("root"))
+        several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        placed = stored(rooted.join(several, "key", "left_semi").select("key", "size", "fp"), "placed")
+        rooted = rooted.join(several, "key", "left_semi")
+        ordered = rooted.repartition("key").sortWithinPartitions("key", *(("size", "fp") if first else ("root", "size", "fp")))
+        beside = ordered.mapInArrow(_neighbours, "a long, b long").distinct()
+        found = cut(found.union(_verified(beside, sets, similarity)))
+
+    roots = components(found)
+    rooted = placed.join(roots, F.col("fp") == F.col("node"), "left").select("key", "size", "fp", F.coalesce("root", "fp").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    apart = stored(rooted.join(several, "key", "left_semi"), "apart")
     marks = sets.select("fp", "marks").join(apart.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
-    apart = stored(apart.join(marks, "fp"), "apart")
-    one, two = apart.alias("one"), apart.alias("two")
-    differ = " + ".join(f"bit_count(one.marks[{k}] ^ two.marks[{k}])" for k in range(MARKS // 64))
-    most = (1 - similarity) / (1 + similarity)  # of both sizes: what similar sets differ in at most
-    near = f"one.key = two.key and one.fp < two.fp and one.root <> two.root and least(one.size, two.size) >= {similarity!r}D * greatest(one.size, two.size) - 1e-9D and {differ} <= {most!r}D * (one.size + two.size) + 1e-6D"
-    rest = one.join(two, F.expr(near)).select(F.col("one.fp").alias("a"), F.col("two.fp").alias("b")).distinct()
-    rest = cut(rest.join(beside, ["a", "b"], "left_anti"))
-    return first.union(_verified(rest, sets, similarity))
+    marked = apart.join(marks, "fp").select("key", "size", "fp", "root", "marks")
+    rest = marked.repartition("key").sortWithinPartitions("key", "size", "fp").mapInArrow(_close(similarity), "a long, b long").distinct()
+    return found.union(_verified(cut(rest), sets, similarity))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -27,6 +27,8 @@ from shardwright.llm.common import cut, shielded, stored
 from shardwright.llm.components import components
 
 SHINGLE_WORDS, SEED = 3, 42
+#: Bits in which linked fingerprints differ at most; buckets of two blocks of four lose no link up to here.
+RADIUS = 2
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
@@ -41,7 +43,11 @@ def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE_WORDS) -> int:
     """64 majority bits of the XXH64 of the word shingles, repeats included; 0 without words."""
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, dtype=np.int64)
@@ -80,40 +86,59 @@ def _union(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
-def close_pairs(fps: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of fingerprints of one group that differ in two bits at most.
+def packed(flags: np.ndarray) -> int:
+    """Flags as one number, the first at its lowest bit."""
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
+def sliced_pairs(bits: np.ndarray, sizes: list[int], radius: np.ndarray, lanes_of: Callable[[int, int], np.ndarray] | None = None, step: int = 4) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j), i < j, of rows of one group whose bits differ in ``radius[i]`` places at most.
 
-    ``fps`` (uint64) holds the groups one after the other, the largest first.
+    ``bits`` (rows x places) holds the groups one after the other, the largest
+    first. The places stand as planes; a shift by d sets every row against its
+    d-th neighbour, carry-save counters take in a plane at a time, and a
+    shift is abandoned once all its lanes exceed their radius. ``lanes_of`` (d, lanes)
+    may leave lanes out.
     """
-    n, sizes_a = len(fps), np.asarray(sizes)
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    n, sizes_a = len(bits), np.asarray(sizes)
     starts = np.cumsum(sizes_a) - sizes_a
     left = np.repeat(starts + sizes_a, sizes_a) - np.arange(n)  # lanes from here to the group's end
     varied = bits != np.repeat(bits[starts], sizes_a, axis=0)
-    planes = [int.from_bytes(np.packbits(bits[:, b], bitorder="little").tobytes(), "little") for b in np.flatnonzero(varied.any(axis=0))]
-    found_a, found_b = [], []
+    planes = [packed(bits[:, b]) for b in np.flatnonzero(varied.any(axis=0))]
+    width = int(min(len(planes), radius.max(initial=0))).bit_length()
+    radius = np.minimum(radius, (1 << width) - 1)
+    limit = [packed(radius >> k & 1 == 1) for k in range(width)]
     for d in range(1, int(sizes_a.max(initial=1))):
         lanes = int(sizes_a[sizes_a > d].sum())  # larger groups stand in front
-        live = int.from_bytes(np.packbits(left[:lanes] > d, bitorder="little").tobytes(), "little")
-        low = live  # lanes that differ in two bits at most so far
-        ones = twos = 0
+        live = left[:lanes] > d
+        low = packed(live if lanes_of is None else live & lanes_of(d, lanes))  # lanes within their radius so far
         mask = (1 << lanes) - 1
-        for plane in planes:
-            x = (plane ^ (plane >> d)) & mask
-            carry = ones & x
-            ones ^= x
-            low &= ~(twos & carry)  # four
-            twos ^= carry
-            low &= ~(ones & twos)  # three
+        counters = [0] * width
+        for k, plane in enumerate(planes):
             if not low:
                 break
+            carry = (plane ^ (plane >> d)) & mask
+            for c in range(width):
+                counters[c], carry = counters[c] ^ carry, counters[c] & carry
+                if not carry:
+                    break
+            low &= ~carry  # beyond what counters hold
+            if k % step == step - 1 or k == len(planes) - 1:
+                over, same = 0, mask
+                for c in range(width - 1, -1, -1):
+                    over |= same & counters[c] & ~limit[c]
+                    same &= ~(counters[c] ^ limit[c])
+                low &= ~over
         if low:
             hit = np.flatnonzero(np.unpackbits(np.frombuffer(low.to_bytes((lanes + 7) // 8, "little"), np.uint8), bitorder="little"))
-            found_a.append(hit)
-            found_b.append(hit + d)
-    if not found_a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(found_a), np.concatenate(found_b)
+            yield hit, hit + d
+
+
+def close_pairs(fps: np.ndarray, sizes: list[int], radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of fingerprints of one group that differ in ``radius`` bits at most; ``fps`` (uint64) holds the groups, the largest first."""
+    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64)), *sliced_pairs(bits, sizes, np.full(len(fps), radius))]
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
 def _bucket_links(max_bucket: int | None):
