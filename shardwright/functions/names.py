@@ -105,9 +105,10 @@ def head_kind(content: Column) -> Column:
 
 def size_label(n: Column) -> Column:
     """Bytes for people."""
+    tenths = lambda unit: F.call_function("format_number", n / F.lit(float(unit)), F.lit("0.0"))
     return (
-        F.when(n >= 1 << 20, F.concat(F.format_number(n / float(1 << 20), "0.0"), F.lit(" MiB")))
-        .when(n >= 1 << 10, F.concat(F.format_number(n / float(1 << 10), "0.0"), F.lit(" KiB")))
+        F.when(n >= 1 << 20, F.concat(tenths(1 << 20), F.lit(" MiB")))
+        .when(n >= 1 << 10, F.concat(tenths(1 << 10), F.lit(" KiB")))
         .otherwise(F.concat(n.cast("string"), F.lit(" bytes")))
     )
 
@@ -131,6 +132,44 @@ def flat_xml_name(name: Column) -> Column:
     return F.concat(F.regexp_replace(flat, r"\.[^.]*$", ""), F.lit(".partial.xml"))
 
 
+# Content types by suffix, and of parts by their names; the first rule that fits decides.
+CONTENT_TYPES = {
+    "rels": "application/vnd.openxmlformats-package.relationships+xml", "xml": "application/xml", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff",
+    "svg": "image/svg+xml", "emf": "image/x-emf", "wmf": "image/x-wmf", "mp4": "video/mp4", "m4v": "video/mp4", "mov": "video/quicktime", "avi": "video/avi", "mp3": "audio/mpeg", "m4a": "audio/mp4", "wav": "audio/wav",
+    "bin": "application/vnd.openxmlformats-officedocument.oleObject", "thmx": "application/vnd.openxmlformats-officedocument.themeManager+xml",
+}
+OTHER_TYPE = "application/octet-stream"
+PART_TYPES = [
+    (r"^ppt/presentation\.xml$", "application/vnd.openxmlformats-officedocument.presentationml.presentation.main+xml"),
+    (r"^ppt/slides/slide\d+\.xml$", "application/vnd.openxmlformats-officedocument.presentationml.slide+xml"),
+    (r"^ppt/slideMasters/[^/]+\.xml$", "application/vnd.openxmlformats-officedocument.presentationml.slideMaster+xml"),
+    (r"^ppt/slideLayouts/[^/]+\.xml$", "application/vnd.openxmlformats-officedocument.presentationml.slideLayout+xml"),
+    (r"^ppt/notesSlides/[^/]+\.xml$", "application/vnd.openxmlformats-officedocument.presentationml.notesSlide+xml"),
+    (r"^ppt/notesMasters/[^/]+\.xml$", "application/vnd.openxmlformats-officedocument.presentationml.notesMaster+xml"),
+    (r"^ppt/theme/[^/]+\.xml$", "application/vnd.openxmlformats-officedocument.theme+xml"),
+    (r"^ppt/presProps\.xml$", "application/vnd.openxmlformats-officedocument.presentationml.presProps+xml"),
+    (r"^ppt/viewProps\.xml$", "application/vnd.openxmlformats-officedocument.presentationml.viewProps+xml"),
+    (r"^ppt/tableStyles\.xml$", "application/vnd.openxmlformats-officedocument.presentationml.tableStyles+xml"),
+    (r"^docProps/core\.xml$", "application/vnd.openxmlformats-package.core-properties+xml"),
+    (r"^docProps/app\.xml$", "application/vnd.openxmlformats-officedocument.extended-properties+xml"),
+    (r"^ppt/charts/chart\d+\.xml$", "application/vnd.openxmlformats-officedocument.drawingml.chart+xml"),
+]
+
+
+def default_type(ending: Column) -> Column:
+    """The content type of a suffix (without its dot)."""
+    kinds = F.create_map(*(F.lit(x) for pair in CONTENT_TYPES.items() for x in pair))
+    return F.coalesce(F.try_element_at(kinds, F.lower(ending)), F.lit(OTHER_TYPE))
+
+
+def part_type(name: Column) -> Column:
+    """The content type that a part's own name gives it; null where its suffix decides."""
+    out = F.when(name.rlike(PART_TYPES[0][0]), PART_TYPES[0][1])
+    for pattern, kind in PART_TYPES[1:]:
+        out = out.when(name.rlike(pattern), kind)
+    return out
+
+
 def is_unsafe_path(name: Column) -> Column:
     """Absolute, with a drive letter, or climbing."""
     return name.rlike(r"^([/\\]|[A-Za-z]:)|(^|[/\\])\.\.([/\\]|$)")
@@ -168,18 +207,37 @@ def local_name(tag: Column) -> Column:
 
 
 def text_runs(xml: Column) -> Column:
-    """Non-empty contents of text-run elements, unescaped by the five named references."""
+    """Non-empty contents of text-run elements, unescaped."""
     runs = F.regexp_extract_all(xml, F.lit(r"(?s)<a:t(?:\s[^>]*)?>(.*?)</a:t>"), F.lit(1))
     return F.filter(F.transform(runs, unescaped), lambda t: t != "")
 
 
-def unescaped(text: Column) -> Column:
+def paragraphs(xml: Column) -> Column:
+    """Texts of paragraphs, the runs of each joined; paragraphs without text are left out."""
+    inner = F.regexp_extract_all(xml, F.lit(r"(?s)<a:p(?:\s[^>]*)?>(.*?)</a:p>"), F.lit(1))
+    return F.filter(F.transform(inner, lambda p: F.array_join(text_runs(p), "")), lambda t: t != "")
+
+
+def _unescaped_named(text: Column) -> Column:
     out = text
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
     return out
 
 
+def unescaped(text: Column) -> Column:
+    """The five named references and numeric ones as characters; what is decoded is not decoded again."""
+    number = r"^&#(?:x([0-9A-Fa-f]{1,6})|([0-9]{1,7}));"
+
+    def piece(p: Column) -> Column:
+        digits = F.when(F.regexp_extract(p, number, 1) != "", F.regexp_extract(p, number, 1)).when(F.regexp_extract(p, number, 2) != "", F.conv(F.regexp_extract(p, number, 2), 10, 16))
+        code = F.lpad(digits, 8, "0")
+        fits = code.isNotNull() & (code > "00000000") & (F.upper(code) <= "0010FFFF") & ~F.upper(code).between("0000D800", "0000DFFF")
+        return F.when(fits, F.concat(F.decode(F.unhex(code), "UTF-32"), _unescaped_named(F.regexp_replace(p, number, "")))).otherwise(_unescaped_named(p))
+
+    return F.when(text.contains("&#"), F.array_join(F.transform(F.split(text, r"(?=&#)"), piece), "")).otherwise(_unescaped_named(text))
+
+
 def dos_datetime(date: Column, time: Column) -> Column:
     """A container's packed date and time; null if no such moment exists."""
     year, month, day = F.shiftright(date, 9) + 1980, F.shiftright(date, 5).bitwiseAND(F.lit(15)), date.bitwiseAND(F.lit(31))

@@ -19,6 +19,8 @@ from shardwright.functions.names import CORE_PARTS, categorize, head_kind, slide
 
 # Thresholds of the decision.
 MIX_ENTRIES, HEAD_ZEROS, ALL_ZERO, TAIL_JUNK, SCATTER_ENTRIES, SCATTER_SHARE = 5, 4096, 0.99, 65557, 20, 0.10
+#: Files whose facts go on together, and their bytes.
+ROWS, ROWS_BYTES = 256, 64 << 20
 # Verdicts by the census that can be trusted for them.
 LFH_VERDICTS = ["version_mix", "tail_truncated", "tail_foreign_data"]
 
@@ -45,7 +47,13 @@ def read_packages(files: DataFrame, content_col: str = "content") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, content in enumerate(batch.column(width)):  # one file at a time, so memory holds one
+            rows, first, size = [], 0, 0
+
+            def made(to: int) -> pa.RecordBatch:
+                facts = pa.RecordBatch.from_pylist(rows, schema=arrow)
+                return pa.RecordBatch.from_arrays([*(c.slice(first, to - first) for c in batch.columns[:width]), *facts.columns], names=[*batch.schema.names[:width], *arrow.names])
+
+            for i, content in enumerate(batch.column(width)):
                 data = content.as_py()
                 row: dict = dict.fromkeys(arrow.names)
                 try:
@@ -54,8 +62,13 @@ def read_packages(files: DataFrame, content_col: str = "content") -> DataFrame:
                     row |= zipbytes.structure(data) | {"cd": zipbytes.index_entries(data), "lfh": zipbytes.header_entries(data)}
                 except Exception as e:
                     row["read_error"] = f"{type(e).__name__}: {e}"
-                made = pa.RecordBatch.from_pylist([row], schema=arrow)
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns[:width]), *made.columns], names=[*batch.schema.names[:width], *arrow.names])
+                rows.append(row)
+                size += len(data or b"")
+                if len(rows) == ROWS or size > ROWS_BYTES:  # facts of files, never their bytes
+                    yield made(i + 1)
+                    rows, first, size = [], i + 1, 0
+            if rows:
+                yield made(batch.num_rows)
 
     for field in [*schema.fields, *facts.fields]:
         field.nullable = True
@@ -100,10 +113,10 @@ def features(packages: DataFrame) -> DataFrame:
         "core_ok": F.size(F.array_except(F.array(*(F.lit(n) for n in CORE_PARTS)), names(F.filter(cd, lambda e: e["ok"])))) == 0,
         "unlisted": F.size(F.array_except(offsets(lfh_ok), offsets(cd))),
         "foreign_names": F.array_except(names(lfh_ok), names(cd)),
-        "_matched": F.filter(lfh_ok, lambda e: F.array_contains(spots(cd), F.concat_ws("|", e["header_offset"].cast("string"), e["name"]))),
+        "_matched": F.array_intersect(spots(lfh_ok), spots(cd)),
         "_zero_head": F.when(first_zero["start"] == 0, first_zero["end"]),
     })
-    first_ok = F.array_min(offsets(F.col("_matched")))
+    first_ok = F.array_min(F.transform("_matched", lambda x: F.substring_index(x, "|", 1).cast("long")))
     before = lambda limit: F.filter(cd, lambda e: e["header_offset"] < limit)
     lost_before = lambda limit: (F.size(before(limit)) > 0) & ~F.exists(before(limit), lambda e: e["ok"])
     return base.withColumns({
@@ -180,6 +193,12 @@ def entry_rows(diagnosed: DataFrame, id_col: str) -> DataFrame:
     return one("cd").unionByName(one("lfh")).select(id_col, "method", "entry_seq", categorize(F.col("e.name")).alias("category"), "e.*")
 
 
+def has_core(entries: DataFrame) -> DataFrame:
+    """(file_id, core_ok): whether a file's readable entries (file_id, name, ok) hold every part that a package must have."""
+    core = F.col("ok") & F.col("name").isin(CORE_PARTS)
+    return entries.groupBy("file_id").agg((F.count_distinct(F.when(core, F.col("name"))) == len(CORE_PARTS)).alias("core_ok"))
+
+
 def exit_code(diagnosed: DataFrame) -> DataFrame:
     """One row: 2 if a file could not be read, else 1 if one is not normal, else 0."""
     return diagnosed.agg(F.when(F.bool_or(F.col("verdict").isNull()), 2).when(F.bool_or("corrupted"), 1).otherwise(0).alias("exit_code"))

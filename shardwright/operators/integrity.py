@@ -12,7 +12,9 @@ REQUIRED = [
     (r"^ppt/slides/slide\d+\.xml$", ["slideLayout"]),
     (r"^ppt/slideLayouts/slideLayout\d+\.xml$", ["slideMaster"]),
     (r"^ppt/slideMasters/slideMaster\d+\.xml$", ["theme"]),
-    (r"^ppt/notesSlides/notesSlide\d+\.xml$", ["notesMaster", "slide"]),
+    (r"^ppt/notesMasters/notesMaster\d+\.xml$", ["theme"]),
+    (r"^ppt/notesSlides/notesSlide\d+\.xml$", ["slide", "notesMaster"]),
+    (r"^ppt/presentation\.xml$", ["slideMaster"]),
 ]
 ORPHANS = [("slide", r"^ppt/slides/slide\d+\.xml$"), ("notes", r"^ppt/notesSlides/notesSlide\d+\.xml$")]
 
@@ -97,5 +99,5 @@ def media_mismatches(parts: DataFrame) -> DataFrame:
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """(file_id, n, parts): how many findings a file has, and in how many parts."""
-    return rows.groupBy("file_id").agg(F.count("*").alias("n"), F.count_distinct("part").alias("parts"))
+    """(file_id, n, n_parts, parts): how many findings a file has, and the parts that have some, in order."""
+    return rows.groupBy("file_id").agg(F.count("*").alias("n"), F.count_distinct("part").alias("n_parts"), F.array_sort(F.collect_set("part")).alias("parts"))  # parts of one file

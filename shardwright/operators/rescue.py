@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardwright.functions.names import flat_xml_name, text_runs, unescaped
+from shardwright.functions.names import flat_xml_name, paragraphs, unescaped
 from shardwright.operators.repair import carve
 from shardwright.sources.packages import read_parts
 
 PARTIAL_MIN, PARTIAL_MAX = 256, 30 << 20
+# Headings of slide titles, in the languages that are known.
+TITLE_HEADINGS = ["Slide Titles", "スライド タイトル"]
 
 
 def prefix_of(data: bytes) -> bytes:
@@ -64,7 +66,7 @@ def rescue(files: DataFrame, diagnosed: DataFrame) -> DataFrame:
     broken = partial_xml(files, failed)
     images = carve(files).select("file_id", F.lit("carve").alias("stage"), F.format_string("image%04d.%s", "image_no", "kind").alias("path"), "length", "digest")
     xml = parts.where(F.col("name").rlike(r"^ppt/(slides|notesSlides)/[^/]+\.xml$")).select("file_id", "name", "payload").unionByName(broken.select("file_id", "name", "payload"))
-    texts = xml.withColumn("text", F.array_join(text_runs(F.col("payload").cast("string")), "\n").cast("binary")).where(F.octet_length("text") > 0)
+    texts = xml.withColumn("text", F.array_join(paragraphs(F.col("payload").cast("string")), "\n").cast("binary")).where(F.octet_length("text") > 0)
     return one(parts, "entries", F.col("name"), F.col("payload")).unionByName(images).unionByName(one(broken, "partial", F.col("path"), F.col("payload"))).unionByName(one(texts, "text", F.concat("name", F.lit(".txt")), F.col("text")))
 
 
@@ -76,16 +78,18 @@ def core_properties(parts: DataFrame) -> DataFrame:
 
 
 def slide_titles(parts: DataFrame) -> DataFrame:
-    """(file_id, title_no, title): slide titles that docProps/app.xml lists, by the counts of its headings."""
+    """(file_id, title_no, title, sliced): slide titles that docProps/app.xml lists, by the counts of its headings; all its titles (sliced false) if none of the headings is known."""
     xml = parts.where("name = 'docProps/app.xml'").select("file_id", F.col("payload").cast("string").alias("xml"))
     inside = lambda tag: F.regexp_extract("xml", rf"(?s)<{tag}>(.*?)</{tag}>", 1)
     strings = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"(?s)<vt:lpstr>(.*?)</vt:lpstr>"), F.lit(1)), unescaped)
     counts = F.transform(F.regexp_extract_all(inside("HeadingPairs"), F.lit(r"<vt:i4>(\d+)</vt:i4>"), F.lit(1)), lambda n: n.cast("int"))
     base = xml.select("file_id", strings(inside("HeadingPairs")).alias("headings"), counts.alias("counts"), strings(inside("TitlesOfParts")).alias("titles"))
-    at = F.coalesce(F.array_position("headings", "Slide Titles"), F.lit(0)).cast("int")
+    places = [F.nullif(F.array_position("headings", h), F.lit(0)) for h in TITLE_HEADINGS]
+    at = F.coalesce(F.least(*places), F.lit(0)).cast("int")  # least skips nulls
     offset = F.aggregate(F.slice("counts", F.lit(1), F.greatest(at - 1, F.lit(0))), F.lit(0), lambda n, c: n + c)
-    own = F.when((at > 0) & (F.size("counts") >= at), F.slice("titles", offset + 1, F.element_at("counts", F.greatest(at, F.lit(1)))))
-    return base.select("file_id", F.posexplode(own).alias("n", "title")).select("file_id", (F.col("n") + 1).alias("title_no"), "title")
+    sliced = (at > 0) & (F.size("counts") >= at)
+    own = F.when(sliced, F.slice("titles", offset + 1, F.try_element_at("counts", F.greatest(at, F.lit(1))))).otherwise(F.col("titles"))
+    return base.select("file_id", sliced.alias("sliced"), F.posexplode(own).alias("n", "title")).select("file_id", (F.col("n") + 1).alias("title_no"), "title", "sliced")
 
 
 def chart_points(parts: DataFrame) -> DataFrame:
@@ -99,15 +103,23 @@ def chart_points(parts: DataFrame) -> DataFrame:
     return rows.select("file_id", "chart", "series_no", "series", F.col("p.idx").alias("idx"), category.alias("category"), F.col("p.v").alias("value"))
 
 
-def stage_counts(rescued: DataFrame) -> DataFrame:
-    return rescued.groupBy("stage").agg(F.count("*").alias("n"))
+def chart_tables(parts: DataFrame) -> DataFrame:
+    """(file_id, chart, row, cells): every chart's cached points as the rows of a table, the heading first: a category and a value of each series; what has no point is empty."""
+    points = chart_points(parts)
+    key = ["file_id", "chart"]
+    series = points.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("series_no", "series"))).alias("all"))  # series of one chart
+    at = points.groupBy(*key, "idx").agg(F.max("category").alias("category"), F.collect_list(F.struct("series_no", "value")).alias("held"))
+    value = lambda s: F.coalesce(F.get(F.transform(F.filter("held", lambda h: h["series_no"] == s["series_no"]), lambda h: h["value"]), F.lit(0)), F.lit(""))
+    body = at.join(series, key).select(*key, (F.col("idx") + 1).alias("row"), F.concat(F.array(F.coalesce("category", F.lit(""))), F.transform("all", value)).alias("cells"))
+    head = series.select(*key, F.lit(0).alias("row"), F.concat(F.array(F.lit("")), F.transform("all", lambda s: F.coalesce(s["series"], F.lit("")))).alias("cells"))
+    return head.unionByName(body)
+
 
+def csv_lines(tables: DataFrame) -> DataFrame:
+    """(file_id, chart, row, line): rows of ``chart_tables`` as CSV; cells with a comma, a quote or a line end are quoted."""
+    cell = lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    return tables.select("file_id", "chart", "row", F.array_join(F.transform("cells", cell), ",").alias("line"))
 
-def content_type(name: Column) -> Column:
-    """What a part is, by its suffix."""
-    # Types by suffix.
-    kinds = {
-        "xml": "application/xml", "rels": "application/vnd.openxmlformats-package.relationships+xml", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif",
-        "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "svg": "image/svg+xml", "emf": "image/x-emf", "wmf": "image/x-wmf", "mp4": "video/mp4", "mp3": "audio/mpeg", "wav": "audio/wav", "bin": "application/octet-stream",
-    }
-    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)), F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))), F.lit("application/octet-stream"))
+
+def stage_counts(rescued: DataFrame) -> DataFrame:
+    return rescued.groupBy("stage").agg(F.count("*").alias("n"))

@@ -6,39 +6,25 @@ the relational ones on stand-in relations, the same in both engines.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shardwright.functions import names as N
 from shardwright.operators import classify, diagnostics, integrity, link, merge, repair, report, rescue, salvage
+from shardwright.plans import part_queries  # noqa: F401 - registers its queries
 from shardwright.plans import stand_ins as S
+from shardwright.plans.registry import QUERIES, SQL, Query, query
 from shardwright.sources.containers import RECIPES, complementary_copies, known_packages
+from shardwright.session import stored
 from shardwright.streaming.incremental import latest_stamps
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,18 +72,23 @@ def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, {RECIPE} AS verdict, CASE WHEN {RECIPE} = 'tail_foreign_data' THEN 'trim' ELSE 'rebuild' END AS mode, 'normal' AS after
 FROM documents WHERE {RECIPE} IN ('tail_foreign_data', 'tail_truncated', 'interior_damage', 'version_mix')""")
 def repair_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = known_packages(S.table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("file_id"), "content")
+    files = stored(known_packages(S.table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("file_id"), "content"), "files")
     return repair.repair(files).select(F.col("file_id").alias("doc_id"), "verdict", "mode", "after")
 
 
+def stored_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged copies as files of their own, made once."""
+    return stored(complementary_copies(S.table(spark, sf_dir, "documents")), "copies")
+
+
 @query("SELECT doc_id AS group_id, 'full' AS guarantee, CAST(15 AS BIGINT) AS n_entries, CAST(0 AS BIGINT) AS n_missing FROM documents")
 def merge_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.restore(complementary_copies(S.table(spark, sf_dir, "documents"))).select("group_id", "guarantee", "n_entries", "n_missing")
+    return merge.restore(stored_copies(spark, sf_dir)).select("group_id", "guarantee", "n_entries", "n_missing")
 
 
 @query("SELECT m AS method, CASE m WHEN 'splice' THEN 15 * (SELECT count(*) FROM documents) ELSE 0 END AS n FROM (VALUES ('splice'), ('crossover'), ('donor'), ('missing')) t(m)")
 def provenance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.provenance_counts(merge.splice(complementary_copies(S.table(spark, sf_dir, "documents"))))
+    return merge.provenance_counts(merge.splice(stored_copies(spark, sf_dir)))
 
 
 # --- names and scalars
@@ -131,10 +122,14 @@ def slide_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.entries(spark, sf_dir).where("ok").select(N.slide_number(F.col("name")).alias("slide")).where("slide is not null").groupBy("slide").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH e AS ({S.ENTRIES}) SELECT file_id, count(DISTINCT name) FILTER (ok AND name IN ('docProps/app.xml', 'ppt/theme/theme1.xml')) = 2 AS has_core FROM e GROUP BY file_id")
+_CORE = "SELECT l_orderkey AS file_id, list_extract(['[Content_Types].xml', '_rels/.rels', 'ppt/presentation.xml'], CAST(l_linenumber % 3 AS BIGINT) + 1) AS name, l_discount < 0.08 AS ok FROM lineitem"
+
+
+@query(f"WITH e AS ({_CORE}) SELECT file_id, count(DISTINCT name) FILTER (ok) = 3 AS core_ok FROM e GROUP BY file_id")
 def core_parts_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    core = F.col("ok") & F.col("name").isin("docProps/app.xml", "ppt/theme/theme1.xml")
-    return S.entries(spark, sf_dir).groupBy("file_id").agg((F.count_distinct(F.when(core, F.col("name"))) == 2).alias("has_core"))
+    names = F.array(*(F.lit(n) for n in N.CORE_PARTS))
+    rows = S.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.get(names, (F.col("l_linenumber") % 3).cast("int")).alias("name"), F.expr("l_discount < 0.08D").alias("ok"))
+    return classify.has_core(rows)
 
 
 @query(f"WITH e AS ({S.ENTRIES}) SELECT coalesce(error, 'unknown') AS error, count(*) AS n FROM e WHERE NOT ok GROUP BY 1")
@@ -170,12 +165,12 @@ def version_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return salvage.unlisted_headers(S.entries(spark, sf_dir)).groupBy("file_id").agg(F.count("*").alias("n"), (F.count("*") >= classify.MIX_ENTRIES).alias("is_mix"))
 
 
-@query(f"WITH e AS ({S.ENTRIES}) SELECT file_id, name, header_offset FROM e l WHERE method = 'lfh' AND ok AND EXISTS (SELECT 1 FROM e c WHERE c.method = 'cd' AND c.file_id = l.file_id AND c.name = l.name AND c.header_offset = l.header_offset)")
+@query(f"WITH e AS ({S.ENTRIES}) SELECT l.file_id, l.name, l.header_offset FROM e l JOIN (SELECT DISTINCT file_id, name, header_offset FROM e WHERE method = 'cd') c ON c.file_id = l.file_id AND c.name = l.name AND c.header_offset = l.header_offset WHERE l.method = 'lfh' AND l.ok")
 def cd_matched_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return salvage.matched_headers(S.entries(spark, sf_dir)).select("file_id", "name", "header_offset")
 
 
-@query(f"WITH e AS ({S.ENTRIES}) SELECT file_id, name, header_offset FROM e l WHERE method = 'lfh' AND ok AND NOT EXISTS (SELECT 1 FROM e c WHERE c.method = 'cd' AND c.file_id = l.file_id AND c.name = l.name)")
+@query(f"WITH e AS ({S.ENTRIES}) SELECT l.file_id, l.name, l.header_offset FROM e l LEFT JOIN (SELECT DISTINCT file_id, name FROM e WHERE method = 'cd') c ON c.file_id = l.file_id AND c.name = l.name WHERE l.method = 'lfh' AND l.ok AND c.name IS NULL")
 def foreign_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return salvage.foreign_fragments(S.entries(spark, sf_dir)).select("file_id", "name", "header_offset")
 
@@ -354,16 +349,14 @@ def top_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_mktsegment || CASE WHEN n = 1 THEN '' ELSE '-' || n END AS label FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS n FROM customer)")
 def root_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = S.table(spark, sf_dir, "customer").withColumn("n", F.row_number().over(W.partitionBy("c_mktsegment", "c_nationkey").orderBy("c_custkey")))
-    return numbered.select("c_custkey", F.concat("c_mktsegment", F.when(F.col("n") == 1, "").otherwise(F.concat(F.lit("-"), F.col("n").cast("string")))).alias("label"))
+    return report.root_labels(S.table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", "c_nationkey").select("c_custkey", "label")
 
 
 @query(f"WITH f AS ({S.FILES}) SELECT 1 AS section, file_id, 'damaged' AS state FROM f WHERE NOT normal UNION ALL SELECT 2, file_id, 'normal' FROM f WHERE normal UNION ALL SELECT 3, doc_id, 'unknown' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def results_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = S.files(spark, sf_dir)
-    known = files.select(F.when(F.col("normal"), 2).otherwise(1).alias("section"), "file_id", F.when(F.col("normal"), "normal").otherwise("damaged").alias("state"))
-    rest = S.table(spark, sf_dir, "documents").join(S.table(spark, sf_dir, "labels"), "doc_id", "left_anti")
-    return known.unionByName(rest.select(F.lit(3).alias("section"), F.col("doc_id").alias("file_id"), F.lit("unknown").alias("state")))
+    rest = S.table(spark, sf_dir, "documents").join(S.table(spark, sf_dir, "labels"), "doc_id", "left_anti").select(F.col("doc_id").alias("file_id"))
+    return report.results_union(files.where("not normal"), files.where("normal"), rest, "file_id")
 
 
 @query("""

@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the session names; a local one only if it names none (tests)."""
+    """The folder that the session names in ``spark.checkpoint.dir``.
+
+    Where it names none, a folder below the warehouse, which a cluster shares; a temporary one only if
+    driver and tasks are one local process, as in tests.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shardwright-"))
+        if not named and sc.master.startswith("local"):
+            named = tempfile.mkdtemp(prefix="shardwright-")
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     return named or sc.getCheckpointDir()
 
 

@@ -199,3 +199,56 @@ def test_stream_scans_each_file_once(spark, tmp_path):
     run()
     run()
     assert sorted(r["verdict"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["normal", "tail_truncated"]
+
+
+def test_mixes_of_three_copies_and_short_ones():
+    """Every copy is the only one with its third; then one copy ends early."""
+    from shardwright.operators import merge
+
+    body = bytes(range(256)) * 768  # three switches of 64 KiB
+    whole = zipped([("a.bin", body)], stored=True)
+    end = whole.index(b"PK\x01\x02")
+    segment, crc = whole[:end], zlib.crc32(body)
+    cuts = [0, 65536, 131072, end]
+    copies = [bytes(a) + segment[a:b] + bytes(end - b) for a, b in zip(cuts, cuts[1:])]
+    found, capped = merge._crossover(copies, 0, "a.bin", crc)
+    assert found == (segment, [0, 1, 2]) and not capped
+    copies = [segment[:70_000], bytes(65536) + segment[65536:]]
+    assert merge._crossover(copies, 0, "a.bin", crc) == ((segment, [0, 1]), False)
+    assert merge._crossover([bytes(end)] * 3, 0, "a.bin", crc) == (None, False)
+
+
+def zipped(parts, stored=False):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED if stored else zipfile.ZIP_DEFLATED) as z:
+        for name, data in parts:
+            z.writestr(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), data)
+    return buffer.getvalue()
+
+
+def test_rebuilt_packages_keep_to_the_salvage_policy(spark):
+    """A fragment that the index does not list stays out of a deck whose index can be trusted."""
+    from shardwright.operators import repair
+    from shardwright.sources.containers import damaged
+    from shardwright.sources.packages import read_parts
+
+    data = damaged("interior_damage", "text", "8")
+    stray = zipped([("ppt/slides/slide1.xml", b"<stray/>")], stored=True)
+    gap = data.index(bytes(300))  # the zeroed entry
+    inside = stray[: stray.index(b"PK\x01\x02")]
+    data = data[: gap + 1] + inside + data[gap + 1 + len(inside) :]
+    made = repair.repair(spark.createDataFrame([(1, bytearray(data))], "file_id long, content binary")).first()
+    names = [r["name"] for r in read_parts(spark.createDataFrame([(1, made["content"])], "file_id long, content binary")).collect()]
+    assert made["after"] == "normal" and "ppt/slides/slide1.xml" not in names and "ppt/slides/slide2.xml" in names
+
+
+def test_titles_paragraphs_and_references(spark):
+    from shardwright.functions import names as N
+
+    row = spark.range(1).select(
+        N.unescaped(F.lit("&amp;#38; &#38;amp; &#xe9;&#233; &#xD800; &#0; &unknown;")).alias("a"),
+        N.paragraphs(F.lit("<a:p><a:r><a:t>one </a:t></a:r><a:r><a:t>line</a:t></a:r></a:p><a:p/><a:p><a:t>two</a:t></a:p>")).alias("b"),
+        N.part_type(F.lit("ppt/slides/slide7.xml")).alias("c"), N.part_type(F.lit("ppt/media/a.png")).alias("d"), N.default_type(F.lit("PNG")).alias("e"),
+    ).first()
+    assert row["a"] == "&#38; &amp; éé &#xD800; &#0; &unknown;" and row["b"] == ["one line", "two"]
+    assert row["c"].endswith("presentationml.slide+xml") and row["d"] is None and row["e"] == "image/png"
