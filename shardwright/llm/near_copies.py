@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 CELLS = 1 << 18
 #: Bits of the marks; they too decide on cost only.
 MARKS = 512
+#: Sets that a task remembers, and sets whose ids (some MB) are broadcast.
+SEEN, BROADCAST_SETS = 500_000, 500_000
 
 
 def needed(size: int, similarity: float) -> int:
@@ -43,71 +46,87 @@ def needed(size: int, similarity: float) -> int:
     return math.ceil(similarity * size - 1e-9)
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp, simhash, items, marks) for every row: its distinct shingle hashes in order, a hash of them all, their majority bits and marks; no words, no items."""
+def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(hash of the set, shingle hashes, the distinct ones in order) of each text in column 1."""
+    for text in batch.column(1).cast(pa.binary()):
+        hashes = shingle_hashes(text.as_py(), shingle)
+        items = np.unique(hashes.view("<i8"))
+        yield xxhash.xxh64_intdigest(items.tobytes()) - (1 << 63), hashes, items
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, fp, size, simhash, marks) for every row of ``texts`` (id, t): a hash of its set of shingles, the set's size, majority bits and marks; no words, no items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, similar, offsets, parts, marks = [], [], [0], [np.empty(0, np.int64)], []
-            for text in batch.column(1).cast(pa.binary()):
-                items = np.unique(shingle_hashes(text.as_py(), shingle).view("<i8"))
-                fps.append(xxhash.xxh64_intdigest(items.tobytes()) - (1 << 63))
+            fps, sizes, similar, marks = [], [], [], []
+            for fp, _, items in _sets(batch, shingle):
+                fps.append(fp)
+                sizes.append(len(items))
                 similar.append(majority(items.view("<u8")))
-                parts.append(items)
-                offsets.append(offsets[-1] + len(items))
                 odd = np.bincount((items.view(np.uint64) >> np.uint64(32)) % np.uint64(MARKS), minlength=MARKS) & 1
                 marks.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
-            items = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(similar, pa.int64()), items, pa.array(marks, pa.list_(pa.int64()))], names=["id", "fp", "simhash", "items", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(similar, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["id", "fp", "size", "simhash", "marks"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, fp long, simhash long, items array<long>, marks array<long>")
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"id {kind}, fp long, size int, simhash long, marks array<long>")
 
 
-def cell_counts(sets: DataFrame) -> np.ndarray:
-    """How many items fall into each cell."""
+def cell_counts(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many items of all rows' sets fall into each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(CELLS, np.int64)
         for batch in batches:
-            n += np.bincount(batch.column(0).flatten().to_numpy().view(np.uint64) % np.uint64(CELLS), minlength=CELLS)
+            for _, _, items in _sets(batch, shingle):
+                np.add.at(n, (items.view(np.uint64) % np.uint64(CELLS)).astype(np.int64), 1)
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], names=["cell", "n"])
 
-    got = sets.select("items").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    got = texts.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(CELLS, np.int64)
     out[got["cell"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-def _prefixes(order, similarity: float):
-    """Kernel: (fp, size, prefix) of each set."""
+def _prefixes(order, shingle: int, similarity: float):
+    """Kernel over texts: (key, size, fp) for each shingle in the front part of a set; a set that a task has seen does not come again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = order.value
+        count, seen = order.value, set()
         for batch in batches:
-            sizes, offsets, parts = [], [0], [np.empty(0, np.int64)]
-            for value in batch.column(1):
-                items = value.values.to_numpy()
+            keys, sizes, fps, lengths = [np.empty(0, np.int64)], [], [], []
+            for fp, _, items in _sets(batch, shingle):
+                if not len(items) or fp in seen:
+                    continue
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.add(fp)
                 n = len(items)
-                first = np.lexsort((items, count[items.view(np.uint64) % np.uint64(CELLS)]))[: n - needed(n, similarity) + 1]
+                keys.append(items[np.lexsort((items, count[items.view(np.uint64) % np.uint64(CELLS)]))[: n - needed(n, similarity) + 1]])
                 sizes.append(n)
-                parts.append(items[first])
-                offsets.append(offsets[-1] + len(first))
-            prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), prefix], names=["fp", "size", "prefix"])
+                fps.append(fp)
+                lengths.append(len(keys[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.repeat(np.array(fps, np.int64), lengths))], names=["key", "size", "fp"])
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, size, fp) that stand sorted by key: those whose key another row has."""
+    """Rows (key, size, fp) that stand sorted by key and fp: each pair once, those whose key another set has."""
     held, joined = None, False  # the last row so far, and whether the one before has its key
     names = ["key", "size", "fp"]
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = pa.Table.from_batches([*([] if held is None else [held]), batch]).combine_chunks().to_batches()[0]
+        keys, fps = rows.column(0).to_numpy(), rows.column(2).to_numpy()
+        fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (fps[1:] != fps[:-1])])
+        rows = rows.filter(pa.array(fresh))
         keys = rows.column(0).to_numpy()
         same = keys[1:] == keys[:-1]
         keep = np.concatenate([[joined], same])[:-1] | same
@@ -132,20 +151,46 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    own = sets.select("fp", "items").join(nodes, "fp", "left_semi").dropDuplicates(["fp"])
-    both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+@dataclass
+class Verifier:
+    """Pairs of sets held against their exact similarity; only sets that pairs by marks leave open are made again from their texts."""
+
+    texts: DataFrame  # id, t
+    sets: DataFrame  # id, fp, size, simhash, marks
+    marks: DataFrame  # fp, size, marks, first: once for each set
+    shingle: int
+    similarity: float
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets are similar enough."""
+        most = (1 - self.similarity) / (1 + self.similarity)  # of both sizes: what similar sets differ in at most
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        one, two = self.marks.alias("one"), self.marks.alias("two")
+        differ = " + ".join(f"bit_count(one.marks[{k}] ^ two.marks[{k}])" for k in range(MARKS // 64))
+        near = f"least(one.size, two.size) >= {self.similarity!r}D * greatest(one.size, two.size) - 1e-9D and {differ} <= {most!r}D * (one.size + two.size) + 1e-6D"
+        met = pairs.join(one, F.col("a") == F.col("one.fp")).join(two, F.col("b") == F.col("two.fp")).where(near)
+        left = cut(met.select("a", "b", F.col("one.first").alias("id_a"), F.col("two.first").alias("id_b")))
+        nodes = cut(left.select(F.col("id_a").alias("id"), F.col("a").alias("fp")).union(left.select("id_b", "b")).distinct())
+        # Eight bytes for each set: few are broadcast, more join by shuffle.
+        few = nodes.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS
+        own = self.texts.join(F.broadcast(nodes) if few else nodes, "id").select("fp", "t").mapInArrow(_items(self.shingle), "fp long, items array<long>")
+        both = left.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return cut(both.where(common >= F.lit(self.similarity) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
+
+
+def _items(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([items for _, _, items in _sets(batch, shingle)], pa.list_(pa.int64()))], names=["fp", "items"])
+
+    return run
 
 
 def simhash_pairs(sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets that SimHash links connect: equal fingerprints meet at their smallest set, and those at the fingerprint they are linked to."""
-    own = cut(sets.where(F.size("items") > 0).groupBy("simhash").agg(F.min("fp").alias("low")))
-    same = sets.join(own, "simhash").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
+    own = cut(sets.where("size > 0").groupBy("simhash").agg(F.min("fp").alias("low")))
+    same = sets.where("size > 0").join(own, "simhash").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
     edges = fingerprint_links(own.select(F.col("simhash").alias("fp")))
     linked = edges.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     return same.union(linked)
@@ -162,7 +207,7 @@ def _close(similarity: float):
         radius = np.floor(most * (1 + 1 / similarity) * size + 1e-6).astype(np.int64)  # the other set is the larger one
         fits = lambda d, lanes: (size[:lanes] >= similarity * np.concatenate([size[d : lanes + d], np.full(max(0, lanes + d - len(size)), 1 << 60)])[:lanes] - 1e-9) & (root[:lanes] != np.concatenate([root[d : lanes + d], np.zeros(max(0, lanes + d - len(size)), np.int64)])[:lanes])
         for i, j in sliced_pairs(bits, [len(g[0]) for g in groups], radius, fits, 16):
-            differ = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1)
+            differ = np.bitwise_count((marks[i] ^ marks[j]).view(np.uint64)).sum(axis=1)
             near = differ <= most * (size[i] + size[j]) + 1e-6
             a, b = np.minimum(fp[i], fp[j])[near], np.maximum(fp[i], fp[j])[near]
             if len(a):
@@ -196,31 +241,30 @@ def _close(similarity: float):
     return run
 
 
-def links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect what the similar pairs of ``sets`` (fp, simhash, items, marks) connect."""
-    found = cut(_verified(simhash_pairs(sets), sets, similarity))
-    order = sets.sparkSession.sparkContext.broadcast(cell_counts(sets))
-    heads = sets.where(F.size("items") > 0).select("fp", "items").mapInArrow(_prefixes(order, similarity), "fp long, size int, prefix array<long>").dropDuplicates(["fp"])
-    rows = heads.select(F.explode("prefix").alias("key"), "size", "fp").repartition("key").sortWithinPartitions("key")
+def links(check: Verifier) -> DataFrame:
+    """Edges (a, b) that connect what the similar pairs of sets connect."""
+    sets, similarity = check.sets, check.similarity
+    found = check.similar(simhash_pairs(sets))
+    order = sets.sparkSession.sparkContext.broadcast(cell_counts(check.texts, check.shingle))
+    rows = check.texts.mapInArrow(_prefixes(order, check.shingle, similarity), "key long, size int, fp long").repartition("key").sortWithinPartitions("key", "fp")
     placed = stored(rows.mapInArrow(_repeated, "key long, size int, fp long"), "placed")
-    for first in (True, False):  # neighbours by size, then, of what is left, by root
+
+    def rooted(placed: DataFrame) -> DataFrame:
+        """``placed`` with the root that links so far give each set, for keys of several roots."""
         roots = components(found)
-        rooted = placed.join(roots, F.col("fp") == F.col("node"), "left").select("key", "size", "fp", F.coalesce("root", "fp").alias("root"))
-        several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        placed = stored(rooted.join(several, "key", "left_semi").select("key", "size", "fp"), "placed")
-        rooted = rooted.join(several, "key", "left_semi")
-        ordered = rooted.repartition("key").sortWithinPartitions("key", *(("size", "fp") if first else ("root", "size", "fp")))
-        beside = ordered.mapInArrow(_neighbours, "a long, b long").distinct()
-        found = cut(found.union(_verified(beside, sets, similarity)))
-
-    roots = components(found)
-    rooted = placed.join(roots, F.col("fp") == F.col("node"), "left").select("key", "size", "fp", F.coalesce("root", "fp").alias("root"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    apart = stored(rooted.join(several, "key", "left_semi"), "apart")
-    marks = sets.select("fp", "marks").join(apart.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
-    marked = apart.join(marks, "fp").select("key", "size", "fp", "root", "marks")
-    rest = marked.repartition("key").sortWithinPartitions("key", "size", "fp").mapInArrow(_close(similarity), "a long, b long").distinct()
-    return found.union(_verified(cut(rest), sets, similarity))
+        made = placed.join(roots, F.col("fp") == F.col("node"), "left").select("key", "size", "fp", F.coalesce("root", "fp").alias("root"))
+        several = made.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        return stored(made.join(several, "key", "left_semi"), "rooted")
+
+    for order_by in (("size", "fp"), ("root", "size", "fp")):  # neighbours by size, then, of what is left, by root
+        apart = rooted(placed)
+        beside = apart.repartition("key").sortWithinPartitions("key", *order_by).mapInArrow(_neighbours, "a long, b long")
+        found = cut(found.union(check.similar(beside)))
+        placed = apart.select("key", "size", "fp")
+
+    marked = rooted(placed).join(check.marks.select("fp", "marks"), "fp").select("key", "size", "fp", "root", "marks")
+    rest = marked.repartition("key").sortWithinPartitions("key", "size", "fp").mapInArrow(_close(similarity), "a long, b long")
+    return found.union(check.similar(cut(rest.distinct())))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -228,10 +272,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     component_id: the smallest id reachable over texts whose sets of ``shingle``
     words have a Jaccard similarity of ``similarity`` or more; a text of fewer
-    words is one shingle, texts without words are alike. Null ids take part but name nothing. No rows in: no rows out.
+    words is one shingle, texts without words are alike. Ids are not null and do not repeat. No rows in: no rows out.
+    Sets are small figures here; shingles are made from the texts where they are needed, never written.
     """
-    sets = stored(shingle_sets(docs, id_col, text_col, shingle), "sets")
-    roots = components(links(sets, similarity))
+    texts = texts_of(docs, id_col, text_col)
+    sets = stored(shingle_sets(texts, shingle), "sets")
+    marks = stored(sets.groupBy("fp").agg(F.first("size").alias("size"), F.first("marks").alias("marks"), F.min("id").alias("first")), "marks")
+    roots = components(links(Verifier(texts, sets, marks, shingle, similarity)))
     placed = sets.select("id", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("id", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     return placed.join(named, "root").select(F.col("id").alias(id_col), "component_id")

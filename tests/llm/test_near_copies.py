@@ -1,6 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
+from shardwright.llm import near_copies
 from tests.oracle import DATA
 
 
@@ -46,3 +50,21 @@ def test_stage_equals_brute_force_jaccard(spark):
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, DATA).select("doc_id").collect())
     assert kept == brute_kept(rows)
     assert corpus_pipeline.near_dedup(spark, docs.where("false"), DATA).count() == 0
+
+
+def test_marks_leave_no_pair_at_the_threshold_out():
+    """Sets that differ in as many items as similar ones may, in one list, by the kernel alone."""
+    rng = np.random.default_rng(3)
+    rows, want = [], set()
+    for n in range(60):
+        base = rng.integers(-(1 << 62), 1 << 62, 145)
+        other = np.concatenate([base[15:], rng.integers(-(1 << 62), 1 << 62, 16)])  # 130 of 161 items
+        for items in (np.unique(base), np.unique(other)):
+            odd = np.bincount((items.view(np.uint64) >> np.uint64(32)) % np.uint64(near_copies.MARKS), minlength=near_copies.MARKS) & 1
+            rows.append((len(items), len(rows), np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()))
+        want.add((len(rows) - 2, len(rows) - 1))
+    rows.sort()
+    size, fp, marks = zip(*rows)
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * len(rows)), pa.array(size, pa.int32()), pa.array(fp), pa.array(fp), pa.array(marks, pa.list_(pa.int64()))], names=["key", "size", "fp", "root", "marks"])
+    got = {p for b in near_copies._close(0.8)(iter([batch])) for p in zip(*b.to_pydict().values())}
+    assert want <= got
