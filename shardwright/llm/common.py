@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shardwright.session import cut, ensure_checkpoint_dir, stored
 
-__all__ = ["WORD_TABLE", "crc_bucket", "cut", "ensure_checkpoint_dir", "shielded", "stored", "table", "words_of"]
+__all__ = ["WORD_TABLE", "crc_bucket", "cut", "ensure_checkpoint_dir", "release", "shielded", "stored", "table", "words_of"]
 
 #: Bytes that are no word characters become blanks, A-Z become a-z; all bytes
 #: of other characters stay.
@@ -23,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps that are written and done with: it does so once the driver's objects of them are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_bucket(column: str, modulus: int) -> Column:
     """crc32 of a value's text, modulo ``modulus``; null counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)

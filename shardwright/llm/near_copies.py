@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import cut, stored
+from shardwright.llm.common import cut, release, stored
 from shardwright.llm.components import components
 from shardwright.llm.simhash import links as fingerprint_links
 from shardwright.llm.simhash import majority, shingle_hashes, sliced_pairs
@@ -176,7 +176,9 @@ class Verifier:
         own = self.texts.join(F.broadcast(nodes) if few else nodes, "id").select("fp", "t").mapInArrow(_items(self.shingle), "fp long, items array<long>")
         both = left.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
         common = F.size(F.array_intersect("x", "y"))
-        return cut(both.where(common >= F.lit(self.similarity) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
+        found = cut(both.where(common >= F.lit(self.similarity) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
+        release(self.texts.sparkSession)
+        return found
 
 
 def _items(shingle: int):
@@ -248,13 +250,16 @@ def links(check: Verifier) -> DataFrame:
     order = sets.sparkSession.sparkContext.broadcast(cell_counts(check.texts, check.shingle))
     rows = check.texts.mapInArrow(_prefixes(order, check.shingle, similarity), "key long, size int, fp long").repartition("key").sortWithinPartitions("key", "fp")
     placed = stored(rows.mapInArrow(_repeated, "key long, size int, fp long"), "placed")
+    release(sets.sparkSession)
 
     def rooted(placed: DataFrame) -> DataFrame:
         """``placed`` with the root that links so far give each set, for keys of several roots."""
         roots = components(found)
         made = placed.join(roots, F.col("fp") == F.col("node"), "left").select("key", "size", "fp", F.coalesce("root", "fp").alias("root"))
         several = made.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        return stored(made.join(several, "key", "left_semi"), "rooted")
+        made = stored(made.join(several, "key", "left_semi"), "rooted")
+        release(sets.sparkSession)
+        return made
 
     for order_by in (("size", "fp"), ("root", "size", "fp")):  # neighbours by size, then, of what is left, by root
         apart = rooted(placed)
