@@ -6,9 +6,10 @@ an entry of level q (2^(q-1) to 2^q - 1 occurrences) is stored as the q pairs
 (entry, 1) ... (entry, q), so a count is read by probing levels until one is
 missing; a level stands for the mean count of its entries. Every first word of
 pairs also has its total, the sum of its pairs' counts as they will be read,
-stored as a level and one of its eighths. All words and pairs are stored. Probes
-grow with the logarithm of the vocabulary, so that pairs read by mistake stay
-under one for each first word, and their expected number is part of its total.
+stored as a level and one of its eighths. All words and pairs are stored. Some absent pairs are read as
+stored; how many of a vocabulary that will be is known from the filter's bits, and this number
+is part of every total. So rare first words say less about the next word the larger the vocabulary
+is, but probabilities still sum to 1.
 
 The probability of a word is (pair count + PRIOR * word probability) / (total +
 PRIOR), so over the vocabulary and the unknown word it sums to 1 but for the
@@ -33,12 +34,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import crc_bucket, stored
+from shardwright.llm.common import crc_bucket, release, stored
 
 END, START = xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b" start")
 #: The largest filter that is broadcast (128 MB), and about the largest slice of a filter (4 MB).
 MAX_BITS, SLICE_BITS = 1 << 30, 1 << 25
 SLICES, MAX_LEVEL, EIGHTHS = 64, 44, 64
+#: Probes for each stored pair, 8 (12 bits a pair) at least, and the size that more of them may take.
+PROBES, TARGET_BITS = 8, 1 << 29
 HEAD = 1 << 20
 PRIOR, ALPHA = 20.0, 0.1
 #: Tokens of one stretch, where keys go to slices.
@@ -193,9 +196,9 @@ class LogFrequencyFilter:
         return out
 
 
-def probes_for(distinct: int) -> int:
-    """Probes that let a sixteenth of one of ``distinct`` absent keys through."""
-    return max(12, int(np.ceil(np.log2(max(2, distinct)))) + 4)
+def probes_for(entries: int, distinct: int) -> int:
+    """So many that a sixteenth of one of ``distinct`` absent keys is let through, or as ``TARGET_BITS`` allows, but ``PROBES`` at least."""
+    return max(PROBES, min(int(np.ceil(np.log2(max(2, distinct)))) + 4, int(TARGET_BITS * np.log(2) / max(1, entries))))
 
 
 def build_filter(kept: DataFrame, entries: int, distinct: int) -> tuple[DataFrame, int, int, int]:
@@ -205,7 +208,7 @@ def build_filter(kept: DataFrame, entries: int, distinct: int) -> tuple[DataFram
     is 8 * level + eighth, also at the eighth. ``entries`` are stored pairs, in all.
     The table has a row for each slice: slice, bits, and the share of bits set.
     """
-    probes = probes_for(distinct)
+    probes = probes_for(entries, distinct)
     bits = int(entries * probes / np.log(2)) + 64
     slices = SLICES  # a power of two, so that signed keys have the slice of unsigned ones
     while bits > slices * SLICE_BITS:
@@ -285,6 +288,7 @@ class Model:
 def train(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS, head: int = HEAD) -> tuple[Model, DataFrame, DataFrame]:
     """The model of all rows of ``docs``, the full table (key, n) of word counts, and the filter's table of slices."""
     kept = stored(counts(docs, text_col).withColumn("level", F.least(F.lit(MAX_LEVEL), F.lit(1) + F.floor(F.log2("n") + 1e-12).cast("int"))), "counts")
+    release(docs.sparkSession)
     words = kept.where("kind = 1").select("key", "n")
     sizes = {(r["kind"], r["level"]): (r["c"], r["s"]) for r in kept.groupBy("kind", "level").agg(F.count("*").alias("c"), F.sum("n").alias("s")).collect()}  # 2 * MAX_LEVEL rows at most
     total, distinct = (sum(v[k] for (kind, _), v in sizes.items() if kind == 1) for k in (1, 0))
@@ -296,9 +300,11 @@ def train(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS, hea
     one = F.shiftrightunsigned("key", 32)
     sums = kept.where("kind = 2").groupBy(F.shiftleft(one, 32).bitwiseOR(one).alias("key")).agg(F.log2(F.sum(mean)).alias("log"))
     totals = stored(sums.select(F.lit(3).alias("kind"), "key", (F.lit(8) + F.floor(F.col("log") * 8 + 1e-9)).cast("int").alias("level")), "totals")
+    release(docs.sparkSession)
     more = totals.agg(F.coalesce(F.sum(F.expr("level div 8 + 1")), F.lit(0))).first()[0]
     entries = sum(c * q for (_, q), (c, _) in sizes.items()) + more
     table, *shape = build_filter(kept.select("kind", "key", "level").union(totals), entries, distinct)
+    release(docs.sparkSession)
     slice_bits, slices, probes = shape
     wrong = table.agg(F.coalesce(F.avg(F.pow("full", F.lit(float(probes)))), F.lit(0.0))).first()[0]
 
