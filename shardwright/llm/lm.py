@@ -47,6 +47,8 @@ PRIOR, ALPHA = 20.0, 0.1
 #: Tokens of one stretch, where keys go to slices.
 STRETCH = 1 << 14
 CACHE_WORDS, BUFFER_TOKENS = 200_000, 1_000_000
+#: Keys that are probed together.
+CHUNK = 1 << 13
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -81,10 +83,9 @@ class Hasher:
         known, digest, flat, lengths = self.known, xxhash.xxh64_intdigest, [], []
         for text in texts:
             words = text.lower().split()
-            for w in set(words):
-                if w not in known:
-                    known[w] = digest(w)
-            flat += [known[w] for w in words]
+            for w in set(words).difference(known):
+                known[w] = digest(w)
+            flat += map(known.__getitem__, words)
             flat.append(END)
             lengths.append(len(words) + 1)
         return np.array(flat, np.uint64), np.array(lengths, np.int64)
@@ -163,17 +164,28 @@ class LogFrequencyFilter:
         return np.minimum(MAX_LEVEL, 1 + np.floor(np.log2(np.maximum(n, 1)) + 1e-12).astype(np.int64))
 
     def holds(self, keys: np.ndarray, level: int) -> np.ndarray:
-        """Numbers of the keys that are stored at a level."""
-        alive = np.arange(len(keys))
-        base = (keys % np.uint64(self.slices)) * np.uint64(self.slice_bits) if self.slices > 1 else np.zeros(len(keys), np.uint64)
-        at, step = self.probing(keys, level)
-        for _ in range(self.probes):
-            bit = base[alive] + self.position(at[alive], self.slice_bits)
-            alive = alive[(self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-            if not len(alive):
-                break
-            at += step
-        return alive
+        """Numbers of the keys that are stored at a level; ``CHUNK`` keys at a time, so that what is reckoned stays near the core."""
+        found = [np.empty(0, np.int64)]
+        for lo in range(0, len(keys), CHUNK):
+            part = keys[lo : lo + CHUNK]
+            alive = np.arange(lo, lo + len(part))
+            base = (part % np.uint64(self.slices)) * np.uint64(self.slice_bits)
+            at, step = self.probing(part, level)
+            for _ in range(self.probes):
+                bit = self.position(at, self.slice_bits)
+                bit += base
+                byte = self.bits.take((bit >> np.uint64(3)).view(np.int64))
+                bit &= np.uint64(7)
+                hit = (byte >> bit.astype(np.uint8)) & 1
+                at += step
+                if not hit.all():
+                    stay = np.flatnonzero(hit)
+                    if not len(stay):
+                        alive = stay
+                        break
+                    alive, base, at, step = alive[stay], base[stay], at[stay], step[stay]
+            found.append(alive)
+        return np.concatenate(found)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The stored level of each key, 0 if none; now and then one too many."""
@@ -276,9 +288,9 @@ class Model:
         total = np.where(totals > 0, np.where(code > 0, 2.0 ** ((code + 0.5) / 8), 1.0), 0.0)
         return np.log10((self.pair_means[pairs] + PRIOR * single) / (total + self.mistaken + PRIOR))
 
-    def token_logs(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """``logs`` of texts' tokens, by probes of the broadcast filter."""
-        words, of_word = np.unique(tokens, return_inverse=True)
+    def token_logs(self, tokens: np.ndarray, lengths: np.ndarray, distinct: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """``logs`` of texts' tokens, by probes of the broadcast filter; ``distinct``: the distinct tokens and where they stand, if known."""
+        words, of_word = distinct or np.unique(tokens, return_inverse=True)
         pairs, of_pair = np.unique(pair_keys(before(tokens, lengths), tokens), return_inverse=True)
         totals, of_total = np.unique(total_keys(pairs), return_inverse=True)
         f = self.filter
@@ -350,7 +362,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, table: DataFrame, id_
                 n = m.exact(distinct)
                 log = np.where(n >= 0, m.base_log(np.maximum(n, 0)), 0.0)[where]
                 rows = first[at : at + len(texts)]
-                logs = pa.array(np.add.reduceat(m.token_logs(tokens, lengths), starts)) if m.filter else pa.nulls(len(texts), pa.float64())
+                logs = pa.array(np.add.reduceat(m.token_logs(tokens, lengths, (distinct, where)), starts)) if m.filter else pa.nulls(len(texts), pa.float64())
                 yield pa.RecordBatch.from_arrays([
                     pa.array(rows), batch.column(1).slice(at, len(texts)), pa.array(lengths), pa.array(np.add.reduceat((n > 0)[where].astype(np.int64), starts)),
                     pa.array(np.add.reduceat(log, starts)), logs, pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.int64()),
