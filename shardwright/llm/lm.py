@@ -6,14 +6,14 @@ an entry of level q (2^(q-1) to 2^q - 1 occurrences) is stored as the q pairs
 (entry, 1) ... (entry, q), so a count is read by probing levels until one is
 missing; a level stands for the mean count of its entries. Every first word of
 pairs also has its total, the sum of its pairs' counts as they will be read,
-stored as a level and one of its eighths. All words and pairs are stored. Some absent pairs are read as
-stored; how many of a vocabulary that will be is known from the filter's bits, and this number
-is part of every total. So rare first words say less about the next word the larger the vocabulary
-is, but probabilities still sum to 1.
+stored as a level and one of its sixteenths, rounded up, so that no probability passes 1. All words and
+pairs are stored. Some absent pairs are read as stored; how many of a vocabulary that will be is known
+from the filter's bits, and this number is part of every total. Probes grow with the vocabulary, so
+that it stays far below ``PRIOR`` at any size.
 
 The probability of a word is (pair count + PRIOR * word probability) / (total +
 PRIOR), so over the vocabulary and the unknown word it sums to 1 but for the
-eighths. The filter is built in slices by tasks. Up to ``MAX_BITS`` it is
+sixteenths. The filter is built in slices by tasks. Up to ``MAX_BITS`` it is
 broadcast; a larger one stays in the shared folder, and the distinct keys of
 every stretch of text go to their slices by shuffle and come back as levels.
 
@@ -26,7 +26,7 @@ full table of counts by shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +39,11 @@ from shardwright.llm.common import crc_bucket, release, stored
 END, START = xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b" start")
 #: The largest filter that is broadcast (128 MB), and about the largest slice of a filter (4 MB).
 MAX_BITS, SLICE_BITS = 1 << 30, 1 << 25
-SLICES, MAX_LEVEL, EIGHTHS = 64, 44, 64
-#: Probes for each stored pair, 8 (12 bits a pair) at least, and the size that more of them may take.
-PROBES, TARGET_BITS = 8, 1 << 29
+SLICES, MAX_LEVEL = 64, 44
+#: A total is stored as a level and one of so many parts of it; entries (key, AFTER + code) tell the part.
+PARTS, AFTER = 16, 64
+#: Probes for each stored pair, at least.
+PROBES = 8
 HEAD = 1 << 20
 PRIOR, ALPHA = 20.0, 0.1
 #: Tokens of one stretch, where keys go to slices.
@@ -70,6 +72,11 @@ def total_keys(pairs: np.ndarray) -> np.ndarray:
     return (one << np.uint64(32)) | one
 
 
+def first_keys(first: np.ndarray) -> np.ndarray:
+    """The key of the total after a word."""
+    return total_keys(pair_keys(first, first))
+
+
 class Hasher:
     """Word hashes of texts; those of frequent words are kept, up to CACHE_WORDS."""
 
@@ -187,40 +194,47 @@ class LogFrequencyFilter:
             found.append(alive)
         return np.concatenate(found)
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The stored level of each key, 0 if none; now and then one too many."""
-        out, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        for level in range(1, MAX_LEVEL + 1):
-            alive = alive[self.holds(keys[alive], level)]
-            if not len(alive):
-                break
-            out[alive] = level
-        return out
+    def levels(self, keys: np.ndarray, cap: np.ndarray | None = None) -> np.ndarray:
+        """The stored level of each key, 0 if none; now and then one too many. No key is above its ``cap``.
+
+        Level 1 is asked first, so an absent key is asked once. The levels of a stored one have no gap, so
+        the highest is found by halving.
+        """
+        low, high = np.zeros(len(keys), np.int64), np.full(len(keys), MAX_LEVEL) if cap is None else cap.copy()
+        level = np.where(high > 0, 1, 0)
+        while (open_ := np.flatnonzero(low < high)).size:
+            for q in np.unique(level[open_]).tolist():
+                mine = open_[level[open_] == q]
+                found = np.zeros(len(mine), bool)
+                found[self.holds(keys[mine], q)] = True
+                low[mine[found]], high[mine[~found]] = q, q - 1
+            level = np.minimum((low + high + 1) // 2, 2 * low + 1)
+        return low
 
     def totals(self, keys: np.ndarray) -> np.ndarray:
-        """8 * level + eighth (from 0) of each total, 0 if there is none."""
+        """PARTS * level + part (from 0) of each total, 0 if there is none."""
         level = self.levels(keys)
-        out = 8 * level
-        for eighth in range(1, 8):
+        out = PARTS * level
+        for part in range(1, PARTS):
             for q in np.unique(level[level > 0]).tolist():
                 mine = np.flatnonzero(level == q)
-                out[mine[self.holds(keys[mine], EIGHTHS + 8 * q + eighth)]] = 8 * q + eighth
+                out[mine[self.holds(keys[mine], AFTER + PARTS * q + part)]] = PARTS * q + part
         return out
 
 
-def probes_for(entries: int, distinct: int) -> int:
-    """So many that a sixteenth of one of ``distinct`` absent keys is let through, or as ``TARGET_BITS`` allows, but ``PROBES`` at least."""
-    return max(PROBES, min(int(np.ceil(np.log2(max(2, distinct)))) + 4, int(TARGET_BITS * np.log(2) / max(1, entries))))
+def probes_for(distinct: int) -> int:
+    """So many that a sixteenth of one of ``distinct`` absent keys is let through, however many are stored."""
+    return max(PROBES, int(np.ceil(np.log2(max(2, distinct)))) + 4)
 
 
 def build_filter(kept: DataFrame, entries: int, distinct: int) -> tuple[DataFrame, int, int, int]:
     """(table of slices, slice_bits, slices, probes) of the filter of ``kept`` (kind, key, level).
 
     Kinds 1 and 2 are stored at levels 1 to ``level``; kind 3, totals, whose ``level``
-    is 8 * level + eighth, also at the eighth. ``entries`` are stored pairs, in all.
+    is PARTS * level + part, also at the part. ``entries`` are stored pairs, in all.
     The table has a row for each slice: slice, bits, and the share of bits set.
     """
-    probes = probes_for(entries, distinct)
+    probes = probes_for(distinct)
     bits = int(entries * probes / np.log(2)) + 64
     slices = SLICES  # a power of two, so that signed keys have the slice of unsigned ones
     while bits > slices * SLICE_BITS:
@@ -244,11 +258,11 @@ def build_filter(kept: DataFrame, entries: int, distinct: int) -> tuple[DataFram
                 mine = of == s
                 own, total = keys[mine], kinds[mine] == 3
                 code = levels[mine]
-                top = np.where(total, code // 8, code)
+                top = np.where(total, code // PARTS, code)
                 for level in range(1, int(top.max()) + 1):
                     put(flags, own[top >= level], level)
-                for c in np.unique(code[total & (code % 8 > 0)]).tolist():
-                    put(flags, own[total & (code == c)], EIGHTHS + c)
+                for c in np.unique(code[total & (code % PARTS > 0)]).tolist():
+                    put(flags, own[total & (code == c)], AFTER + c)
         for s, flags in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary()), pa.array([float(flags.mean())])], names=["slice", "bits", "full"])
 
@@ -269,6 +283,7 @@ class Model:
     mistaken: float  # pairs that the filter is expected to read by mistake for each first word, times their count
     shape: tuple[int, int, int]  # slice_bits, slices, probes
     filter: LogFrequencyFilter | None = None
+    asked: dict[int, np.ndarray] = field(default_factory=dict)  # what a worker has read of the head
 
     def base_log(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + ALPHA) / (self.train_tokens + ALPHA * (self.distinct + 1)))
@@ -283,18 +298,36 @@ class Model:
     def logs(self, words: np.ndarray, pairs: np.ndarray, totals: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token, from the levels of its word and pair and the total before it."""
         single = (self.word_means[words] + ALPHA) / (self.train_tokens + ALPHA * (self.distinct + 1))
-        pairs = np.minimum(pairs, np.minimum(words, totals // 8))  # a pair is no more frequent than its words
-        code = totals - 8
-        total = np.where(totals > 0, np.where(code > 0, 2.0 ** ((code + 0.5) / 8), 1.0), 0.0)
+        pairs = np.minimum(pairs, np.minimum(words, totals // PARTS))  # a pair is no more frequent than its words
+        code = totals - PARTS
+        total = np.where(totals > 0, 2.0 ** (code / PARTS), 0.0)
         return np.log10((self.pair_means[pairs] + PRIOR * single) / (total + self.mistaken + PRIOR))
 
+    def read(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        """Levels of words (kind 1), or totals after them (kind 3). Those of frequent words are asked once in a worker."""
+        ask = (lambda k: self.filter.levels(k)) if kind == 1 else (lambda k: self.filter.totals(first_keys(k)))
+        if not len(self.head_keys):
+            return ask(keys)
+        known = self.asked.setdefault(kind, np.full(len(self.head_keys), -1, np.int16))
+        at = np.minimum(np.searchsorted(self.head_keys, keys), len(self.head_keys) - 1)
+        frequent = self.head_keys[at] == keys
+        out = np.where(frequent, known[at], -1).astype(np.int64)
+        new = np.flatnonzero(out < 0)
+        out[new] = ask(keys[new])
+        known[at[new[frequent[new]]]] = out[new[frequent[new]]]
+        return out
+
     def token_logs(self, tokens: np.ndarray, lengths: np.ndarray, distinct: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """``logs`` of texts' tokens, by probes of the broadcast filter; ``distinct``: the distinct tokens and where they stand, if known."""
         words, of_word = distinct or np.unique(tokens, return_inverse=True)
-        pairs, of_pair = np.unique(pair_keys(before(tokens, lengths), tokens), return_inverse=True)
-        totals, of_total = np.unique(total_keys(pairs), return_inverse=True)
-        f = self.filter
-        return self.logs(f.levels(words)[of_word], f.levels(pairs)[of_pair], f.totals(totals)[of_total[of_pair]])
+        level = self.read(words, 1)[of_word]
+        total = self.read(np.append(words, np.uint64(START)), 3)
+        of_first = np.concatenate([[len(words)], of_word[:-1]])
+        of_first[np.cumsum(lengths) - lengths] = len(words)
+        total = total[of_first]
+        pairs, first_at, of_pair = np.unique(pair_keys(before(tokens, lengths), tokens), return_index=True, return_inverse=True)
+        cap = np.minimum(level, total // PARTS)[first_at]  # a pair is no more frequent than its words
+        return self.logs(level, self.filter.levels(pairs, cap)[of_pair], total)
 
 
 def train(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS, head: int = HEAD) -> tuple[Model, DataFrame, DataFrame]:
@@ -311,9 +344,9 @@ def train(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS, hea
     mean = F.element_at(F.array(*(F.lit(float(m)) for m in means[2, 1:])), F.col("level"))
     one = F.shiftrightunsigned("key", 32)
     sums = kept.where("kind = 2").groupBy(F.shiftleft(one, 32).bitwiseOR(one).alias("key")).agg(F.log2(F.sum(mean)).alias("log"))
-    totals = stored(sums.select(F.lit(3).alias("kind"), "key", (F.lit(8) + F.floor(F.col("log") * 8 + 1e-9)).cast("int").alias("level")), "totals")
+    totals = stored(sums.select(F.lit(3).alias("kind"), "key", (F.lit(PARTS) + F.ceil(F.col("log") * PARTS - 1e-9)).cast("int").alias("level")), "totals")
     release(docs.sparkSession)
-    more = totals.agg(F.coalesce(F.sum(F.expr("level div 8 + 1")), F.lit(0))).first()[0]
+    more = totals.agg(F.coalesce(F.sum(F.expr(f"level div {PARTS} + 1")), F.lit(0))).first()[0]
     entries = sum(c * q for (_, q), (c, _) in sizes.items()) + more
     table, *shape = build_filter(kept.select("kind", "key", "level").union(totals), entries, distinct)
     release(docs.sparkSession)

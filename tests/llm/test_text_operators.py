@@ -390,9 +390,9 @@ def test_filter_holds_counts_and_rarely_errs(spark):
     rng = np.random.default_rng(0)
     keys, n = rng.integers(0, 1 << 63, 20_000).astype(np.uint64), rng.integers(1, 500, 20_000)
     levels = lm.LogFrequencyFilter.level_of(n)
-    codes = 8 + np.floor(8 * np.log2(n)).astype(int)
+    codes = lm.PARTS + np.floor(lm.PARTS * np.log2(n)).astype(int)
     rows = spark.createDataFrame(pd.DataFrame({"kind": np.repeat([1, 3], 20_000), "key": np.concatenate([keys, keys ^ np.uint64(1 << 62)]).view(np.int64), "level": np.concatenate([levels, codes])}))
-    table, slice_bits, slices, probes = lm.build_filter(rows, int(levels.sum() + (codes // 8 + 1).sum()), 20_000)
+    table, slice_bits, slices, probes = lm.build_filter(rows, int(levels.sum() + (codes // lm.PARTS + 1).sum()), 20_000)
     bits = b"".join(r["bits"] for r in table.orderBy("slice").collect())
     f = lm.LogFrequencyFilter(np.frombuffer(bits, np.uint8), slice_bits, slices, probes)
     assert (f.levels(keys) >= levels).all() and (f.levels(keys) > levels).mean() < 0.001
@@ -415,8 +415,8 @@ def brute_scores(rows, mistaken):
     total = Counter()
     for (h, _), n in pairs.items():
         total[h] += means[1][level(n)]
-    read = {h: 1.0 if (e := math.floor(8 * math.log2(t) + 1e-9)) == 0 else 2 ** ((e + 0.5) / 8) for h, t in total.items()}
-    top = {h: int(math.floor(8 * math.log2(t) + 1e-9)) // 8 + 1 for h, t in total.items()}
+    parts = {h: math.ceil(lm.PARTS * math.log2(t) - 1e-9) for h, t in total.items()}
+    read, top = {h: 2 ** (e / lm.PARTS) for h, e in parts.items()}, {h: e // lm.PARTS + 1 for h, e in parts.items()}
     n, v = sum(words.values()), len(words)
 
     def log(h, w):
@@ -431,12 +431,13 @@ def test_score_equals_exact_counts_by_broadcast_and_by_slices(spark, monkeypatch
     monkeypatch.setattr(lm, "STRETCH", 100)
     rows = {r["doc_id"]: r["text"] for r in docs_of(spark).collect()} | {-1: None, -2: "", -3: "word " * 5000}
     docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    for target, bits in ((lm.TARGET_BITS, lm.MAX_BITS), (lm.TARGET_BITS, 1), (1, lm.MAX_BITS), (1, 1)):
-        monkeypatch.setattr(lm, "TARGET_BITS", target)
+    for probes, bits in ((None, lm.MAX_BITS), (None, 1), (8, lm.MAX_BITS), (8, 1)):
+        if probes:
+            monkeypatch.setattr(lm, "probes_for", lambda _: 8)
         want = brute_scores(rows.items(), lm.train(docs.where(~lm.held_out()))[0].mistaken)
         got = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs, max_bits=bits).collect()}
         assert got.keys() == want.keys()
-        if target > 1:
+        if not probes:
             near = [abs(got[i] - want[i]) < 1e-6 * max(1, abs(want[i])) for i in want]
             assert sum(near) >= 0.95 * len(near), "a few texts hold a pair read by mistake"
         assert abs(sum(got.values()) / sum(want.values()) - 1) < 0.01
@@ -453,6 +454,32 @@ def test_probabilities_sum_to_one(spark):
         assert abs((10 ** np.concatenate([model.logs(of_word, model.filter.levels(pairs), total), unknown])).sum() - 1) < 0.05
 
 
+def test_no_probability_passes_one(spark):
+    """Also where nearly all of a word's pairs are one pair, whatever its count."""
+    for n in (2, 3, 7, 60, 1001, 60_001):
+        rows = [(1, "same " * n), (2, "same other"), (3, "other same")]
+        model, words, _ = lm.train(spark.createDataFrame(rows, "doc_id long, text string"))
+        tokens, lengths = lm.Hasher().tokens([t.encode() for _, t in rows] + [b"", b"unseen same"])
+        assert (model.token_logs(tokens, lengths) <= 1e-12).all()
+
+
+@pytest.mark.parametrize("words", [24_000, 5_000_000, 100_000_000, 10_000_000_000])
+def test_absent_pairs_weigh_little_at_any_size(words):
+    """Pairs read by mistake after one word: the vocabulary's share that half-full slices let through."""
+    assert words * 0.5 ** lm.probes_for(words) < 0.1
+
+
+def test_a_crowded_filter_still_tells_pairs_apart(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{x}" for x in rng.zipf(1.3, 400) % 5000)) for k in range(300)]
+    model, _, _ = lm.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert model.mistaken < 0.1
+    tokens, lengths = lm.Hasher().tokens([t.encode() for _, t in rows[:50]])
+    seen = lm.pair_keys(lm.before(tokens, lengths), tokens)
+    assert (model.filter.levels(seen) > 0).all()
+    assert (model.filter.levels(rng.integers(0, 1 << 63, 100_000).astype(np.uint64)) > 0).sum() < 20
+
+
 def test_repeated_passages_score_higher_than_the_base(spark):
     text = "the quick brown fox jumps over the lazy dog again"
     rows = [(i, f"{text} {i}") for i in range(1, 60)] + [(100 + i, f"w{i} v{i} u{i}") for i in range(60)]
