@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardwright.llm import ann, contamination_sql, decontam, html_extract, langid, licenses, lm, mixing, quality, simhash, warc
+from shardwright.llm import ann, clustering, contamination_sql, conversation_sql, conversations, decontam, html_extract, langid, licenses, lm, mixing, quality, rules, simhash, warc
 from shardwright.llm.common import table
 
 
@@ -50,8 +50,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustering(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversation_repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_warc_index, op4_license_scan, op5_lm_scoring, op6_source_mixing, op7_simhash_dedup, op8_html_extraction, op9_nearest_neighbours, op10_quality_classifier)}
+    first = (op1_language_id, op2_decontamination, op3_warc_index, op4_license_scan, op5_lm_scoring, op6_source_mixing, op7_simhash_dedup)
+    rest = (op8_html_extraction, op9_nearest_neighbours, op10_quality_classifier, op11_centroid_clustering, op12_quality_rules, op13_conversation_repair)
+    return {f.__name__: f for f in (*first, *rest)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -60,4 +74,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc_index": warc.WARC_SQL,
         "op4_license_scan": licenses.license_sql(),
         "op6_source_mixing": mixing.mixing_sql(),
+        "op11_centroid_clustering": clustering.clustering_sql(),
+        "op13_conversation_repair": conversation_sql.REPAIR_SQL,
     }
