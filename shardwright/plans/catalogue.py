@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shardwright.functions import names as N
 from shardwright.operators import classify, diagnostics, integrity, link, merge, repair, report, rescue, salvage
-from shardwright.plans import part_queries  # noqa: F401 - registers its queries
+from shardwright.plans import flow_queries, part_queries  # noqa: F401 - they register their queries
 from shardwright.plans import stand_ins as S
 from shardwright.plans.registry import QUERIES, SQL, Query, query
 from shardwright.sources.containers import RECIPES, complementary_copies, known_packages

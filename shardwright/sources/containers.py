@@ -159,3 +159,62 @@ def complementary_copies(texts: DataFrame, id_col: str = "doc_id", text_col: str
 
     kind = texts.schema[id_col].dataType.simpleString()
     return texts.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"group_id {kind}, copy_rank int, content binary")
+
+
+# What has happened to a family of versions, in the order of their numbers.
+FATES = ["copies_complete", "mixed_entry", "renamed_in_donor", "edited_in_donor", "lost_slide", "lost_structure", "no_index", "no_structure"]
+
+
+def _without(data: bytes, starts: dict[str, int], *names: str) -> bytes:
+    """Zeros over entries."""
+    order = sorted([*starts.values(), data.index(b"PK\x01\x02")])
+    for name in names:
+        a = starts[name]
+        b = order[order.index(a) + 1]
+        data = data[:a] + bytes(b - a) + data[b:]
+    return data
+
+
+def family(fate: str, text: str, seed: str) -> list[tuple[str, int, bytes]]:
+    """(kind, rank, content): the copies of a package, and donors, older versions of it."""
+    one, two = "ppt/slides/slide1.xml", "ppt/slides/slide2.xml"
+    whole = package([text, seed, "third"], filler(seed, 78_000 if fate == "mixed_entry" else 3000))
+    starts, index = dict(_starts(whole)), whole.index(b"PK\x01\x02")
+    if fate == "mixed_entry":  # a copy each for the bytes before and behind a 64 KiB place
+        a = starts["ppt/media/image1.bin"] + 400
+        return [("copy", 1, whole[:a] + bytes(300) + whole[a + 300 :]), ("copy", 2, whole[:66_000] + bytes(300) + whole[66_300:])]
+    if fate == "renamed_in_donor":  # what was slide 2 in the donor is slide 1 now
+        older = package(["first", text], filler(seed, 3000))
+        return [("copy", 1, _without(whole, starts, one)), ("copy", 2, _without(whole, starts, one)), ("donor", 1, older)]
+    if fate == "edited_in_donor":
+        older = stored([(n, d if n != "docProps/app.xml" else b"<Properties>older</Properties>") for n, d in _members(whole)])
+        return [("copy", k, _without(whole, starts, "docProps/app.xml")) for k in (1, 2)] + [("donor", 1, filler(seed, 500)), ("donor", 2, older)]
+    if fate == "lost_slide":
+        return [("copy", k, _without(whole, starts, one)) for k in (1, 2)]
+    if fate == "lost_structure":  # the donor shows two slides, of which the first one is in the copies as the second
+        older = package([seed, "older"], filler(seed, 3000))
+        return [("copy", k, _without(whole, starts, "ppt/presentation.xml", "ppt/_rels/presentation.xml.rels")) for k in (1, 2)] + [("donor", 1, older)]
+    if fate == "no_index":
+        return [("copy", 1, _without(whole, starts, one)[:index]), ("copy", 2, _without(whole, starts, one, two)[:index]), ("donor", 1, whole)]
+    if fate == "no_structure":
+        return [("copy", k, _without(whole, starts, "ppt/presentation.xml")[:index]) for k in (1, 2)]
+    return [("copy", 1, _without(whole, starts, one)), ("copy", 2, _without(whole, starts, two))]
+
+
+def _members(data: bytes) -> list[tuple[str, bytes]]:
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        return [(i.filename, archive.read(i)) for i in archive.infolist()]
+
+
+def families(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(group_id, kind, rank, content): the copies and donors of every text's package; the fate goes round with the id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 16):
+                part = batch.slice(at, 16)
+                rows = [(key, *row) for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for row in family(FATES[(key or 0) % len(FATES)], text or "", str(key))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (batch.schema.field(0).type, pa.string(), pa.int32(), pa.binary()))], names=["group_id", "kind", "rank", "content"])
+
+    kind = texts.schema[id_col].dataType.simpleString()
+    return texts.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"group_id {kind}, kind string, rank int, content binary")
