@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.parsers.expat import ExpatError
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardwright.functions import xmltree
 from shardwright.functions.names import rels_base, rels_name, resolved, type_tail, unescaped
 
 # Parts and the relationship types that each must have.
@@ -36,11 +41,44 @@ def relationships(parts: DataFrame) -> DataFrame:
     )
 
 
-def references(parts: DataFrame) -> DataFrame:
-    """(file_id, part, attribute, rid): attributes of the relationship namespace in XML parts; empty values are none."""
-    xml = parts.where(F.col("name").endswith(".xml")).select("file_id", F.col("name").alias("part"), F.col("payload").cast("string").alias("xml"))
-    found = xml.select("file_id", "part", F.explode(F.regexp_extract_all("xml", F.lit(r"""\sr:(?:id|embed|link|pict|dm|lo|qs|cs)\s*=\s*["'][^"']+["']"""), F.lit(0))).alias("a"))
-    return found.select("file_id", "part", F.trim(F.regexp_extract("a", r"(r:\w+)", 1)).alias("attribute"), F.regexp_extract("a", r"""["']([^"']+)["']""", 1).alias("rid"))
+_INSPECTED = pa.struct([
+    ("refs", pa.list_(pa.struct([("attribute", pa.string()), ("rid", pa.string())]))), ("lost_shapes", pa.list_(pa.string())),
+    ("mismatches", pa.list_(pa.struct([("kind", pa.string()), ("spid", pa.string())]))),
+])
+
+
+def inspections(parts: DataFrame) -> DataFrame:
+    """(file_id, part, found) of every XML part but relationship parts; ``found`` (refs, lost_shapes, mismatches) is null where a part isn't well-formed. One parse a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for data in batch.column(2):
+                try:
+                    found.append(xmltree.inspected(data.as_py() or b""))
+                except ExpatError:
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, _INSPECTED)], names=["file_id", "part", "found"])
+
+    xml = parts.where(F.col("name").endswith(".xml")).select("file_id", F.col("name").alias("part"), F.col("payload").cast("binary"))
+    kind = parts.schema["file_id"].dataType.simpleString()
+    return xml.mapInArrow(run, f"file_id {kind}, part string, found struct<refs:array<struct<attribute:string,rid:string>>,lost_shapes:array<string>,mismatches:array<struct<kind:string,spid:string>>>")
+
+
+def references(parts: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """(file_id, part, attribute, rid): all attributes of the relationship namespace in XML parts, named r:... whatever their prefix; empty values are none. ``seen``: the parts' inspections, if they are stored."""
+    return (inspections(parts) if seen is None else seen).select("file_id", "part", F.explode("found.refs").alias("r")).select("file_id", "part", "r.attribute", "r.rid")
+
+
+def unreadable(parts: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """(file_id, part) of XML parts that aren't well-formed."""
+    return (inspections(parts) if seen is None else seen).where("found is null").select("file_id", "part")
+
+
+def without_relationships(names: DataFrame, refs: DataFrame) -> DataFrame:
+    """(file_id, part, n): parts that refer to relationships but have no relationship part, and how many references they hold."""
+    there = names.where(F.col("name").endswith(".rels")).select("file_id", F.col("name").alias("rels_part")).distinct()
+    return refs.withColumn("rels_part", rels_name(F.col("part"))).join(there, ["file_id", "rels_part"], "left_anti").groupBy("file_id", "part").agg(F.count("*").alias("n"))
 
 
 def dangling_references(refs: DataFrame, rels: DataFrame) -> DataFrame:
@@ -71,31 +109,55 @@ def pruned_relationships(rels: DataFrame, names: DataFrame) -> DataFrame:
     return rels.join(there, ["file_id", "resolved"], "left").withColumn("keep", F.col("external") | F.coalesce("_there", F.lit(False))).select(*rels.columns, "keep")
 
 
-def shape_references(parts: DataFrame) -> DataFrame:
+def shape_references(parts: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """(file_id, part, spid): shape ids that animations name but no shape of the part has."""
-    xml = parts.where(F.col("name").rlike(r"^ppt/.*\.xml$")).select("file_id", F.col("name").alias("part"), F.col("payload").cast("string").alias("xml"))
-    used = xml.select("file_id", "part", F.explode(F.regexp_extract_all("xml", F.lit(r"""\sspid\s*=\s*["']([^"']+)["']"""), F.lit(1))).alias("spid"))
-    shapes = xml.select("file_id", "part", F.explode(F.regexp_extract_all("xml", F.lit(r"""<p:cNvPr\s[^>]*?\bid\s*=\s*["']([^"']+)["']"""), F.lit(1))).alias("spid")).distinct()
-    return used.join(shapes, ["file_id", "part", "spid"], "left_anti")
+    return (inspections(parts) if seen is None else seen).select("file_id", "part", F.explode("found.lost_shapes").alias("spid"))
 
 
 def missing_themes(names: DataFrame, rels: DataFrame) -> DataFrame:
     """(file_id, part, theme): masters whose theme is not there."""
-    wanted = rels.where("not external and type_tail = 'theme'").where(F.col("rels_part").startswith("ppt/slideMasters/_rels/"))
+    wanted = rels.where("not external and type_tail = 'theme'").where(F.col("rels_part").rlike("^ppt/(?:slide|notes|handout)Masters/_rels/"))
     there = names.select("file_id", F.col("name").alias("resolved")).distinct()
     master = F.regexp_replace(F.regexp_replace("rels_part", r"/_rels/", "/"), r"\.rels$", "")
     return wanted.join(there, ["file_id", "resolved"], "left_anti").select("file_id", master.alias("part"), F.col("resolved").alias("theme"))
 
 
-def media_mismatches(parts: DataFrame) -> DataFrame:
+def media_mismatches(parts: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """(file_id, part, kind, spid): media that a timing tree plays from a shape without such a media element."""
-    xml = parts.where(F.col("name").rlike(r"^ppt/.*\.xml$")).select("file_id", F.col("name").alias("part"), F.col("payload").cast("string").alias("xml"))
-    plays = xml.select("file_id", "part", "xml", F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<p:(?:video|audio)[\s>].*?</p:(?:video|audio)>"), F.lit(0))).alias("m"))
-    kind, spid = F.regexp_extract("m", r"^<p:(video|audio)", 1), F.regexp_extract("m", r"""spTgt\s[^>]*spid=["']([^"']+)["']""", 1)
-    shapes = xml.select("file_id", "part", F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<p:(?:pic|sp)>.*?</p:(?:pic|sp)>"), F.lit(0))).alias("s"))
-    shapes = shapes.select("file_id", "part", F.regexp_extract("s", r"""<p:cNvPr\s[^>]*?\bid=["']([^"']+)["']""", 1).alias("spid"), F.col("s").rlike(r"<a:videoFile|p14:media").alias("video"), F.col("s").rlike(r"<a:(?:audioFile|wavAudioFile|audioCd)|p14:media").alias("audio"))
-    met = plays.select("file_id", "part", kind.alias("kind"), spid.alias("spid")).join(shapes, ["file_id", "part", "spid"])
-    return met.where("(kind = 'video' and not video) or (kind = 'audio' and not audio)").select("file_id", "part", "kind", "spid")
+    return (inspections(parts) if seen is None else seen).select("file_id", "part", F.explode("found.mismatches").alias("m")).select("file_id", "part", "m.kind", "m.spid")
+
+
+def cleaned(parts: DataFrame, rels: DataFrame) -> DataFrame:
+    """``parts`` (file_id, name, payload, ...) without references to relationships that are gone, and ``removed``: rule, tag and ids of what went.
+
+    ``rels``: file_id, rels_part, rid of relationships that stay. Only XML parts that name the relationship namespace go through
+    the kernel; parts without a dangling reference, or not well-formed, keep their bytes. ``removed`` is null for the rest.
+    """
+    alive = rels.groupBy("file_id", F.col("rels_part").alias("_rels")).agg(F.collect_set("rid").alias("_alive"))  # relationships of one part
+    touched = F.col("name").endswith(".xml") & (F.col("name") != "[Content_Types].xml") & F.contains(F.col("payload").cast("binary"), F.lit(xmltree.SPACES["r"].encode()))
+    touched = F.coalesce(touched, F.lit(False))
+    removed = "array<struct<rule:string,tag:string,ids:string>>"
+    ready = parts.where(touched).withColumn("_rels", rels_name(F.col("name"))).join(alive, ["file_id", "_rels"], "left").select(*parts.columns, "_alive")
+    at = parts.columns.index("payload")
+    kind = pa.list_(pa.struct([("rule", pa.string()), ("tag", pa.string()), ("ids", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, said = [], []
+            for data, ids in zip(batch.column(at), batch.column(batch.num_columns - 1)):
+                try:
+                    new, gone = xmltree.cleaned(data.as_py(), set(ids.as_py() or ()))
+                except ExpatError:
+                    new, gone = data.as_py(), None
+                out.append(new)
+                said.append(gone)
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(out, pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(said, kind)], names=[*batch.schema.names[:-1], "removed"])
+
+    schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'payload' else f.dataType.simpleString()}" for f in parts.schema)
+    rest = parts.where(~touched).withColumn("payload", F.col("payload").cast("binary")).withColumn("removed", F.lit(None).cast(removed))
+    return ready.withColumn("payload", F.col("payload").cast("binary")).mapInArrow(run, f"{schema}, removed {removed}").unionByName(rest)
 
 
 def summary(rows: DataFrame) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardwright.operators import recovery
+from shardwright.functions.names import rels_name
+from shardwright.functions.xmltree import SPACES
+from shardwright.operators import integrity, recovery, repair
 from shardwright.plans import stand_ins as S
 from shardwright.plans.registry import query
 from shardwright.session import stored
 from shardwright.sources.containers import families
+from shardwright.sources.packages import read_parts
 
 # --- recovery from copies and donors
 
@@ -45,3 +48,121 @@ def donor_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _recovered(spark, sf_dir)
     gone = found.dropped.select("group_id", "name", F.lit(None).cast("int").alias("donor"), F.lit(None).cast("string").alias("donor_name"))
     return found.entries.where("method like 'donor%'").select("group_id", "name", "donor", "donor_name").unionByName(gone)
+
+
+# --- references that lead nowhere, by what carries them
+
+
+_HEAD = "<p:sld " + " ".join(f'xmlns:{k}="{v}"' for k, v in SPACES.items() if k != "r") + f' xmlns:rel="{SPACES["r"]}">'
+#: Rule, the part's body with a reference by K, what is left of it if K is gone, tag.
+_CARRIERS = [
+    ("media_link", '<p:pic><p:nvPr><a:videoFile rel:link="K"/></p:nvPr></p:pic>', "<p:pic><p:nvPr></p:nvPr></p:pic>", "a:videoFile"),
+    ("media_extension", '<p:pic><p:extLst><p:ext uri="u"><p14:media rel:embed="K"/></p:ext></p:extLst></p:pic>', "<p:pic></p:pic>", "p:ext"),
+    ("picture", '<p:pic><p:blipFill><a:blip rel:embed="K"/></p:blipFill></p:pic>', "", "p:pic"),
+    ("fill", '<p:sp><a:blipFill><a:blip cstate="x" rel:embed = "K" /></a:blipFill></p:sp>', '<p:sp><a:blipFill><a:blip cstate="x" /></a:blipFill></p:sp>', "a:blip"),
+    ("place_link", '<a:r><a:rPr><a:hlinkClick rel:id="K"/></a:rPr><a:t>text &amp; more</a:t></a:r>', "<a:r><a:rPr></a:rPr><a:t>text &amp; more</a:t></a:r>", "a:hlinkClick"),
+    ("frame", '<p:graphicFrame><a:graphic><c:chart xmlns:c="c" rel:id="K"/></a:graphic></p:graphicFrame><!-- kept -->', "<!-- kept -->", "p:graphicFrame"),
+    ("custom_show", '<p:custShow name="s"><p:sldLst><p:sld rel:id="K"/></p:sldLst></p:custShow>', '<p:custShow name="s"><p:sldLst></p:sldLst></p:custShow>', "p:sld"),
+    ("other", "<p:tags rel:id='K' keep=\"1\"/>", '<p:tags keep="1"/>', "p:tags"),
+]
+_CLEAN = " ".join(f"WHEN {k} THEN {{}}" for k in range(len(_CARRIERS)))
+
+
+def _case(values: list[str]) -> str:
+    quoted = ["'" + v.replace("'", "''") + "'" for v in values]
+    return "CASE o_orderkey % 8 " + _CLEAN.format(*quoted) + " END"
+
+
+def _carrying(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slide an order, which refers to a picture; every third order lacks the relationship."""
+    orders = S.table(spark, sf_dir, "orders")
+    body = lambda at: F.get(F.array(*(F.lit(c[at].replace("K", "rId7") if at == 1 else c[at]) for c in _CARRIERS)), (F.col("o_orderkey") % 8).cast("int"))
+    slide = orders.select(F.col("o_orderkey").alias("file_id"), F.lit("ppt/slides/slide1.xml").alias("name"), F.concat(F.lit(_HEAD), body(1), F.lit("</p:sld>")).cast("binary").alias("payload"))
+    rid = F.when(F.col("o_custkey") % 3 == 0, "rId1").otherwise("rId7")
+    rels = orders.select(F.col("o_orderkey").alias("file_id"), F.lit("ppt/slides/_rels/slide1.xml.rels").alias("name"), F.concat(F.lit('<Relationships><Relationship Id="'), rid, F.lit('" Type="t/image" TargetMode="External" Target="x"/></Relationships>')).cast("binary").alias("payload"))
+    return slide.unionByName(rels)
+
+
+@query(f"""
+SELECT o_orderkey AS file_id, CASE WHEN o_custkey % 3 = 0 THEN {_case([c[0] for c in _CARRIERS])} END AS rule, CASE WHEN o_custkey % 3 = 0 THEN {_case([c[3] for c in _CARRIERS])} END AS tag,
+  CASE WHEN o_custkey % 3 = 0 THEN 'rId7' END AS ids, '{_HEAD}' || CASE WHEN o_custkey % 3 = 0 THEN {_case([c[2] for c in _CARRIERS])} ELSE replace({_case([c[1] for c in _CARRIERS])}, 'K', 'rId7') END || '</p:sld>' AS text FROM orders""")
+def cleaned_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part for each rule; what stays of it, byte for byte, and what went."""
+    parts = _carrying(spark, sf_dir)
+    found = integrity.cleaned(parts, integrity.relationships(parts)).where("not endswith(name, '.rels')")
+    first = F.get("removed", F.lit(0))
+    return found.select("file_id", first["rule"].alias("rule"), first["tag"].alias("tag"), first["ids"].alias("ids"), F.col("payload").cast("string").alias("text"))
+
+
+@query("SELECT o_orderkey AS file_id, 'ppt/slides/slide1.xml' AS part, CASE WHEN o_orderkey % 8 IN (0) THEN 'r:link' WHEN o_orderkey % 8 IN (1, 2, 3) THEN 'r:embed' ELSE 'r:id' END AS attribute, 'rId7' AS rid FROM orders WHERE o_custkey % 3 = 0")
+def dangling_by_any_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _carrying(spark, sf_dir)
+    return integrity.dangling_references(integrity.references(parts), integrity.relationships(parts))
+
+
+@query("SELECT o_orderkey AS file_id, 'ppt/slides/slide1.xml' AS part, CAST(1 AS BIGINT) AS n FROM orders WHERE o_orderkey % 2 = 0")
+def parts_without_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _carrying(spark, sf_dir).where("file_id % 2 = 1 or not endswith(name, '.rels')")
+    return integrity.without_relationships(parts.select("file_id", "name"), integrity.references(parts))
+
+
+# --- timing trees after a clean-up
+
+
+_PLAY = '<p:par><p:cTn><p:childTnLst><p:video><p:spTgt spid="4"/></p:video></p:childTnLst></p:cTn></p:par>'
+_MOVE = '<p:par><p:cTn id="3"><p:tgtEl><p:spTgt spid="{}"/></p:tgtEl></p:cTn></p:par>'
+_TIMED = [
+    # A still video: its playing goes with the list that this empties, its animation stays.
+    ('<p:pic><p:nvPicPr><p:cNvPr id="4" name="v"/><p:nvPr><a:videoFile rel:link="rId7"/></p:nvPr></p:nvPicPr></p:pic>' + f'<p:timing>{_PLAY}{_MOVE.format(4)}<p:bldLst><p:bldP spid="4"/></p:bldLst></p:timing>',
+     '<p:pic><p:nvPicPr><p:cNvPr id="4" name="v"/><p:nvPr></p:nvPr></p:nvPicPr></p:pic>' + f'<p:timing><p:par><p:cTn></p:cTn></p:par>{_MOVE.format(4)}<p:bldLst><p:bldP spid="4"/></p:bldLst></p:timing>', 2),
+    # A picture that is gone: its playing, its animation and its build step go, another shape's stay.
+    ('<p:pic><p:nvPicPr><p:cNvPr id="4"/></p:nvPicPr><p:blipFill><a:blip rel:embed="rId7"/></p:blipFill></p:pic>' + f'<p:timing><p:childTnLst>{_MOVE.format(4)}{_MOVE.format(9)}</p:childTnLst><p:bldLst><p:bldP spid="4"/><p:bldP spid="9"/></p:bldLst></p:timing>',
+     f'<p:timing><p:childTnLst>{_MOVE.format(9)}</p:childTnLst><p:bldLst><p:bldP spid="9"/></p:bldLst></p:timing>', 3),
+    # All of a timing tree that belongs to a frame that is gone: emptied lists go, childless nodes may stay.
+    ('<p:graphicFrame><p:cNvPr id="4"/><x rel:id="rId7"/></p:graphicFrame>' + f'<p:timing><p:cTn><p:childTnLst>{_MOVE.format(4)}</p:childTnLst></p:cTn><p:bldLst><p:bldOle spid="4"/></p:bldLst></p:timing>', "<p:timing><p:cTn></p:cTn></p:timing>", 3),
+]
+
+
+@query(f"""
+WITH t AS (SELECT o_orderkey AS file_id, o_custkey % 2 = 0 AS gone, o_orderkey % 3 AS k FROM orders)
+SELECT file_id, CASE WHEN gone THEN CASE k WHEN 0 THEN '{_TIMED[0][1]}' WHEN 1 THEN '{_TIMED[1][1]}' ELSE '{_TIMED[2][1]}' END ELSE CASE k WHEN 0 THEN '{_TIMED[0][0]}' WHEN 1 THEN '{_TIMED[1][0]}' ELSE '{_TIMED[2][0]}' END END AS text,
+  CAST(CASE WHEN NOT gone THEN 0 WHEN k = 0 THEN 2 ELSE 3 END AS BIGINT) AS n_removed, CAST(0 AS BIGINT) AS n_left FROM t""")
+def reconciled_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timing trees of decks with still videos and lost shapes, and how many shape ids then lead nowhere."""
+    orders = S.table(spark, sf_dir, "orders")
+    body = F.get(F.array(*(F.lit(t[0]) for t in _TIMED)), (F.col("o_orderkey") % 3).cast("int"))
+    parts = orders.select(F.col("o_orderkey").alias("file_id"), F.lit("ppt/slides/slide1.xml").alias("name"), F.concat(F.lit(_HEAD), body, F.lit("</p:sld>")).cast("binary").alias("payload"))
+    rels = orders.where("o_custkey % 2 <> 0").select(F.col("o_orderkey").alias("file_id"), rels_name(F.lit("ppt/slides/slide1.xml")).alias("rels_part"), F.lit("rId7").alias("rid"))
+    done = integrity.cleaned(parts, rels)
+    lost = integrity.shape_references(done).where("spid <> '9'").groupBy("file_id").agg(F.count("*").alias("n_left"))  # shape 9 never was there
+    text = F.regexp_extract(F.col("payload").cast("string"), "(?s)^<p:sld [^>]*>(.*)</p:sld>$", 1)
+    return done.join(lost, "file_id", "left").select("file_id", text.alias("text"), F.size("removed").cast("long").alias("n_removed"), F.coalesce("n_left", F.lit(0)).cast("long").alias("n_left"))
+
+
+# --- themes
+
+
+_MASTERS = ["slide", "notes", "handout"]
+
+
+@query("SELECT p_partkey AS file_id, 'ppt/theme/theme' || (p_partkey % 3 + 1) || '.xml' AS theme, p_size % 2 = 0 AS made, 'application/vnd.openxmlformats-officedocument.theme+xml' AS content_type, CAST(0 AS BIGINT) AS n_missing FROM part")
+def themes_made_anew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decks whose slide, notes or handout master names a theme that every second one has lost."""
+    part = S.table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "file_id")
+    kind = F.get(F.array(*(F.lit(m) for m in _MASTERS)), (F.col("file_id") % 3).cast("int"))
+    theme = F.concat(F.lit("ppt/theme/theme"), (F.col("file_id") % 3 + 1).cast("string"), F.lit(".xml"))
+    rel = '<Relationships><Relationship Id="rId1" Type="http://x/theme" Target="../theme/theme'
+    rows = [
+        (F.lit("ppt/presentation.xml"), F.lit("<p:presentation/>"), None),
+        (F.concat(F.lit("ppt/"), kind, F.lit("Masters/_rels/"), kind, F.lit("Master1.xml.rels")), F.concat(F.lit(rel), (F.col("file_id") % 3 + 1).cast("string"), F.lit('.xml"/></Relationships>')), None),
+        (theme, F.lit("<a:theme/>"), "p_size % 2 = 1"),
+    ]
+    parts = None
+    for seq, (name, text, which) in enumerate(rows):
+        one = (part.where(which) if which else part).select("file_id", name.alias("name"), F.lit(seq).alias("seq"), text.cast("binary").alias("payload"))
+        parts = one if parts is None else parts.unionByName(one)
+    out = stored(read_parts(repair.rebuilt(parts)), "rebuilt")
+    n = integrity.missing_themes(out.select("file_id", "name"), integrity.relationships(out)).groupBy("file_id").agg(F.count("*").alias("n_missing"))
+    themes = out.where("startswith(name, 'ppt/theme/')").select("file_id", F.col("name").alias("theme"), (F.col("payload").cast("string") == repair.plain_theme()).alias("made"))
+    kinds = repair.content_types(out).select("file_id", F.col("part").alias("theme"), "content_type")
+    return themes.join(kinds, ["file_id", "theme"]).join(n, "file_id", "left").select("file_id", "theme", "made", "content_type", F.coalesce("n_missing", F.lit(0)).cast("long").alias("n_missing"))
