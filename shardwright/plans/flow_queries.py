@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from shardwright.functions.names import rels_name
 from shardwright.functions.xmltree import SPACES
-from shardwright.operators import integrity, recovery, repair
+from shardwright.operators import classify, integrity, recovery, repair
 from shardwright.plans import stand_ins as S
 from shardwright.plans.registry import query
 from shardwright.session import stored
-from shardwright.sources.containers import families
+from shardwright.sources import ranges
+from shardwright.sources.containers import RECIPES, families, known_packages
 from shardwright.sources.packages import read_parts
 
 # --- recovery from copies and donors
@@ -166,3 +167,16 @@ def themes_made_anew(spark: SparkSession, sf_dir: str) -> DataFrame:
     themes = out.where("startswith(name, 'ppt/theme/')").select("file_id", F.col("name").alias("theme"), (F.col("payload").cast("string") == repair.plain_theme()).alias("made"))
     kinds = repair.content_types(out).select("file_id", F.col("part").alias("theme"), "content_type")
     return themes.join(kinds, ["file_id", "theme"]).join(n, "file_id", "left").select("file_id", "theme", "made", "content_type", F.coalesce("n_missing", F.lit(0)).cast("long").alias("n_missing"))
+
+
+# --- large files by ranges
+
+
+@query(f"WITH r AS (SELECT list_extract([{', '.join(repr(r) for r in RECIPES)}], CAST(doc_id % {len(RECIPES)} AS BIGINT) + 1) AS recipe FROM documents) SELECT recipe, count(*) AS n, count(*) AS n_same FROM r GROUP BY 1")
+def structure_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages of every recipe by ranges of one block, and how many have the facts that a scan of the whole gives."""
+    files = stored(known_packages(S.table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "file_id"), "files")
+    facts = ["zero_runs", "lfh_offsets", "cd_sig_count", "eocd"]
+    whole = classify.read_packages(files).select("file_id", "recipe", F.struct(*facts).alias("whole"))
+    split = ranges.structure(ranges.facts_of_contents(files, 4096)).select("file_id", F.struct(*facts).alias("split"))
+    return whole.join(split, "file_id").groupBy("recipe").agg(F.count("*").alias("n"), F.count_if(F.col("whole").eqNullSafe(F.col("split"))).alias("n_same"))

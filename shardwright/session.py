@@ -23,6 +23,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks to deal rows to that are small but cost much, so that adaptive execution doesn't join their partitions by size."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder; later reads start there."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from shardwright.session import tasks
+
 from shardwright.functions.names import basename, bucket, is_download, is_placeholder
 
 LISTING = "root string, root_no int, walk_seq bigint, path string, size bigint, mtime_ns bigint, st_flags bigint, attributes bigint, error string"
@@ -121,4 +123,4 @@ def with_content(listed: DataFrame) -> DataFrame:
     schema = listed.withColumn("content", F.lit(None).cast("binary")).schema
     for field in schema:
         field.nullable = True
-    return listed.repartition("path").mapInArrow(run, schema)
+    return listed.repartition(tasks(listed.sparkSession), "path").mapInArrow(run, schema)
