@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -253,3 +256,13 @@ def block_class(zeros: Column, printable: Column, n: Column, entropy: Column) ->
 def strict_base64(text: Column) -> Column:
     """Decoded bytes; null for anything that is no base64."""
     return F.try_to_binary(F.regexp_replace(text, r"\s", ""), F.lit("base64"))
+
+
+def composed(text: Column) -> Column:
+    """Unicode NFC form, by which names are compared: a file system may hand back letters and their accents apart."""
+
+    @F.pandas_udf("string")
+    def nfc(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    return nfc(text)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardwright.functions.names import rels_name
+from shardwright.functions.names import composed, rels_name
 from shardwright.functions.xmltree import SPACES
-from shardwright.operators import classify, integrity, recovery, repair
+from shardwright.operators import batch, classify, integrity, recovery, repair, scan
 from shardwright.plans import stand_ins as S
 from shardwright.plans.registry import query
 from shardwright.session import stored
 from shardwright.sources import ranges
-from shardwright.sources.containers import RECIPES, families, known_packages
+from shardwright.sources.containers import RECIPES, archived, families, known_packages
 from shardwright.sources.packages import read_parts
 
 # --- recovery from copies and donors
@@ -54,6 +54,7 @@ def donor_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- references that lead nowhere, by what carries them
 
 
+_RECIPE = f"list_extract([{', '.join(repr(r) for r in RECIPES)}], CAST(doc_id % {len(RECIPES)} AS BIGINT) + 1)"
 _HEAD = "<p:sld " + " ".join(f'xmlns:{k}="{v}"' for k, v in SPACES.items() if k != "r") + f' xmlns:rel="{SPACES["r"]}">'
 #: Rule, the part's body with a reference by K, what is left of it if K is gone, tag.
 _CARRIERS = [
@@ -172,7 +173,7 @@ def themes_made_anew(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- large files by ranges
 
 
-@query(f"WITH r AS (SELECT list_extract([{', '.join(repr(r) for r in RECIPES)}], CAST(doc_id % {len(RECIPES)} AS BIGINT) + 1) AS recipe FROM documents) SELECT recipe, count(*) AS n, count(*) AS n_same FROM r GROUP BY 1")
+@query(f"WITH r AS (SELECT {_RECIPE} AS recipe FROM documents) SELECT recipe, count(*) AS n, count(*) AS n_same FROM r GROUP BY 1")
 def structure_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages of every recipe by ranges of one block, and how many have the facts that a scan of the whole gives."""
     files = stored(known_packages(S.table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "file_id"), "files")
@@ -180,3 +181,74 @@ def structure_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = classify.read_packages(files).select("file_id", "recipe", F.struct(*facts).alias("whole"))
     split = ranges.structure(ranges.facts_of_contents(files, 4096)).select("file_id", F.struct(*facts).alias("split"))
     return whole.join(split, "file_id").groupBy("recipe").agg(F.count("*").alias("n"), F.count_if(F.col("whole").eqNullSafe(F.col("split"))).alias("n_same"))
+
+
+# --- scans and batches
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, {_RECIPE} AS v FROM documents WHERE doc_id % 3 <> 2),
+m AS (SELECT doc_id, {_RECIPE} AS v FROM documents WHERE doc_id % 3 = 2 AND doc_id % 4 <> 1)
+SELECT 'target' AS kind, v AS state, count(*) AS n FROM r GROUP BY 2 UNION ALL SELECT 'material', v, count(*) FROM m GROUP BY 2
+UNION ALL SELECT 'note', 'PermissionError', count(*) FROM documents WHERE doc_id % 50 = 7 HAVING count(*) > 0 UNION ALL SELECT 'target', 'error', count(*) FROM documents WHERE doc_id % 50 = 8 HAVING count(*) > 0""")
+def scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, sf_dir).totals()
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, {_RECIPE} AS v FROM documents), t AS (SELECT doc_id, 'd/f' || (doc_id // 39) || '.pptx' AS name FROM r WHERE doc_id % 3 <> 2 AND v <> 'normal'),
+d AS (SELECT 'x/' || doc_id || '/f' || (doc_id // 39) || '.pptx' AS donor, doc_id // 39 AS k FROM r WHERE doc_id % 3 <> 2 AND v = 'normal'
+  UNION ALL SELECT 'archives/a' || (doc_id // 60) || '.zip::' || doc_id || '/f' || (doc_id // 39) || '.pptx', doc_id // 39 FROM r WHERE doc_id % 3 = 2 AND doc_id % 4 <> 1 AND v = 'normal')
+SELECT 'x/' || t.doc_id || '/f' || (t.doc_id // 39) || '.pptx' AS target, count(*) AS n_donors, count(*) FILTER (contains(donor, '::')) AS n_from_archives FROM t JOIN d ON d.k = t.doc_id // 39 GROUP BY 1""")
+def scan_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All donors of damaged files by name, among files and what archives hold."""
+    found = _scanned(spark, sf_dir).candidates(limit=1 << 20).where("confidence <> 'medium'")
+    return found.groupBy("target").agg(F.count("*").alias("n_donors"), F.count_if(F.contains("donor", F.lit("::"))).alias("n_from_archives"))
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> scan.Scan:
+    """Two of three documents as files, the third in archives of some twenty, every fourth of them hidden; a few files and archives can't be read."""
+    made = stored(known_packages(S.table(spark, sf_dir, "documents")), "files")
+    name = F.concat(F.lit("f"), F.expr("doc_id div 39").cast("string"), F.lit(".pptx"))
+    there = lambda path, bucket: [path.alias("path"), F.lit(bucket).alias("bucket")]
+    files = made.where("doc_id % 3 <> 2").select(*there(F.concat(F.lit("x/"), F.col("doc_id").cast("string"), F.lit("/"), name), "targets"), "content", F.lit(None).cast("string").alias("error"))
+    member = F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.when(F.col("doc_id") % 4 == 1, ".").otherwise(""), name)
+    inside = made.where("doc_id % 3 = 2").select(F.concat(F.lit("archives/a"), F.expr("doc_id div 60").cast("string"), F.lit(".zip")).alias("path"), member.alias("member"), "content")
+    packed = archived(inside).select("path", F.lit("archives").alias("bucket"), "content", F.lit(None).cast("string").alias("error"))
+    no = lambda rest, bucket: made.where(f"doc_id % 50 = {rest}").select(*there(F.concat(F.lit(f"no/{bucket}"), F.col("doc_id").cast("string")), bucket), F.lit(None).cast("binary").alias("content"), F.lit("PermissionError").alias("error"))
+    return scan.scan(files.unionByName(packed).unionByName(no(7, "archives")).unionByName(no(8, "targets")))
+
+
+@query("""
+WITH i AS (SELECT doc_id AS seq, source, CASE WHEN doc_id % 3 = 0 THEN 'deck.pptx' WHEN doc_id % 3 = 1 THEN 'deck.pptm' ELSE 'f' || doc_id || '.pptx' END AS name FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY source, name ORDER BY seq) AS n, min(seq) FILTER (seq % 3 < 2) OVER (PARTITION BY source) AS first FROM i)
+SELECT seq, 'out/' || source || '/' || CASE WHEN seq % 3 = 2 THEN 'f' || seq WHEN seq = first THEN 'deck' ELSE name || CASE
+  WHEN n - (SELECT count(*) FROM p q WHERE q.source = p.source AND q.name = p.name AND q.seq = p.first) = 1 THEN '' ELSE '-' || (n - (SELECT count(*) FROM p q WHERE q.source = p.source AND q.name = p.name AND q.seq = p.first)) END END AS base FROM p""")
+def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of outputs where a folder holds many files of two equal names and one stem."""
+    seq = F.col("doc_id")
+    name = F.when(seq % 3 == 0, "deck.pptx").when(seq % 3 == 1, "deck.pptm").otherwise(F.concat(F.lit("f"), seq.cast("string"), F.lit(".pptx")))
+    stem = F.when(seq % 3 < 2, "deck").otherwise(F.concat(F.lit("f"), seq.cast("string")))
+    items = S.table(spark, sf_dir, "documents").select(seq.alias("seq"), F.concat(F.lit("out/"), F.col("source")).alias("folder"), stem.alias("stem"), name.alias("name"))
+    return batch.settled(items).select("seq", "base")
+
+
+@query(f"""
+SELECT doc_id, CASE {_RECIPE} WHEN 'interior_damage' THEN '1' WHEN 'scattered_overwrite' THEN '1,2,3,4,5,6,7,8,9,10' WHEN 'head_zero_fill' THEN '1,2,3' WHEN 'head_foreign_data' THEN '1,2,3' WHEN 'foreign_zip_overwrite' THEN '1,2,3' ELSE '' END AS slides,
+  CAST(CASE {_RECIPE} WHEN 'interior_damage' THEN 1 WHEN 'scattered_overwrite' THEN 29 WHEN 'head_zero_fill' THEN 12 WHEN 'head_foreign_data' THEN 12 WHEN 'foreign_zip_overwrite' THEN 13 ELSE 0 END AS BIGINT) AS lost_entries FROM documents""")
+def lost_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = classify.diagnose(known_packages(S.table(spark, sf_dir, "documents")))
+    return batch.lost(facts, "doc_id").select("doc_id", F.array_join(F.transform("lost_slides", lambda n: n.cast("string")), ",").alias("slides"), "lost_entries")
+
+
+@query(f"SELECT doc_id AS file_id, CAST(0 AS BIGINT) AS n_dangling, CAST(0 AS BIGINT) AS n_timing, CAST(2 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_orphans FROM documents WHERE {_RECIPE} IN ('tail_truncated', 'interior_damage', 'version_mix', 'tail_foreign_data')")
+def rechecked_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What inspectors find in repaired decks: the stand-ins have no slide master, so a layout and the presentation lack one."""
+    files = stored(known_packages(S.table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("file_id"), "content"), "files")
+    return batch.recheck(stored(read_parts(repair.repair(files).select("file_id", "content")), "parts"))
+
+
+@query("SELECT doc_id, nfc_normalize(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776))) AS name FROM documents")
+def composed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = F.replace(F.replace(F.col("text"), F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    return S.table(spark, sf_dir, "documents").select("doc_id", composed(apart).alias("name"))

@@ -218,3 +218,15 @@ def families(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     kind = texts.schema[id_col].dataType.simpleString()
     return texts.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"group_id {kind}, kind string, rank int, content binary")
+
+
+def archived(rows: DataFrame) -> DataFrame:
+    """(path, content): a zip archive of each path's members (path, member, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [stored([(m["member"], m["content"]) for m in members.as_py()]) for members in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
+
+    gathered = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("member", "content"))).alias("members"))  # a test archive's few members
+    return gathered.mapInArrow(run, "path string, content binary")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from shardwright.session import tasks
+from shardwright.sources.retry import retrying
 
 from shardwright.functions.names import basename, bucket, is_download, is_placeholder
 
@@ -104,7 +105,7 @@ def discover(spark: SparkSession, roots: list[str], *, follow_symlinks: bool = F
 
 
 def with_content(listed: DataFrame) -> DataFrame:
-    """``listed`` with content; a file that can't be read has null and an error."""
+    """``listed`` with content; a file that can't be read, after the tries of ``retry``, has null and an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +113,7 @@ def with_content(listed: DataFrame) -> DataFrame:
                 row = batch.slice(i, 1)
                 content, error = None, row.column("error")[0].as_py()
                 try:
-                    with open(row.column("path")[0].as_py(), "rb") as f:
+                    with retrying(lambda: open(row.column("path")[0].as_py(), "rb"))[0] as f:
                         content = f.read()
                 except OSError as e:
                     error = type(e).__name__

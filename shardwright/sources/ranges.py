@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from shardwright.functions.zipbytes import BLOCK, END, END_SIZE
 from shardwright.session import tasks
+from shardwright.sources.retry import retrying
 
 #: Bytes of a range, a multiple of ``BLOCK``; bytes of an entry that are read at once.
 RANGE, CHUNK = 64 << 20, 1 << 20
@@ -39,11 +40,11 @@ _FACTS_SQL = (
 def opened(path: str) -> BinaryIO:
     """A file to seek in: a plain path, or a URI of a store that Arrow can open."""
     if "://" not in path:
-        return open(path, "rb")
+        return retrying(lambda: open(path, "rb"))[0]
     from pyarrow import fs
 
     system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
+    return retrying(lambda: system.open_input_file(inner))[0]
 
 
 def ranges(files: DataFrame, size: int = RANGE) -> DataFrame:
