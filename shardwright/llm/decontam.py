@@ -5,9 +5,9 @@ is one pattern). Words are numbers, 64-bit hashes made by numpy from the text's
 bytes. The search slides a window of the pattern's length m over a text's
 words, in many lanes at once: the block, the window's last two words, looks up a
 shift in a table of a fixed size, how far the window may move before any pattern could end there. Shift
-zero leads to the suffix-hash bucket of that block, a stretch of the patterns
-sorted by it; those with the same first words as well are compared by all words'
-hashes and then directly, byte for byte. Patterns of each length below 13 have
+zero leads to the suffix-hash bucket of that block; in it patterns are sorted by a hash of
+all their words, so a place meets only what has its own hash, however common its block is, and is then
+compared directly, byte for byte. Equal windows of many items are one pattern with a list of items. Patterns of each length below 13 have
 tables of their own, so that a short item doesn't shorten all shifts.
 """
 
@@ -64,16 +64,21 @@ class Patterns:
 
     def __init__(self, words: np.ndarray, at: np.ndarray, item: np.ndarray, m: int):
         self.m, self.block = m, min(2, m)
-        whole = np.zeros(len(at), np.uint64)
+        key = self._keys(words, at + m)
+        order = np.lexsort((item[at], key))
+        at, key = at[order], key[order]
+        # Rows are distinct windows; one of another text with the same hash, should there be any, is a row of its own.
+        first = np.ones(len(at), bool)
+        first[1:] = key[1:] != key[:-1]
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
         for k in range(m):
-            whole = mixed(whole * _PRIME + words[at + k])
-        order = np.lexsort((whole, item[at]))  # windows that an item repeats count once
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = (np.diff(whole[order]) != 0) | (np.diff(item[at][order]) != 0)
-        at = np.sort(at[order[fresh]])
-        last = self._block(words, at + m)
-        order = np.argsort(last, kind="stable")
-        self.at, self.last = at[order].astype(np.int32), last[order]
+            first |= words[at + k] != words[at[lead] + k]
+        row = np.cumsum(first) - 1
+        fresh = np.ones(len(at), bool)  # windows that an item repeats count once
+        fresh[1:] = (row[1:] != row[:-1]) | (item[at[1:]] != item[at[:-1]])
+        self.at, self.key = at[first].astype(np.int32), key[first]
+        self.items = item[at[fresh]].astype(np.int32)
+        self.items_to = np.cumsum(np.bincount(row[fresh], minlength=int(first.sum())))
         size = 1 << 8
         while size < min(MAX_SHIFTS, 4 * max(1, len(at))):
             size *= 2
@@ -86,6 +91,13 @@ class Patterns:
         """The hash of the block that ends before each position."""
         return words[end - 1] if self.block == 1 else mixed(words[end - 2] * _PRIME + words[end - 1])
 
+    def _keys(self, words: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For the window before each position: the hash of its block in the upper half, of all its words in the lower one."""
+        whole = np.zeros(len(end), np.uint64)
+        for k in range(self.m, 0, -1):
+            whole = mixed(whole * _PRIME + words[end - k])
+        return (self._block(words, end) & np.uint64(0xFFFFFFFF00000000)) | (whole >> np.uint64(32))
+
     def candidates(self, words: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Window ends, of those in the lanes [first, stop), whose block ends some pattern."""
         out, at = [], first.copy()
@@ -97,23 +109,24 @@ class Patterns:
             at, stop = at[live], stop[live]
         return np.concatenate(out) if out else np.empty(0, np.int64)
 
-    def search(self, words: np.ndarray, begins: np.ndarray, ends: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, pattern) pairs whose hashes agree; ``begins`` and ``ends`` bound the texts in ``words``, ``own`` are the index's words."""
+    def search(self, words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, row) pairs whose hashes agree; ``begins`` and ``ends`` bound the texts in ``words``."""
         first, stop = begins + self.m, ends + 1  # where windows may end
         lanes = np.maximum(0, -(-(stop - first) // LANE))
         of = np.repeat(np.arange(len(first)), lanes)
         number = np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         lane = first[of] + number * LANE
         found = self.candidates(words, lane, np.minimum(lane + LANE, stop[of]))
-        blocks = self._block(words, found)
-        lo, hi = np.searchsorted(self.last, blocks, "left"), np.searchsorted(self.last, blocks, "right")
-        which = np.repeat(np.arange(len(found)), hi - lo)
-        pattern = self.at[np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[which]].astype(np.int64)
-        start = found[which] - self.m
-        for k in range(self.m):
-            same = words[start + k] == own[pattern + k]
-            start, pattern = start[same], pattern[same]
-        return start, pattern
+        keys = self._keys(words, found)
+        lo = np.searchsorted(self.key, keys, "left")
+        met = np.flatnonzero(self.key[np.minimum(lo, len(self.key) - 1)] == keys)
+        found, keys, lo = found[met], keys[met], lo[met]
+        n = np.searchsorted(self.key, keys, "right") - lo
+        row = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(found, n) - self.m, row
+
+    def items_of(self, row: int) -> np.ndarray:
+        return self.items[self.items_to[row - 1] if row else 0 : self.items_to[row]]
 
 
 class Index:
@@ -121,9 +134,9 @@ class Index:
 
     def __init__(self, items: list[tuple[object, bytes]], size: int = WINDOW):
         self.items = [i for i, _ in items]
-        data, starts, ends, self.words, counts = word_hashes([t for _, t in items])
+        data, starts, ends, words, counts = word_hashes([t for _, t in items])
         self.text, self.starts, self.ends = data.tobytes(), starts.astype(np.int64), ends.astype(np.int64)
-        self.item = np.repeat(np.arange(len(items), dtype=np.int32), counts)
+        item = np.repeat(np.arange(len(items), dtype=np.int32), counts)
         first = np.cumsum(counts) - counts
         self.patterns = []
         for m in np.unique(np.minimum(counts, size)).tolist():
@@ -131,7 +144,7 @@ class Index:
                 mine = np.minimum(counts, size) == m
                 windows = np.where(mine, counts - m + 1, 0)
                 at = np.repeat(first, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-                self.patterns.append(Patterns(self.words, at, self.item, m))
+                self.patterns.append(Patterns(words, at, item, m))
 
     def hits(self, texts: list[bytes]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set]]:
         """For each text: its words, the disjoint word ranges [from, to) inside any occurrence, and the numbers of the items that occur."""
@@ -141,16 +154,20 @@ class Index:
         items: list[set] = [set() for _ in texts]
         raw = None
         for p in self.patterns:
-            found, pattern = p.search(words, begins, begins + counts, self.words)
+            found, row = p.search(words, begins, begins + counts)
             if not len(found):
                 continue
             raw = raw or data.tobytes()
             of = np.searchsorted(begins + counts, found, "right")
-            for doc, start, at in zip(of.tolist(), found.tolist(), pattern.tolist()):
+            told: set[tuple[int, int]] = set()
+            for doc, start, pattern in zip(of.tolist(), found.tolist(), row.tolist()):
+                at = int(p.at[pattern])
                 # Direct comparison of the words themselves.
                 if raw[starts[start] : ends[start + p.m - 1]].split() == self.text[self.starts[at] : self.ends[at + p.m - 1]].split():
                     ranges[doc].append((start - int(begins[doc]), start - int(begins[doc]) + p.m))
-                    items[doc].add(int(self.item[at]))
+                    if (doc, pattern) not in told:
+                        told.add((doc, pattern))
+                        items[doc].update(p.items_of(pattern).tolist())
         return counts, [merged(r) for r in ranges], items
 
 

@@ -162,7 +162,7 @@ def test_a_large_benchmark_is_one_compact_index():
     vocabulary = [f"word{k}" for k in range(50_000)]
     items = [(k, " ".join(rng.choices(vocabulary, k=1000)).encode()) for k in range(1000)]
     index = decontam.Index(items)
-    size = sum(a.nbytes for a in (index.words, index.starts, index.ends, index.item)) + len(index.text) + sum(p.at.nbytes + p.last.nbytes + p.shift.nbytes for p in index.patterns)
+    size = len(index.text) + sum(a.nbytes for held in (index, *index.patterns) for a in vars(held).values() if isinstance(a, np.ndarray))
     assert size < 12 * sum(len(t) for _, t in items)
     inner = b" ".join(items[700][1].split()[40:60])
     counts, ranges, found = index.hits([b"before " + inner + b" after"])
@@ -367,6 +367,22 @@ def test_quality_edge_rows(spark):
     assert quality.quality(empty(spark), labels).count() == 0
 
 
+def test_common_words_cost_no_more_in_a_large_benchmark():
+    """Words by Zipf's law: a place meets only patterns with all its words, so finds don't grow with the benchmark."""
+    rng = np.random.default_rng(1)
+    text = lambda n: b" ".join(b"w%d" % k for k in rng.zipf(1.15, n) % 50_000)
+    docs = [text(800) for _ in range(40)]
+    items = [(k, text(400)) for k in range(1500)]
+    items += [(10_000 + k, b" ".join(docs[5].split()[100:140])) for k in range(300)]  # one passage in many items
+    index = decontam.Index(items)
+    _, ranges, found = index.hits(docs)
+    assert ranges[5] == [(100, 140)] and found[5] == set(range(1500, 1800)) and not any(r for k, r in enumerate(ranges) if k != 5)
+    hashes = decontam.word_hashes(docs)
+    begins = np.cumsum(hashes[4]) - hashes[4]
+    places, rows = index.patterns[0].search(hashes[3], begins, begins + hashes[4])
+    assert len(places) == 28 and len(set(rows.tolist())) == 28
+
+
 def brute_base(rows):
     held = {i: zlib.crc32(str(i).encode() if i is not None else b"") % 10 == 0 for i, _ in rows}
     tokens = [((t or "").encode().lower().split() + [None]) for _, t in rows]
