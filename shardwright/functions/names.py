@@ -178,6 +178,17 @@ def is_unsafe_path(name: Column) -> Column:
     return name.rlike(r"^([/\\]|[A-Za-z]:)|(^|[/\\])\.\.([/\\]|$)")
 
 
+def is_unsafe_name(name: Column) -> Column:
+    """As a path below a rescue folder: absolute, with any colon (drives and streams), climbing, or without a usable step."""
+    return name.rlike(r"^[/\\]|:|(^|[/\\])\.\.([/\\]|$)") | ~name.rlike(r"(^|[/\\])(?!\.?([/\\]|$))[^/\\]")
+
+
+def flat_unsafe_name(name: Column, number: Column) -> Column:
+    """A flat name for such an entry, told apart by its number."""
+    base = F.regexp_replace(F.regexp_extract(name, r"([^/\\:]*)[/\\:]*$", 1), r"^\.\.?$", "")
+    return F.concat(F.lit("_unsafe_"), F.lpad(number.cast("string"), 4, "0"), F.lit("_"), F.when(base == "", "entry").otherwise(base))
+
+
 def rels_name(part: Column) -> Column:
     """The relationship part of a part."""
     folder = dirname(part)

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shardwright.functions.names import block_class
+from shardwright.session import placed
 
 PROFILE_BLOCK, FINGERPRINTS = 65536, 20
 
@@ -76,4 +77,4 @@ def layouts(profile: DataFrame, id_col: str = "file_id") -> DataFrame:
 def roll_up(rows: DataFrame, column: str, seq: str) -> DataFrame:
     """(column, n, place): how often each value occurs; the most frequent first, then the first seen."""
     counted = rows.groupBy(column).agg(F.count("*").alias("n"), F.min(seq).alias("_first"))
-    return counted.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "_first")).cast("long")).drop("_first")
+    return placed(counted, [F.desc("n"), F.col("_first")], "place").drop("_first")

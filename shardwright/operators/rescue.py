@@ -17,6 +17,9 @@ PARTIAL_MIN, PARTIAL_MAX = 256, 30 << 20
 # Headings of slide titles, in the languages that are known.
 TITLE_HEADINGS = ["Slide Titles", "スライド タイトル"]
 
+#: Rows of one chart's table at most: what a sheet can hold.
+CHART_ROWS = 1 << 20
+
 
 def prefix_of(data: bytes) -> bytes:
     """As much of a broken deflate stream as inflates, up to the bound."""
@@ -104,12 +107,15 @@ def chart_points(parts: DataFrame) -> DataFrame:
 
 
 def chart_tables(parts: DataFrame) -> DataFrame:
-    """(file_id, chart, row, cells): every chart's cached points as the rows of a table, the heading first: a category and a value of each series; what has no point is empty."""
-    points = chart_points(parts)
+    """(file_id, chart, row, cells): every chart's cached points as the rows of a table, the heading first: a category and a value of each series; what has no point is empty, and indices
+    without any point are empty rows, up to ``CHART_ROWS`` of them."""
+    points = chart_points(parts).where(F.col("idx") < CHART_ROWS)
     key = ["file_id", "chart"]
     series = points.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("series_no", "series"))).alias("all"))  # series of one chart
     at = points.groupBy(*key, "idx").agg(F.max("category").alias("category"), F.collect_list(F.struct("series_no", "value")).alias("held"))
     value = lambda s: F.coalesce(F.get(F.transform(F.filter("held", lambda h: h["series_no"] == s["series_no"]), lambda h: h["value"]), F.lit(0)), F.lit(""))
+    every = at.groupBy(*key).agg(F.max("idx").alias("_top")).select(*key, F.explode(F.sequence(F.lit(0), "_top")).alias("idx"))
+    at = every.join(at, [*key, "idx"], "left").withColumn("held", F.coalesce("held", F.array().cast("array<struct<series_no:int,value:string>>")))
     body = at.join(series, key).select(*key, (F.col("idx") + 1).alias("row"), F.concat(F.array(F.coalesce("category", F.lit(""))), F.transform("all", value)).alias("cells"))
     head = series.select(*key, F.lit(0).alias("row"), F.concat(F.array(F.lit("")), F.transform("all", lambda s: F.coalesce(s["series"], F.lit("")))).alias("cells"))
     return head.unionByName(body)

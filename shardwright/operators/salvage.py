@@ -96,20 +96,32 @@ def donors_by_content(missing: DataFrame, donors: DataFrame) -> DataFrame:
     ``missing``: target, name, crc, file_size; ``donors``: donor, donor_rank, name, crc, file_size, valid.
     A donor offers the equally named entry, else the first by name; if what it offers does not
     verify, the next donor is asked.
+
+    What a content's donors offer is settled before the join, so a missing entry meets one row however many donors hold a
+    content; only where the first donor has an equally named entry beside the one it would offer, or a target misses several contents
+    of one name, are all of that content's donors asked.
     """
     d = donors.select("donor", "donor_rank", F.col("name").alias("donor_name"), "crc", "file_size", "valid")
-    met = missing.join(d, ["crc", "file_size"])
+    content, rank = ["crc", "file_size"], F.struct("donor_rank", "donor")
+    first = d.groupBy(*content, "donor").agg(F.min(F.struct("donor_name", "donor_rank", "valid")).alias("o")).where("o.valid")
+    best = first.groupBy(*content).agg(F.min(F.struct("o.donor_rank", "donor", "o.donor_name")).alias("b"))
+    named = d.groupBy(*content, F.col("donor_name").alias("name")).agg(F.min(F.when(F.col("valid"), rank)).alias("s"))
+    other = d.join(best, content).where("donor = b.donor and donor_name <> b.donor_name").select(*content, F.col("donor_name").alias("name"), F.lit(True).alias("other")).distinct()
+    several = missing.groupBy("target", "name").agg(F.count("*").alias("several")).where("several > 1")
+    met = missing.select("target", "name", *content).join(several, ["target", "name"], "left").join(best, content, "left").join(named, [*content, "name"], "left").join(other, [*content, "name"], "left")
+    own = F.col("s").isNotNull() & (F.col("b").isNull() | (F.col("s") <= F.struct("b.donor_rank", "b.donor")))
+    plain = met.where("other is null and several is null and (b is not null or s is not null)").select("target", "name", F.when(own, F.col("s.donor")).otherwise(F.col("b.donor")).alias("donor"), F.when(own, F.col("name")).otherwise(F.col("b.donor_name")).alias("donor_name"))
+    asked = met.where("other or several is not null").select("target", "name", *content).join(d, content)
     offer = W.partitionBy("target", "name", "donor").orderBy(F.col("name") != F.col("donor_name"), "donor_name")
-    offered = met.withColumn("_o", F.row_number().over(offer)).where("_o = 1 and valid")
-    best = W.partitionBy("target", "name").orderBy("donor_rank", "donor")
-    return offered.withColumn("_b", F.row_number().over(best)).where("_b = 1").select("target", "name", "donor", "donor_name")
+    offered = asked.withColumn("_o", F.row_number().over(offer)).where("_o = 1 and valid")
+    rest = offered.groupBy("target", "name").agg(F.min(F.struct("donor_rank", "donor", "donor_name")).alias("f")).select("target", "name", "f.donor", "f.donor_name")
+    return plain.unionByName(rest)
 
 
 def donors_by_name(missing: DataFrame, donors: DataFrame) -> DataFrame:
-    """(target, name, donor): missing entries by name alone, from the first donor that has a readable one."""
-    met = missing.join(donors.where("valid").select("donor", "donor_rank", "name"), "name")
-    best = W.partitionBy("target", "name").orderBy("donor_rank", "donor")
-    return met.withColumn("_b", F.row_number().over(best)).where("_b = 1").select("target", "name", "donor")
+    """(target, name, donor): missing entries by name alone, from the first donor that has a readable one; it is the same for all targets, so it is found before the join."""
+    best = donors.where("valid").groupBy("name").agg(F.min(F.struct("donor_rank", "donor")).alias("b"))
+    return missing.select("target", "name").join(best, "name").select("target", "name", "b.donor")
 
 
 def rekeyed(donor_entries: DataFrame, recovered: DataFrame, reference: DataFrame) -> DataFrame:

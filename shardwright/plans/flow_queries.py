@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardwright.functions.names import composed, rels_name
+from shardwright.functions.names import composed, flat_unsafe_name, is_unsafe_name, rels_name, slide_number
 from shardwright.functions.xmltree import SPACES
-from shardwright.operators import batch, classify, integrity, recovery, repair, scan
+from shardwright.operators import batch, classify, diagnostics, integrity, recovery, repair, report, rescue, scan
 from shardwright.plans import stand_ins as S
 from shardwright.plans.registry import query
 from shardwright.session import stored
-from shardwright.sources import ranges
+from shardwright.sources import archives, ranges
 from shardwright.sources.containers import RECIPES, archived, families, known_packages
 from shardwright.sources.packages import read_parts
 
@@ -252,3 +252,67 @@ def rechecked_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def composed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     apart = F.replace(F.replace(F.col("text"), F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
     return S.table(spark, sf_dir, "documents").select("doc_id", composed(apart).alias("name"))
+
+
+# --- archives of every kind, and reports
+
+
+_KINDS = [".zip", ".tar.gz", ".tar.xz", ".tar", ".enex"]
+_BOX = f"'box' || (doc_id // 20) || list_extract({_KINDS!r}, CAST(doc_id // 20 % 5 AS BIGINT) + 1)"
+_BOXED = f"SELECT {_BOX} AS path, 'n' || doc_id || '/' || CASE WHEN doc_id % 7 = 0 THEN '~$' ELSE '' END || 'f' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.pptx' WHEN 1 THEN '.PPTM' ELSE '.txt' END AS member, coalesce(text, '') AS text, doc_id FROM documents"
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as members of archives of twenty; a part of them are no presentations, or locks of some."""
+    key = F.col("doc_id")
+    name = F.concat(F.lit("n"), key.cast("string"), F.lit("/"), F.when(key % 7 == 0, "~$").otherwise(""), F.lit("f"), key.cast("string"), F.get(F.array(F.lit(".pptx"), F.lit(".PPTM"), F.lit(".txt")), (key % 3).cast("int")))
+    box = F.concat(F.lit("box"), F.expr("doc_id div 20").cast("string"), F.get(F.array(*(F.lit(k) for k in _KINDS)), (F.expr("doc_id div 20") % 5).cast("int")))
+    return archived(S.table(spark, sf_dir, "documents").select(box.alias("path"), name.alias("member"), F.coalesce("text", F.lit("")).cast("binary").alias("content")))
+
+
+@query(f"SELECT path, member, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS digest FROM ({_BOXED}) WHERE doc_id % 3 < 2 AND doc_id % 7 <> 0")
+def mined_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.mine_archives(_boxes(spark, sf_dir)).select("path", "member", "size", F.sha2("content", 256).alias("digest"))
+
+
+@query(f"SELECT path, member FROM ({_BOXED}) WHERE doc_id % 3 < 2 AND doc_id % 7 <> 0")
+def listed_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.list_archives(_boxes(spark, sf_dir)).select("path", "member")
+
+
+@query(f"SELECT doc_id FROM documents WHERE {_RECIPE} IN ('other_corrupt', 'not_a_zip') ORDER BY doc_id LIMIT 20")
+def first_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = classify.diagnose(known_packages(S.table(spark, sf_dir, "documents")))
+    return diagnostics.fingerprints(facts, "doc_id").where("get_json_object(fingerprint, '$.verdict') in ('other_corrupt', 'not_a_zip')").select("doc_id")
+
+
+@query("""
+WITH n AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '/a/f' WHEN 1 THEN 'C:f' WHEN 2 THEN 'a\\..\\f' WHEN 3 THEN './' WHEN 4 THEN 'a/f:s' WHEN 5 THEN 'a/..f' WHEN 6 THEN '' ELSE 'a/./f' END AS name FROM documents)
+SELECT doc_id, doc_id % 8 IN (0, 1, 2, 3, 4, 6) AS unsafe, '_unsafe_' || lpad(CAST(doc_id % 10 AS VARCHAR), 4, '0') || '_' || CASE doc_id % 8 WHEN 0 THEN 'f' WHEN 1 THEN 'f' WHEN 2 THEN 'f' WHEN 3 THEN 'entry' WHEN 4 THEN 's' WHEN 5 THEN '..f' WHEN 6 THEN 'entry' ELSE 'f' END AS flat FROM n""")
+def unsafe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*(F.lit(n) for n in ("/a/f", "C:f", "a\\..\\f", "./", "a/f:s", "a/..f", "", "a/./f")))
+    rows = S.table(spark, sf_dir, "documents").select("doc_id", F.get(names, (F.col("doc_id") % 8).cast("int")).alias("name"))
+    return rows.select("doc_id", is_unsafe_name(F.col("name")).alias("unsafe"), flat_unsafe_name(F.col("name"), F.col("doc_id") % 10).alias("flat"))
+
+
+@query(f"WITH e AS ({S.ENTRIES}), n AS (SELECT file_id, CAST(regexp_extract(name, '^ppt/slides/slide([0-9]+)[.]xml$', 1) AS INTEGER) AS slide FROM e WHERE starts_with(name, 'ppt/slides/') AND ok) SELECT file_id, string_agg(slide, ',' ORDER BY slide) AS slides FROM n GROUP BY 1")
+def slide_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file's readable slides in order, each as often as it stands there."""
+    rows = S.entries(spark, sf_dir).where("ok").select("file_id", slide_number(F.col("name")).alias("slide")).where("slide is not null")
+    return rows.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("slide")), lambda n: n.cast("string")), ",").alias("slides"))  # slides of one file
+
+
+@query("""
+SELECT doc_id AS group_id, '{"schema_version":3,"kind":"merge","file":' || doc_id || ',"mode":"' || m || '","guarantee":"' || g || '","n_entries":' || e || ',"n_missing":' || x || '}' AS report
+FROM documents JOIN (VALUES (0, 'splice', 'full', 15, 0), (1, 'splice', 'full', 15, 0), (2, 'A', 'partial', 15, 0), (3, 'A', 'hybrid', 15, 0), (4, 'A', 'partial', 15, 1), (5, 'B', 'hybrid', 14, 1), (6, 'degraded', 'hybrid', 15, 0), (7, 'degraded', 'failed', 14, 0)) AS t(fate, m, g, e, x) ON doc_id % 8 = fate""")
+def merge_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.json_rows(_recovered(spark, sf_dir).results, "group_id", "merge", ["mode", "guarantee", "n_entries", "n_missing"])
+
+
+@query("SELECT s_suppkey AS file_id, i AS \"row\", CASE i WHEN 0 THEN ',' || s_name WHEN 1 THEN 'q1,' || s_nationkey WHEN 4 THEN ',' || s_suppkey ELSE ',' END AS line FROM supplier, range(0, 5) AS r(i)")
+def sparse_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A series with points at 0 and 3: the table has the rows between."""
+    point = lambda i, x: F.concat(F.lit(f'<c:pt idx="{i}"><c:v>'), x.cast("string"), F.lit("</c:v></c:pt>"))
+    text = F.concat(F.lit("<c:chart><c:ser><c:tx><c:v>"), F.col("s_name"), F.lit("</c:v></c:tx><c:cat>"), point(0, F.lit("q1")), F.lit("</c:cat><c:val>"), point(0, F.col("s_nationkey")), point(3, F.col("s_suppkey")), F.lit("</c:val></c:ser></c:chart>"))
+    parts = S.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file_id"), F.lit("ppt/charts/chart1.xml").alias("name"), text.cast("binary").alias("payload"))
+    return rescue.csv_lines(rescue.chart_tables(parts)).select("file_id", F.col("row").cast("long").alias("row"), "line")

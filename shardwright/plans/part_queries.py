@@ -85,9 +85,13 @@ def zero_run_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", report.zero_run_labels(rows).alias("label"))
 
 
-@query("SELECT t AS text, CAST(n AS BIGINT) AS bytes FROM (VALUES ('300M', 314572800), ('1.5GB', 1610612736), ('12', 12), ('7kb', 7168), ('2T', 2199023255552)) v(t, n)")
+@query("""
+SELECT p_partkey, p_size || list_extract(['', 'kb', '.5M', ' GB', 'T', 'x'], CAST(p_partkey % 6 AS BIGINT) + 1) AS text,
+  CAST(CASE p_partkey % 6 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1024::BIGINT WHEN 2 THEN floor((p_size + 0.5) * 1048576) WHEN 4 THEN p_size * 1099511627776 END AS BIGINT) AS bytes FROM part""")
 def size_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(t, report.size_limit(t)) for t in ("300M", "1.5GB", "12", "7kb", "2T")], "text string, bytes long")
+    unit = F.get(F.array(*(F.lit(u) for u in ("", "kb", ".5M", " GB", "T", "x"))), (F.col("p_partkey") % 6).cast("int"))
+    rows = S.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), unit).alias("text"))
+    return rows.withColumn("bytes", report.size_bytes(F.col("text")))
 
 
 _LABELS = f"CASE {RECIPE} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in report.LABELS.items()) + " END"

@@ -28,6 +28,19 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def placed(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with ``name``: each row's place, from 1, in ``order``. Ranges are sorted apart and begin where those before them end; their counts are a row a task."""
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    dealt = df.repartitionByRange(*order).withColumn("_place_range", F.spark_partition_id())
+    held = stored(dealt, "ranges")
+    counts = held.groupBy("_place_range").agg(F.count("*").alias("_place_n"))
+    first = counts.select("_place_range", F.coalesce(F.sum("_place_n").over(W.orderBy("_place_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_place_first"))
+    inside = F.row_number().over(W.partitionBy("_place_range").orderBy(*order))
+    return held.withColumn("_place_inside", inside).join(F.broadcast(first), "_place_range").withColumn(name, F.col("_place_first") + F.col("_place_inside")).drop("_place_range", "_place_inside", "_place_first")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder; later reads start there."""
     ensure_checkpoint_dir(df.sparkSession)

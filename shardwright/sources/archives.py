@@ -52,7 +52,7 @@ def tar_members(data: bytes) -> Iterator[Member]:
                 yield info.name, archive.extractfile(info).read(), None
 
 
-def enex_members(data: bytes) -> Iterator[Member]:
+def enex_members(data: bytes, decode: bool = True) -> Iterator[Member]:
     """Attachments of a note export: by their file name, else by their type; names carry the note's title."""
     title, ordinal = "(untitled)", 0
     for event, node in ET.iterparse(io.BytesIO(data), events=("start", "end")):
@@ -69,7 +69,7 @@ def enex_members(data: bytes) -> Iterator[Member]:
                 continue
             label = f"{title}/{name or f'resource{ordinal}{MIME[mime]}'}"
             try:
-                yield label, base64.b64decode("".join((node.findtext("data") or "").split()), validate=True), None
+                yield label, base64.b64decode("".join((node.findtext("data") or "").split()), validate=True) if decode else None, None
             except ValueError:
                 yield label, None, "bad base64"
             node.clear()
@@ -102,6 +102,36 @@ def mine_archives(files: DataFrame, path_col: str = "path", content_col: str = "
     return archives.mapInArrow(run, f"{path_col} string, member_no bigint, member string, size bigint, content binary, note string")
 
 
+def listed(name: str, data: bytes) -> Iterator[Member]:
+    """The names that ``members`` would give, without reading a member: an index or headers are enough, and attachments stay undecoded."""
+    low = name.lower()
+    try:
+        if low.endswith(".enex"):
+            yield from ((label, None, note) for label, _, note in enex_members(data, decode=False))
+        elif low.endswith(".zip"):
+            with zipfile.ZipFile(io.BytesIO(data)) as archive:
+                yield from ((i.filename, None, "encrypted" if i.flag_bits & 1 else None) for i in archive.infolist() if not i.is_dir() and _wanted(i.filename))
+        else:
+            with tarfile.open(fileobj=io.BytesIO(data), mode="r|*") as archive:
+                yield from ((i.name, None, None) for i in archive if i.isfile() and _wanted(i.name))
+    except Exception as e:
+        yield None, None, f"archive ends early: {type(e).__name__}"
+
+
+def list_archives(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """(path_col, member_no, member, note) of the archives among ``files``: names only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(path_col, pa.string()), ("member_no", pa.int64()), ("member", pa.string()), ("note", pa.string())])
+        for batch in batches:
+            for path, content in zip(*(batch.column(c) for c in (0, 1))):
+                rows = [{path_col: path.as_py(), "member_no": n, "member": m, "note": note} for n, (m, _, note) in enumerate(listed(path.as_py(), content.as_py() or b""))]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    archives = files.where(is_archive(F.col(path_col))).select(F.col(path_col).cast("string"), F.col(content_col).cast("binary"))
+    return archives.mapInArrow(run, f"{path_col} string, member_no bigint, member string, note string")
+
+
 def chosen_members(mined: DataFrame, wanted: DataFrame, path_col: str = "path") -> tuple[DataFrame, DataFrame]:
     """The mined rows that ``wanted`` (path_col, member) names, and the wanted ones that aren't there."""
     return mined.join(wanted, [path_col, "member"], "left_semi"), wanted.join(mined.select(path_col, "member"), [path_col, "member"], "left_anti")

@@ -7,8 +7,10 @@ queries use them; nothing here reads the clock or random numbers.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import io
+import tarfile
 import zipfile
 from collections.abc import Iterator
 
@@ -220,12 +222,32 @@ def families(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return texts.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"group_id {kind}, kind string, rank int, content binary")
 
 
+def _tarred(members: list[tuple[str, bytes]], kind: str) -> bytes:
+    buffer = io.BytesIO()
+    with tarfile.open(fileobj=buffer, mode=f"w:{kind}") as archive:
+        for name, data in members:
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            archive.addfile(info, io.BytesIO(data))
+    return buffer.getvalue()
+
+
+def _exported(members: list[tuple[str, bytes]]) -> bytes:
+    """A note export with a note for each member."""
+    notes = (f"<note><title>{_escaped(n.split('/')[0])}</title><resource><data>{base64.b64encode(d).decode()}</data><mime>x/y</mime><resource-attributes><file-name>{_escaped(n.split('/')[-1])}</file-name></resource-attributes></resource></note>" for n, d in members)
+    return f"<en-export>{''.join(notes)}</en-export>".encode()
+
+
 def archived(rows: DataFrame) -> DataFrame:
-    """(path, content): a zip archive of each path's members (path, member, content)."""
+    """(path, content): an archive of each path's members (path, member, content), of the kind that the path's ending tells: zip, tar.gz, tar.xz, tar or enex."""
+    makers = {".tar.gz": lambda m: _tarred(m, "gz"), ".tar.xz": lambda m: _tarred(m, "xz"), ".tar": lambda m: _tarred(m, ""), ".enex": _exported}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [stored([(m["member"], m["content"]) for m in members.as_py()]) for members in batch.column(1)]
+            made = []
+            for path, members in zip(batch.column(0).to_pylist(), batch.column(1)):
+                make = next((f for end, f in makers.items() if path.endswith(end)), stored)
+                made.append(make([(m["member"], m["content"]) for m in members.as_py()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
 
     gathered = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("member", "content"))).alias("members"))  # a test archive's few members
