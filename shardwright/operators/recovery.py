@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardwright.functions import zipbytes
+from shardwright.functions.batches import batched
 from shardwright.operators import classify, merge, repair
 from shardwright.session import stored
 from shardwright.sources.packages import payload_at
@@ -50,24 +51,25 @@ def recorded_parts(files: DataFrame, rank: str) -> DataFrame:
     An entry that doesn't verify has no payload. Of entries with one name the first counts.
     """
 
+    def recorded(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for i in range(batch.num_rows):
+            group, place, data = (batch.column(c)[i].as_py() for c in range(3))
+            data = data or b""
+            listed = zipbytes.index_entries(data)
+            seen = set()
+            for k, e in enumerate(zipbytes.header_entries(data) if listed is None else listed):
+                if e["name"] in seen:
+                    continue
+                seen.add(e["name"])
+                payload = payload_at(data, e["name"], e["header_offset"]) if e["ok"] else None
+                if payload is not None and e["crc"] is not None and zlib.crc32(payload) != e["crc"]:
+                    payload = None
+                yield group, place, k, e["name"], e["crc"], e["file_size"], payload
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                data = batch.column(2)[i].as_py() or b""
-                listed = zipbytes.index_entries(data)
-                rows, seen = [], set()
-                for k, e in enumerate(zipbytes.header_entries(data) if listed is None else listed):
-                    if e["name"] in seen:
-                        continue
-                    seen.add(e["name"])
-                    payload = payload_at(data, e["name"], e["header_offset"]) if e["ok"] else None
-                    if payload is not None and e["crc"] is not None and zlib.crc32(payload) != e["crc"]:
-                        payload = None
-                    rows.append((k, e["name"], e["crc"], e["file_size"], payload))
-                if rows:
-                    same = lambda c, n=len(rows), i=i: pa.array([batch.column(c)[i].as_py()] * n, batch.schema.field(c).type)
-                    columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary()))]
-                    yield pa.RecordBatch.from_arrays([same(0), same(1), *columns], names=["group_id", rank, "seq", "name", "crc", "file_size", "payload"])
+            own = [("group_id", batch.schema.field(0).type), (rank, batch.schema.field(1).type)]
+            yield from batched(recorded(batch), pa.schema([*own, ("seq", pa.int32()), ("name", pa.string()), ("crc", pa.int64()), ("file_size", pa.int64()), ("payload", pa.binary())]))
 
     g, r = (files.schema[c].dataType.simpleString() for c in ("group_id", rank))
     return files.select("group_id", rank, F.col("content").cast("binary")).mapInArrow(run, f"group_id {g}, {rank} {r}, seq int, name string, crc bigint, file_size bigint, payload binary")
@@ -209,14 +211,16 @@ def recover(copies: DataFrame, donors: DataFrame) -> Recovery:
 def recorded_headers(copies: DataFrame) -> DataFrame:
     """(group_id, copy_rank, seq, name, payload) of all entries of ``copies`` that verify by their headers, in file order."""
 
+    def found(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for i in range(batch.num_rows):
+            group, place, data = (batch.column(c)[i].as_py() for c in range(3))
+            for k, e in enumerate(zipbytes.header_entries(data or b"")):
+                if e["ok"] and (payload := payload_at(data, e["name"], e["header_offset"])) is not None:
+                    yield group, place, k, e["name"], payload
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                data = batch.column(2)[i].as_py() or b""
-                rows = [(k, e["name"], p) for k, e in enumerate(zipbytes.header_entries(data)) if e["ok"] and (p := payload_at(data, e["name"], e["header_offset"])) is not None]
-                if rows:
-                    same = lambda c, n=len(rows), i=i: pa.array([batch.column(c)[i].as_py()] * n, batch.schema.field(c).type)
-                    yield pa.RecordBatch.from_arrays([same(0), same(1), *(pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary())))], names=["group_id", "copy_rank", "seq", "name", "payload"])
+            yield from batched(found(batch), pa.schema([("group_id", batch.schema.field(0).type), ("copy_rank", batch.schema.field(1).type), ("seq", pa.int32()), ("name", pa.string()), ("payload", pa.binary())]))
 
     g, r = (copies.schema[c].dataType.simpleString() for c in ("group_id", "copy_rank"))
     return copies.select("group_id", "copy_rank", F.col("content").cast("binary")).mapInArrow(run, f"group_id {g}, copy_rank {r}, seq int, name string, payload binary")

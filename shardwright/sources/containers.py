@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardwright.session import tasks
+
 # Recipes in the order of their numbers, named by the verdict they lead to.
 RECIPES = ["normal", "empty_file", "full_zero_fill", "not_a_zip", "tail_truncated", "tail_foreign_data", "head_zero_fill", "head_foreign_data", "interior_damage", "version_mix", "scattered_overwrite", "foreign_zip_overwrite", "other_corrupt"]
 _DATE = (2020, 1, 1, 0, 0, 0)
@@ -138,7 +140,7 @@ def known_packages(texts: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names), pa.array(made, pa.binary())], names=[id_col, "recipe", "content"])
 
     kind = texts.schema[id_col].dataType.simpleString()
-    return texts.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} {kind}, recipe string, content binary")
+    return texts.select(id_col, F.col(text_col).cast("string")).repartition(tasks(texts.sparkSession), id_col).mapInArrow(run, f"{id_col} {kind}, recipe string, content binary")
 
 
 def complementary_copies(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,7 +162,7 @@ def complementary_copies(texts: DataFrame, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(groups, batch.schema.field(0).type), pa.array(ranks, pa.int32()), pa.array(made, pa.binary())], names=["group_id", "copy_rank", "content"])
 
     kind = texts.schema[id_col].dataType.simpleString()
-    return texts.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"group_id {kind}, copy_rank int, content binary")
+    return texts.select(id_col, F.col(text_col).cast("string")).repartition(tasks(texts.sparkSession), id_col).mapInArrow(run, f"group_id {kind}, copy_rank int, content binary")
 
 
 # What has happened to a family of versions, in the order of their numbers.
@@ -219,7 +221,7 @@ def families(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (batch.schema.field(0).type, pa.string(), pa.int32(), pa.binary()))], names=["group_id", "kind", "rank", "content"])
 
     kind = texts.schema[id_col].dataType.simpleString()
-    return texts.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"group_id {kind}, kind string, rank int, content binary")
+    return texts.select(id_col, F.col(text_col).cast("string")).repartition(tasks(texts.sparkSession), id_col).mapInArrow(run, f"group_id {kind}, kind string, rank int, content binary")
 
 
 def _tarred(members: list[tuple[str, bytes]], kind: str) -> bytes:
