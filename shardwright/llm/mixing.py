@@ -5,7 +5,7 @@ A source's weight is its share of tokens to the power alpha, normalised: alpha
 reaches the target entropy, by bisection; if some source would then be repeated
 more than ``max_epochs`` times, it is the smallest that doesn't, by bisection
 too. The mix is realised as block permutations: documents fall into blocks of
-about ``block_docs`` by hash, every epoch permutes the blocks of a source and the
+about ``block_docs`` by a hash of id and text, every epoch permutes the blocks of a source and the
 documents of a block anew, and a source's budget of tokens is spent on whole
 epochs and then on the front of one more permutation. So no step needs a source
 in one place: sums run over blocks, first within ranges of their order, then over the
@@ -80,6 +80,11 @@ def _rank_key(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws("|", *(p if isinstance(p, Column) else F.lit(str(p)) for p in parts)).cast("binary"))
 
 
+def _name(id_: Column, text: Column) -> Column:
+    """What blocks and orders hash: id and text, so that rows of null or repeated ids are dealt over all blocks."""
+    return F.substring(F.md5(F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in (id_, text))).cast("binary")), 1, 16)
+
+
 def before(blocks: DataFrame, group: list[str], key: Column, value: str, name: str) -> DataFrame:
     """``blocks`` with ``name``, the sum of ``value`` over the rows of the group that stand before in order of ``key`` (a digest) and block.
 
@@ -101,12 +106,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     and ``key_col``, if named: a key of each row, for joins where ids are null or repeat.
     The budget is ``budget_ratio`` times all tokens. A null source counts as the
     empty one, a null text as empty; a null id stays null. Texts without tokens
-    come with every whole epoch. Repeated rows count each. If no exponent
+    come with every whole epoch. Repeated rows count each; rows
+    of one null or repeated id spread over blocks by their texts, those equal in both share one. If no exponent
     meets the repetition limit (a budget over ``max_epochs`` times the
     tokens), alpha is 1. No rows in: no rows out.
     """
     carried = [] if key_col is None else ["_row"]
-    narrow = cut(docs.select(*(F.col(key_col).alias(c) for c in carried), F.col(id_col).alias("_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), n_tokens(F.col(text_col)).alias("n_tokens")))
+    narrow = cut(docs.select(*(F.col(key_col).alias(c) for c in carried), F.col(id_col).alias("_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), n_tokens(F.col(text_col)).alias("n_tokens"), _name(F.col(id_col), F.col(text_col)).alias("_name")))
     sums = narrow.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     everything = narrow.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     totals = cut(sums.withColumn("share", F.col("tokens") / F.lit(float(max(1, everything)))))
@@ -119,8 +125,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("full", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(1))
         .select("source", "weight", "full", (F.col("budget") - F.col("full") * F.col("tokens")).alias("rest"), F.ceil(F.col("docs") / block_docs).cast("long").alias("blocks"))
     )
-    name = F.coalesce(F.col("_id").cast("string"), F.lit(""))
-    number = F.conv(F.substring(_rank_key(seed, "block", name), 1, 8), 16, 10).cast("long")
+    number = F.conv(F.substring(_rank_key(seed, "block", F.col("_name")), 1, 8), 16, 10).cast("long")
     # A hot source would meet in one task; a plan of few sources goes to the rows instead.
     few = totals.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     placed = narrow.join(F.broadcast(plan) if few else plan, "source").withColumn("block", number % F.col("blocks"))
@@ -130,9 +135,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     walk = _rank_key(seed, "order", (F.col("full") + 1).cast("string"), F.col("source"), F.col("block").cast("string"))
     taken = before(part, ["source"], walk, "held", "before").where("before < rest").select("source", "block", (F.col("rest") - F.col("before")).alias("left"), (F.col("before") + F.col("held") > F.col("rest")).alias("cut"))
 
-    inside = _rank_key(seed, "doc", F.col("epoch").cast("string"), name)
-    every = placed.withColumn("epoch", F.explode(F.expr("CASE WHEN full > 0 THEN sequence(1L, full) END"))).select(*carried, "_id", "source", "n_tokens", "weight", "block", "epoch", F.lit(None).cast("long").alias("left"))
-    last = placed.where("rest > 0").join(taken, ["source", "block"]).select(*carried, "_id", "source", "n_tokens", "weight", "block", (F.col("full") + 1).alias("epoch"), F.when(F.col("cut"), F.col("left")).alias("left"))
+    inside = _rank_key(seed, "doc", F.col("epoch").cast("string"), F.col("_name"))
+    every = placed.withColumn("epoch", F.explode(F.expr("CASE WHEN full > 0 THEN sequence(1L, full) END"))).select(*carried, "_id", "_name", "source", "n_tokens", "weight", "block", "epoch", F.lit(None).cast("long").alias("left"))
+    last = placed.where("rest > 0").join(taken, ["source", "block"]).select(*carried, "_id", "_name", "source", "n_tokens", "weight", "block", (F.col("full") + 1).alias("epoch"), F.when(F.col("cut"), F.col("left")).alias("left"))
     both = every.union(last).withColumn("_key", inside)
     within = W.partitionBy("source", "epoch", "block").orderBy("_key", "_id", "n_tokens", *carried)
     ranked = both.withColumn("position", F.row_number().over(within).cast("long")).withColumn("_sum", F.sum("n_tokens").over(within.rowsBetween(W.unboundedPreceding, 0)))
@@ -152,7 +157,7 @@ def mixing_sql(documents: str = "documents", entropy: float = ENTROPY, max_epoch
     step = lambda n, test, up: f"{n}(i, lo, hi) AS (SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) UNION ALL SELECT i + 1, CASE WHEN {up} THEN a ELSE lo END, CASE WHEN {up} THEN hi ELSE a END FROM (SELECT i, lo, hi, a, shares, {test} AS ok FROM (SELECT i, lo, hi, (lo + hi) / 2 AS a FROM {n} WHERE i < {LEVELS}), lists))"
     target = f"CAST({entropy} AS DOUBLE) * ln(CAST(len(shares) AS DOUBLE))"
     return f"""
-WITH RECURSIVE narrow AS (SELECT doc_id, coalesce(source, '') AS source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM {documents}),
+WITH RECURSIVE narrow AS (SELECT doc_id, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 16) AS name, coalesce(source, '') AS source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM {documents}),
 alltok AS (SELECT coalesce(CAST(sum(n_tokens) AS BIGINT), 0) AS n FROM narrow),
 totals AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) AS docs, sum(n_tokens) / CAST(greatest(1, (SELECT n FROM alltok)) AS DOUBLE) AS share FROM narrow GROUP BY source),
 lists AS (SELECT list(share ORDER BY source) AS shares FROM totals WHERE share > 0),
@@ -166,14 +171,14 @@ norm AS (SELECT a, {z} AS z FROM chosen, lists),
 weighted AS (SELECT source, tokens, docs, CASE WHEN share > 0 THEN round((share ** a) / z, 9) ELSE CAST(0 AS DOUBLE) END AS weight FROM totals, norm),
 budgeted AS (SELECT *, CAST(floor(weight * (CAST({budget_ratio} AS DOUBLE) * (SELECT n FROM alltok))) AS BIGINT) AS budget FROM weighted),
 plan AS (SELECT source, weight, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS full_, budget - (CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END) * tokens AS rest, CAST(ceil(docs / CAST({block_docs} AS DOUBLE)) AS BIGINT) AS blocks FROM budgeted),
-placed AS (SELECT doc_id, source, n_tokens, weight, full_, rest, CAST('0x' || substr(md5('{seed}|block|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % blocks AS block FROM narrow JOIN plan USING (source)),
+placed AS (SELECT doc_id, name, source, n_tokens, weight, full_, rest, CAST('0x' || substr(md5('{seed}|block|' || name), 1, 8) AS BIGINT) % blocks AS block FROM narrow JOIN plan USING (source)),
 part AS (SELECT source, block, sum(n_tokens) AS held, any_value(full_) AS full_, any_value(rest) AS rest FROM placed WHERE rest > 0 GROUP BY source, block),
 walked AS (SELECT *, coalesce(sum(held) OVER (PARTITION BY source ORDER BY md5('{seed}|order|' || (full_ + 1) || '|' || source || '|' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM part),
 taken AS (SELECT source, block, rest - before AS left_, before + held > rest AS cut_ FROM walked WHERE before < rest),
 both_ AS (
-  SELECT doc_id, source, n_tokens, weight, block, unnest(range(1, full_ + 1)) AS epoch, CAST(NULL AS HUGEINT) AS left_ FROM placed
-  UNION ALL SELECT doc_id, source, n_tokens, weight, block, full_ + 1, CASE WHEN cut_ THEN left_ END FROM placed JOIN taken USING (source, block) WHERE rest > 0),
-keyed AS (SELECT *, md5('{seed}|doc|' || epoch || '|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM both_),
+  SELECT doc_id, name, source, n_tokens, weight, block, unnest(range(1, full_ + 1)) AS epoch, CAST(NULL AS HUGEINT) AS left_ FROM placed
+  UNION ALL SELECT doc_id, name, source, n_tokens, weight, block, full_ + 1, CASE WHEN cut_ THEN left_ END FROM placed JOIN taken USING (source, block) WHERE rest > 0),
+keyed AS (SELECT *, md5('{seed}|doc|' || epoch || '|' || name) AS k FROM both_),
 ranked AS (SELECT *, row_number() OVER w AS position, sum(n_tokens) OVER (PARTITION BY source, epoch, block ORDER BY k, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM keyed WINDOW w AS (PARTITION BY source, epoch, block ORDER BY k, doc_id, n_tokens)),
 kept AS (SELECT * FROM ranked WHERE left_ IS NULL OR run <= left_),
 ranks AS (SELECT source, epoch, block, row_number() OVER (PARTITION BY source, epoch ORDER BY md5('{seed}|order|' || epoch || '|' || source || '|' || block), block) AS block_rank FROM (SELECT DISTINCT source, epoch, block FROM kept))

@@ -227,6 +227,14 @@ def test_mix_keeps_to_budgets_and_handles_odd_rows(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_rows_without_ids_spread_over_blocks(spark):
+    docs = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("s").alias("source"))
+    out = mixing.mix(docs).where("epoch = 1")
+    sizes = [r["n"] for r in out.groupBy("block").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 10_000 and len(sizes) == 40 and max(sizes) < 2 * mixing.BLOCK_DOCS
+    same(mixing.mix(docs.limit(500)), mixing.mixing_sql(), {"documents": docs.limit(500).toPandas().astype({"doc_id": "Int64"})})
+
+
 # --- language, quality, language model
 
 
