@@ -13,6 +13,10 @@ connected are compared bit-sliced, by parity
 marks of their sets: bit i of ``MARKS`` says whether an odd
 number of items falls to i, so sets differ in at least as many items as their
 marks in bits. Lists stand in order of size, so a set is set only against those up to 1 / t of its size; only pairs within their radius come out as rows.
+
+No list of a shingle needs to fit one task. Rows of crowded cells are salted before they are sorted, neighbours are sought
+over ranges, and a list of more than ``LIST_PART`` sets is dealt in parts: sets of sizes within 1 / t form a
+band, bands are split by hash, and every two parts of one band or of adjoining bands meet in a block of their own.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ CELLS = 1 << 18
 MARKS = 512
 #: Sets that a task remembers, and sets whose ids (some MB) are broadcast.
 SEEN, BROADCAST_SETS = 500_000, 500_000
+#: Sets of a list from which on it is dealt in parts of that size, rows of a cell from which on they are salted, and long lists whose parts (some KB each) are broadcast.
+LIST_PART, SALTED_ROWS, BROADCAST_LISTS = 4096, 1 << 20, 4096
 
 
 def needed(size: int, similarity: float) -> int:
@@ -93,13 +99,16 @@ def cell_counts(texts: DataFrame, shingle: int) -> np.ndarray:
     return out
 
 
-def _prefixes(order, shingle: int, similarity: float):
-    """Kernel over texts: (key, size, fp) for each shingle in the front part of a set; a set that a task has seen does not come again."""
+def _prefixes(order, shingle: int, similarity: float, salted: int):
+    """Kernel over texts: (key, salt, size, fp) for each shingle in the front part of a set; a set that a task has seen does not come again.
+
+    salt: 0, or from 1 on where the shingle's cell counts ``salted`` rows or more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, seen = order.value, set()
         for batch in batches:
-            keys, sizes, fps, lengths = [np.empty(0, np.int64)], [], [], []
+            keys, salts, sizes, fps, lengths = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [], [], []
             for fp, _, items in _sets(batch, shingle):
                 if not len(items) or fp in seen:
                     continue
@@ -108,32 +117,35 @@ def _prefixes(order, shingle: int, similarity: float):
                 seen.add(fp)
                 n = len(items)
                 keys.append(items[np.lexsort((items, count[items.view(np.uint64) % np.uint64(CELLS)]))[: n - needed(n, similarity) + 1]])
+                parts = count[keys[-1].view(np.uint64) % np.uint64(CELLS)] // salted
+                salts.append(np.where(parts > 0, 1 + fp % (parts + 1), 0))
                 sizes.append(n)
                 fps.append(fp)
                 lengths.append(len(keys[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.repeat(np.array(fps, np.int64), lengths))], names=["key", "size", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.repeat(np.array(fps, np.int64), lengths))], names=["key", "salt", "size", "fp"])
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, size, fp) that stand sorted by key and fp: each pair once, those whose key another set has."""
+    """Rows (key, salt, size, fp) that stand sorted by key, salt and fp: (key, size, fp) once each, if another set has the key or the key is salted."""
     held, joined = None, False  # the last row so far, and whether the one before has its key
-    names = ["key", "size", "fp"]
+    pick = ["key", "size", "fp"]
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = pa.Table.from_batches([*([] if held is None else [held]), batch]).combine_chunks().to_batches()[0]
-        keys, fps = rows.column(0).to_numpy(), rows.column(2).to_numpy()
-        fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (fps[1:] != fps[:-1])])
+        keys, salts, fps = (rows.column(c).to_numpy() for c in (0, 1, 3))
+        same = (keys[1:] == keys[:-1]) & (salts[1:] == salts[:-1])
+        fresh = np.concatenate([[True], ~same | (fps[1:] != fps[:-1])])
         rows = rows.filter(pa.array(fresh))
-        keys = rows.column(0).to_numpy()
-        same = keys[1:] == keys[:-1]
-        keep = np.concatenate([[joined], same])[:-1] | same
-        yield rows.slice(0, len(keep)).filter(pa.array(keep))
+        keys, salts = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        same = (keys[1:] == keys[:-1]) & (salts[1:] == salts[:-1])
+        keep = np.concatenate([[joined], same])[:-1] | same | (salts[:-1] > 0)
+        yield rows.slice(0, len(keep)).filter(pa.array(keep)).select(pick)
         held, joined = rows.slice(len(keys) - 1), bool(same[-1]) if len(same) else joined
-    if joined:
-        yield pa.RecordBatch.from_arrays(held.columns, names=names)
+    if held is not None and (joined or held.column(1)[0].as_py() > 0):
+        yield held.select(pick)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,15 +211,22 @@ def simhash_pairs(sets: DataFrame) -> DataFrame:
 
 
 def _close(similarity: float):
-    """Kernel over rows (key, size, fp, root, marks) sorted by key and size: pairs (a, b) of a key that may be similar and have different roots."""
+    """Kernel over rows (key, size, fp, root, marks, side) sorted by key and size: pairs (a, b) of a key that may be similar and have different roots; of sides from 0 on those of different sides."""
     most = (1 - similarity) / (1 + similarity)  # of both sizes: what similar sets differ in at most
 
     def pairs(groups: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         groups.sort(key=lambda g: len(g[0]), reverse=True)
-        size, fp, root, marks = (np.concatenate(c) for c in zip(*groups))
+        size, fp, root, marks, side = (np.concatenate(c) for c in zip(*groups))
         bits = np.unpackbits(marks.view(np.uint8), axis=1)
         radius = np.floor(most * (1 + 1 / similarity) * size + 1e-6).astype(np.int64)  # the other set is the larger one
-        fits = lambda d, lanes: (size[:lanes] >= similarity * np.concatenate([size[d : lanes + d], np.full(max(0, lanes + d - len(size)), 1 << 60)])[:lanes] - 1e-9) & (root[:lanes] != np.concatenate([root[d : lanes + d], np.zeros(max(0, lanes + d - len(size)), np.int64)])[:lanes])
+
+        def fits(d: int, lanes: int) -> np.ndarray:
+            n = min(lanes, len(size) - d)  # lanes beyond have no partner
+            one, two = slice(0, n), slice(d, d + n)
+            out = np.zeros(lanes, bool)
+            out[one] = (size[one] >= similarity * size[two] - 1e-9) & (root[one] != root[two]) & ((side[one] < 0) | (side[one] != side[two]))
+            return out
+
         for i, j in sliced_pairs(bits, [len(g[0]) for g in groups], radius, fits, 16):
             differ = np.bitwise_count((marks[i] ^ marks[j]).view(np.uint64)).sum(axis=1)
             near = differ <= most * (size[i] + size[j]) + 1e-6
@@ -221,7 +240,7 @@ def _close(similarity: float):
         key, count = None, 0
         for batch in batches:
             keys, size, fp, root = (batch.column(c).to_numpy() for c in range(4))
-            marks = batch.column(4).flatten().to_numpy().reshape(-1, MARKS // 64)
+            marks, side = batch.column(4).flatten().to_numpy().reshape(-1, MARKS // 64), batch.column(5).to_numpy()
             edges = np.flatnonzero(np.diff(keys)) + 1
             for lo, hi in zip([0, *edges], [*edges, len(keys)]):
                 if lo == hi:
@@ -234,7 +253,7 @@ def _close(similarity: float):
                         yield from pairs(ready)
                         ready, count = [], 0
                     key, held = keys[lo], []
-                held.append((size[lo:hi].astype(np.int64), fp[lo:hi].copy(), root[lo:hi].copy(), marks[lo:hi].copy()))
+                held.append((size[lo:hi].astype(np.int64), fp[lo:hi].copy(), root[lo:hi].copy(), marks[lo:hi].copy(), side[lo:hi].copy()))
         if held:
             ready.append(tuple(np.concatenate(c) for c in zip(*held)))
         if ready:
@@ -243,18 +262,50 @@ def _close(similarity: float):
     return run
 
 
-def links(check: Verifier) -> DataFrame:
+def blocks(rows: DataFrame, similarity: float, part: int) -> DataFrame:
+    """``rows`` (key, size, fp, ...) with ``side``: lists of up to ``part`` rows as they are, with side -1.
+
+    Longer ones are dealt: a row comes once for each block of two parts that it is in, under the block's key and with its
+    side there, and once for its own part with side -1. A part has about ``part`` rows of one band; similar sets are in
+    one band or in adjoining ones, as a band's sizes span a little over 1 / ``similarity``.
+    """
+    banded = rows.withColumn("band", F.floor(F.log("size") / F.lit(-math.log(0.999 * similarity))).cast("int"))
+    counted = banded.groupBy("key", "band").agg(F.count("*").alias("n"))
+    lists = counted.groupBy("key").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("n") / part).cast("int")))).alias("parts"))
+    long = cut(lists.where(F.col("n") > part).select("key", "parts"))
+    few = long.limit(BROADCAST_LISTS + 1).count() <= BROADCAST_LISTS
+    dealt = banded.join(F.broadcast(long) if few else long, "key", "left")
+    parts = lambda step: F.coalesce(F.try_element_at("parts", F.col("band") + step), F.lit(0))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("fp"), F.when(F.col("parts").isNull(), 1).otherwise(parts(0))).cast("int"))
+
+    def met(step: int):
+        """The blocks of the own part with all parts of the band ``step`` further."""
+        own = lambda j: F.struct(
+            F.xxhash64("key", *(("band", F.least("mine", j), F.col("band"), F.greatest("mine", j)) if step == 0 else ("band", "mine", F.col("band") + 1, j) if step > 0 else (F.col("band") - 1, j, F.col("band"), "mine"))).alias("key"),
+            (F.when(F.col("mine") == j, -1).when(F.col("mine") < j, 0).otherwise(1) if step == 0 else F.lit(0 if step > 0 else 1)).alias("side"),
+        )
+        return F.transform(F.filter(F.sequence(F.lit(0), parts(step)), lambda j: j < parts(step)), own)
+
+    whole = F.array(F.struct(F.col("key"), F.lit(-1).alias("side")))
+    places = F.when(F.col("parts").isNull(), whole).otherwise(F.concat(met(0), met(1), met(-1)))
+    others = [c for c in rows.columns if c != "key"]
+    return dealt.select(F.explode(places).alias("place"), *others).select("place.key", *others, "place.side")
+
+
+def links(check: Verifier, part: int = LIST_PART, salted: int = SALTED_ROWS) -> DataFrame:
     """Edges (a, b) that connect what the similar pairs of sets connect."""
     sets, similarity = check.sets, check.similarity
     found = check.similar(simhash_pairs(sets))
     order = sets.sparkSession.sparkContext.broadcast(cell_counts(check.texts, check.shingle))
-    rows = check.texts.mapInArrow(_prefixes(order, check.shingle, similarity), "key long, size int, fp long").repartition("key").sortWithinPartitions("key", "fp")
+    rows = check.texts.mapInArrow(_prefixes(order, check.shingle, similarity, salted), "key long, salt int, size int, fp long").repartition("key", "salt").sortWithinPartitions("key", "salt", "fp")
     placed = stored(rows.mapInArrow(_repeated, "key long, size int, fp long"), "placed")
     release(sets.sparkSession)
 
     def rooted(placed: DataFrame) -> DataFrame:
         """``placed`` with the root that links so far give each set, for keys of several roots."""
+        nonlocal found
         roots = components(found)
+        found = roots.where("node <> root").toDF("a", "b")  # stars in the place of all links so far
         made = placed.join(roots, F.col("fp") == F.col("node"), "left").select("key", "size", "fp", F.coalesce("root", "fp").alias("root"))
         several = made.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         made = stored(made.join(several, "key", "left_semi"), "rooted")
@@ -263,16 +314,16 @@ def links(check: Verifier) -> DataFrame:
 
     for order_by in (("size", "fp"), ("root", "size", "fp")):  # neighbours by size, then, of what is left, by root
         apart = rooted(placed)
-        beside = apart.repartition("key").sortWithinPartitions("key", *order_by).mapInArrow(_neighbours, "a long, b long")
+        beside = apart.repartitionByRange("key", *order_by).sortWithinPartitions("key", *order_by).mapInArrow(_neighbours, "a long, b long")
         found = cut(found.union(check.similar(beside)))
         placed = apart.select("key", "size", "fp")
 
-    marked = rooted(placed).join(check.marks.select("fp", "marks"), "fp").select("key", "size", "fp", "root", "marks")
+    marked = blocks(rooted(placed), similarity, part).join(check.marks.select("fp", "marks"), "fp").select("key", "size", "fp", "root", "marks", "side")
     rest = marked.repartition("key").sortWithinPartitions("key", "size", "fp").mapInArrow(_close(similarity), "a long, b long")
     return found.union(check.similar(cut(rest.distinct())))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY, part: int = LIST_PART, salted: int = SALTED_ROWS) -> DataFrame:
     """One row per row of ``docs``: (id_col, component_id).
 
     component_id: the smallest id reachable over texts whose sets of ``shingle``
@@ -283,7 +334,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = texts_of(docs, id_col, text_col)
     sets = stored(shingle_sets(texts, shingle), "sets")
     marks = stored(sets.groupBy("fp").agg(F.first("size").alias("size"), F.first("marks").alias("marks"), F.min("id").alias("first")), "marks")
-    roots = components(links(Verifier(texts, sets, marks, shingle, similarity)))
+    roots = components(links(Verifier(texts, sets, marks, shingle, similarity), part, salted))
     placed = sets.select("id", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("id", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     return placed.join(named, "root").select(F.col("id").alias(id_col), "component_id")

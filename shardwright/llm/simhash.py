@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardwright.llm.common import cut, shielded, stored
-from shardwright.llm.components import components
+from shardwright.llm.components import components, lowest
 
 SHINGLE_WORDS, SEED = 3, 42
 #: Bits in which linked fingerprints differ at most; buckets of two blocks of four lose no link up to here.
@@ -70,22 +70,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def _union(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest position that each of n positions reaches over the pairs (a, b)."""
-    low = np.arange(n)
-    while True:
-        m = np.minimum(low[a], low[b])
-        new = low.copy()
-        np.minimum.at(new, low[a], m)
-        np.minimum.at(new, low[b], m)
-        np.minimum.at(new, a, m)
-        np.minimum.at(new, b, m)
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 def packed(flags: np.ndarray) -> int:
     """Flags as one number, the first at its lowest bit."""
     return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
@@ -148,7 +132,7 @@ def _bucket_links(max_bucket: int | None):
         groups.sort(key=len, reverse=True)
         fps = np.concatenate(groups)
         i, j = close_pairs(fps.view(np.uint64), [len(g) for g in groups])
-        root = _union(len(fps), i, j) if len(i) else np.arange(len(fps))
+        root = lowest(len(fps), i, j) if len(i) else np.arange(len(fps))
         moved = np.flatnonzero(root != np.arange(len(fps)))
         return fps[moved], fps[root[moved]]
 

@@ -65,6 +65,46 @@ def test_marks_leave_no_pair_at_the_threshold_out():
         want.add((len(rows) - 2, len(rows) - 1))
     rows.sort()
     size, fp, marks = zip(*rows)
-    batch = pa.RecordBatch.from_arrays([pa.array([7] * len(rows)), pa.array(size, pa.int32()), pa.array(fp), pa.array(fp), pa.array(marks, pa.list_(pa.int64()))], names=["key", "size", "fp", "root", "marks"])
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * len(rows)), pa.array(size, pa.int32()), pa.array(fp), pa.array(fp), pa.array(marks, pa.list_(pa.int64())), pa.array([-1] * len(rows), pa.int32())], names=["key", "size", "fp", "root", "marks", "side"])
     got = {p for b in near_copies._close(0.8)(iter([batch])) for p in zip(*b.to_pydict().values())}
     assert want <= got
+
+
+def test_long_lists_are_dealt_in_parts(spark):
+    """Many sets of one list: parts of eight, salts from ten rows on, against brute force; blocks hold every pair that may be similar."""
+    rng = random.Random(4)
+    common = " ".join(f"c{k}" for k in range(12))
+    rows = []
+    for at in range(150):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([0, 1, 2, 3, 5]))]
+        rows.append((at, f"{common} {' '.join(base)}".strip()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_copies.near_copies(docs, part=8, salted=10).collect()
+    assert sorted({r["component_id"] for r in got}) == brute_kept(rows) and len(got) == len(rows)
+
+    sizes = [rng.choice([3, 4, 5, 20, 25, 26, 31, 32, 40]) for _ in range(200)]
+    lists = spark.createDataFrame([(7, s, at) for at, s in enumerate(sizes)] + [(8, 5, 1000), (8, 5, 1001)], "key long, size int, fp long")
+    met = near_copies.blocks(lists, 0.8, 8).collect()
+    held = {}
+    for r in met:
+        held.setdefault(r["key"], []).append((r["fp"], r["side"]))
+    pairs = [(min(a, b), max(a, b)) for rows in held.values() for a, p in rows for b, q in rows if a < b and (p < 0 or p != q)]
+    want = {(a, b) for a in range(200) for b in range(a + 1, 200) if min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b])} | {(1000, 1001)}
+    assert want <= set(pairs) and len(pairs) == len(set(pairs))
+    assert max(len(v) for v in held.values()) < 60
+
+
+def test_components_of_long_chains(spark):
+    """Chains over many partitions, cycles, repeated edges and loops."""
+    from shardwright.llm.components import components
+
+    rng = random.Random(2)
+    edges = [(k, k + 1) for k in range(0, 400) if k % 100 != 99] + [(1000, 1001), (1001, 1000), (1001, 1002), (1002, 1000), (5000, 5000)]
+    names = list(range(6000))
+    rng.shuffle(names)
+    edges = [(names[a], names[b]) for a, b in edges] * 2
+    rng.shuffle(edges)
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()
+    groups = [range(0, 100), range(100, 200), range(200, 300), range(300, 400), range(1000, 1003)]
+    want = {names[k]: min(names[i] for i in g) for g in groups for k in g}
+    assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
