@@ -1,8 +1,9 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Before the first round and at the end of each, every partition puts stars in the place of its own
+Each round begins with stars that every partition puts in the place of its own
 edges, so chains inside a partition take no rounds. A node's smallest neighbour
-never grows by that, so rounds still end in one star for each component.
+never grows by that, so rounds still end in one star for each component. Partitions
+are sized by the number of edges: what fits one partition is done after its stars.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from shardwright.llm.common import cut
 
-#: Edges that a task turns into stars at a time.
-STAR_EDGES = 1 << 20
+#: Edges that a task turns into stars at a time, and edges of a partition (2 MB) where there were smaller ones.
+STAR_EDGES, PART_EDGES = 1 << 20, 1 << 17
 
 
 def lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,23 +72,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.union(low.select("u", "m")).toDF("a", "b").where("a <> b").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, part: int = PART_EDGES) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long); root is the smallest node reachable.
 
-    Each round is two joins on checkpointed tables. All stays distributed; only
-    a count and a checksum of the edges reach the driver. No edges: no rows.
+    Each round is two joins on checkpointed tables. All stays distributed, in partitions of
+    about ``part`` edges; only a count and a checksum of the edges reach the driver. No edges: no rows.
     Self-loops and repeated edges change nothing.
     """
-    # Stars are made behind the shuffle and written at once: what a task that runs again gives may differ, but connects the same.
-    down = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-    now = cut(down.distinct().mapInArrow(_own_stars, "a long, b long"))
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
     seen = None
     for _ in range(max_rounds):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark[0] == 0 or mark == seen:
             break
         seen = mark
-        now = cut(_small_star(_large_star(now)).mapInArrow(_own_stars, "a long, b long"))
+        parts = -(-mark[0] // min(part, STAR_EDGES))
+        # Read from written files, so a task that runs again gives the same stars.
+        own = now.coalesce(parts).mapInArrow(_own_stars, "a long, b long")
+        if parts == 1:
+            now = cut(own)
+            break
+        now = cut(_small_star(_large_star(own)))
     else:
         raise RuntimeError(f"no fixed point in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b")).distinct())

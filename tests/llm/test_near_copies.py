@@ -104,7 +104,9 @@ def test_components_of_long_chains(spark):
     rng.shuffle(names)
     edges = [(names[a], names[b]) for a, b in edges] * 2
     rng.shuffle(edges)
-    got = components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()
     groups = [range(0, 100), range(100, 200), range(200, 300), range(300, 400), range(1000, 1003)]
     want = {names[k]: min(names[i] for i in g) for g in groups for k in g}
-    assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
+    for part in (1 << 17, 40):  # one partition, and rounds
+        got = components(spark.createDataFrame(edges, "a long, b long").repartition(9), part=part).collect()
+        assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
+    assert components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
