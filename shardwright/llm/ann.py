@@ -43,6 +43,8 @@ TREES, MISS, ROUTE_MISS, SEED, LEVELS = 96, 0.12, 0.03, 11, 32
 SHARD, SHARD_BYTES, SHARDS, QUERY_BLOCK = 16_384, 64 << 20, 4096, 64
 #: Bits of the strings that deal vectors, and how many more a crowded prefix gets at a time.
 DEAL_BITS, DEAL_STEP = 48, 6
+#: Pairs of a query and a cell that a task weighs at once: some 10 MB for each array of them.
+ROUTE_PAIRS = 1 << 20
 
 
 class Forest:
@@ -267,6 +269,12 @@ def _split(held: DataFrame, deal: Deal, size: int, n: int) -> None:
 def _deal(shared, asks: bool, route_miss: float | None):
     """Kernel: rows (id, v, kth) to rows (shard, asks, id, v, kth), vectors once, queries for each shard that they ask."""
 
+    def sent(batch: pa.RecordBatch, rows: np.ndarray, shard: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(rows), 4096):
+            part = batch.take(pa.array(rows[at : at + 4096]))
+            m = part.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(shard[at : at + 4096].astype(np.int32)), pa.array(np.full(m, asks)), *part.columns[:3]], names=["shard", "asks", "id", "v", "kth"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -277,21 +285,19 @@ def _deal(shared, asks: bool, route_miss: float | None):
                 if not asks:
                     cell = deal.cell(deal.strings(lifted(matrix, deal.longest)))
                     shard = numbers[cell] + (ids[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % deal.parts[cell]
-                    take = np.arange(len(rows))
-                else:
+                    yield from sent(batch, rows, shard)
+                    continue
+                step = max(1, ROUTE_PAIRS // len(deal.starts))
+                for low in range(0, len(rows), step):
+                    some, queries = rows[low : low + step], matrix[low : low + step]
                     if route_miss is None:
-                        length = np.sqrt((matrix.astype(np.float64) ** 2).sum(axis=1))
-                        unit = np.column_stack([matrix / length[:, None], np.zeros(len(rows))]).astype(np.float32)
+                        length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+                        unit = np.column_stack([queries / length[:, None], np.zeros(len(some))]).astype(np.float32)
                         cells = [np.array([c]) for c in deal.cell(deal.strings(unit))]
                     else:
-                        cells = deal.others(matrix, np.nan_to_num(batch.column(2).take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(float), nan=-np.inf), route_miss)
+                        cells = deal.others(queries, np.nan_to_num(batch.column(2).take(pa.array(some)).to_numpy(zero_copy_only=False).astype(float), nan=-np.inf), route_miss)
                     asked = [np.concatenate([np.arange(numbers[c], numbers[c] + deal.parts[c]) for c in cs]) if len(cs) else np.empty(0, np.int64) for cs in cells]
-                    take = np.repeat(np.arange(len(rows)), [len(a) for a in asked])
-                    shard = np.concatenate(asked) if asked else np.empty(0, np.int64)
-                for at in range(0, len(take), 4096):
-                    part = batch.take(pa.array(rows[take[at : at + 4096]]))
-                    m = part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(shard[at : at + 4096].astype(np.int32)), pa.array(np.full(m, asks)), *part.columns[:3]], names=["shard", "asks", "id", "v", "kth"])
+                    yield from sent(batch, np.repeat(some, [len(a) for a in asked]), np.concatenate(asked))
 
     return run
 

@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,3 +320,32 @@ def test_crowded_prefixes_split_and_equal_vectors_are_dealt_by_id(spark):
         mine = got[got.query_id == q].sort_values("rank")
         assert len(mine) == 20 and mine.score.nunique() == 1 and mine.vec_id.tolist() == sorted(mine.vec_id)
     assert recall(got.groupby("query_id").vec_id.agg(list).to_dict(), x, np.arange(600, 1800, 20)) >= 0.9
+
+
+def test_queries_go_to_many_cells_in_bounded_blocks():
+    """2,000 queries and 4,096 cells: under 80 MB (one array of all their pairs has 66), and the same rows whatever the size of a block."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(12)
+    cells = np.arange(4096, dtype=np.uint64)
+    deal = ann.Deal(64, 1.0, cells << np.uint64(ann.DEAL_BITS - 12), np.full(4096, 12), np.full(4096, 100), np.ones(4096, np.int64))
+    x = rng.normal(size=(2_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+
+    def rows(n, kth):
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * n + 1, 64), pa.int32()), pa.array(x[:n].reshape(-1)))
+        return ann._deal(SimpleNamespace(value={64: deal}), True, 0.03)(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(n)), flat, pa.array(np.full(n, kth))], names=["id", "v", "kth"])]))
+
+    tracemalloc.start()
+    sent = sum(b.num_rows for b in rows(len(x), 0.97))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent > 0 and peak < 80 << 20
+    whole, held = [], ann.ROUTE_PAIRS
+    try:
+        for ann.ROUTE_PAIRS in (held, 5 * 4096):
+            whole.append([(a, b) for batch in rows(40, 0.9) for a, b in zip(batch.column(2).to_pylist(), batch.column(0).to_pylist())])
+    finally:
+        ann.ROUTE_PAIRS = held
+    assert sorted(whole[0]) == sorted(whole[1]) and len(whole[0]) > 40
