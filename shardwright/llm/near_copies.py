@@ -12,7 +12,8 @@ groups of copies are one before pairs are looked for; then the pairs of a list t
 connected are compared bit-sliced, by parity
 marks of their sets: bit i of ``MARKS`` says whether an odd
 number of items falls to i, so sets differ in at least as many items as their
-marks in bits. Lists stand in order of size, so a set is set only against those up to 1 / t of its size; only pairs within their radius come out as rows.
+marks in bits. Such marks tell nothing of sets of several times as many items, so pairs are then held against wide marks, whose
+length grows with the set; only what they leave open is made again from the texts and compared item by item. Lists stand in order of size, so a set is set only against those up to 1 / t of its size; only pairs within their radius come out as rows.
 
 No list of a shingle needs to fit one task. Rows of crowded cells are salted before they are sorted, neighbours are sought
 over ranges, and a list of more than ``LIST_PART`` sets is dealt in parts: sets of sizes within 1 / t form a
@@ -41,6 +42,8 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 CELLS = 1 << 18
 #: Bits of the marks; they too decide on cost only.
 MARKS = 512
+#: Bits of the wide marks for each item, at least; sets for which ``MARKS`` are as many have none.
+WIDE = 2
 #: Sets that a task remembers, and sets whose ids (some MB) are broadcast.
 SEEN, BROADCAST_SETS = 500_000, 500_000
 #: Sets of a list from which on it is dealt in parts of that size, rows of a cell from which on they are salted, and long lists whose parts (some KB each) are broadcast.
@@ -60,26 +63,58 @@ def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, np.ndarray
         yield xxhash.xxh64_intdigest(items.tobytes()) - (1 << 63), hashes, items
 
 
+def parities(items: np.ndarray, places: int) -> np.ndarray:
+    """Bytes of ``places`` (a power of two) bits: whether an odd number of items falls to each. Those of half as many places are the halves' exclusive or."""
+    odd = np.bincount(((items.view(np.uint64) >> np.uint64(32)) % np.uint64(places)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def wide_marks(items: np.ndarray) -> bytes | None:
+    """Marks of a length that grows with the set, as ``MARKS`` bits tell nothing of a set of far more items."""
+    n = WIDE * len(items)
+    return parities(items, 1 << (n - 1).bit_length()).tobytes() if n > MARKS else None
+
+
+def _wide_near(similarity: float):
+    """Kernel over rows (a, b, id_a, id_b, size_a, size_b, wide_a, wide_b): (a, b, id_a, id_b) of those that wide marks leave open."""
+    most = (1 - similarity) / (1 + similarity)  # of both sizes: what similar sets differ in at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            limit = most * (batch.column(4).to_numpy() + batch.column(5).to_numpy()) + 1e-6
+            keep = np.ones(batch.num_rows, bool)
+            for i, (one, two) in enumerate(zip(batch.column(6), batch.column(7))):
+                if one.is_valid and two.is_valid:
+                    x, y = (np.frombuffer(m.as_buffer(), np.uint8) for m in (one, two))
+                    while len(x) != len(y):
+                        x, y = (x, y) if len(x) > len(y) else (y, x)
+                        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                    keep[i] = np.bitwise_count(x ^ y).sum() <= limit[i]
+            yield batch.filter(pa.array(keep)).select(["a", "b", "id_a", "id_b"])
+
+    return run
+
+
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, fp, size, simhash, marks) for every row of ``texts`` (id, t): a hash of its set of shingles, the set's size, majority bits and marks; no words, no items."""
+    """(id, fp, size, simhash, marks, wide) for every row of ``texts`` (id, t): a hash of its set of shingles, the set's size, majority bits, marks and wide marks; no words, no items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, similar, marks = [], [], [], []
+            fps, sizes, similar, marks, wide = [], [], [], [], []
             for fp, _, items in _sets(batch, shingle):
                 fps.append(fp)
                 sizes.append(len(items))
                 similar.append(majority(items.view("<u8")))
-                odd = np.bincount((items.view(np.uint64) >> np.uint64(32)) % np.uint64(MARKS), minlength=MARKS) & 1
-                marks.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(similar, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["id", "fp", "size", "simhash", "marks"])
+                marks.append(parities(items, MARKS).view(np.int64).tolist())
+                wide.append(wide_marks(items))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(similar, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(wide, pa.binary())], names=["id", "fp", "size", "simhash", "marks", "wide"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, fp long, size int, simhash long, marks array<long>")
+    return texts.mapInArrow(run, f"id {kind}, fp long, size int, simhash long, marks array<long>, wide binary")
 
 
 def cell_counts(texts: DataFrame, shingle: int) -> np.ndarray:
@@ -168,8 +203,8 @@ class Verifier:
     """Pairs of sets held against their exact similarity; only sets that pairs by marks leave open are made again from their texts."""
 
     texts: DataFrame  # id, t
-    sets: DataFrame  # id, fp, size, simhash, marks
-    marks: DataFrame  # fp, size, marks, first: once for each set
+    sets: DataFrame  # id, fp, size, simhash
+    marks: DataFrame  # fp, size, marks, wide, first: once for each set
     shingle: int
     similarity: float
 
@@ -177,11 +212,16 @@ class Verifier:
         """The pairs (a, b) whose sets are similar enough."""
         most = (1 - self.similarity) / (1 + self.similarity)  # of both sizes: what similar sets differ in at most
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        one, two = self.marks.alias("one"), self.marks.alias("two")
+        one, two = (self.marks.drop("wide").alias(x) for x in ("one", "two"))
         differ = " + ".join(f"bit_count(one.marks[{k}] ^ two.marks[{k}])" for k in range(MARKS // 64))
         near = f"least(one.size, two.size) >= {self.similarity!r}D * greatest(one.size, two.size) - 1e-9D and {differ} <= {most!r}D * (one.size + two.size) + 1e-6D"
         met = pairs.join(one, F.col("a") == F.col("one.fp")).join(two, F.col("b") == F.col("two.fp")).where(near)
-        left = cut(met.select("a", "b", F.col("one.first").alias("id_a"), F.col("two.first").alias("id_b")))
+        met = met.select("a", "b", F.col("one.first").alias("id_a"), F.col("two.first").alias("id_b"), F.col("one.size").alias("size_a"), F.col("two.size").alias("size_b"))
+        for x in ("a", "b"):
+            met = met.join(self.marks.select(F.col("fp").alias(x), F.col("wide").alias(f"wide_{x}")), x)
+        kind = self.sets.schema["id"].dataType.simpleString()
+        rows = met.select("a", "b", "id_a", "id_b", "size_a", "size_b", "wide_a", "wide_b")
+        left = cut(rows.mapInArrow(_wide_near(self.similarity), f"a long, b long, id_a {kind}, id_b {kind}"))
         nodes = cut(left.select(F.col("id_a").alias("id"), F.col("a").alias("fp")).union(left.select("id_b", "b")).distinct())
         # Eight bytes for each set: few are broadcast, more join by shuffle.
         few = nodes.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS
@@ -333,7 +373,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     texts = texts_of(docs, id_col, text_col)
     sets = stored(shingle_sets(texts, shingle), "sets")
-    marks = stored(sets.groupBy("fp").agg(F.first("size").alias("size"), F.first("marks").alias("marks"), F.min("id").alias("first")), "marks")
+    marks = stored(sets.groupBy("fp").agg(F.first("size").alias("size"), F.first("marks").alias("marks"), F.first("wide").alias("wide"), F.min("id").alias("first")), "marks")
     roots = components(links(Verifier(texts, sets, marks, shingle, similarity), part, salted))
     placed = sets.select("id", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("id", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -27,6 +27,8 @@ from shardwright.llm.common import cut, shielded, stored
 from shardwright.llm.components import components, lowest
 
 SHINGLE_WORDS, SEED = 3, 42
+#: Blocks of 64 rows (some 32 bytes each) that are broadcast.
+BROADCAST_BLOCKS = 1 << 20
 #: Bits in which linked fingerprints differ at most; buckets of two blocks of four lose no link up to here.
 RADIUS = 2
 
@@ -230,8 +232,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     ``found`` gives (id_col, component_id) of all rows. Rows get a key of their
     own, written once, so repeated and null ids stand for their own texts.
     """
-    inner, restored = shielded(docs, {id_col, text_col}, {"_row"})
+    inner, restored = shielded(docs, {id_col, text_col}, {"_row", "_block", "_mask"})
     rows = stored(inner.withColumn("_row", F.monotonically_increasing_id()), "rows")
     own = rows.select("_row", F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
     best = found(rows, "_row", text_col).join(own, "_row").groupBy("component_id").agg(F.min(F.struct("none", "id", "hash", "_row")).alias("best"))
-    return restored(rows.join(best.select("best._row"), "_row", "left_semi"))
+    return restored(picked(rows, best.select("best._row")))
+
+
+def picked(rows: DataFrame, chosen: DataFrame, most: int = BROADCAST_BLOCKS) -> DataFrame:
+    """The rows whose ``_row`` (not negative) is in ``chosen``, without moving the others or their texts.
+
+    64 keys in a row are one block with a bit for each of its chosen keys; blocks are broadcast, and beyond ``most`` of them rows join by shuffle.
+    """
+    block = F.shiftright("_row", 6)
+    masks = cut(chosen.groupBy(block.alias("_block")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_row & 63 as int))")).alias("_mask")))
+    few = masks.limit(most + 1).count() <= most
+    met = rows.withColumn("_block", block).join(F.broadcast(masks) if few else masks, "_block")
+    return met.where(F.expr("getbit(_mask, cast(_row & 63 as int)) = 1")).drop("_block", "_mask")

@@ -110,3 +110,29 @@ def test_components_of_long_chains(spark):
         got = components(spark.createDataFrame(edges, "a long, b long").repartition(9), part=part).collect()
         assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
     assert components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
+def test_wide_marks_leave_similar_pairs_only(spark):
+    """Large sets that share a few items don't get as far as an item by item check; those at the threshold do, at unequal lengths of marks too."""
+    rng = np.random.default_rng(5)
+    fresh = lambda n: rng.integers(-(1 << 62), 1 << 62, n)
+    base, long = fresh(1000), fresh(1030)  # 2048 and 4096 places
+    cases = [(base, np.concatenate([base[:20], fresh(980)]), False), (base, np.concatenate([base[:889], fresh(111)]), True), (long, long[:1000], True), (long, np.concatenate([long[:500], fresh(500)]), False)]
+    sets = [tuple(np.unique(x) for x in pair[:2]) for pair in cases]
+    rows = [[at, at + 100, at, at + 100, len(a), len(b), near_copies.wide_marks(a), near_copies.wide_marks(b)] for at, (a, b) in enumerate(sets)]
+    names = ["a", "b", "id_a", "id_b", "size_a", "size_b", "wide_a", "wide_b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n[:4] == "wide" else pa.int64()) for n, c in zip(names, zip(*rows))], names=names)
+    got = {a for b in near_copies._wide_near(0.8)(iter([batch])) for a in b.column(0).to_pylist()}
+    assert got == {at for at, pair in enumerate(cases) if pair[2]}
+    assert near_copies.wide_marks(fresh(200)) is None
+
+
+def test_picked_rows_by_blocks(spark):
+    from shardwright.llm.simhash import picked
+
+    keys = [0, 1, 62, 63, 64, 127, 128, (1 << 33) + 63, (1 << 33) + 64, (5 << 33) + 7]
+    rows = spark.createDataFrame([(k, f"t{k}") for k in keys], "_row long, text string")
+    for want in ([], keys, [63, 64, (1 << 33) + 63], [0, (5 << 33) + 7]):
+        for most in (1 << 20, 1):
+            got = picked(rows, spark.createDataFrame([(k,) for k in want], "_row long"), most)
+            assert sorted(map(tuple, got.collect())) == [(k, f"t{k}") for k in want] and got.columns == ["_row", "text"]
