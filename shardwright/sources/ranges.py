@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shardwright.functions.zipbytes import BLOCK, END, END_SIZE
-from shardwright.session import tasks
+from shardwright.session import file_batches, tasks
 from shardwright.sources.retry import retrying
 
 #: Bytes of a range, a multiple of ``BLOCK``; bytes of an entry that are read at once.
@@ -119,7 +119,7 @@ def facts_of_contents(files: DataFrame, size: int = RANGE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made.columns, pa.nulls(batch.num_rows, pa.string())], names=["file_id", "size", "range_no", *_FACTS.names, "error"])
 
     kind = files.schema["file_id"].dataType.simpleString()
-    return piece.mapInArrow(run, f"file_id {kind}, size bigint, range_no bigint, {_FACTS_SQL}, error string")
+    return file_batches(piece).mapInArrow(run, f"file_id {kind}, size bigint, range_no bigint, {_FACTS_SQL}, error string")
 
 
 def structure(facts: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """What steps write and read, so that large inputs fit: rows that go to disk, passes over files, sizes of batches."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from shardwright.operators import link
+from shardwright.operators import classify, link, repair, report, rescue
+from shardwright.sources import archives, containers
 
 
 def test_pairs_of_files_are_scored_without_rows_for_their_parts(spark, monkeypatch):
@@ -22,3 +24,40 @@ def test_pairs_of_files_are_scored_without_rows_for_their_parts(spark, monkeypat
     assert found[80, 81]["media_ratio"] == 1.0 and abs(found[81, 80]["lineage_score"] - (0.5 + 0.3 * 0.8 + 0.2 * 0.8)) < 1e-12
     # A row a file, or one for each rare part that files share: never one for each part of each file, or one for each pair of a size.
     assert all(n <= 20 * 60 for _, n in written) and dict(written)["facts"] == 65, written
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _packages(spark, n=26):
+    return containers.known_packages(spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))).select(F.col("doc_id").alias("file_id"), "content")
+
+
+def test_python_gets_files_in_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    files = spark.range(0, 40, 1, 1).select(F.col("id").alias("file_id"), F.repeat(F.lit("q"), 1 << 20).cast("binary").alias("content"))
+    classify.read_packages(files)
+
+    def largest(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([max(b.nbytes for b in batches)])], names=["n"])
+
+    assert files.mapInArrow(largest, "n long").agg(F.max("n")).first()[0] <= 6 << 20
+    rows = spark.range(0, 40, 1, 1).select(F.concat(F.lit("box"), "id", F.lit(".zip")).alias("path"), F.lit("a.pptx").alias("member"), F.repeat(F.lit("q"), 1 << 20).cast("binary").alias("content"))
+    assert archives.list_archives(containers.archived(rows)).count() == 40
+
+
+def test_reports_and_rescue_pass_files_once_and_never_shuffle_them(spark):
+    files = _packages(spark).localCheckpoint()
+    assert _plan(report.text_lines(classify.diagnose(files), "file_id")).count("MapInArrow") == 1
+    rescued = rescue.rescue(files, classify.diagnose(files, keep=True))
+    assert "Join" not in _plan(rescued)  # only rows of carved images meet
+    apart = rescue.rescue(files, classify.diagnose(files))
+    assert sorted(map(tuple, rescued.collect())) == sorted(map(tuple, apart.collect()))
+
+
+def test_repair_writes_files_twice_and_entries_never(spark, monkeypatch):
+    labels, write = [], repair.stored
+    monkeypatch.setattr(repair, "stored", lambda df, label="table": labels.append(label) or write(df, label))
+    _, made = repair.made_packages(_packages(spark))
+    assert labels == ["plan", "repaired"] and made.where("mode = 'rebuild'").count() == 6
