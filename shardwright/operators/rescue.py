@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shardwright.functions.names import flat_xml_name, paragraphs, unescaped
 from shardwright.operators.repair import carve
+from shardwright.session import file_batches
 from shardwright.sources.packages import read_parts
 
 PARTIAL_MIN, PARTIAL_MAX = 256, 30 << 20
@@ -38,18 +39,19 @@ def prefix_of(data: bytes) -> bytes:
     return bytes(out)
 
 
-def partial_xml(files: DataFrame, failed: DataFrame) -> DataFrame:
+def partial_xml(files: DataFrame) -> DataFrame:
     """(file_id, name, path, payload): beginnings of XML parts that the index lists and that no longer verify.
 
-    ``files``: file_id, content; ``failed``: file_id, name, header_offset, comp_size of failed index entries.
+    ``files``: file_id, content, cd. Parts are cut out in their file's row, so no file moves.
     """
-    wanted = failed.where(F.col("name").rlike(r"\.(xml|rels)$")).join(files, "file_id")
-    at = F.col("header_offset").cast("int")
+    at = lambda e: e["header_offset"].cast("int")
     number = lambda b: F.conv(F.concat(F.hex(F.substring(b, F.lit(2), F.lit(1))), F.hex(F.substring(b, F.lit(1), F.lit(1)))), 16, 10).cast("int")
-    head = F.substring("content", at + 1, F.lit(30))
-    sound = (F.hex(F.substring(head, F.lit(1), F.lit(4))) == "504B0304") & (number(F.substring(head, F.lit(9), F.lit(2))) == 8)
-    body = F.substring("content", at + 31 + number(F.substring(head, F.lit(27), F.lit(2))) + number(F.substring(head, F.lit(29), F.lit(2))), F.col("comp_size").cast("int"))
-    bodies = wanted.where(sound).select("file_id", "name", body.alias("body"))
+    head = lambda e: F.substring("content", at(e) + 1, F.lit(30))
+    sound = lambda e: (F.hex(F.substring(head(e), F.lit(1), F.lit(4))) == "504B0304") & (number(F.substring(head(e), F.lit(9), F.lit(2))) == 8)
+    body = lambda e: F.substring("content", at(e) + 31 + number(F.substring(head(e), F.lit(27), F.lit(2))) + number(F.substring(head(e), F.lit(29), F.lit(2))), e["comp_size"].cast("int"))
+    failed = F.filter("cd", lambda e: ~e["ok"] & e["name"].rlike(r"\.(xml|rels)$"))
+    cut = F.transform(failed, lambda e: F.struct(e["name"].alias("name"), F.when(sound(e), body(e)).alias("body")))
+    bodies = file_batches(files.select("file_id", F.explode(cut).alias("e")).where("e.body is not null").select("file_id", "e.name", "e.body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,11 +64,11 @@ def partial_xml(files: DataFrame, failed: DataFrame) -> DataFrame:
 
 
 def rescue(files: DataFrame, diagnosed: DataFrame) -> DataFrame:
-    """(file_id, stage, path, length, digest): entries, carved images, beginnings of XML, and texts, each on its own. ``diagnosed`` of ``files``."""
+    """(file_id, stage, path, length, digest): entries, carved images, beginnings of XML, and texts, each on its own. ``diagnosed`` of ``files``; with their bytes kept, no file is shuffled."""
     one = lambda df, stage, path, payload: df.select("file_id", F.lit(stage).alias("stage"), path.alias("path"), F.octet_length(payload).cast("long").alias("length"), F.sha2(payload, 256).alias("digest"))
     parts = read_parts(files)
-    failed = diagnosed.select("file_id", F.explode("cd").alias("e")).where("not e.ok").select("file_id", "e.name", "e.header_offset", "e.comp_size")
-    broken = partial_xml(files, failed)
+    held = diagnosed if "content" in diagnosed.columns else diagnosed.select("file_id", "cd").join(files, "file_id")
+    broken = partial_xml(held.select("file_id", "content", "cd"))
     images = carve(files).select("file_id", F.lit("carve").alias("stage"), F.format_string("image%04d.%s", "image_no", "kind").alias("path"), "length", "digest")
     xml = parts.where(F.col("name").rlike(r"^ppt/(slides|notesSlides)/[^/]+\.xml$")).select("file_id", "name", "payload").unionByName(broken.select("file_id", "name", "payload"))
     texts = xml.withColumn("text", F.array_join(paragraphs(F.col("payload").cast("string")), "\n").cast("binary")).where(F.octet_length("text") > 0)
