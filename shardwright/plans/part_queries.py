@@ -221,8 +221,7 @@ _CT = "application/vnd.openxmlformats-officedocument."
 
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _known(spark, sf_dir).select(F.col("doc_id").alias("file_id"), "content")
-    made = stored(repair.repair(files).where("mode = 'rebuild'").select("file_id", "content"), "rebuilt")
-    return read_parts(made)
+    return read_parts(repair.made_packages(files)[1].where("mode = 'rebuild'").select("file_id", "content"))
 
 
 @query(f"""
