@@ -13,7 +13,7 @@ connected are compared bit-sliced, by parity
 marks of their sets: bit i of ``MARKS`` says whether an odd
 number of items falls to i, so sets differ in at least as many items as their
 marks in bits. Such marks tell nothing of sets of several times as many items, so pairs are then held against wide marks, whose
-length grows with the set; only what they leave open is made again from the texts and compared item by item. Lists stand in order of size, so a set is set only against those up to 1 / t of its size; only pairs within their radius come out as rows.
+length grows with the set, long ones inside the lists already (up to ``LONG_MARKS`` bits); only what they leave open is made again from the texts and compared item by item. Lists stand in order of size, so a set is set only against those up to 1 / t of its size; only pairs within their radius come out as rows.
 
 No list of a shingle needs to fit one task. Rows of crowded cells are salted before they are sorted, neighbours are sought
 over ranges, and a list of more than ``LIST_PART`` sets is dealt in parts: sets of sizes within 1 / t form a
@@ -44,6 +44,8 @@ CELLS = 1 << 18
 MARKS = 512
 #: Bits of the wide marks for each item, at least; sets for which ``MARKS`` are as many have none.
 WIDE = 2
+#: Items from which on ``MARKS`` of unrelated sets no longer differ enough, and the most bits of the long marks that go with such sets into their lists.
+LONG, LONG_MARKS = 1000, 8192
 #: Sets that a task remembers, and sets whose ids (some MB) are broadcast.
 SEEN, BROADCAST_SETS = 500_000, 500_000
 #: Sets of a list from which on it is dealt in parts of that size, rows of a cell from which on they are salted, and long lists whose parts (some KB each) are broadcast.
@@ -75,6 +77,23 @@ def wide_marks(items: np.ndarray) -> bytes | None:
     return parities(items, 1 << (n - 1).bit_length()).tobytes() if n > MARKS else None
 
 
+def long_marks(items: np.ndarray) -> bytes | None:
+    """Wide marks of up to ``LONG_MARKS`` bits for sets of ``LONG`` items or more."""
+    n = min(WIDE * len(items), LONG_MARKS)
+    return parities(items, 1 << (n - 1).bit_length()).tobytes() if len(items) >= LONG else None
+
+
+def differing(one: pa.Scalar, two: pa.Scalar) -> int:
+    """In how many bits two marks differ, once the longer ones are folded to the length of the others; 0 if one is null."""
+    if not (one.is_valid and two.is_valid):
+        return 0
+    x, y = (np.frombuffer(m.as_buffer(), np.uint8) for m in (one, two))
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _wide_near(similarity: float):
     """Kernel over rows (a, b, id_a, id_b, size_a, size_b, wide_a, wide_b): (a, b, id_a, id_b) of those that wide marks leave open."""
     most = (1 - similarity) / (1 + similarity)  # of both sizes: what similar sets differ in at most
@@ -82,14 +101,7 @@ def _wide_near(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             limit = most * (batch.column(4).to_numpy() + batch.column(5).to_numpy()) + 1e-6
-            keep = np.ones(batch.num_rows, bool)
-            for i, (one, two) in enumerate(zip(batch.column(6), batch.column(7))):
-                if one.is_valid and two.is_valid:
-                    x, y = (np.frombuffer(m.as_buffer(), np.uint8) for m in (one, two))
-                    while len(x) != len(y):
-                        x, y = (x, y) if len(x) > len(y) else (y, x)
-                        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-                    keep[i] = np.bitwise_count(x ^ y).sum() <= limit[i]
+            keep = np.array([differing(one, two) for one, two in zip(batch.column(6), batch.column(7))], np.int64) <= limit
             yield batch.filter(pa.array(keep)).select(["a", "b", "id_a", "id_b"])
 
     return run
@@ -100,21 +112,22 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, fp, size, simhash, marks, wide) for every row of ``texts`` (id, t): a hash of its set of shingles, the set's size, majority bits, marks and wide marks; no words, no items."""
+    """(id, fp, size, simhash, marks, wide, long) for every row of ``texts`` (id, t): a hash of its set of shingles, the set's size, majority bits, marks, wide and long marks; no words, no items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, similar, marks, wide = [], [], [], [], []
+            fps, sizes, similar, marks, wide, long = [], [], [], [], [], []
             for fp, _, items in _sets(batch, shingle):
                 fps.append(fp)
                 sizes.append(len(items))
                 similar.append(majority(items.view("<u8")))
                 marks.append(parities(items, MARKS).view(np.int64).tolist())
                 wide.append(wide_marks(items))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(similar, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(wide, pa.binary())], names=["id", "fp", "size", "simhash", "marks", "wide"])
+                long.append(long_marks(items))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(similar, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(wide, pa.binary()), pa.array(long, pa.binary())], names=["id", "fp", "size", "simhash", "marks", "wide", "long"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, fp long, size int, simhash long, marks array<long>, wide binary")
+    return texts.mapInArrow(run, f"id {kind}, fp long, size int, simhash long, marks array<long>, wide binary, long binary")
 
 
 def cell_counts(texts: DataFrame, shingle: int) -> np.ndarray:
@@ -204,7 +217,7 @@ class Verifier:
 
     texts: DataFrame  # id, t
     sets: DataFrame  # id, fp, size, simhash
-    marks: DataFrame  # fp, size, marks, wide, first: once for each set
+    marks: DataFrame  # fp, size, marks, wide, long, first: once for each set
     shingle: int
     similarity: float
 
@@ -212,7 +225,7 @@ class Verifier:
         """The pairs (a, b) whose sets are similar enough."""
         most = (1 - self.similarity) / (1 + self.similarity)  # of both sizes: what similar sets differ in at most
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        one, two = (self.marks.drop("wide").alias(x) for x in ("one", "two"))
+        one, two = (self.marks.drop("wide", "long").alias(x) for x in ("one", "two"))
         differ = " + ".join(f"bit_count(one.marks[{k}] ^ two.marks[{k}])" for k in range(MARKS // 64))
         near = f"least(one.size, two.size) >= {self.similarity!r}D * greatest(one.size, two.size) - 1e-9D and {differ} <= {most!r}D * (one.size + two.size) + 1e-6D"
         met = pairs.join(one, F.col("a") == F.col("one.fp")).join(two, F.col("b") == F.col("two.fp")).where(near)
@@ -251,12 +264,12 @@ def simhash_pairs(sets: DataFrame) -> DataFrame:
 
 
 def _close(similarity: float):
-    """Kernel over rows (key, size, fp, root, marks, side) sorted by key and size: pairs (a, b) of a key that may be similar and have different roots; of sides from 0 on those of different sides."""
+    """Kernel over rows (key, size, fp, root, marks, side, long) sorted by key and size: pairs (a, b) of a key that may be similar by marks, and by long marks where both have some, and have different roots; of sides from 0 on those of different sides."""
     most = (1 - similarity) / (1 + similarity)  # of both sizes: what similar sets differ in at most
 
     def pairs(groups: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         groups.sort(key=lambda g: len(g[0]), reverse=True)
-        size, fp, root, marks, side = (np.concatenate(c) for c in zip(*groups))
+        size, fp, root, marks, side, long = (np.concatenate(c) for c in zip(*groups))
         bits = np.unpackbits(marks.view(np.uint8), axis=1)
         radius = np.floor(most * (1 + 1 / similarity) * size + 1e-6).astype(np.int64)  # the other set is the larger one
 
@@ -269,7 +282,10 @@ def _close(similarity: float):
 
         for i, j in sliced_pairs(bits, [len(g[0]) for g in groups], radius, fits, 16):
             differ = np.bitwise_count((marks[i] ^ marks[j]).view(np.uint64)).sum(axis=1)
-            near = differ <= most * (size[i] + size[j]) + 1e-6
+            limit = most * (size[i] + size[j]) + 1e-6
+            near = differ <= limit
+            for k in np.flatnonzero(near & (np.minimum(size[i], size[j]) >= LONG)).tolist():
+                near[k] = long[i[k]] is None or long[j[k]] is None or differing(long[i[k]], long[j[k]]) <= limit[k]
             a, b = np.minimum(fp[i], fp[j])[near], np.maximum(fp[i], fp[j])[near]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -281,6 +297,9 @@ def _close(similarity: float):
         for batch in batches:
             keys, size, fp, root = (batch.column(c).to_numpy() for c in range(4))
             marks, side = batch.column(4).flatten().to_numpy().reshape(-1, MARKS // 64), batch.column(5).to_numpy()
+            long = np.empty(batch.num_rows, object)
+            for at in np.flatnonzero(size >= LONG).tolist() if batch.num_columns > 6 else ():
+                long[at] = pa.scalar(batch.column(6)[at].as_py(), pa.binary())
             edges = np.flatnonzero(np.diff(keys)) + 1
             for lo, hi in zip([0, *edges], [*edges, len(keys)]):
                 if lo == hi:
@@ -293,7 +312,7 @@ def _close(similarity: float):
                         yield from pairs(ready)
                         ready, count = [], 0
                     key, held = keys[lo], []
-                held.append((size[lo:hi].astype(np.int64), fp[lo:hi].copy(), root[lo:hi].copy(), marks[lo:hi].copy(), side[lo:hi].copy()))
+                held.append((size[lo:hi].astype(np.int64), fp[lo:hi].copy(), root[lo:hi].copy(), marks[lo:hi].copy(), side[lo:hi].copy(), long[lo:hi].copy()))
         if held:
             ready.append(tuple(np.concatenate(c) for c in zip(*held)))
         if ready:
@@ -358,7 +377,7 @@ def links(check: Verifier, part: int = LIST_PART, salted: int = SALTED_ROWS) ->
         found = cut(found.union(check.similar(beside)))
         placed = apart.select("key", "size", "fp")
 
-    marked = blocks(rooted(placed), similarity, part).join(check.marks.select("fp", "marks"), "fp").select("key", "size", "fp", "root", "marks", "side")
+    marked = blocks(rooted(placed), similarity, part).join(check.marks.select("fp", "marks", "long"), "fp").select("key", "size", "fp", "root", "marks", "side", "long")
     rest = marked.repartition("key").sortWithinPartitions("key", "size", "fp").mapInArrow(_close(similarity), "a long, b long")
     return found.union(check.similar(cut(rest.distinct())))
 
@@ -373,7 +392,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     texts = texts_of(docs, id_col, text_col)
     sets = stored(shingle_sets(texts, shingle), "sets")
-    marks = stored(sets.groupBy("fp").agg(F.first("size").alias("size"), F.first("marks").alias("marks"), F.first("wide").alias("wide"), F.min("id").alias("first")), "marks")
+    marks = stored(sets.groupBy("fp").agg(F.first("size").alias("size"), F.first("marks").alias("marks"), F.first("wide").alias("wide"), F.first("long").alias("long"), F.min("id").alias("first")), "marks")
     roots = components(links(Verifier(texts, sets, marks, shingle, similarity), part, salted))
     placed = sets.select("id", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("id", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -1,5 +1,6 @@
 """What steps write and read, so that large inputs fit: rows that go to disk, passes over files, sizes of batches."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -61,3 +62,22 @@ def test_repair_writes_files_twice_and_entries_never(spark, monkeypatch):
     monkeypatch.setattr(repair, "stored", lambda df, label="table": labels.append(label) or write(df, label))
     _, made = repair.made_packages(_packages(spark))
     assert labels == ["plan", "repaired"] and made.where("mode = 'rebuild'").count() == 6
+
+
+def test_long_sets_of_one_list_are_told_apart_before_they_are_paired():
+    from shardwright.llm import near_copies as N
+
+    rng = np.random.default_rng(1)
+    fresh = lambda n: np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+    sets = [fresh(3000) for _ in range(30)]
+    sets.append(np.unique(np.concatenate([sets[0][:2800], fresh(150)])))  # similar to the first one
+    sets.sort(key=len)
+    n = range(len(sets))
+    batch = pa.RecordBatch.from_arrays([
+        pa.array([7] * len(sets)), pa.array([len(x) for x in sets], pa.int32()), pa.array(n), pa.array(n), pa.array([N.parities(x, N.MARKS).view(np.int64).tolist() for x in sets], pa.list_(pa.int64())),
+        pa.array([-1] * len(sets), pa.int32()), pa.array([N.long_marks(x) for x in sets], pa.binary()),
+    ], names=["key", "size", "fp", "root", "marks", "side", "long"])
+    alike = {(a, b) for a in n for b in n if a < b and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
+    got = {p for b in N._close(0.8)(iter([batch])) for p in zip(*b.to_pydict().values())}
+    assert len(alike) == 1 and alike <= got and len(got) <= 10, len(got)
+    assert N.long_marks(fresh(900)) is None and len(N.long_marks(fresh(20_000))) == N.LONG_MARKS // 8
