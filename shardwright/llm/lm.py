@@ -13,28 +13,35 @@ that it stays far below ``PRIOR`` at any size.
 
 The probability of a word is (pair count + PRIOR * word probability) / (total +
 PRIOR), so over the vocabulary and the unknown word it sums to 1 but for the
-sixteenths. The filter is built in slices by tasks. Up to ``MAX_BITS`` it is
-broadcast; a larger one stays in the shared folder, and the distinct keys of
-every stretch of text go to their slices by shuffle and come back as levels.
+sixteenths. The filter is built in slices by tasks.
 
-The base score is exact:
+Little text (so little that its filter can't pass ``MAX_BITS``) has its filter broadcast. For more text the
+keys go to the filter, once: texts fall into blocks of about ``STRETCH`` tokens, and a block sends each slice
+one row, the packed distinct keys that fall to it with their counts in training rows. The task of a slice adds
+the counts up, builds its part of the filter and answers each row by one with a level for each key, so neither
+the filter nor a table of counts is written. Blocks keep their tokens as places in their list of words, so
+texts are split once.
+
+The base score is exact. For little text
 the most frequent words (at most ``HEAD`` by a threshold on their counts) are
 broadcast as sorted arrays, and every other word, seen in training or not, joins the
-full table of counts by shuffle.
+full table of counts by shuffle; for more text the slices answer with the counts of words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardwright.llm.common import crc_bucket, release, stored
+from shardwright.session import file_batches
 
 END, START = xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b" start")
 #: The largest filter that is broadcast (128 MB), and about the largest slice of a filter (4 MB).
@@ -46,8 +53,11 @@ PARTS, AFTER = 16, 64
 PROBES = 8
 HEAD = 1 << 20
 PRIOR, ALPHA = 20.0, 0.1
-#: Tokens of one stretch, where keys go to slices.
-STRETCH = 1 << 14
+#: The most bits of a filter for a byte of text: a word, a pair and a total for six bytes, with 27 probes.
+BITS_A_BYTE = 32
+#: Tokens of a block of texts (up to twice as many), and bytes of text for each slice, where keys go to slices.
+STRETCH, SLICE_TEXT = 1 << 20, 16 << 20
+LEAST_SLICES = 16
 CACHE_WORDS, BUFFER_TOKENS = 200_000, 1_000_000
 #: Keys that are probed together.
 CHUNK = 1 << 13
@@ -227,12 +237,20 @@ def probes_for(distinct: int) -> int:
     return max(PROBES, int(np.ceil(np.log2(max(2, distinct)))) + 4)
 
 
+def put(flags: np.ndarray, keys: np.ndarray, level: int, probes: int) -> None:
+    """Sets the bits of (key, level) in a slice, a byte for each bit."""
+    at, step = LogFrequencyFilter.probing(keys, level)
+    for _ in range(probes):
+        flags[LogFrequencyFilter.position(at, len(flags))] = True
+        at += step
+
+
 def build_filter(kept: DataFrame, entries: int, distinct: int) -> tuple[DataFrame, int, int, int]:
     """(table of slices, slice_bits, slices, probes) of the filter of ``kept`` (kind, key, level).
 
     Kinds 1 and 2 are stored at levels 1 to ``level``; kind 3, totals, whose ``level``
     is PARTS * level + part, also at the part. ``entries`` are stored pairs, in all.
-    The table has a row for each slice: slice, bits, and the share of bits set.
+    The table has a row for each slice: slice and bits, of which half are set.
     """
     probes = probes_for(distinct)
     bits = int(entries * probes / np.log(2)) + 64
@@ -244,12 +262,6 @@ def build_filter(kept: DataFrame, entries: int, distinct: int) -> tuple[DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
 
-        def put(flags: np.ndarray, keys: np.ndarray, level: int) -> None:
-            at, step = LogFrequencyFilter.probing(keys, level)
-            for _ in range(probes):
-                flags[LogFrequencyFilter.position(at, slice_bits)] = True
-                at += step
-
         for batch in batches:
             of, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             keys, levels = batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy()
@@ -260,19 +272,25 @@ def build_filter(kept: DataFrame, entries: int, distinct: int) -> tuple[DataFram
                 code = levels[mine]
                 top = np.where(total, code // PARTS, code)
                 for level in range(1, int(top.max()) + 1):
-                    put(flags, own[top >= level], level)
+                    put(flags, own[top >= level], level, probes)
                 for c in np.unique(code[total & (code % PARTS > 0)]).tolist():
-                    put(flags, own[total & (code == c)], AFTER + c)
+                    put(flags, own[total & (code == c)], AFTER + c, probes)
         for s, flags in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary()), pa.array([float(flags.mean())])], names=["slice", "bits", "full"])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
 
     dealt = kept.select(F.pmod("key", F.lit(slices)).cast("int").alias("slice"), F.col("kind").cast("int").alias("kind"), "key", F.col("level").cast("int").alias("level"))
-    made = dealt.repartition(slices, "slice").mapInArrow(run, "slice int, bits binary, full double")
+    made = dealt.repartition(slices, "slice").mapInArrow(run, "slice int, bits binary")
     return stored(made, "filter"), slice_bits, slices, probes
 
+
+def mistakes(probes: int, distinct: int, count: float) -> float:
+    """Counts of pairs that are expected to be read by mistake after a word: half of a filter's bits are set, by its size."""
+    return float(0.5**probes * distinct * count)
+
+
 @dataclass
 class Model:
-    """Figures that fit a broadcast; ``filter`` is None where the filter is beyond ``MAX_BITS``."""
+    """Figures that fit a broadcast; ``filter`` and the head are there for little text only."""
 
     train_tokens: int
     distinct: int
@@ -281,7 +299,6 @@ class Model:
     word_means: np.ndarray  # what a level stands for
     pair_means: np.ndarray
     mistaken: float  # pairs that the filter is expected to read by mistake for each first word, times their count
-    shape: tuple[int, int, int]  # slice_bits, slices, probes
     filter: LogFrequencyFilter | None = None
     asked: dict[int, np.ndarray] = field(default_factory=dict)  # what a worker has read of the head
 
@@ -330,8 +347,8 @@ class Model:
         return self.logs(level, self.filter.levels(pairs, cap)[of_pair], total)
 
 
-def train(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS, head: int = HEAD) -> tuple[Model, DataFrame, DataFrame]:
-    """The model of all rows of ``docs``, the full table (key, n) of word counts, and the filter's table of slices."""
+def train(docs: DataFrame, text_col: str = "text", head: int = HEAD) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of all rows of ``docs`` with its filter, the full table (key, n) of word counts, and the filter's table of slices."""
     kept = stored(counts(docs, text_col).withColumn("level", F.least(F.lit(MAX_LEVEL), F.lit(1) + F.floor(F.log2("n") + 1e-12).cast("int"))), "counts")
     release(docs.sparkSession)
     words = kept.where("kind = 1").select("key", "n")
@@ -351,7 +368,6 @@ def train(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS, hea
     table, *shape = build_filter(kept.select("kind", "key", "level").union(totals), entries, distinct)
     release(docs.sparkSession)
     slice_bits, slices, probes = shape
-    wrong = table.agg(F.coalesce(F.avg(F.pow("full", F.lit(float(probes)))), F.lit(0.0))).first()[0]
 
     # The head: all words, or those above a count that leaves at most ``head`` of them.
     floor = 1
@@ -365,12 +381,11 @@ def train(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS, hea
     top = words.where(F.col("n") >= floor).toArrow()
     keys, n = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(keys)
-    model = Model(int(total), int(distinct), keys[order], n[order], means[1], means[2], float(wrong * distinct * means[2, 1]), (slice_bits, slices, probes))
-    if slices * slice_bits <= max_bits:
-        bits = np.zeros(slices * slice_bits // 8, np.uint8)
-        for row in table.coalesce(4).toLocalIterator():  # a quarter at a time
-            bits[row["slice"] * slice_bits // 8 :][: slice_bits // 8] = np.frombuffer(row["bits"], np.uint8)
-        model.filter = LogFrequencyFilter(bits, slice_bits, slices, probes)
+    model = Model(int(total), int(distinct), keys[order], n[order], means[1], means[2], mistakes(probes, distinct, means[2, 1]))
+    bits = np.zeros(slices * slice_bits // 8, np.uint8)
+    for row in table.coalesce(4).toLocalIterator():  # a quarter at a time
+        bits[row["slice"] * slice_bits // 8 :][: slice_bits // 8] = np.frombuffer(row["bits"], np.uint8)
+    model.filter = LogFrequencyFilter(bits, slice_bits, slices, probes)
     return model, words, table
 
 
@@ -378,7 +393,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return crc_bucket(id_col, 10) == 0
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, n_known, base_score, score) of every row; null text is empty, so one end is its only token."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType
@@ -395,7 +410,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, table: DataFrame, id_
                 n = m.exact(distinct)
                 log = np.where(n >= 0, m.base_log(np.maximum(n, 0)), 0.0)[where]
                 rows = first[at : at + len(texts)]
-                logs = pa.array(np.add.reduceat(m.token_logs(tokens, lengths, (distinct, where)), starts)) if m.filter else pa.nulls(len(texts), pa.float64())
+                logs = pa.array(np.add.reduceat(m.token_logs(tokens, lengths, (distinct, where)), starts))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(rows), batch.column(1).slice(at, len(texts)), pa.array(lengths), pa.array(np.add.reduceat((n > 0)[where].astype(np.int64), starts)),
                     pa.array(np.add.reduceat(log, starts)), logs, pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.int64()),
@@ -409,85 +424,261 @@ def score(docs: DataFrame, model: Model, words: DataFrame, table: DataFrame, id_
                     yield pa.RecordBatch.from_arrays([pa.array(rows[both // len(distinct)]), *none, pa.array(distinct[both % len(distinct)].view(np.int64)), pa.array(times.astype(np.int64))], names=names)
 
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    if model.filter is None:  # rows meet again, so their numbers must not change
-        texts = stored(texts, "texts")
     made = stored(texts.mapInArrow(run, f"row long, id {kind.simpleString()}, n_tokens long, n_known long, base double, score double, key long, n long"), "scores")
     rest = made.where("key is not null").select("row", "key", F.col("n").alias("times")).join(words, "key", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + F.lit(ALPHA)) / F.lit(model.train_tokens + ALPHA * (model.distinct + 1)))
     added = rest.groupBy("row").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
     both = made.where("key is null").drop("key", "n").join(added, "row", "left")
-    if model.filter is None:
-        both = both.drop("score").join(scores_by_slices(texts, table, model), "row")
     return both.select(F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
 
 
-def scores_by_slices(texts: DataFrame, table: DataFrame, model: Model) -> DataFrame:
-    """(row, score) of ``texts`` (row, id, t) where the filter is too large for a broadcast.
+def packed(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Whole numbers, none negative, by planes of bytes; ascending ones by their steps."""
+    held = values.astype(np.uint64)
+    if ascending and len(held):
+        held = np.concatenate([held[:1], np.diff(held)])
+    width = (int(held.max(initial=0)).bit_length() + 7) // 8
+    planes = np.ascontiguousarray(held.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return np.array([len(held), width], np.uint32).tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
-    Texts fall into stretches of ``STRETCH`` tokens. The distinct keys of each go to
-    their slices, of which a task holds one at a time, and come back as levels. A
-    frequent word is one key of a stretch however often it stands there.
-    """
-    slice_bits, slices, probes = model.shape
-    means = table.sparkSession.sparkContext.broadcast(model)
 
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            for at, part in _portions(batch.column(2)):
-                for row, text in zip(batch.column(0).to_numpy()[at : at + len(part)], part):
-                    tokens, lengths = hasher.tokens([text])
-                    pairs = pair_keys(before(tokens, lengths), tokens)
-                    for k in range(0, len(tokens), STRETCH):
-                        held = (tokens[k : k + STRETCH], pairs[k : k + STRETCH])
-                        keys, of = zip(*(np.unique(x, return_inverse=True) for x in (*held, total_keys(held[1]))))
-                        ends = np.cumsum([0] + [len(x) for x in keys])
-                        yield pa.RecordBatch.from_pylist([{
-                            "row": int(row), "stretch": k // STRETCH, "keys": np.concatenate(keys).view(np.int64).tolist(), "kinds": np.repeat([1, 2, 3], [len(x) for x in keys]).tolist(),
-                            "places": np.concatenate([o + e for o, e in zip(of, ends)]).tolist(),
-                        }], schema=_STRETCH)
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = None
+def unpacked(data: bytes, ascending: bool = False) -> np.ndarray:
+    n, width = np.frombuffer(data, np.uint32, 2).tolist()
+    out = np.zeros((n, 8), np.uint8)
+    if n * width:
+        out[:, :width] = np.frombuffer(pa.decompress(data[8:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    out = out.view(np.uint64)[:, 0]
+    return np.cumsum(out, dtype=np.uint64) if ascending else out
+
+
+def dealt(keys: np.ndarray, slices: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of keys by slice, ascending in each, and (slice, from, to) of those that get any."""
+    order = np.argsort(keys, kind="stable")
+    of = (keys[order] & np.uint64(slices - 1)).astype(np.uint32)
+    by = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[by], np.arange(slices + 1)).tolist()
+    return order[by], [(s, lo, hi) for s, (lo, hi) in enumerate(zip(ends, ends[1:])) if hi > lo]
+
+
+# Rows of the exchange between blocks and slices, by kind: 0 a block's tokens, 1 words, 2 pairs and 3 totals
+# that it asks for and the answers, 4 pairs of a slice by first word and level, 5 figures of a slice.
+_EXCHANGE = "block long, slice int, kind int, keys binary, n binary"
+_ROWS = pa.schema([("block", pa.int64()), ("slice", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+
+
+def blocks(docs: DataFrame, slices: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows that blocks of texts send. A row of kind 0 holds a block's words, its tokens as places among them, and its pieces of texts: rows, ids, sizes; ``n`` ends with the token before each piece."""
+    stretch, kind = STRETCH, docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, held, size = Hasher(), [], 0
+        row = block = TaskContext.get().partitionId() << 32
+        schema = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            tokens, earlier, learned = (np.concatenate(x) for x in zip(*(h[:3] for h in held)))
+            rows, sizes = (np.concatenate(x) for x in zip(*(h[3:5] for h in held)))
+            heads = earlier[np.cumsum(sizes) - sizes]
+            words, places = np.unique(np.concatenate([tokens, heads]), return_inverse=True)
+            out = [{"block": block, "slice": -1, "kind": 0, "keys": packed(words, True), "n": packed(places), "rows": rows, "ids": pa.concat_arrays([h[5] for h in held]), "sizes": sizes}]
+            pairs, of = np.unique(pair_keys(earlier, tokens), return_inverse=True)
+            n_words, n_pairs = (np.bincount(at[learned], minlength=len(x)) for at, x in ((places[: len(tokens)], words), (of, pairs)))
+            for kind, keys, n in ((1, words, n_words), (2, pairs, n_pairs), (3, first_keys(words), None)):
+                order, parts = dealt(keys, slices)
+                for s, lo, hi in parts:
+                    mine = order[lo:hi]
+                    out.append({"block": block, "slice": s, "kind": kind, "keys": packed(keys[mine], True), "n": None if n is None else packed(n[mine])})
+            for lo in range(0, len(out), 1024):
+                yield pa.RecordBatch.from_pylist(out[lo : lo + 1024], schema=schema)
+
         for batch in batches:
-            bits = batch.column(6)
-            cuts = np.flatnonzero(bits.is_valid().to_numpy(zero_copy_only=False)).tolist()
-            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
-                part = batch.slice(lo, hi - lo)
-                if hi > lo and bits[lo].is_valid:
-                    here = LogFrequencyFilter(np.frombuffer(bits[lo].as_py(), np.uint8), slice_bits, 1, probes)
-                    part = part.slice(1)
-                if not part.num_rows:
-                    continue
-                keys, kinds = part.column(5).to_numpy().view(np.uint64), part.column(4).to_numpy()
-                level = np.zeros(len(keys), np.int64)
-                level[kinds < 3] = here.levels(keys[kinds < 3])
-                level[kinds == 3] = here.totals(keys[kinds == 3])
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.array(level.astype(np.int32))], names=["row", "stretch", "place", "level"])
+            ids, learns = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            schema = pa.schema([*_ROWS, ("rows", pa.list_(pa.int64())), ("ids", pa.list_(ids.type)), ("sizes", pa.list_(pa.int64()))])
+            for at, texts in _portions(batch.column(2)):
+                tokens, lengths = hasher.tokens(texts)
+                earlier, ends = before(tokens, lengths), np.cumsum(lengths)
+                learned = np.repeat(learns[at : at + len(texts)], lengths)
+                for lo in range(0, len(tokens), stretch):
+                    hi = min(lo + stretch, len(tokens))
+                    first, last = np.searchsorted(ends, [lo, hi - 1], side="right").tolist()
+                    cuts = np.minimum(ends[first : last + 1], hi)
+                    held.append((tokens[lo:hi], earlier[lo:hi], learned[lo:hi], row + np.arange(first, last + 1), np.diff(cuts, prepend=lo), ids.slice(at + first, last + 1 - first)))
+                    size += hi - lo
+                    if size >= stretch:
+                        yield from flush()
+                        held, size, block = [], 0, block + 1
+                row += len(texts)
+        if held:
+            yield from flush()
+
+    texts = docs.select(F.col(id_col).alias("id"), (~held_out(id_col)).alias("learn"), F.col(text_col).cast("string").alias("t"))
+    return stored(file_batches(texts).mapInArrow(run, f"{_EXCHANGE}, rows array<long>, ids array<{kind}>, sizes array<long>"), "blocks")
+
+
+def at_slices(asked: DataFrame, slices: int, answer: Callable[[int, list[dict]], Iterator[dict]], label: str) -> DataFrame:
+    """What ``answer`` makes of all rows of a slice, a slice at a time; written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, rows = None, []
+
+        def made() -> Iterator[pa.RecordBatch]:
+            out = list(answer(here, rows))
+            for lo in range(0, len(out), 1024):
+                yield pa.RecordBatch.from_pylist(out[lo : lo + 1024], schema=_ROWS)
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = means.value
         for batch in batches:
-            out = []
-            for places, levels in zip(batch.column(1), batch.column(2)):
-                level = np.zeros(len(levels), np.int64)
-                pairs = levels.values
-                level[pairs.field("place").to_numpy()] = pairs.field("level").to_numpy()
-                words, both, totals = level[places.values.to_numpy()].reshape(3, -1)
-                out.append(float(m.logs(words, both, totals).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["row", "part"])
+            for row in batch.to_pylist():
+                if row["slice"] != here:
+                    yield from made() if rows else ()
+                    here, rows = row["slice"], []
+                rows.append(row)
+        yield from made() if rows else ()
+
+    mine = asked.select("block", "slice", "kind", "keys", "n").repartition(slices, "slice").sortWithinPartitions("slice")
+    out = stored(file_batches(mine).mapInArrow(run, _EXCHANGE), label)
+    release(asked.sparkSession)
+    return out
+
+
+def summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of rows, their summed counts, the place of every key among them, and where the rows begin and end."""
+    keys = [unpacked(r["keys"], True) for r in rows]
+    distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.zeros(len(distinct), np.int64)
+    ends = np.cumsum([0, *map(len, keys)])
+    for r, lo, hi in zip(rows, ends, ends[1:]):
+        if r["n"] is not None:
+            n[of[lo:hi]] += unpacked(r["n"]).view(np.int64)  # a row that counts holds a key once
+    return distinct, n, of, ends
+
+
+def answers(rows: list[dict], found: np.ndarray, of: np.ndarray, ends: np.ndarray) -> Iterator[dict]:
+    for r, lo, hi in zip(rows, ends, ends[1:]):
+        yield {"block": r["block"], "slice": r["slice"], "kind": r["kind"], "n": packed(found[of[lo:hi]])}
+
+
+def figures(slice_: int, level: np.ndarray, n: np.ndarray) -> dict:
+    """How many keys each level has, and how many occurrences they have."""
+    return {"block": -1, "slice": slice_, "kind": 5, "keys": packed(np.bincount(level, minlength=MAX_LEVEL + 1)), "n": packed(np.bincount(level, n, MAX_LEVEL + 1))}
+
 
-    held = stored(texts.mapInArrow(stretches, "row long, stretch int, keys array<long>, kinds array<int>, places array<int>"), "stretches")
-    asked = held.select("row", "stretch", F.posexplode(F.arrays_zip("kinds", "keys")).alias("place", "x"))
-    asked = asked.select(F.pmod("x.keys", F.lit(slices)).cast("int").alias("slice"), "row", "stretch", "place", F.col("x.kinds").alias("kind"), F.col("x.keys").alias("key"), F.lit(None).cast("binary").alias("bits"))
-    nothing = [F.lit(None).cast("long").alias("row"), *(F.lit(None).cast("int").alias(c) for c in ("stretch", "place", "kind")), F.lit(None).cast("long").alias("key")]
-    dealt = table.select("slice", *nothing, "bits").union(asked).repartition(slices, "slice").sortWithinPartitions("slice", F.asc_nulls_first("row"))
-    found = dealt.mapInArrow(probe, "row long, stretch int, place int, level int").groupBy("row", "stretch").agg(F.collect_list(F.struct("place", "level")).alias("levels"))  # at most 3 * STRETCH
-    parts = held.select("row", "stretch", "places").join(found, ["row", "stretch"]).select("row", "places", "levels").mapInArrow(sums, "row long, part double")
-    return parts.groupBy("row").agg(F.sum("part").alias("score"))
+def level_figures(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, occurrences, mean count) of each level; a small row comes from each slice."""
+    c, s = np.zeros((2, MAX_LEVEL + 1), np.int64)
+    for r in rows.where("kind = 5").select("keys", "n").toLocalIterator():
+        c += unpacked(r["keys"]).view(np.int64)
+        s += unpacked(r["n"]).view(np.int64)
+    return c, s, s / np.maximum(c, 1)
 
 
-_STRETCH = pa.schema([("row", pa.int64()), ("stretch", pa.int32()), ("keys", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
+def one_slice(entries: int, probes: int) -> np.ndarray:
+    """The empty bits of a slice of ``entries``, of which they set half."""
+    return np.zeros(max(64, -(-int(entries * probes / np.log(2)) // 8) * 8), bool)
+
+
+def as_filter(flags: np.ndarray, probes: int) -> LogFrequencyFilter:
+    return LogFrequencyFilter(np.packbits(flags, bitorder="little"), len(flags), 1, probes)
+
+
+def scores_by_slices(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[int, DataFrame]:
+    """(train_tokens, scores as ``score`` gives them) where the filter may be too large for a broadcast; ``size``: bytes of text."""
+    slices = LEAST_SLICES  # a power of two
+    while size > slices * SLICE_TEXT:
+        slices *= 2
+    asked = blocks(docs, slices, id_col, text_col)
+
+    def count_words(here: int, rows: list[dict]) -> Iterator[dict]:
+        _, n, of, ends = summed(rows)
+        yield figures(here, LogFrequencyFilter.level_of(n)[n > 0], n[n > 0])
+        yield from answers(rows, n, of, ends)
+
+    words = at_slices(asked.where("kind = 1"), slices, count_words, "words")
+    c, s, word_means = level_figures(words)
+    distinct, total = int(c.sum()), int(s.sum())
+    probes = probes_for(distinct)
+
+    def read_pairs(here: int, rows: list[dict]) -> Iterator[dict]:
+        keys, n, of, ends = summed(rows)
+        known, level = keys[n > 0], LogFrequencyFilter.level_of(n)[n > 0]
+        yield figures(here, level, n[n > 0])
+        flags = one_slice(int(level.sum()), probes)
+        for q in range(1, int(level.max(initial=0)) + 1):
+            put(flags, known[level >= q], q, probes)
+        yield from answers(rows, as_filter(flags, probes).levels(keys), of, ends)
+        firsts, times = np.unique((known >> np.uint64(32)) << np.uint64(6) | level.astype(np.uint64), return_counts=True)
+        to = ((firsts >> np.uint64(6)) & np.uint64(slices - 1)).astype(np.int64)
+        for s in np.unique(to).tolist():
+            yield {"block": -1, "slice": s, "kind": 4, "keys": packed(firsts[to == s], True), "n": packed(times[to == s])}
+
+    pairs = at_slices(asked.where("kind = 2"), slices, read_pairs, "pairs")
+    _, _, pair_means = level_figures(pairs)
+
+    def read_totals(here: int, rows: list[dict]) -> Iterator[dict]:
+        asking, made = [r for r in rows if r["kind"] == 3], [r for r in rows if r["kind"] == 4]
+        known, code = np.empty(0, np.uint64), np.empty(0, np.int64)
+        if made:
+            firsts, times, _, _ = summed(made)
+            one, of = np.unique(firsts >> np.uint64(6), return_inverse=True)
+            sums = np.bincount(of, times * pair_means[(firsts & np.uint64(63)).astype(np.int64)])
+            known, code = (one << np.uint64(32)) | one, PARTS + np.ceil(np.log2(sums) * PARTS - 1e-9).astype(np.int64)
+        flags = one_slice(int((code // PARTS + 1).sum()), probes)
+        for q in range(1, int(code.max(initial=0)) // PARTS + 1):
+            put(flags, known[code // PARTS >= q], q, probes)
+        for x in np.unique(code[code % PARTS > 0]).tolist():
+            put(flags, known[code == x], AFTER + x, probes)
+        if asking:
+            keys, _, of, ends = summed(asking)
+            yield from answers(asking, as_filter(flags, probes).totals(keys), of, ends)
+
+    totals = at_slices(asked.where("kind = 3").select("block", "slice", "kind", "keys", "n").union(pairs.where("kind = 4")), slices, read_totals, "totals")
+    none = np.empty(0, np.int64)
+    model = Model(total, distinct, none.view(np.uint64), none, word_means, pair_means, mistakes(probes, distinct, pair_means[1]))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, got = None, {}
+
+        def made() -> pa.RecordBatch:
+            place = unpacked(head["n"].as_py()).astype(np.int64)
+            words, sizes = unpacked(head["keys"].as_py(), True), head["sizes"].values.to_numpy()
+            n_tokens, starts = int(sizes.sum()), np.cumsum(sizes) - sizes
+            place, first = place[:n_tokens], place[n_tokens:]
+            prior = np.concatenate([first[:1], place[:-1]])
+            prior[starts] = first
+            pairs, of = np.unique(pair_keys(words[prior], words[place]), return_inverse=True)
+
+            def answered(kind: int, keys: np.ndarray) -> np.ndarray:
+                order, parts = dealt(keys, slices)
+                out = np.empty(len(keys), np.int64)
+                out[order] = np.concatenate([unpacked(got[kind, s]) for s, _, _ in parts])
+                return out
+
+            n = answered(1, words)
+            level = np.where(n > 0, LogFrequencyFilter.level_of(n), 0)
+            logs = model.logs(level[place], answered(2, pairs)[of], answered(3, first_keys(words))[prior])
+            return pa.RecordBatch.from_arrays([
+                head["rows"].values, head["ids"].values, pa.array(sizes), pa.array(np.add.reduceat((n > 0)[place].astype(np.int64), starts)),
+                pa.array(np.add.reduceat(model.base_log(n)[place], starts)), pa.array(np.add.reduceat(logs, starts)),
+            ], names=["row", "id", "n_tokens", "n_known", "base", "score"])
+
+        for batch in batches:
+            for i, (kind, s) in enumerate(zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())):
+                if kind:
+                    got[kind, s] = batch.column(4)[i].as_py()
+                else:  # a block begins
+                    if head:
+                        yield made()
+                    head, got = {c: batch.column(c)[i] for c in ("keys", "n", "rows", "ids", "sizes")}, {}
+        if head:
+            yield made()
+
+    every = asked.where("kind = 0")
+    for found in (words, pairs, totals):
+        every = every.unionByName(found.where("kind < 4"), allowMissingColumns=True)
+    back = file_batches(every.repartition("block").sortWithinPartitions("block", "kind"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    parts = back.mapInArrow(sums, f"row long, id {kind}, n_tokens long, n_known long, base double, score double")
+    total_of = {"n_tokens": "n_tokens", "n_known": "n_known", "base": "base_score", "score": "score"}
+    return total, parts.groupBy("row").agg(F.first("id").alias(id_col), *(F.sum(c).alias(name) for c, name in total_of.items())).drop("row")
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, head: int = HEAD) -> DataFrame:
@@ -497,6 +688,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     probability. Repeated rows stay and count each. ``max_bits`` decides on the
     way to the filter only: scores are the same by broadcast and by slices.
     """
-    model, words, table = train(docs.where(~held_out(id_col)), text_col, max_bits, head)
-    found = score(docs, model, words, table, id_col, text_col)
-    return found.select(id_col, held_out(id_col).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+    if size * BITS_A_BYTE > max_bits:
+        n, found = scores_by_slices(docs, size, id_col, text_col)
+    else:
+        model, words, _ = train(docs.where(~held_out(id_col)), text_col, head)
+        n, found = model.train_tokens, score(docs, model, words, id_col, text_col)
+    return found.select(id_col, held_out(id_col).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

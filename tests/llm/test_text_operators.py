@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -509,3 +510,16 @@ def test_repeated_passages_score_higher_than_the_base(spark):
     rows = [(i, f"{text} {i}") for i in range(1, 60)] + [(100 + i, f"w{i} v{i} u{i}") for i in range(60)]
     got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out and doc_id < 100").collect()
     assert got and all(r["score"] > r["base_score"] for r in got)
+
+
+def test_slices_take_less_disk_than_the_texts_and_give_exact_base_scores(spark, monkeypatch):
+    """Keys go to the filter packed, once for a block; all that is written stays below twice the text (limit of the check: 4 times its packed size)."""
+    written = []
+    stored = lm.stored
+    monkeypatch.setattr(lm, "stored", lambda df, label: written.append(stored(df, label)) or written[-1])
+    docs = docs_of(spark).unionByName(edge_docs(spark).select("doc_id", "text"), allowMissingColumns=True)
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    got = lm.lm_scores(docs, max_bits=1).collect()
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == brute_base(rows)
+    files = {f for df in written for f in df.inputFiles()}
+    assert sum(os.path.getsize(f.removeprefix("file://").removeprefix("file:")) for f in files) < 2 * sum(len((t or "").encode()) for _, t in rows)
