@@ -477,17 +477,21 @@ def blocks(docs: DataFrame, slices: int, id_col: str, text_col: str) -> DataFram
 
         def flush() -> Iterator[pa.RecordBatch]:
             tokens, earlier, learned = (np.concatenate(x) for x in zip(*(h[:3] for h in held)))
-            rows, sizes = (np.concatenate(x) for x in zip(*(h[3:5] for h in held)))
+            rows, sizes, ids = (np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held]), pa.concat_arrays([h[5] for h in held]))
+            held.clear()
             heads = earlier[np.cumsum(sizes) - sizes]
             words, places = np.unique(np.concatenate([tokens, heads]), return_inverse=True)
-            out = [{"block": block, "slice": -1, "kind": 0, "keys": packed(words, True), "n": packed(places), "rows": rows, "ids": pa.concat_arrays([h[5] for h in held]), "sizes": sizes}]
+            places = places.astype(np.uint32)
+            out = [{"block": block, "slice": -1, "kind": 0, "keys": packed(words, True), "n": packed(places), "rows": rows, "ids": ids, "sizes": sizes}]
             pairs, of = np.unique(pair_keys(earlier, tokens), return_inverse=True)
             n_words, n_pairs = (np.bincount(at[learned], minlength=len(x)) for at, x in ((places[: len(tokens)], words), (of, pairs)))
+            del tokens, earlier, learned, places, of
             for kind, keys, n in ((1, words, n_words), (2, pairs, n_pairs), (3, first_keys(words), None)):
                 order, parts = dealt(keys, slices)
                 for s, lo, hi in parts:
                     mine = order[lo:hi]
-                    out.append({"block": block, "slice": s, "kind": kind, "keys": packed(keys[mine], True), "n": None if n is None else packed(n[mine])})
+                    sent = keys[mine] & np.uint64(0xFFFFFFFF) if kind == 3 else keys[mine]  # both halves of a total's key are one
+                    out.append({"block": block, "slice": s, "kind": kind, "keys": packed(sent, True), "n": None if n is None else packed(n[mine])})
             for lo in range(0, len(out), 1024):
                 yield pa.RecordBatch.from_pylist(out[lo : lo + 1024], schema=schema)
 
@@ -506,7 +510,7 @@ def blocks(docs: DataFrame, slices: int, id_col: str, text_col: str) -> DataFram
                     size += hi - lo
                     if size >= stretch:
                         yield from flush()
-                        held, size, block = [], 0, block + 1
+                        size, block = 0, block + 1
                 row += len(texts)
         if held:
             yield from flush()
@@ -534,7 +538,7 @@ def at_slices(asked: DataFrame, slices: int, answer: Callable[[int, list[dict]],
                 rows.append(row)
         yield from made() if rows else ()
 
-    mine = asked.select("block", "slice", "kind", "keys", "n").repartition(slices, "slice").sortWithinPartitions("slice")
+    mine = asked.select("block", "slice", "kind", "keys", "n").repartitionById(slices, "slice").sortWithinPartitions("slice")
     out = stored(file_batches(mine).mapInArrow(run, _EXCHANGE), label)
     release(asked.sparkSession)
     return out
@@ -543,9 +547,10 @@ def at_slices(asked: DataFrame, slices: int, answer: Callable[[int, list[dict]],
 def summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys of rows, their summed counts, the place of every key among them, and where the rows begin and end."""
     keys = [unpacked(r["keys"], True) for r in rows]
-    distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.zeros(len(distinct), np.int64)
     ends = np.cumsum([0, *map(len, keys)])
+    keys = np.concatenate(keys)
+    distinct, of = np.unique(keys, return_inverse=True)
+    n = np.zeros(len(distinct), np.int64)
     for r, lo, hi in zip(rows, ends, ends[1:]):
         if r["n"] is not None:
             n[of[lo:hi]] += unpacked(r["n"]).view(np.int64)  # a row that counts holds a key once
@@ -628,7 +633,7 @@ def scores_by_slices(docs: DataFrame, size: int, id_col: str, text_col: str) ->
             put(flags, known[code == x], AFTER + x, probes)
         if asking:
             keys, _, of, ends = summed(asking)
-            yield from answers(asking, as_filter(flags, probes).totals(keys), of, ends)
+            yield from answers(asking, as_filter(flags, probes).totals((keys << np.uint64(32)) | keys), of, ends)
 
     totals = at_slices(asked.where("kind = 3").select("block", "slice", "kind", "keys", "n").union(pairs.where("kind = 4")), slices, read_totals, "totals")
     none = np.empty(0, np.int64)
