@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shardwright.operators import classify, link, repair, report, rescue
 from shardwright.sources import archives, containers
+from tests.oracle import DATA
 
 
 def test_pairs_of_files_are_scored_without_rows_for_their_parts(spark, monkeypatch):
@@ -81,3 +82,18 @@ def test_long_sets_of_one_list_are_told_apart_before_they_are_paired():
     got = {p for b in N._close(0.8)(iter([batch])) for p in zip(*b.to_pydict().values())}
     assert len(alike) == 1 and alike <= got and len(got) <= 10, len(got)
     assert N.long_marks(fresh(900)) is None and len(N.long_marks(fresh(20_000))) == N.LONG_MARKS // 8
+
+
+def test_equal_parts_are_parsed_once_and_cleaned_parts_are_read_not_made_twice(spark):
+    """Before, reconciled_timing cleaned every part twice: three kernels in its plan."""
+    from shardwright.functions import xmltree
+    from shardwright.plans import flow_queries
+
+    parsed = []
+    judge = lambda data, alive: parsed.append(data) or (data, sorted(alive))
+    got = [xmltree.once(judge, data, frozenset(alive)) for data, alive in ((b"<a/>", "x"), (b"<a/>", "x"), (b"<a/>", "y"), (b"<b/>", "x"), (b"<a/>", "x"))]
+    assert got == [(b"<a/>", ["x"]), (b"<a/>", ["x"]), (b"<a/>", ["y"]), (b"<b/>", ["x"]), (b"<a/>", ["x"])] and len(parsed) == 3
+    large = b"x" * (xmltree.SMALL + 1)
+    assert [xmltree.once(len, large) for _ in range(2)] == [len(large)] * 2
+    plan = flow_queries.reconciled_timing(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
