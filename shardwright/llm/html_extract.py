@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shardwright.functions.batches import batched
 from shardwright.llm.common import cut
 
 # Elements that break text into blocks, that hold no text of the page, or that never do.
@@ -318,11 +320,36 @@ def template_lines(pages: DataFrame) -> DataFrame:
     return lines.select("key", "page").distinct().join(found, "page").select("key", "gone")
 
 
+_TEXTS = "id long, key long, url string, packed binary, places array<int>, n_blocks long"
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What structure leaves of a page, its blocks joined by line ends, which no block holds, and packed; the places of these blocks if they are open, so that differencing may take some."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("url", pa.string()), ("packed", pa.binary()), ("places", pa.list_(pa.int32())), ("n_blocks", pa.int64())])
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for i, key, url, page in zip(*batch.columns):
+            found = blocks(page.as_py())
+            text = "\n".join(t for t, k in found if k != DROPPED)
+            yield i.as_py(), key.as_py(), url.as_py(), zlib.compress(text.encode(), 1), [i for i, (_, k) in enumerate(found) if k == OPEN] or None, len(found)
+
+    for batch in batches:
+        yield from batched(rows(batch), schema)
+
+
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the open blocks that differencing takes."""
+    schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_blocks", pa.int64()), ("n_shared", pa.int64())])
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for i, url, packed, places, n, gone in zip(*batch.columns):
+            text, taken = zlib.decompress(packed.as_py()), set(gone.as_py() or ())
+            if taken and places.is_valid:
+                text = b"\n".join(t for t, at in zip(text.split(b"\n"), places.as_py()) if at not in taken)
+            yield i.as_py(), url.as_py(), text, n.as_py(), len(taken)
+
     for batch in batches:
-        found = [blocks(p) for p in batch.column(3).to_pylist()]
-        texts = pa.array([[{"text": t, "kind": k} for t, k in f] for f in found], pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int32())])))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts], names=["id", "key", "url", "blocks"])
+        yield from batched(rows(batch), schema)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -336,8 +363,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, url_col, html_col).alias("key"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     gone = template_lines(base)
-    texts = base.mapInArrow(_texts, "id long, key long, url string, blocks array<struct<text:string,kind:int>>").join(gone, "key", "left")
-    shared = F.coalesce("gone", F.array().cast("array<int>"))
-    left = F.filter("blocks", lambda b, i: (b["kind"] != DROPPED) & ((b["kind"] == MAIN) | ~F.array_contains(shared, i)))
-    out = texts.withColumn("text", F.array_join(F.transform(left, lambda b: b["text"]), "\n"))
-    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), F.size("blocks").cast("long").alias("n_blocks"), F.size(shared).cast("long").alias("n_shared"))
+    # Dropped blocks stay behind and the others travel packed: rows of this join are smaller than the text that comes out.
+    texts = base.mapInArrow(_texts, _TEXTS).join(gone, "key", "left").select("id", "url", "packed", "places", "n_blocks", "gone")
+    out = texts.mapInArrow(_left, "id long, url string, text string, n_blocks long, n_shared long")
+    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_shared")

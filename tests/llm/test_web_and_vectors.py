@@ -179,6 +179,17 @@ def test_stripped_articles_give_the_same_text(spark):
     assert sum(r["n_shared"] for r in tagged.values()) > 0, "lines of the given pages go by differencing"
 
 
+def test_texts_travel_without_dropped_blocks_and_packed():
+    menu, line = "menu entry " * 2000, "a line of text that stays "
+    page = f"<nav>{menu}</nav>" + "".join(f"<p>{line}{k}</p>" for k in range(200))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array(["http://a.com/x"]), pa.array([page])], names=["id", "key", "url", "html"])
+    (sent,) = html_extract._texts(iter([batch]))
+    assert sent.nbytes < 200 * len(line) / 2
+    gone = pa.RecordBatch.from_arrays([*(sent.column(c) for c in ("id", "url", "packed", "places", "n_blocks")), pa.array([[0, 1, 200]], pa.list_(pa.int32()))], names=["id", "url", "packed", "places", "n_blocks", "gone"])
+    (row,) = next(html_extract._left(iter([gone]))).to_pylist()
+    assert row == {"id": 1, "url": "http://a.com/x", "text": "\n".join(f"{line}{k}" for k in range(1, 199)), "n_blocks": 201, "n_shared": 3}
+
+
 def test_all_pages_of_the_table(spark):
     got = {r["page_id"]: r["text"] for r in html_extract.main_text(pages_of(spark)).collect()}
     for r in pages_of(spark).collect():
