@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardwright.llm.common import crc_bucket, cut
+from shardwright.session import file_batches
 
 CELLS = 1 << 15
 #: The broadcast model's bound (8192 languages of CELLS scores). More raise an error; none is left out.
@@ -35,8 +37,10 @@ MAX_MODEL_BYTES = 1 << 30
 SWITCH_PENALTY = 6.0
 #: A script belongs to a language if so many of its training letters are in it.
 SCRIPT_SHARE = 0.01
-#: Scores that a worker keeps (words times languages), words of training counted before they are folded in, and scores aligned at once.
-CACHE_SCORES, CACHE_WORDS, PATH_SCORES = 2_000_000, 500_000, 6_000_000
+#: Scores that a worker keeps (words times languages), words of training counted before they are folded in, words folded in at once, and scores aligned at once.
+CACHE_SCORES, CACHE_WORDS, FOLD_WORDS, PATH_SCORES = 2_000_000, 200_000, 8192, 6_000_000
+#: Characters of text labelled at once, at most.
+PORTION = 4 << 20
 
 # First code points of script ranges, from Unicode's blocks.
 SCRIPT_RANGES = [
@@ -129,6 +133,19 @@ class Model:
         return np.where(fits.any(axis=1)[:, None], s, 0.0).astype(np.float32)
 
 
+def folded(by_lang: dict[str, Counter], cells_of: dict[str, np.ndarray], script_n: Counter) -> None:
+    """Adds the counted words of each language to its cells and to the letters of its scripts, and forgets them."""
+    for lang, counter in by_lang.items():
+        own, items = cells_of.setdefault(lang, np.zeros(CELLS, np.int64)), iter(counter.items())
+        while part := list(islice(items, FOLD_WORDS)):
+            of, cells = grams([word for word, _ in part])
+            weights = np.fromiter((n for _, n in part), np.int64, len(part))
+            own += np.bincount(cells, weights[of], minlength=CELLS).astype(np.int64)
+            for word, n in part:
+                script_n[lang, script_of(word)] += n * len(word)
+    by_lang.clear()
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Counts over all rows of ``docs`` with a language and a text."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -139,32 +156,24 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
         cells_of: dict[str, np.ndarray] = {}
         script_n: Counter = Counter()
 
-        def fold() -> None:
-            for lang, counter in by_lang.items():
-                words = list(counter)
-                of, cells = grams(words)
-                weights = np.fromiter(counter.values(), np.int64, len(words))
-                cells_of[lang] = cells_of.get(lang, 0) + np.bincount(cells, weights[of], minlength=CELLS).astype(np.int64)
-                for word, n in counter.items():
-                    script_n[lang, script_of(word)] += n * len(word)
-            by_lang.clear()
-
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
                 name = lang.as_py()
                 docs_of[name] += 1
                 by_lang.setdefault(name, Counter()).update(words_of(text.as_py()))
             if sum(map(len, by_lang.values())) > CACHE_WORDS:
-                fold()
-        fold()
+                folded(by_lang, cells_of, script_n)
+        folded(by_lang, cells_of, script_n)
+        schema = pa.schema([("lang", pa.string()), ("cell", pa.int32()), ("script", pa.string()), ("n", pa.int64())])
         out: list[tuple[str, int, str | None, int]] = [(lang, -1, None, n) for lang, n in docs_of.items()]
         out += [(lang, -2, script, n) for (lang, script), n in script_n.items()]
-        for lang, table in cells_of.items():
-            out += [(lang, int(c), None, int(table[c])) for c in np.flatnonzero(table)]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "cell", "script", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+        for lang, table in cells_of.items():
+            at = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(at)), pa.array(at, pa.int32()), pa.nulls(len(at), pa.string()), pa.array(table[at])], schema=schema)
 
-    counted = rows.mapInArrow(count, "lang string, cell int, script string, n long").groupBy("lang", "cell", "script").agg(F.sum("n").alias("n"))
+    counted = file_batches(rows).mapInArrow(count, "lang string, cell int, script string, n long").groupBy("lang", "cell", "script").agg(F.sum("n").alias("n"))
     # A row for each language, CELLS pairs and a few scripts at most.
     tables = counted.groupBy("lang").agg(F.collect_list(F.struct("cell", "script", "n")).alias("held"))
     tables = cut(tables)
@@ -244,8 +253,8 @@ class Labeller:
         self.sizes = np.zeros(1024, np.int32)
 
     def _learn(self, words: list[str]) -> None:
-        """Adds the scores of words that are not known yet."""
-        start, n = len(self.ids), len(self.ids) + len(words)
+        """Adds the scores of words that have the last places, but no scores yet."""
+        start, n = len(self.ids) - len(words), len(self.ids)
         if n > len(self.table):
             size = max(n, 2 * len(self.table))
             self.table = np.concatenate([self.table, np.zeros((size - len(self.table), self.table.shape[1]), np.float32)])
@@ -255,7 +264,6 @@ class Labeller:
             part = words[at : at + step]
             self.table[start + at : start + at + len(part)] = self.model.scores_of(part)
         self.sizes[start:n] = [len(w) for w in words]
-        self.ids.update(zip(words, range(start, n)))
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """(language, score, spans) of each text; a span is (first word, end word, language)."""
@@ -263,16 +271,17 @@ class Labeller:
             return [("und", 0.0, [])] * len(texts)
         if len(self.ids) * len(self.model.languages) > CACHE_SCORES:
             self.__init__(self.model)
-        split = [words_of(text) for text in texts]
-        fresh: set[str] = set()
-        for words in split:
-            fresh.update(words)
-        self._learn([w for w in fresh if w not in self.ids])
-        ids, found = self.ids, []
-        for words in split:
-            found += [ids[w] for w in words]
-        lengths = np.array([len(words) for words in split], np.int64)
-        flat = np.array(found, np.int64)
+        ids, fresh, found = self.ids, [], [np.zeros(0, np.int32)]
+        for text in texts:  # a text's words go before the next one's are made
+            words = words_of(text)
+            new = set(words).difference(ids)
+            ids.update(zip(new, range(len(ids), len(ids) + len(new))))
+            fresh += new
+            found.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
+        self._learn(fresh)
+        lengths = np.array([len(words) for words in found[1:]], np.int64)
+        flat = np.concatenate(found)
+        del found
         path = viterbi(self.table[flat], lengths)
         sizes, names, out, at = self.sizes[flat], self.model.languages, [], 0
         for n in lengths:
@@ -313,7 +322,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         labeller = model.labeller = model.labeller or Labeller(model)  # a worker keeps it for its next tasks
         for batch in batches:
             at = 0
-            portion = max(1 << 16, min(8 << 20, 6 * PATH_SCORES // max(1, len(model.languages))))
+            portion = max(1 << 16, min(PORTION, 6 * PATH_SCORES // max(1, len(model.languages))))
             while at < batch.num_rows:  # so much text at a time
                 size, to = 0, at
                 while to < batch.num_rows and size < portion:
@@ -327,7 +336,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     for field in schema:
         field.nullable = True
-    return docs.mapInArrow(run, schema)
+    return file_batches(docs).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -276,6 +276,31 @@ def test_all_languages_are_learned(spark):
     assert sum(f[0] == lang for f, lang in zip(found, own)) >= 295
 
 
+def test_labelling_and_training_hold_few_bytes_a_word(spark, monkeypatch):
+    """Words of a text go before the next one's are made; words of training are folded in by parts."""
+    import tracemalloc
+
+    model = langid.model_from_counts([(n, [(-1, None, 1), (-2, "Latin", 9), (k, None, 3)]) for k, n in enumerate(("de", "en"))])
+    texts = [" ".join(f"word{chr(97 + k % 26)}{chr(97 + j % 26)}" for j in range(2000)) for k in range(200)]
+    labeller = langid.Labeller(model)
+    labeller.label(texts[:1])
+    tracemalloc.start()
+    found = labeller.label(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 200 and peak < 90 * 400_000, peak / 400_000
+    parts, whole = [], langid.grams
+
+    def noted(words):
+        parts.append(len(words))
+        return whole(words)
+
+    monkeypatch.setattr(langid, "grams", noted)
+    rows = [("en", " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(17_000)))]
+    langid.folded({"en": Counter(langid.words_of(rows[0][1]))}, {}, Counter())
+    assert len(parts) == 3 and max(parts) <= langid.FOLD_WORDS and sum(parts) == 17_000
+
+
 def test_scripts_narrow_candidates():
     model = langid.model_from_counts([("en", [(-1, None, 2), (-2, "Latin", 100), (7, None, 3)]), ("ru", [(-1, None, 1), (-2, "Cyrillic", 100), (5, None, 3)])])
     scores = model.scores_of(["привет", "hello", "שלום"])
