@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from shardwright.operators import classify, link, repair, report, rescue
+from shardwright import session
+from shardwright.operators import classify, link, repair, report, rescue, salvage
 from shardwright.sources import archives, containers
 from tests.oracle import DATA
 
@@ -97,3 +98,13 @@ def test_equal_parts_are_parsed_once_and_cleaned_parts_are_read_not_made_twice(s
     assert [xmltree.once(len, large) for _ in range(2)] == [len(large)] * 2
     plan = flow_queries.reconciled_timing(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_entries_are_sorted_by_tasks_of_bounded_size(spark, monkeypatch):
+    assert [session.dealt(n << 20, 8) for n in (0, 1, 9, 36, 216, 3600)] == [8, 8, 36, 144, 200, 900]
+    monkeypatch.setattr(session, "TASK_ROWS", 1000)
+    entries = spark.range(40_000).select((F.col("id") % 4000).alias("file_id"), F.concat(F.lit("e"), "id").alias("name"), F.col("id").alias("header_offset"))
+    got = salvage.entry_intervals(entries, spark.range(4000).select(F.col("id").alias("file_id"), F.lit(50_000).cast("long").alias("cd_start")))
+    held = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(held) == 40_000 and max(held) < 2000, held
+    assert got.where("not layout_ok").count() == 0
