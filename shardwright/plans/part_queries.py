@@ -221,7 +221,7 @@ _CT = "application/vnd.openxmlformats-officedocument."
 
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _known(spark, sf_dir).select(F.col("doc_id").alias("file_id"), "content")
-    return read_parts(repair.made_packages(files)[1].where("mode = 'rebuild'").select("file_id", "content"))
+    return read_parts(repair.repair(files).where("mode = 'rebuild'").select("file_id", "content"))
 
 
 @query(f"""
@@ -237,7 +237,7 @@ def rebuilt_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH d AS ({_REBUILT}) SELECT file_id, CAST(CASE WHEN lost THEN 2 ELSE 3 END AS BIGINT) AS n_slides, CAST(CASE WHEN lost THEN 2 ELSE 3 END AS BIGINT) AS n_listed, CAST(0 AS BIGINT) AS n_dangling FROM d")
 def rebuilt_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slides of rebuilt decks, ids in their lists, and references that lead nowhere."""
-    parts = stored(_repaired(spark, sf_dir), "parts")
+    parts = stored(integrity.readable_parts(_repaired(spark, sf_dir)), "parts")
     rels = integrity.relationships(parts)
     lost = integrity.pruned_relationships(rels, parts.select("file_id", "name")).where("not keep").select("file_id").unionByName(integrity.dangling_references(integrity.references(parts), rels).select("file_id"))
     listed = parts.where("name = 'ppt/presentation.xml'").select("file_id", F.size(F.regexp_extract_all(F.col("payload").cast("string"), F.lit(repair.IDS), F.lit(1))).cast("long").alias("n_listed"))
