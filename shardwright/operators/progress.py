@@ -15,10 +15,11 @@ class Progress:
     def __init__(self) -> None:
         self.seen: dict[str, Observation] = {}
 
-    def watch(self, rows: DataFrame, stage: str, **more: Column) -> DataFrame:
-        """``rows`` with counters on: all of them, and those for which each of ``more`` holds."""
+    def watch(self, rows: DataFrame, stage: str, only: Column | None = None, **more: Column) -> DataFrame:
+        """``rows`` with counters on: all of them (or ``only`` some), and those of them for which each of ``more`` holds."""
         self.seen[stage] = Observation(stage)
-        return rows.observe(self.seen[stage], F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(n) for n, c in more.items()))
+        these = F.lit(True) if only is None else only
+        return rows.observe(self.seen[stage], F.count_if(these).alias("rows"), *(F.count_if(these & c).alias(n) for n, c in more.items()))
 
     def counts(self) -> dict[str, dict[str, int]]:
         return {stage: dict(o.get) for stage, o in self.seen.items()}
